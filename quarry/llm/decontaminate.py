@@ -246,7 +246,7 @@ def clean(matched: DataFrame, text_col: str = "text", min_span: int = 1, max_cov
     raw = F.encode(F.col(text_col), "UTF-8")
     firsts = F.concat(F.transform(cut, lambda s: s["first"]), F.array(F.octet_length(text_col).cast("long")))
     afters = F.concat(F.array(F.lit(0).cast("long")), F.transform(cut, lambda s: s["after"]))
-    pieces = F.transform(F.arrays_zip(afters.alias("a"), firsts.alias("b")), lambda p: F.decode(F.substr(raw, p["a"].cast("int") + 1, (p["b"] - p["a"]).cast("int")), F.lit("UTF-8")))
+    pieces = F.transform(F.arrays_zip(afters.alias("a"), firsts.alias("b")), lambda p: F.decode(F.substr(raw, p["a"].cast("int") + 1, (p["b"] - p["a"]).cast("int")), "UTF-8"))
     return kept.withColumn(text_col, F.when(F.size(cut) > 0, F.array_join(pieces, "")).otherwise(F.col(text_col)))
 
 
