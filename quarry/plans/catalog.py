@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from quarry.plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = ("retrieval", "library", "chats", "texts", "money", "dates", "vectors", "extraction", "metering")
+
+for _name in MODULES:
+    import_module(f"quarry.plans.{_name}_queries")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
