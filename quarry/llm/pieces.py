@@ -47,7 +47,9 @@ MARK_BYTES = chr(MARK).encode()
 DEEP = 16
 #: Ends a segment in the batch's text; no character.
 SEPARATOR = 0x110000
-CACHE = 600_000
+CACHE = 250_000
+#: Segments that are indexed at a time.
+BATCH = 40_000
 
 
 class Model:
@@ -99,7 +101,11 @@ class Model:
                 self.left[r], self.right[r] = got
         order = np.argsort(np.array(pair, np.int64))
         self.pair, self.made = np.array(pair, np.int64)[order], np.array(made, np.int64)[order]
-        self.usable = [(t, r) for t, r in ranks.items() if reach[r]]
+        usable = [(t, r) for t, r in ranks.items() if reach[r] and len(t) <= DEEP]
+        self.use_rank = np.array([r for _, r in usable], np.int64)
+        self.use_len = np.array([len(t) for t, _ in usable], np.int64)
+        self.use_char = np.zeros((len(usable), DEEP), np.uint32)
+        self.use_char[np.arange(DEEP)[None, :] < self.use_len[:, None]] = np.frombuffer("".join(t for t, _ in usable).encode("utf-32-le"), np.uint32)
         raw = [bytes([self.byte_of[i]]) if self.byte_of[i] >= 0 else b"" if special[i] else self.text[i].replace(spaces, " ").encode() for i in range(n)]
         self.raw_len = np.array([len(x) for x in raw])
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
@@ -200,18 +206,12 @@ class Model:
             keys.append(k)
         suffix = np.lexsort(keys[::-1]) if words > 1 else np.argsort(keys[0], kind="stable")
         keys = [k[suffix] for k in keys]
-        where = {int(c): i + 1 for i, c in enumerate(alphabet)}
-        spelt, rank = [], []
-        for t, r in self.usable:
-            got = [where.get(ord(c), 0) for c in t]
-            if all(got):
-                spelt.append(got)
-                rank.append(r)
-        rank = np.array(rank, np.int64)
-        size = np.array([len(x) for x in spelt], np.int64)
-        letters = np.zeros((len(spelt), per * words), np.int64)
-        for i, x in enumerate(spelt):
-            letters[i, : len(x)] = x
+        inside = np.arange(DEEP)[None, :] < self.use_len[:, None]
+        found = np.minimum(np.searchsorted(alphabet, self.use_char), len(alphabet) - 1)
+        here = ((alphabet[found] == self.use_char) | ~inside).all(1)
+        rank, size = self.use_rank[here], self.use_len[here]
+        letters = np.zeros((len(rank), per * words), np.int64)
+        letters[:, :DEEP] = np.where(inside[here], found[here] + 1, 0)
         top = np.arange(per * words)[None, :] >= size[:, None]
         lo = self._bound(keys, letters, per, bits)
         hi = self._bound(keys, np.where(top, (1 << bits) - 1, letters), per, bits)
@@ -331,7 +331,10 @@ class Encoder:
         self.n = np.zeros(0, np.int64)
 
     def _learn(self, keys: np.ndarray, segs: list[str]) -> None:
-        ids, at_ = self.m.encode_segments(segs)
+        got = [self.m.encode_segments(segs[a : a + BATCH]) for a in range(0, len(segs), BATCH)]
+        ids = np.concatenate([x for x, _ in got])
+        sizes = np.concatenate([np.diff(x) for _, x in got])
+        at_ = np.concatenate([[0], np.cumsum(sizes)])
         begin = np.concatenate([self.at, at_[:-1] + len(self.ids)])
         self.n = np.concatenate([self.n, np.diff(at_)])
         self.ids = np.concatenate([self.ids, ids])
