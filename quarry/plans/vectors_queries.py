@@ -1 +1,84 @@
-"""Queries."""
+"""Queries over embeddings: labels stand in for files and folders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.operators import vectors as V
+from quarry.plans.registry import query, table
+from quarry.plans.workspace import Workspace
+
+MEANS = """
+flat AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(x) AS x FROM flat GROUP BY ALL),
+n AS (SELECT label, sqrt(sum(x * x)) AS size FROM m GROUP BY label),
+c AS (SELECT label, list(x / size ORDER BY i) AS vec FROM m JOIN n USING (label) GROUP BY label)
+"""
+
+
+@query(f"WITH {MEANS} SELECT label, unnest(range(1, len(vec) + 1)) - 1 AS i, round(unnest(vec), 6) AS x FROM c")
+def file_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of a file's vectors, normalised."""
+    m = V.mean_by_file(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return m.select("label", F.posexplode("vec").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+PAIRS = "pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS distance FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
+
+
+def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumn("vec", V.normalise(F.col("embedding")))
+
+
+@query(f"WITH {PAIRS} SELECT a, b, distance FROM pairs WHERE distance <= 0.62")
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _unit(spark, sf_dir)
+    return V.near_pairs(e, "vec_id", "vec", 0.62, max(1, -(-e.count() // V.BLOCK)))
+
+
+@query(
+    f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs WHERE distance <= 0.62 UNION ALL SELECT b, a FROM pairs WHERE distance <= 0.62),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT vec_id AS id, least(vec_id, coalesce(min(b), vec_id)) AS cluster FROM embeddings LEFT JOIN r ON r.a = vec_id GROUP BY vec_id"""
+)
+def cluster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-linkage clusters at a threshold."""
+    return V.clusters(_unit(spark, sf_dir), "vec_id", "vec", 0.62)
+
+
+@query(
+    f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs WHERE distance <= 0.62 UNION ALL SELECT b, a FROM pairs WHERE distance <= 0.62),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), k AS (SELECT a, min(b) AS cluster FROM r GROUP BY a)
+SELECT cluster, count(*) AS links, max(distance) AS widest, round(avg(distance), 6) AS mean FROM pairs JOIN k USING (a) WHERE distance <= 0.62 GROUP BY cluster"""
+)
+def cluster_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _unit(spark, sf_dir)
+    ws = Workspace(spark, "cohesion")
+    links = ws.stage(V.near_pairs(e, "vec_id", "vec", 0.62, max(1, -(-e.count() // V.BLOCK))), "links")
+    return V.cohesion(links, V.clusters(e, "vec_id", "vec", 0.62)).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    f"""WITH {MEANS}, s AS (SELECT vec_id AS id, c.label AS folder, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c.vec), 6) AS sim FROM embeddings, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, folder) AS rn FROM s WHERE sim >= 0.3) SELECT id, folder, sim FROM r WHERE rn = 1"""
+)
+def folder_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best folder of each file; labels are folders, at most a few hundred centroids."""
+    e = table(spark, sf_dir, "embeddings")
+    centres = V.mean_by_file(e, "label", "embedding").select(F.col("label").alias("folder"), "vec")
+    return V.best_folder(_unit(spark, sf_dir).select(F.col("vec_id").alias("id"), "vec"), centres, 0.3)
+
+
+@query(
+    f"""WITH {MEANS}, a AS (SELECT c.vec AS v, d.vec AS w, c.label AS label FROM c JOIN c d ON d.label = (c.label + 1) % (SELECT count(*) FROM c)),
+f AS (SELECT label, list_transform(list_zip(v, w), lambda p: 0.7 * p[1] + 0.3 * p[2]) AS u FROM a)
+SELECT label, round(u[1] / sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS x0, round(u[2] / sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS x1 FROM f"""
+)
+def fused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content and name vectors weighed 0.7 to 0.3; the next file's vector stands in for the name."""
+    m = V.mean_by_file(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    n = m.count()
+    names = m.select((F.pmod(F.col("label") - 1, F.lit(n))).alias("label"), F.col("vec").alias("name_vec"))
+    f = m.join(names, "label").withColumn("u", V.fuse("vec", "name_vec"))
+    return f.select("label", F.round(F.get("u", F.lit(0)), 6).alias("x0"), F.round(F.get("u", F.lit(1)), 6).alias("x1"))
