@@ -1 +1,72 @@
-"""Queries."""
+"""Queries of usage metering over events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.operators import metering as M
+from quarry.plans.registry import query, table
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
+def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.daily(table(spark, sf_dir, "events"), "user_id")
+
+
+@query(
+    """WITH d AS (SELECT *, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS delta FROM events), p AS (SELECT *, sum(delta) OVER w AS prefix FROM d WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, min(prefix) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS low FROM p)
+SELECT event_id, CAST(prefix - least(0, low) AS BIGINT) AS counter FROM f"""
+)
+def quota_with_refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of a day, less refunds (errors), never below zero."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return M.floored_sum(e, ["user_id", "day"], F.when(F.col("event_type") == "error", -1).otherwise(1), "ts", "event_id").select("event_id", "counter")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type, user_id % 20, CAST(ts AS DATE) ORDER BY ts, event_id) > 3 AS blocked FROM events")
+def per_ip_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ip", F.col("user_id") % 20)
+    return M.over_limit(e, ["event_type", "ip"], 3, "event_id").select("event_id", "blocked")
+
+
+@query("WITH n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) SELECT event_id, user_id FROM n WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) >= 3600000000")
+def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hour of quiet per user."""
+    return M.debounce(table(spark, sf_dir, "events"), ["user_id"], 3600, "event_id").select("event_id", "user_id")
+
+
+@query(
+    """WITH g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events),
+b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
+SELECT user_id, CAST(burst AS BIGINT) AS burst, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM b GROUP BY user_id, burst"""
+)
+def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.bursts(table(spark, sf_dir, "events"), ["user_id"], 3600, "event_id")
+
+
+@query(
+    """WITH d AS (SELECT *, CAST(CASE WHEN event_type = 'error' THEN -5 ELSE floor(value) END AS BIGINT) AS delta FROM events),
+p AS (SELECT *, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS prefix FROM d),
+f AS (SELECT *, prefix - least(0, min(prefix) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS spent FROM p)
+SELECT event_id, CAST(greatest(0, 500 - spent) AS BIGINT) AS "left", spent - greatest(delta, 0) < 500 AS admitted FROM f"""
+)
+def session_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("delta", F.when(F.col("event_type") == "error", F.lit(-5)).otherwise(F.floor("value")).cast("long"))
+    return M.budget(e, ["user_id"], 500, "ts", "event_id").select("event_id", "left", "admitted")
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'view' END AS model, least(CAST(floor(value * 100) AS BIGINT), 2000) AS max_tokens FROM events")
+def request_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model"), F.floor(F.col("value") * 100).alias("max_tokens"))
+    return M.clamp(r, ["click", "view"], "view", 2000)
+
+
+@query(
+    """SELECT window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS window_start FROM events) GROUP BY ALL"""
+)
+def usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the streaming usage aggregate."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
