@@ -228,7 +228,8 @@ def _merge(text_at: int):
 
 
 def match(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows with n_words, n_hit, items (sorted ids) and spans added; those names must be free."""
+    """The rows with n_words, n_hit, items (sorted ids) and spans added, in place of columns of these names."""
+    docs = docs.drop("n_words", "n_hit", "items", "spans", "hits")
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"))
     text_at = docs.columns.index(text_col)
     schema = out.schema

@@ -498,7 +498,10 @@ def _extract(html_at: int, shared):
 
 
 def extract(spark: SparkSession, pages: DataFrame, model: Boosted | None, html_col: str = "html") -> DataFrame:
-    """The rows with the page's main text added as ``text``, a name that must be free."""
+    """The rows with the page's main text added as ``text``, in place of a column of that name."""
+    if html_col == "text":
+        raise ValueError("the html column must have another name than text")
+    pages = pages.drop("text")
     schema = pages.select("*", F.lit("").alias("text")).schema
     return pages.mapInArrow(_extract(pages.columns.index(html_col), spark.sparkContext.broadcast(model)), schema)
 

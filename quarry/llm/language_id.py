@@ -257,7 +257,8 @@ def _predict(text_at: int, shared):
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: tuple[list[str], Network | None], text_col: str = "text") -> DataFrame:
-    """The rows with lang_pred and score added."""
+    """The rows with lang_pred and score added, in place of columns of these names."""
+    docs = docs.drop("lang_pred", "score")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return docs.mapInArrow(_predict(docs.columns.index(text_col), spark.sparkContext.broadcast(model)), schema)
 

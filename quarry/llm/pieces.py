@@ -468,7 +468,8 @@ def _add_ids(path: str, text_at: int, names: list[str]):
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", path: str = MODEL) -> DataFrame:
-    """The rows with their piece ids added."""
+    """The rows with their piece ids added, in place of a column of that name."""
+    docs = docs.drop(ids_col)
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(ids_col)).schema
     return docs.mapInArrow(_add_ids(path, docs.columns.index(text_col), [*docs.columns, ids_col]), schema)
 
@@ -491,7 +492,8 @@ def _add_text(path: str, ids_at: int, names: list[str]):
 
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "decoded", path: str = MODEL) -> DataFrame:
-    """The rows with the text of their piece ids added."""
+    """The rows with the text of their piece ids added, in place of a column of that name."""
+    rows = rows.drop(text_col)
     schema = rows.select("*", F.lit(None).cast("string").alias(text_col)).schema
     return rows.mapInArrow(_add_text(path, rows.columns.index(ids_col), [*rows.columns, text_col]), schema)
 

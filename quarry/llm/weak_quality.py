@@ -275,7 +275,8 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -
 
 
 def classify(spark: SparkSession, docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with weak_label, linear_score, quality_score and kept added."""
+    """The rows with weak_label, linear_score, quality_score and kept added, in place of columns of these names."""
+    docs = docs.drop("weak_label", "linear_score", "quality_score", "kept")
     model = spark.sparkContext.broadcast(fit(docs, text_col))  # 3 ** 10 patterns' tables and DIMENSIONS floats
     schema = docs.select("*", *(F.lit(0.0).alias(c) for c in ("weak_label", "linear_score", "quality_score"))).schema
     return docs.mapInArrow(_score(docs.columns.index(text_col), model), schema).withColumn("kept", F.col("quality_score") >= threshold)

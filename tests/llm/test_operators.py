@@ -1,0 +1,446 @@
+"""The dealt operators on small fixtures: brute force, exact round trips, and the edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import arrow_text, decontaminate, html_text, language_id, masked_lm, minhash, pieces, quality_rules, sharding, warc, weak_quality
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _words(n: int, seed: int) -> str:
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["the", "of", "und", "les", "que"]) if rng.random() < 0.4 else "".join(rng.choice("abcdeéü") for _ in range(rng.randint(2, 6))) + rng.choice(["", "", ".", ","]) for _ in range(n))
+
+
+def corpus() -> list[tuple]:
+    base = _words(120, 1)
+    w = base.split()
+    rows = [
+        (1, base, "en"), (2, base, "en"), (3, base.upper(), None), (4, " ".join(w[:60] + ["changed"] + w[61:]), "de"), (5, " ".join(w[:40]) + _words(60, 2), "fr"),
+        (6, None, None), (7, "", "en"), (8, "one", "en"), (9, "one two three", "en"), (10, " \n\t ", "es"), (11, _words(30_000, 3), "de"), (12, "日本語 テキスト " * 40, None),
+        (13, "same line\n" * 60, "en"), (14, "A B C " * 30, "en"), (15, "1 2 3 %%% $$$ ", "fr"), (15, "1 2 3 %%% $$$ ", "fr"), (None, "no id here at all today", "en"), (16, "x" * 50_000, "en"),
+    ]
+    rows += [(100 + i, _words(80, 50 + i), ["en", "de", "fr", "es"][i % 4]) for i in range(40)]
+    return [(i, t, lang, "src", len(t or "")) for i, t, lang in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def clash(docs):
+    """Extra columns whose names the operators use themselves."""
+    names = "kept score n_words n_hit items spans hits pll n_tokens digest sig cluster block key size slot law lang_pred piece_ids decoded weak_label quality_score chars common w n t html url page_id a b"
+    return docs.select("*", *(F.lit("x").alias(c) for c in names.split()))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# -- word hashes ---------------------------------------------------------------
+
+
+def test_words_of_slices():
+    texts = ["a b", None, "", "  c\td\n", "ende", "x" * 9000 + " y"]
+    for t in arrow_text.slices(pa.array(texts), limit=4):
+        w = arrow_text.words(t, arrow_text.NOT_SPACE)
+        for i in range(len(t)):
+            got = [t.data[s : s + n].tobytes().decode() for s, n in zip(w.starts[w.first[i] : w.first[i + 1]], w.lens[w.first[i] : w.first[i + 1]])]
+            assert got == (texts[t.first + i] or "").split()
+
+
+# -- 1 -------------------------------------------------------------------------
+
+
+def _pages(spark):
+    big = "<p>" + "page " * 40 + "</p>"
+    rows = [(3, "http://a/", big), (1, "http://b/", big), (2, None, big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""), (None, "n", big), (1, "again", big), (8, "é\r\n", "ü" * 200_000)]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows, pages = _pages(spark)
+    path = f"file://{tmp_path}/w"
+    warc.write_pages(spark, pages.withColumn("payload", F.lit(1)).withColumn("digest", F.lit(1)), path, warc.Workspace(spark, "t"))
+    got = warc.read_records(spark, path).collect()
+    assert len(got) == len(rows)
+    by_uri = {r["target_uri"]: r for r in got if r["record_type"] == "response"}
+    assert bytes(by_uri["http://b/"]["payload"]).decode() == rows[0][2]
+    assert bytes(by_uri["é%0D%0A"]["payload"]).decode() == rows[-1][2]
+    kinds = Counter((r["record_id"], r["record_type"], r["refers_to"]) for r in got)
+    assert kinds[("urn:page:3", "revisit", "urn:page:1")] == 1 and kinds[("urn:page:1", "response", None)] == 2 and kinds[("urn:page:null", "revisit", "urn:page:1")] == 1
+    assert kinds[("urn:page:4", "response", None)] == kinds[("urn:page:5", "response", None)] == 1
+    assert {r["payload_digest"] for r in got if r["record_id"] == "urn:page:6"} == {hashlib.sha256(b"").hexdigest()}
+    only = warc.read_records(spark, path, payload=False).filter("record_type = 'revisit'")
+    assert "record_type" in only._jdf.queryExecution().executedPlan().toString()
+    assert {(r["payload"], r["payload_bytes"]) for r in only.collect()} == {(None, len(rows[0][2]))}
+
+
+def test_warc_foreign_and_uncommitted(spark, tmp_path):
+    import gzip
+
+    rec = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Type: text/plain\r\nContent-Length: 5\r\n\r\nhell{i}\r\n\r\n".encode()
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(rec(1)) + gzip.compress(rec(2)))
+    (tmp_path / "b.warc").write_bytes(rec(3) + rec(4))
+    got = warc.read_records(spark, f"file://{tmp_path}").filter("record_id in ('urn:x:2', 'urn:x:3')").collect()
+    assert sorted(bytes(r["payload"]) for r in got) == [b"hell2", b"hell3"]
+    # A part that no manifest lists is no part of an archive that has manifests.
+    w = warc.WarcWriter({"path": str(tmp_path / "m")})
+    row = dict(record_type="response", record_id="r", target_uri="u", date="d", refers_to=None, payload_digest="x", payload_bytes=2, content_type="t", payload=b"hi")
+    kept, lost = w.write(iter([pa.RecordBatch.from_pylist([row])])), w.write(iter([pa.RecordBatch.from_pylist([row])]))
+    assert kept.name != lost.name
+    w.commit([kept])
+    assert warc.read_records(spark, str(tmp_path / "m")).count() == 1
+
+
+# -- 2 -------------------------------------------------------------------------
+
+
+def test_sharding(spark, clash, empty):
+    def run(d):
+        size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
+        r = d.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32")).withColumn("vslot", sharding.virtual_slot("doc_id", "text_crc32"))
+        m = sharding.new_map(sharding.slot_sums(r), 5)
+        return r, m, sharding.place(r, m).collect()
+
+    r, m, got = run(clash)
+    assert len(got) == len(corpus())
+    assert {(x["doc_id"], x["text_crc32"]) for x in got} == {(i, zlib.crc32((t or "").encode())) for i, t, *_ in corpus()}
+    for s in range(5):
+        assert sorted(x["slot"] for x in got if x["shard"] == s) == list(range(sum(x["shard"] == s for x in got)))
+    # The same greedy rule by hand.
+    sums = sorted(((x["bytes"], x["vslot"]) for x in sharding.slot_sums(r).collect()), reverse=True)
+    load, want = [0] * 5, {}
+    for b, v in sums:
+        k = load.index(min(load))
+        load[k] += b
+        want[v] = k
+    assert {x["vslot"]: x["shard"] for x in m.collect()} == want
+    nxt = sharding.rebalance(m, sharding.slot_sums(r), 6).collect()
+    assert {x["version"] for x in nxt} == {2} and len(nxt) == len(want) and {x["shard"] for x in nxt} <= set(range(6))
+    assert run(empty)[2] == []
+
+
+def test_sharding_versions(spark, docs, tmp_path):
+    r = docs.select("doc_id", F.lit(10).cast("long").alias("size"), F.lit(1).alias("text_crc32")).withColumn("vslot", sharding.virtual_slot("doc_id", "text_crc32"))
+    m = sharding.new_map(sharding.slot_sums(r), 4)
+    sharding.save_map(m, str(tmp_path / "map"))
+    sharding.save_map(sharding.rebalance(sharding.load_map(spark, str(tmp_path / "map")), sharding.slot_sums(r), 5), str(tmp_path / "map"))
+    assert {x["version"] for x in sharding.load_map(spark, str(tmp_path / "map")).collect()} == {2}
+    old = {x["vslot"]: x["shard"] for x in sharding.load_map(spark, str(tmp_path / "map"), 1).collect()}
+    new = {x["vslot"]: x["shard"] for x in sharding.load_map(spark, str(tmp_path / "map")).collect()}
+    assert sum(old[v] == new[v] for v in old) >= len(old) / 2  # most slots stay
+
+
+# -- 3 -------------------------------------------------------------------------
+
+
+def test_quality_rules(spark, clash, empty):
+    got = {(r["doc_id"], r["n_words"]): r for r in quality_rules.judge(spark, clash).collect()}
+    for i, t, *_ in corpus():
+        w = WORD.findall(t or "")
+        c = Counter(zip(w, w[1:], w[2:]))
+        inside = {j for i_ in range(len(w) - 2) if c[tuple(w[i_ : i_ + 3])] > 1 for j in range(i_, i_ + 3)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        r = got[(i, len(w))]
+        assert (r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(inside))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(inside) > 50 * len(w))
+        assert not (r["base_failed"] and r["kept"])
+    assert quality_rules.judge(spark, empty).count() == 0
+
+
+def test_divergence_against_numpy(spark, docs):
+    ws = warc.Workspace(spark, "t")
+    feats = ws.stage(quality_rules.features(docs), "features")
+    table = ws.stage(quality_rules.references(feats), "references")
+    refs = {r["lang"]: r for r in table.collect()}
+    for r in quality_rules.distances(feats, table).filter("doc_id >= 100 or doc_id = 11").collect():
+        ref = refs[r["lang"]] if r["lang"] in refs and refs[r["lang"]]["ref_words"] >= quality_rules.MIN_REFERENCE else refs["*"]
+
+        def js(p, q):
+            m = (p + q) / 2
+            k = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m) if a > 0)
+            return np.sqrt(max(0, (k(p) + k(q)) / 2))
+
+        p = np.array(r["chars"]) / sum(r["chars"])
+        assert r["char_distance"] == pytest.approx(js(p, np.array(ref["char_p"])), abs=1e-6)
+        v = np.zeros(len(quality_rules.VOCABULARY) + 1)
+        for x in r["common"]:
+            v[x["code"] - 1] = x["n"] / r["n_words"]
+        v[-1] = 1 - v.sum()
+        q = np.array([*ref["word_p"], 1 - sum(ref["word_p"])])
+        assert r["word_distance"] == pytest.approx(js(v, q), abs=1e-6)
+
+
+# -- 4 -------------------------------------------------------------------------
+
+
+def test_masked_gradient():
+    net = masked_lm.Network()
+    net.p = [x.astype(np.float64) for x in net.p]
+    rng = np.random.default_rng(0)
+    c, y = rng.integers(0, masked_lm.CLASSES + 1, (4, 40)), rng.integers(0, masked_lm.CLASSES, 40)
+    _, g = net.gradient(c, y)
+    for k, x in enumerate(net.p):
+        at = tuple(rng.integers(0, s) for s in x.shape)
+        old = x[at]
+        x[at] = old + 1e-5
+        up, _ = net.gradient(c, y)
+        x[at] = old - 1e-5
+        down, _ = net.gradient(c, y)
+        x[at] = old
+        assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_masked_lm(spark, clash, docs, empty):
+    vocab, flat = masked_lm.fit(spark, docs)
+    assert vocab.log_share.max() <= 0 and np.isfinite(flat).all()
+    got = masked_lm.score(spark, clash, (vocab, flat)).collect()
+    assert [r["n_tokens"] for r in got] == [len((t or "").split()) for _, t, *_ in corpus()]
+    # One text by hand: every position masked in turn.
+    text = corpus()[0][1].lower().split()
+    h = [int(arrow_text.byte_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] % np.uint64(masked_lm.BUCKETS)) for w in text]
+    net, total = masked_lm.Network().load(flat), 0.0
+    for i, b in enumerate(h):
+        window = [vocab.klass[h[j]] if 0 <= j < len(h) else masked_lm.EDGE for j in (i - 2, i - 1, i + 1, i + 2)]
+        total += net.log_softmax(np.array(window)[:, None])[1][0, vocab.klass[b]] + vocab.log_share[b]
+    assert got[0]["pll"] == pytest.approx(total, rel=1e-4)
+    assert {(r["pll"], r["mean_pll"]) for r in got if not r["n_tokens"]} == {(0.0, None)}
+    assert masked_lm.score(spark, empty, masked_lm.fit(spark, empty)).count() == 0
+
+
+# -- 5 -------------------------------------------------------------------------
+
+
+def test_pieces_against_library(spark, clash, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(4)
+    odd = ["".join(rng.choice(["a", "the", "ing", " ", "  ", "    ", "\n", "日", "é", "X", "1", "!", "//", " of", "▁", "\0", "ü", "  int"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    odd += ["", " ", " " * 100, "x" * 3000, "▁", "▁▁a", " " * 37 + "q", "tail   "]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    for r in pieces.decode(pieces.encode(d)).collect():
+        assert r["piece_ids"] == sp.encode(r["text"])
+        assert r["decoded"] == r["text"].replace("▁", " ") == sp.decode(r["piece_ids"]).replace("▁", " ")
+    got = {(r["doc_id"], r["text"]): r for r in pieces.decode(pieces.encode(clash)).collect()}
+    for i, t, *_ in corpus():
+        assert got[(i, t)]["piece_ids"] == (None if t is None else sp.encode(t)) and got[(i, t)]["decoded"] == t
+    assert pieces.digest(empty).count() == 0
+
+
+# -- 6 -------------------------------------------------------------------------
+
+
+def _set(t):
+    w = (t or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def _groups(rows):
+    ids = [i for i, *_ in rows]
+    sets = [_set(t) for _, t, *_ in rows]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(ids[a]), find(ids[b])
+                root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in zip(ids, sets)}
+
+
+def test_near_duplicates_brute_force(spark, clash, empty):
+    rows = [r for r in corpus() if r[0] is not None]
+    got = minhash.near_duplicates(spark, clash).collect()
+    assert len(got) == len(corpus())
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == _groups(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+    assert minhash.near_duplicates(spark, empty).count() == 0
+
+
+def test_near_duplicates_of_one_large_group(spark, monkeypatch):
+    """Edited copies at all distances around the limit, over many blocks."""
+    rng = random.Random(8)
+    base = _words(150, 9).split()
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _groups(rows)
+
+
+def test_index_guarantee():
+    """Any two signatures within the distance share a key."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 16, (300, minhash.SYMBOLS)).astype(np.uint16)
+    b = a.copy()
+    for r in b:
+        at = rng.choice(minhash.SYMBOLS, minhash.MAX_DISTANCE, replace=False)
+        r[at] ^= np.uint16(1)
+    x, y = minhash.index_keys(a), minhash.index_keys(b)
+    assert x.shape[1] == minhash.SYMBOLS and (x == y).any(1).all()
+
+
+# -- 7 -------------------------------------------------------------------------
+
+
+def test_html(spark):
+    main = "".join(f"<p>Sentence number {i}, with &amp; some words.  It goes\n on &lt;here&gt;.</p>" for i in range(6))
+    page = f"""<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var x="<p>no</p>";</script></head><body><nav><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul></nav>
+    <div class="cookie-notice"><p>We use cookies, you know.</p></div><div class="ad">Buy it.</div><article><h1>Title &eacute;</h1>{main}<!-- c --><p>open <b>bold<br>next</article>
+    <aside><p>Side</p></aside><section class="comments"><p>Nice post, thanks for that!</p></section><form><input name=q></form><footer>&copy; x</footer></body></html>"""
+    want = "\n".join(["Title é", *(f"Sentence number {i}, with & some words. It goes on <here>." for i in range(6)), "open bold next"])
+    train = [page.replace("Sentence", w) for w in ("Sentence", "Another", "Third", "More")]
+    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", page), (5, "u", "<p>unclosed <div"), (6, "u", "<div>" * 3000 + "deep"), (None, None, page.replace("number", "x" * 9000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(5)).withColumn("odds", F.lit(5))
+    model = html_text.train(train * 10)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark, pages, model).collect()}
+    assert got[1] == got[4] == want and got[2] == got[3] == ""
+    assert len(got) == 7
+    assert html_text.extract(spark, pages.limit(0), html_text.fit(pages.limit(0))).count() == 0
+
+
+def test_html_hierarchy():
+    nodes = html_text.parse("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
+    for seed in range(50):
+        odds = np.random.default_rng(seed).normal(0, 3, len(nodes))
+        kept = html_text.decode(nodes, odds)
+        at = {id(n): k for n, k in zip(nodes, kept)}
+        assert all(not k or n.up is None or n.up.up is None or at[id(n.up)] for n, k in zip(nodes, kept))
+
+
+# -- 8 -------------------------------------------------------------------------
+
+
+def _mixed():
+    good = [(i, _words(90, i) + ". And so it is, the end.", "en", "s", 0) for i in range(120)]
+    junk = [(500 + i, " ".join(f"x{i}{j}### |" if j % 2 else "ZZZ!! $$$" for j in range(60)), "en", "s", 0) for i in range(30)]
+    return good, junk
+
+
+def test_weak_quality(spark, clash, empty):
+    good, junk = _mixed()
+    rows = [*good, *junk, (900, None, None, None, None), (901, "", "en", "s", 0), (902, " \n ", "en", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in weak_quality.classify(spark, d).collect()}
+    assert all(got[i]["kept"] for i, *_ in good) and not any(got[i]["kept"] for i, *_ in junk)
+    assert {(got[i]["quality_score"], got[i]["kept"]) for i in (900, 901, 902)} == {(0.0, False)}
+    assert weak_quality.classify(spark, clash).count() == len(corpus())
+    assert weak_quality.classify(spark, empty).count() == 0
+
+
+def test_label_model_recovers_accuracies():
+    rng = np.random.default_rng(2)
+    y = rng.random(20_000) < 0.7
+    acc = np.linspace(0.65, 0.95, weak_quality.LABELLERS)
+    right = rng.random((len(y), len(acc))) < acc
+    v = np.where(right == y[:, None], weak_quality.GOOD, weak_quality.BAD)
+    code, n = np.unique(v @ weak_quality._PLACE, return_counts=True)
+    m = weak_quality.LabelModel(code, n)
+    assert np.abs(m.accuracy - acc).max() < 0.03 and abs(m.prior - 0.7) < 0.03
+
+
+# -- 9 -------------------------------------------------------------------------
+
+
+def test_gru_gradient():
+    net = language_id.Network(3, embed=4, hidden=3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(97, 100, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5)
+    _, g = net.gradient(x, y, np.ones(5))
+    for k, v in net.p.items():
+        at = (98, 1) if k == "E" else tuple(rng.integers(0, s) for s in v.shape)
+        old = v[at]
+        v[at] = old + 1e-3
+        up, _ = net.gradient(x, y, np.ones(5))
+        v[at] = old - 1e-3
+        down, _ = net.gradient(x, y, np.ones(5))
+        v[at] = old
+        assert g[k][at] == pytest.approx((up - down) / 2e-3, abs=1e-4)
+
+
+def test_language_id(spark, empty):
+    alpha = {"aa": "abc", "bb": "xyz"}
+    rng = random.Random(1)
+    rows = [(i, " ".join("".join(rng.choice(alpha[lang]) for _ in range(5)) for _ in range(30)), lang, "s", 0) for i in range(200) for lang in [["aa", "bb"][i % 2]]]
+    rows += [(1000, None, "aa", "s", 0), (1001, "", "aa", "s", 0), (1002, "12 34 !!", None, "s", 0), (None, "abcab cabca", None, None, None), (1003, "a" * 20_000, "aa", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    model = language_id.fit(d)
+    assert model[0] == ["aa", "bb"]
+    got = {r["doc_id"]: r for r in language_id.identify(spark, d.select("doc_id", "text", "score"), model).withColumn("held", language_id.held_out("doc_id")).collect()}
+    for i, _, lang, *_ in rows[:200]:
+        assert got[i]["held"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i]["lang_pred"] == lang and 0 <= got[i]["score"] <= 1
+    assert {(got[i]["lang_pred"], got[i]["score"]) for i in (1000, 1001, 1002)} == {("und", 0.0)}
+    assert got[None]["lang_pred"] == "aa" and got[1003]["lang_pred"] == "aa"
+    assert language_id.identify(spark, empty, language_id.fit(empty)).count() == 0
+
+
+# -- 10 ------------------------------------------------------------------------
+
+
+def _bench(spark):
+    long = _words(25, 77)
+    rows = [(1, long), (10, long.upper()), (2, "only three words"), (3, None), (4, "!!!"), (None, "no item id at all in this one here now ok"), (5, _words(12, 78)), (2, "only three words")]
+    return rows, spark.createDataFrame(rows, "item_id long, text string")
+
+
+BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _norm(t):
+    return BENCH_WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 8])
+def test_decontamination_brute_force(spark, docs, clash, empty, block_words):
+    items, bench = _bench(spark)
+    long = items[0][1].split()
+    planted = [(201, "before " + " ".join(long) + " after it"), (202, " ".join(long[3:14]) + " " + " ".join(long[3:14])), (203, "ONLY, three; words! only three words"), (204, " ".join(long[:9])), (205, items[6][1] + " only three")]
+    d = clash.select(docs.columns).unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in planted], DOCS)).withColumn("spans", F.lit(3)).withColumn("n_hit", F.lit(3))
+    got = {(r["doc_id"], r["text"]): r for r in decontaminate.match(spark, d, bench, block_words=block_words).collect()}
+    for i, t in [*((i, t) for i, t, *_ in corpus()), *planted]:
+        w, hit, names = _norm(t), set(), set()
+        for item, text in items:
+            s = _norm(text)
+            if item is None or not s:
+                continue
+            k = min(10, len(s))
+            for j in range(len(s) - k + 1):
+                for p in range(len(w) - k + 1):
+                    if w[p : p + k] == s[j : j + k]:
+                        hit |= set(range(p, p + k))
+                        names.add(str(item))
+        r = got[(i, t)]
+        assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(names))
+    clean = {r["doc_id"]: r["text"] for r in decontaminate.clean(decontaminate.match(spark, d, bench), max_coverage=1.0).collect()}
+    assert clean[201] == "before  after it" and clean[204] == planted[3][1]
+    assert 203 not in {r["doc_id"] for r in decontaminate.clean(decontaminate.match(spark, d, bench)).collect()}
+    assert decontaminate.match(spark, empty, bench).count() == 0
+    assert decontaminate.match(spark, docs, bench.limit(0)).filter("n_hit > 0").count() == 0
