@@ -498,9 +498,31 @@ def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "decoded
     return rows.mapInArrow(_add_text(path, rows.columns.index(ids_col), [*rows.columns, text_col]), schema)
 
 
+def _add_both(path: str, text_at: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(path)
+        for batch in batches:
+            for t in at.slices(batch.column(text_at)):
+                ids, bounds = enc.slice(t)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(~t.valid))
+                raw, ends = decode_slice(enc.m, ids, bounds)
+                data = raw.tobytes()
+                texts = [data[x:y].decode("utf-8", "replace") if ok else None for x, y, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), t.valid.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(t.first, len(t)) for c in range(batch.num_columns)] + [lists, pa.array(texts, pa.string())], names=names)
+
+    return run
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str = "decoded", path: str = MODEL) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the rows, which meet one Python worker and not two."""
+    docs = docs.drop(ids_col, decoded_col)
+    schema = docs.select("*", F.lit(None).cast("array<int>").alias(ids_col), F.lit(None).cast("string").alias(decoded_col)).schema
+    return docs.mapInArrow(_add_both(path, docs.columns.index(text_col), [*docs.columns, ids_col, decoded_col]), schema)
+
+
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, a digest of the ids, and whether decoding them gives the text back."""
-    rows = decode(encode(docs.select("doc_id", "text"), path=path), path=path)
+    rows = round_trip(docs.select("doc_id", "text"), path=path)
     return rows.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),

@@ -240,6 +240,7 @@ def test_pieces_against_library(spark, clash, empty):
         assert r["piece_ids"] == sp.encode(r["text"])
         assert r["decoded"] == r["text"].replace("▁", " ") == sp.decode(r["piece_ids"]).replace("▁", " ")
     got = {(r["doc_id"], r["text"]): r for r in pieces.decode(pieces.encode(clash)).collect()}
+    assert {(r["doc_id"], r["text"]): (r["piece_ids"], r["decoded"]) for r in pieces.round_trip(clash).collect()} == {k: (r["piece_ids"], r["decoded"]) for k, r in got.items()}
     for i, t, *_ in corpus():
         assert got[(i, t)]["piece_ids"] == (None if t is None else sp.encode(t)) and got[(i, t)]["decoded"] == t
     assert pieces.digest(empty).count() == 0
