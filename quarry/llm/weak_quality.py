@@ -270,7 +270,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -
         return label, None
     lists = [rows.column(c).combine_chunks() for c in ("at", "share")]
     off, flat = np.asarray(lists[0].offsets), [np.asarray(x.values) for x in lists]
-    data = [(flat[0][a:b], flat[1][a:b].astype(np.float64)) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+    data = [(flat[0][a:b], flat[1][a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
     return label, train(data, soft).astype(np.float32)
 
 
