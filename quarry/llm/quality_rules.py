@@ -160,4 +160,44 @@ def judge(spark: SparkSession, docs: DataFrame, max_char: float = MAX_CHAR_DISTA
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    return judge(spark, docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return judge(spark, docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The same rows in DuckDB."""
+    count = lambda c: f"length(t) - length(regexp_replace(t, '[{c}]', '', 'g'))"
+    vocab = ", ".join(f"('{w}')" for w in VOCABULARY)
+    names = ["lower", "space", "upper", "symbol", "digit", "punct", "umlaut", "accent", "other"]
+    term = lambda p, q: f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END"
+    both = lambda p, q: f"{term(p, q)} + {term(q, p)}"
+    limit = lambda most, bins, n: f"sqrt({most * most} + {bins / (8 * math.log(2))} / greatest({n}, 1))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM rep WHERE n > 1) GROUP BY doc_id),
+k AS (SELECT doc_id, lang, len(w) AS n_words, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, length(t) AS size,
+  {count('a-z')} AS c_lower, {count(chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D')} AS c_space, {count('A-Z')} AS c_upper, {count('#*$%&|<>')} AS c_symbol, {count('0-9')} AS c_digit,
+  {count(chr(92) + 'x21-' + chr(92) + 'x7E')} AS ascii, {count('äöüßÄÖÜ')} AS c_umlaut, {count('à-öø-ÿÀ-ÖØ-ÞœŒ')} - ({count('äöüÄÖÜ')}) AS c_accent FROM w LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, ascii - c_lower - c_upper - c_symbol - c_digit AS c_punct, size - ascii - c_space - c_umlaut - c_accent AS c_other, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM k),
+v AS (SELECT * FROM (VALUES {vocab}) AS v(word)),
+c AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, unnest(list_transform(w, lambda x: lower(x))) AS word FROM w) JOIN v USING (word) GROUP BY ALL),
+own AS (SELECT lang, sum(n_words) AS words, sum(size) AS chars, {', '.join(f'sum(c_{x}) AS c_{x}' for x in names)} FROM f WHERE NOT base_failed GROUP BY lang HAVING sum(n_words) >= {MIN_REFERENCE}),
+every AS (SELECT '*' AS lang, sum(n_words) AS words, sum(size) AS chars, {', '.join(f'sum(c_{x}) AS c_{x}' for x in names)} FROM f WHERE NOT base_failed HAVING sum(n_words) > 0),
+refs AS (SELECT * FROM own UNION ALL SELECT * FROM every),
+cw AS (SELECT c.lang, word, sum(n) AS n FROM c JOIN f USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+rw AS (SELECT lang, word, n / words AS q FROM cw JOIN own USING (lang) UNION ALL SELECT '*', word, sum(n) / any_value(words) FROM cw, every GROUP BY word),
+rest AS (SELECT lang, sum(q) AS q FROM rw GROUP BY lang),
+x AS (SELECT f.*, coalesce(own.lang, '*') AS ref FROM f LEFT JOIN own ON own.lang = f.lang),
+jc AS (SELECT x.doc_id, sqrt(greatest(({' + '.join('(' + both(f'(x.c_{n} / greatest(x.size, 1))', f'(r.c_{n} / greatest(r.chars, 1))') + ')' for n in names)}) / 2, 0)) AS d FROM x JOIN refs r ON r.lang = x.ref),
+seen AS (SELECT x.doc_id, sum({both('(c.n / x.n_words)', 'coalesce(rw.q, 0)')}) AS s, sum(c.n / x.n_words) AS p, sum(coalesce(rw.q, 0)) AS q FROM x JOIN c ON c.doc_id = x.doc_id LEFT JOIN rw ON rw.lang = x.ref AND rw.word = c.word GROUP BY x.doc_id),
+jw AS (SELECT x.doc_id, sqrt(greatest((coalesce(s, 0) + greatest(rest.q - coalesce(seen.q, 0), 0) + {both('(1 - coalesce(seen.p, 0))', '(1 - rest.q)')}) / 2, 0)) AS d FROM x JOIN rest ON rest.lang = x.ref LEFT JOIN seen ON seen.doc_id = x.doc_id)
+SELECT f.doc_id, n_words, size - c_space AS word_chars, c_symbol AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(size >= {MIN_CHARS} AND jc.d > {limit(MAX_CHAR_DISTANCE, CHAR_BINS, '(size - c_space)')}, false)
+  AND NOT coalesce(n_words >= {MIN_WORDS} AND jw.d > {limit(MAX_WORD_DISTANCE, WORD_BINS, 'n_words')}, false) AS kept
+FROM f LEFT JOIN jc USING (doc_id) LEFT JOIN jw USING (doc_id)
+"""
+
+
+SQL = _sql()
