@@ -6,6 +6,7 @@ bounded by the slice (or by one document, if that is longer).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,11 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 #: ASCII white space: the word separators of the contracts.
 SPACE = np.zeros(256, bool)
@@ -90,6 +96,14 @@ def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
         yield Texts(a, b, data[off[a] : off[b]], off[a : b + 1] - off[a], valid[a:b])
         a = b
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps idle workers for a while, and they would sit on it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 @dataclass
