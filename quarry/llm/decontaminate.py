@@ -227,16 +227,26 @@ def _merge(text_at: int):
     return run
 
 
+def _then(first, second):
+    """Both functions over the rows in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return second(first(batches))
+
+    return run
+
+
 def match(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows with n_words, n_hit, items (sorted ids) and spans added, in place of columns of these names."""
     docs = docs.drop("n_words", "n_hit", "items", "spans", "hits")
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"))
     text_at = docs.columns.index(text_col)
     schema = out.schema
-    for block in _blocks(bench, item_id, item_text, block_words):
-        out = out.mapInArrow(_pass(text_at, spark.sparkContext.broadcast(block)), schema)
+    passes = [_pass(text_at, spark.sparkContext.broadcast(block)) for block in _blocks(bench, item_id, item_text, block_words)]
+    for run in passes[:-1]:
+        out = out.mapInArrow(run, schema)
     last = docs.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in (("n_words", "long"), ("n_hit", "long"), ("items", "array<string>"), ("spans", "array<struct<n_words:bigint,first:bigint,after:bigint>>")))).schema
-    return out.mapInArrow(_merge(text_at), last)
+    return out.mapInArrow(_then(passes[-1], _merge(text_at)), last)
 
 
 def clean(matched: DataFrame, text_col: str = "text", min_span: int = 1, max_coverage: float = 0.5) -> DataFrame:
