@@ -49,7 +49,7 @@ DEEP = 16
 SEPARATOR = 0x110000
 CACHE = 250_000
 #: Segments that are indexed at a time.
-BATCH = 40_000
+BATCH = 15_000
 
 
 class Model:
