@@ -50,7 +50,7 @@ def top_k(chunks: DataFrame, vector: list[float], k: int = TOP_K, id_col: str =
 
 def with_position(matches: DataFrame, *order: str) -> DataFrame:
     """pos from 1; for the at most k rows of a search."""
-    return matches.withColumn("pos", F.row_number().over(W.orderBy(*order)))
+    return matches.withColumn("pos", F.row_number().over(W.orderBy(*order)).cast("long"))
 
 
 def relative_cut(matches: DataFrame, delta: float = RELATIVE_DELTA, keep: int = MIN_KEEP) -> DataFrame:
@@ -67,7 +67,7 @@ def diversify(matches: DataFrame, file_col: str, per_file: int = PER_FILE, total
     """Round-robin over files in order of first appearance."""
     own = W.partitionBy(file_col)
     m = matches.withColumn("round", F.row_number().over(own.orderBy("pos"))).withColumn("first_pos", F.min("pos").over(own)).filter(F.col("round") <= per_file)
-    return m.withColumn("slot", F.row_number().over(W.orderBy("round", "first_pos"))).filter(F.col("slot") <= total).drop("round", "first_pos")
+    return m.withColumn("slot", F.row_number().over(W.orderBy("round", "first_pos")).cast("long")).filter(F.col("slot") <= total).drop("round", "first_pos")
 
 
 def lexical_focus(matches: DataFrame, question: str | Column, file_col: str, text_col: str, name_col: str) -> DataFrame:
@@ -127,5 +127,3 @@ def mean_by_file(vectors: DataFrame, file_col: str, vec_col: str) -> DataFrame:
     size = norm("vec")
     return packed.withColumn("vec", F.when(size > 1e-12, F.transform("vec", lambda x: x / size)).otherwise(F.col("vec")))
 
-
-__all__ = ["answer_overlap", "cosine_distance", "diversify", "dot", "drop_templates", "group_sources", "in_scope", "inject", "lexical_focus", "mean_by_file", "named_files", "norm", "relative_cut", "top_k", "with_position"]

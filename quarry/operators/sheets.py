@@ -274,7 +274,7 @@ def merge_key() -> Column:
 
 
 def status_rank(c: Column) -> Column:
-    """As the reference ranks them: "unpaid" contains "paid" and ranks with it."""
+    """5 for settled, 4 partial, 3 owing, 1 prospective, else 0; "unpaid" contains "paid" and ranks with it."""
     s = lc(c)
     return F.when(has(s, ["paid", *SETTLED]), 5).when(s.contains("partial"), 4).when(has(s, ["pending", "outstanding", "overdue", "due", "owing"]), 3).when(has(s, ["prospect", "quote", "unsigned"]), 1).otherwise(0)
 

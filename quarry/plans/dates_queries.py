@@ -179,6 +179,6 @@ def asked_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 3
     q = F.when(k == 0, F.concat(F.lit("Invoices of "), F.date_format("o_orderdate", "MMMM yyyy"))).when(k == 1, "all bills from 2005").otherwise("January or February bills")
     p = D.asked_period(q)
-    return o.select(F.col("o_orderkey").alias("id"), p["year"].alias("year"), p["month"].alias("month"))
+    return o.select(F.col("o_orderkey").alias("id"), p["year"].cast("long").alias("year"), p["month"].cast("long").alias("month"))
 
 

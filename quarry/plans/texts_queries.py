@@ -125,4 +125,5 @@ SELECT doc_id, chunk_index, coalesce({', '.join(f"min(CASE WHEN contains(page_te
 def page_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as paged files: their lines are pages, and chunks."""
     paged = _lines(spark, sf_dir)
-    return C.locate_pages(paged, paged.withColumnRenamed("chunk_index", "page"), "doc_id")
+    got = C.locate_pages(paged, paged.withColumnRenamed("chunk_index", "page"), "doc_id")
+    return got.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_index", "page_start", "page_end")))
