@@ -225,6 +225,38 @@ def test_masked_lm(spark, clash, docs, empty):
     assert masked_lm.score(spark, empty, masked_lm.fit(spark, empty)).count() == 0
 
 
+def test_masked_lm_tells_all_words_apart(spark):
+    """More words than 16 bits hold: each has its own count, and the classes grow with them."""
+    n = 90_000
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 300, i * 300 + 300)), "en", "s", 0) for i in range(n // 300)] + [(1000, "common " * 5_000, "en", "s", 0)]
+    vocab, flat = masked_lm.fit(spark, spark.createDataFrame(rows, DOCS), rounds=1)
+    assert vocab.table.count() == n + 1 and vocab.table.filter("n = 1").count() == n
+    assert vocab.classes == 2 * masked_lm.CLASSES and len(flat) == masked_lm.Network(classes=vocab.classes).flat().size
+    k = vocab.table.limit(2000).toPandas()
+    klass = vocab.bands.klass(k["word"].to_numpy(), k["n"].to_numpy())
+    assert klass.max() >= masked_lm.CLASSES
+
+
+def test_masked_hierarchy():
+    """The ways to the classes have the probabilities of the whole distribution, and the gradient is theirs."""
+    net = masked_lm.Network(classes=3 * masked_lm.CLASSES)
+    net.p = [x.astype(np.float64) for x in net.p]
+    rng = np.random.default_rng(1)
+    c, y = rng.integers(0, net.classes + 1, (4, 50)), rng.integers(0, net.classes, 50)
+    _, s = net.log_softmax(c)
+    assert np.allclose(np.exp(s).sum(1), 1) and np.allclose(net.log_prob(c, y), s[np.arange(50), y])
+    _, g = net.gradient(c, y)
+    for k, x in enumerate(net.p):
+        at = np.unravel_index(np.abs(g[k]).argmax(), x.shape)
+        old = x[at]
+        x[at] = old + 1e-5
+        up, _ = net.gradient(c, y)
+        x[at] = old - 1e-5
+        down, _ = net.gradient(c, y)
+        x[at] = old
+        assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
 # -- 5 -------------------------------------------------------------------------
 
 
