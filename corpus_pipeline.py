@@ -15,6 +15,8 @@ from quarry.llm import decontaminate, minhash, pieces, quality_rules, weak_quali
 from quarry.plans.workspace import Workspace, broadcast_if_small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Shared shingles of all shingles of two documents, from which on they are near-duplicates here (op6 alone asks for more).
+NEAR_PERCENT = 80
 
 
 def _without(spark: SparkSession, docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
@@ -35,7 +37,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group."""
-    return _without(spark, docs, minhash.near_duplicates(spark, docs).filter("not kept"), "dedup")
+    return _without(spark, docs, minhash.near_duplicates(spark, docs, percent=NEAR_PERCENT).filter("not kept"), "dedup")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 A document's set holds hashes of its distinct 5-word shingles. Its signature
 has 64 symbols of 16 bits, the low bits of 64 minima. Two sets of similarity
-0.85 differ in 9.6 symbols on average; ``MAX_DISTANCE`` 23 misses such a pair
-with a chance of about 3e-6, and closer pairs more rarely still.
+0.85 differ in 9.6 symbols on average. The largest distance that is looked at
+follows from the percentage that links need: it is the least odd one that
+misses a pair just there with a chance of at most ``MISS``. For 85 percent it
+is 23 (missed with 8.8e-6), for 80 percent 29 (1.2e-6); closer pairs are missed
+more rarely still.
 
-The signature is cut into 12 chunks. Two signatures at a distance of 23 or
-less have, by the pigeonhole principle, a chunk with at most one differing
-symbol; each chunk is therefore indexed once for every symbol left out, and
-all pairs within the distance share one of 64 keys. No bucket is capped.
+The signature is cut into half as many chunks, 12 for a distance of 23. Two
+signatures within the distance have, by the pigeonhole principle, a chunk with
+at most one differing symbol; each chunk is therefore indexed once for every
+symbol left out, and all such pairs share one of 64 keys. No bucket is capped.
 
 1. Equal sets fold into one representative.
 2. Per key, every representative is joined with the smallest one (a star, not
@@ -30,6 +33,7 @@ is kept only without such. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +47,24 @@ from quarry.plans.workspace import Workspace, broadcast_if_small
 
 WORDS = 5
 SYMBOLS = 64
-CHUNKS = 12
-MAX_DISTANCE = 2 * CHUNKS - 1
 BLOCK = 192
+#: What op6 asks for; other callers give their own.
 PERCENT = 85
+#: The largest chance that the signatures of a pair at the limit lie too far apart.
+MISS = 1e-5
+
+
+def chunks_for(percent: int) -> int:
+    """How many chunks of the signature find pairs of this similarity; their distance is up to 2 * chunks - 1."""
+    p = percent / 100
+    for chunks in range(1, SYMBOLS // 2):
+        if sum(math.comb(SYMBOLS, k) * (1 - p) ** k * p ** (SYMBOLS - k) for k in range(2 * chunks, SYMBOLS + 1)) <= MISS:
+            return chunks
+    raise ValueError(f"signatures of {SYMBOLS} symbols can't find pairs of {percent} percent")
+
+
+CHUNKS = chunks_for(PERCENT)
+MAX_DISTANCE = 2 * CHUNKS - 1
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
@@ -110,14 +128,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _chunks() -> list[list[int]]:
-    return [list(map(int, c)) for c in np.array_split(np.arange(SYMBOLS), CHUNKS)]
+def _chunks(chunks: int) -> list[list[int]]:
+    return [list(map(int, c)) for c in np.array_split(np.arange(SYMBOLS), chunks)]
 
 
-def index_keys(sigs: np.ndarray) -> np.ndarray:
+def index_keys(sigs: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """Keys of each signature: for every chunk and every symbol of it left out, a hash of the others."""
     out = []
-    for c, chunk in enumerate(_chunks()):
+    for c, chunk in enumerate(_chunks(chunks)):
         for left in chunk:
             h = np.full(len(sigs), c * 1000 + left + 1, np.uint64)
             for s in chunk:
@@ -127,14 +145,17 @@ def index_keys(sigs: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 4096):
-            part = batch.slice(a, 4096)
-            sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            keys = index_keys(sigs).view(np.int64)
-            ids = np.repeat(np.asarray(part.column(0)), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], ["doc_id", "key"])
+def _keys(chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+                keys = index_keys(sigs, chunks).view(np.int64)
+                ids = np.repeat(np.asarray(part.column(0)), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], ["doc_id", "key"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +186,7 @@ class _Trees:
 
 def links(ids: list, side: np.ndarray, sets: list[np.ndarray], across: bool, percent: int = PERCENT) -> list[tuple]:
     """Confirmed links between the rows (across: only between the two sides) that join separate trees."""
-    sigs = signatures(sets)
+    sigs, most = signatures(sets), 2 * chunks_for(percent) - 1
     sizes = np.array([len(s) for s in sets])
     tree, found, out = _Trees(len(ids)), [], []
     left = np.flatnonzero(side == 0) if across else np.arange(len(ids))
@@ -176,7 +197,7 @@ def links(ids: list, side: np.ndarray, sets: list[np.ndarray], across: bool, per
         if not len(rest):
             continue
         far = (sigs[rest] != sigs[a]).sum(1)
-        near = np.flatnonzero(far <= MAX_DISTANCE)
+        near = np.flatnonzero(far <= most)
         found += zip(far[near].tolist(), [int(a)] * len(near), rest[near].tolist())
     for _, a, b in sorted(found):
         x, y = tree.root(a), tree.root(b)
@@ -189,12 +210,12 @@ def links(ids: list, side: np.ndarray, sets: list[np.ndarray], across: bool, per
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (cluster, bi, bj): one group is held at a time."""
     key, ids, side, sets = None, [], [], []
 
     def done():
-        got = links(ids, np.array(side), sets, key[1] != key[2]) if len(ids) > 1 else []
+        got = links(ids, np.array(side), sets, key[1] != key[2], percent) if len(ids) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -212,15 +233,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (see the module's text)."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept (see the module's text); links need this percentage."""
     ws = Workspace(spark, "minhash")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     feats = ws.stage(texts.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, sig binary"), "features")
 
     reps = feats.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     reps = ws.stage(reps, "representatives")
-    keys = reps.select("rep", "sig").mapInArrow(_keys, "doc_id long, key long").repartition("key")
+    keys = reps.select("rep", "sig").mapInArrow(_keys(chunks_for(percent)), "doc_id long, key long").repartition("key")
     first = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key", "low")
     stars = keys.join(first, "key").filter("doc_id <> low").select("doc_id", "low").distinct()
     clusters = ws.stage(components(stars, "doc_id", "low", ws).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
@@ -233,7 +254,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     spread = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "doc_id", "members")
     spread = spread.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
-    found = ws.stage(spread.mapInArrow(_links, "a long, b long"), "links")
+    found = ws.stage(spread.mapInArrow(lambda batches: _links(batches, percent), "a long, b long"), "links")
 
     comps = components(found, "a", "b", ws).select(F.col("node").alias("rep"), "component")
     named = reps.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from test_operators import _groups, _norm
+from test_operators import _groups, _norm, _set
 
 import corpus_pipeline
 from quarry.llm import pieces, quality_rules, weak_quality
@@ -46,6 +46,21 @@ def test_near_duplicates(steps):
     assert set(rows[3]) == {i for i, (_, c) in groups.items() if i == c}
 
 
+def test_near_duplicates_from_80_percent(spark):
+    """Pairs on both sides of 80 percent, some below the 85 of op6."""
+    rows, want = [], set()
+    for i in range(60):
+        w = [f"d{i}w{j}" for j in range(200)]
+        for e in range(3 + i % 3):  # 0.86, 0.81 and 0.77
+            w[20 + 30 * e] = "changed"
+        rows += [(2 * i, " ".join(f"d{i}w{j}" for j in range(200)), "en", "s", 1), (2 * i + 1, " ".join(w), "en", "s", 1)]
+        x, y = _set(rows[-2][1]), _set(rows[-1][1])
+        want |= {2 * i} | ({2 * i + 1} if 100 * len(x & y) < 80 * len(x | y) else set())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert 60 < len(want) < 120
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
+
+
 def test_decontamination(spark, steps):
     rows, _ = steps
     windows = set()
