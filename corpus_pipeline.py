@@ -19,15 +19,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR_PERCENT = 80
 
 
-def _without(spark: SparkSession, docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """The documents whose id is not among the rejected ones; ids are few enough to broadcast, or Spark shuffles."""
-    ids = Workspace(spark, name).stage(rejected.select("doc_id").distinct(), "rejected")
-    return docs.join(broadcast_if_small(ids), "doc_id", "left_anti").select(COLUMNS)
+def _numbered(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """The documents with a number of their own, written so that every later reading gives the same ones."""
+    return ws.stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+
+
+def _without(docs: DataFrame, rejected: DataFrame, ws: Workspace) -> DataFrame:
+    """The rows whose number is not among the rejected ones; numbers are few enough to broadcast, or Spark shuffles."""
+    rows = ws.stage(rejected.select("row"), "rejected")
+    return docs.join(broadcast_if_small(rows), "row", "left_anti").select(COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _without(spark, docs, quality_rules.judge(spark, docs).filter("not kept"), "rules")
+    """Rows that the quality rules keep, each by its own verdict."""
+    ws = Workspace(spark, "rules")
+    rows = _numbered(docs, ws)
+    judged = quality_rules.judge(spark, rows.select(F.col("row").alias("doc_id"), "lang", "text"))
+    return _without(rows, judged.filter("not kept").select(F.col("doc_id").alias("row")), ws)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +44,13 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group."""
-    return _without(spark, docs, minhash.near_duplicates(spark, docs, percent=NEAR_PERCENT).filter("not kept"), "dedup")
+    """One row of each group: that of the smallest id (null ids last), and of its rows the first."""
+    ws = Workspace(spark, "dedup")
+    rows = _numbered(docs, ws)
+    found = minhash.near_duplicates(spark, rows, id_col="row", percent=NEAR_PERCENT).select(F.col("doc_id").alias("row"), "component_id")
+    placed = ws.stage(found.join(rows.select("row", "doc_id"), "row"), "placed")
+    first = placed.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return _without(rows, placed.join(first, "component_id").filter("row <> first"), ws)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

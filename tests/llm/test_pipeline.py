@@ -100,3 +100,17 @@ def test_empty_and_odd_tables(spark, k):
     odd = spark.createDataFrame([(1, None, None, None, None), (None, "a few words here", "en", None, 3), (2, "", "", "", 0), (3, "x " * 20_000, "en", "s", 5), (3, "x " * 20_000, "en", "s", 5)], schema)
     out = stage(spark, odd.withColumn("kept", F.lit(1)).withColumn("spans", F.lit("x")), SF)
     assert out.count() <= 5 and (k == 4 or out.columns == corpus_pipeline.COLUMNS)
+
+
+def test_each_row_by_its_own_verdict(spark):
+    """Null ids, repeated rows, and different texts of one id."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    source = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    good = [r["text"] for r in corpus_pipeline.rules(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(source)], schema), SF).collect()]
+    rows = [(None, good[0], "en", "s", 1), (None, None, "en", "s", 2), (None, "junk " * 200, "en", "s", 3), (7, good[1], "en", "s", 4), (7, "too short", "en", "s", 5), (7, good[1], "en", "s", 6)]
+    got = corpus_pipeline.rules(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted(r["n_chars"] for r in got) == [1, 4, 6]
+    one, two, other = (" ".join(f"{a}{i}" for i in range(100)) for a in "xyz")
+    rows = [(5, one, "en", "s", 1), (5, one, "en", "s", 2), (None, one, "en", "s", 3), (None, two, "en", "s", 4), (None, two, "en", "s", 5), (5, other, "en", "s", 6), (4, two + " more", "en", "s", 7), (None, None, "en", "s", 8), (None, "", "en", "s", 9)]
+    got = sorted((r["n_chars"], r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema).coalesce(1), SF).collect())
+    assert got == [(1, 5), (6, 5), (7, 4), (8, None), (9, None)]
