@@ -20,7 +20,8 @@ references are decoded; white space inside a block becomes one space, as does
 <br>; blocks are joined by newlines in page order.
 
 Defined cases: a null or empty html has an empty text; unclosed and stray tags
-are mended as browsers do for paragraphs and list items; a page without a kept
+are mended as browsers do for paragraphs, list items and heads; if no model can
+be trained, all blocks outside navigation markup are kept; a page without a kept
 block has an empty text; repeated rows each get a row; extra columns pass
 through.
 """
@@ -49,6 +50,8 @@ BLOCKS = {
 }
 SILENT = {"script", "style", "head", "template", "noscript", "svg", "iframe", "object", "select", "textarea", "button", "math", "canvas", "audio", "video", "title"}
 RAW = {"script", "style", "textarea", "title", "iframe"}
+#: What may stand in a head; everything else ends an open one, as browsers do.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "script", "style", "template", "noscript", "title"}
 ENDS_P = set(BLOCKS) - {"html", "body"}
 #: Elements that an open element of the same group ends.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -84,12 +87,12 @@ def parse(page: str) -> list[Node]:
     root = Node("html", None, False, False, None)
     nodes, cur = [root], root
     links = 0
-    silent, deep = "", 0
+    silent: list[str] = []  # open elements without text
     at = 0
     stack: list[str] = []  # open block tags below the root
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    while m := _TOKEN.search(page, at):
+        if silent == ["head"] and not page[at : m.start()].isspace() and m.start() > at:
+            silent.clear()
         if not silent and m.start() > at:
             _say(cur, page[at : m.start()], links)
         at = m.end()
@@ -99,21 +102,27 @@ def parse(page: str) -> list[Node]:
                 _say(cur, m[0][9:].removesuffix("]]>"), links)
             continue
         tag, close = tag.lower(), bool(m[1])
+        if silent and not close and (tag == "body" and silent[0] == "head" or silent == ["head"] and tag not in IN_HEAD):
+            silent.clear()
         if silent:
-            if tag == silent:
-                deep += -1 if close else 1
-                if not deep:
-                    silent = ""
+            if close:
+                if tag in silent:
+                    while silent.pop() != tag:
+                        pass
+            elif tag in SILENT and not m[0].endswith("/>"):
+                if tag in RAW:
+                    at = _raw_end(page, tag, at)
+                elif tag != "head":
+                    silent.append(tag)
             continue
         if tag in SILENT:
             if not close:
                 if tag in ("button", "select", "textarea"):
                     cur.controls += 1
                 if tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                    at = _raw_end(page, tag, at)
                 elif not m[0].endswith("/>"):
-                    silent, deep = tag, 1
+                    silent.append(tag)
             continue
         if tag == "a":
             links = 0 if close else 1
@@ -166,11 +175,19 @@ def parse(page: str) -> list[Node]:
         nodes.append(node)
         cur = node
         stack.append(tag)
+    if silent == ["head"] and at < len(page) and not page[at:].isspace():
+        silent.clear()
     if not silent and at < len(page):
         _say(cur, page[at:], links)
     return nodes
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where an element of raw content ends; nothing in it is markup but its own end tag."""
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
 def _say(node: Node, raw: str, link: int) -> None:
     if not raw.isspace():
         text = html.unescape(raw) if "&" in raw else raw
@@ -375,6 +392,11 @@ def _own_label(nodes: list[Node]) -> np.ndarray:
     return y
 
 
+def by_markup(nodes: list[Node]) -> np.ndarray:
+    """Odds where no model could be trained: everything outside navigation and the like is main text."""
+    return np.where(_own_label(nodes) == 0, -4.0, 4.0)
+
+
 def _made_up(rng: random.Random, good: list[str], short: list[str]) -> str:
     """A page in a made-up layout around paragraphs of main text; data-label says which part is what."""
     esc = html.escape
@@ -489,7 +511,7 @@ def _extract(html_at: int, shared):
                 part = batch.slice(a, ROWS)
                 trees = [parse(p or "") for p in part.column(html_at).to_pylist()]
                 x = [features(t) for t in trees]
-                odds = model.predict(np.concatenate(x)) if model else np.zeros(sum(map(len, x)))
+                odds = model.predict(np.concatenate(x)) if model else np.concatenate([by_markup(t) for t in trees])
                 cut = np.cumsum([0, *map(len, x)])
                 texts = [extract_one(t, odds[b:e]) for t, b, e in zip(trees, cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in range(part.num_columns)] + [pa.array(texts, pa.string())], names=[*part.schema.names, "text"])

@@ -358,6 +358,36 @@ def test_html(spark):
     assert html_text.extract(spark, pages.limit(0), html_text.fit(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<head><title>t</title><meta charset=utf-8><body>",
+        "<head><title>t</title><link rel=x>",
+        "<head><noscript><p>off</p></noscript><template><div>off</div></template>",
+        "<head><noscript><link rel=x><body>",
+        "<head><script>for(;i<n;){/* don't */}</script></head><body>",
+        "<head><style>a:after{content:'</head><p>off'}</style></head><body>",
+        "<body><script>for(;i<n;){/* don't */}</script>",
+        "<body><svg><style>a<b{/* don't */}</style></svg>",
+    ],
+)
+def test_html_open_heads_and_raw_content(spark, head):
+    page = f"<html>{head}<article><h1>Title</h1><p>It's the first one.</p><p>And the second.</p></article></html>"
+    nodes = html_text.parse(page)
+    assert html_text.text(nodes, [True] * len(nodes)) == "Title\nIt's the first one.\nAnd the second."
+
+
+def test_html_text_ends_a_head():
+    for page in ("<head><title>t</title>plain <b>words</b>", "<head><title>t</title>plain words", "<head><meta><a href=x>plain</a> words"):
+        nodes = html_text.parse(page)
+        assert html_text.text(nodes, [True] * len(nodes)) == "plain words"
+
+
+def test_html_without_a_model(spark):
+    pages = spark.createDataFrame([(1, "<nav><p>Home</p></nav><div><p>Main words.</p><p>More.</p></div><div class=cookie><p>Yes</p></div>")], "page_id long, html string")
+    assert html_text.extract(spark, pages, None).first()["text"] == "Main words.\nMore."
+
+
 def test_html_hierarchy():
     nodes = html_text.parse("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
     for seed in range(50):
