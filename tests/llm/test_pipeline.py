@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from test_operators import _groups, _norm, _set
+from test_llm_operators import _groups, _norm, _set
 
 import corpus_pipeline
 from quarry.llm import pieces, quality_rules, weak_quality
