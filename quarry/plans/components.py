@@ -18,8 +18,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    met = both.join(low, "u")
+    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).withColumn("h", F.hash("u"))
+    # With the hash as a second key, the aggregate is exchanged once more and not joined where it was computed: its size
+    # is known then, and Spark broadcasts it or splits the rows of a node with very many neighbours over tasks.
+    met = both.withColumn("h", F.hash("u")).join(low, ["u", "h"])
     if large:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

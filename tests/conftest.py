@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).parents[1]))
+ROOT = str(Path(__file__).parents[1])
+sys.path.insert(0, ROOT)
+# Workers import the package wherever the tests are started from.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
 
 @pytest.fixture(scope="session")
