@@ -14,20 +14,29 @@ at most one differing symbol; each chunk is therefore indexed once for every
 symbol left out, and all such pairs share one of 64 keys. No bucket is capped.
 
 1. Equal sets fold into one representative.
-2. Per key, every representative is joined with the smallest one (a star, not
-   all pairs); the components of these edges are the clusters. Both ends of
-   every pair within the distance lie in one cluster.
-3. A cluster is split into blocks of about ``BLOCK`` documents. Each pair of
-   blocks is one small group; there the signature distance is taken for all
-   pairs in numpy, and pairs within it are confirmed on the full sets. Only
-   links that join two so far separate trees of the group are returned.
-4. The components of the confirmed links are the result.
+2. The smallest representative of every shared key is found by an aggregation
+   with map-side combine; every other one of that key is joined with it (a star,
+   not all pairs). Both ends of every pair within the distance are connected by
+   such edges.
+3. Each representative goes to the smallest one with which it shares most keys,
+   in groups of about ``BLOCK``. All pairs of a group are compared, first by
+   signature and then on full sets. The components of these links are the
+   families; large groups of near copies end up in one family here.
+4. Only where star edges lead from one family to another, representatives
+   are compared further, and only across families: a large family is cut into
+   blocks that never meet each other, small families share blocks, and each other
+   pair of blocks is a small group of its own. So a set is sent as often as there
+   are blocks outside its own family among the connected ones.
+5. The components of all links are the result. Groups return only links that
+   join two so far separate trees.
 
 Defined cases: a document without words (or a null text) has an empty set and
 is its own component; a text of fewer than five words has one shingle, the
-whole sequence. Rows that share a doc_id count as one document. A null doc_id
-gets the component of its equal texts if they have one, else null, and
-is kept only without such. An empty table gives an empty result.
+whole sequence. Rows that share a doc_id are one document: they have one
+component, to which the links of each of their texts lead; n_shingles is that of
+the row's own text. A null doc_id gets the component of its equal texts if they
+have one, else null, and is kept only without such. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm import arrow_text as at
@@ -48,6 +58,8 @@ from quarry.plans.workspace import Workspace, broadcast_if_small
 WORDS = 5
 SYMBOLS = 64
 BLOCK = 192
+#: So many rows of placed documents may be broadcast.
+PLACES = 300_000
 #: What op6 asks for; other callers give their own.
 PERCENT = 85
 #: The largest chance that the signatures of a pair at the limit lie too far apart.
@@ -158,14 +170,17 @@ def _keys(chunks: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for t in at.slices(batch.column(3)):
-            sets = shingle_sets(t)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).slice(t.first, len(t)) for c in range(3)] + [pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "cluster", "blocks", "members"],
-            )
+def _sets(text_at: int):
+    """The rows with their last column, the text, replaced by its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in at.slices(batch.column(text_at)):
+                sets = shingle_sets(t)
+                names = [*batch.schema.names[:text_at], "members"]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(t.first, len(t)) for c in range(text_at)] + [pa.array([s.tobytes() for s in sets], pa.binary())], names)
+
+    return run
 
 
 class _Trees:
@@ -184,8 +199,11 @@ class _Trees:
         self.up[max(x, y)] = min(x, y)
 
 
-def links(ids: list, side: np.ndarray, sets: list[np.ndarray], across: bool, percent: int = PERCENT) -> list[tuple]:
-    """Confirmed links between the rows (across: only between the two sides) that join separate trees."""
+def links(ids: list, side: np.ndarray, sets: list[np.ndarray], across: bool, percent: int = PERCENT, family: np.ndarray | None = None) -> list[tuple]:
+    """Confirmed links between the rows (across: only between the two sides) that join separate trees.
+
+    With families, rows of one family are not compared.
+    """
     sigs, most = signatures(sets), 2 * chunks_for(percent) - 1
     sizes = np.array([len(s) for s in sets])
     tree, found, out = _Trees(len(ids)), [], []
@@ -193,6 +211,8 @@ def links(ids: list, side: np.ndarray, sets: list[np.ndarray], across: bool, per
     right = np.flatnonzero(side == 1) if across else left
     for n, a in enumerate(left):
         rest = right if across else right[n + 1 :]
+        if family is not None:
+            rest = rest[family[rest] != family[a]]
         rest = rest[(100 * sizes[rest] >= percent * sizes[a]) & (100 * sizes[a] >= percent * sizes[rest])]
         if not len(rest):
             continue
@@ -211,28 +231,82 @@ def links(ids: list, side: np.ndarray, sets: list[np.ndarray], across: bool, per
 
 
 def _links(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (cluster, bi, bj): one group is held at a time."""
-    key, ids, side, sets = None, [], [], []
+    """Rows of cluster, bi, bj, block, family, doc_id and members, sorted by the first three: one group is held at a time."""
+    key, rows = None, []
 
     def done():
-        got = links(ids, np.array(side), sets, key[1] != key[2], percent) if len(ids) > 1 else []
+        got = []
+        if len(rows) > 1:
+            block, family, doc, members = zip(*rows)
+            sets = [np.frombuffer(m, np.uint64) for m in members]
+            families = None if family[0] is None else np.array(family)
+            got = links(list(doc), (np.array(block) != key[1]).astype(int), sets, key[1] != key[2], percent, families)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        c, bi, bj, block, doc, members = (batch.column(i).to_pylist() for i in range(6))
-        for n in range(batch.num_rows):
-            now = (c[n], bi[n], bj[n])
+        cluster, bi, bj, *rest = (batch.column(i).to_pylist() for i in range(7))
+        for now, row in zip(zip(cluster, bi, bj), zip(*rest)):
             if now != key:
-                if key is not None and len(ids) > 1:
+                if len(rows) > 1:
                     yield done()
-                key, ids, side, sets = now, [], [], []
-            ids.append(doc[n])
-            side.append(0 if block[n] == bi[n] else 1)
-            sets.append(np.frombuffer(members[n], np.uint64))
-    if key is not None and len(ids) > 1:
+                key, rows = now, []
+            rows.append(row)
+    if len(rows) > 1:
         yield done()
 
 
+#: A document of one or more groups of a cluster: one for each number from lo to before hi, without those from skip to
+#: before after. A group's blocks are that number and the document's own, which is that number itself where block is null.
+PLACE = ["doc_id", "family", "cluster", "block", "lo", "hi", "skip", "after"]
+
+
+def _compare(texts: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Links within the groups of staged rows of ``PLACE``."""
+    kinds = "doc_id long, family long, cluster long, block int, lo int, hi int, skip int, after int"
+    members = texts.join(broadcast_if_small(placed, limit=PLACES), "doc_id").select(*PLACE, "text").mapInArrow(_sets(len(PLACE)), f"{kinds}, members binary")
+    others = F.filter(F.sequence("lo", F.col("hi") - 1), lambda o: F.col("skip").isNull() | (o < F.col("skip")) | (o >= F.col("after")))
+    spread = members.withColumn("other", F.explode(others)).withColumn("block", F.coalesce("block", "other"))
+    spread = spread.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "family", "doc_id", "members")
+    spread = spread.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+    return spread.mapInArrow(lambda batches: _links(batches, percent), "a long, b long")
+
+
+def _near_groups(stars: DataFrame) -> DataFrame:
+    """Every document with the smallest one with which it shares most keys; that one is in all groups around it."""
+    nearest = stars.groupBy("doc_id").agg(F.max_by("low", F.struct("n", F.negative("low"))).alias("low"))
+    around = nearest.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    no = F.lit(None).cast("int")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    own = nearest.join(around, "low").select("doc_id", F.lit(None).cast("long"), "low", block.alias("block"), block.alias("lo"), (block + 1).alias("hi"), no, no)
+    middle = around.select("low", F.lit(None).cast("long"), "low", no, F.lit(0), "blocks", no, no)
+    return own.union(middle).toDF(*PLACE)
+
+
+def _cross_groups(stars: DataFrame, families: DataFrame, ws: Workspace) -> DataFrame | None:
+    """Blocks of families between which star edges lead (None if there are no such edges)."""
+    x, y = (families.select(F.col("node").alias(c), F.col("component").alias(f)) for c, f in (("doc_id", "x"), ("low", "y")))
+    # A document in no link is a family of its own.
+    edges = stars.join(x, "doc_id", "left").join(y, "low", "left").select(F.coalesce("x", "doc_id").alias("x"), F.coalesce("y", "low").alias("y"))
+    edges = ws.stage(edges.filter("x <> y").distinct(), "between")
+    if edges.isEmpty():
+        return None
+    clusters = ws.stage(components(edges, "x", "y", ws).select(F.col("node").alias("family"), F.col("component").alias("cluster")), "clusters")
+    members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    alone = clusters.join(members.select("family").distinct(), "family", "left_anti").select(F.col("family").alias("doc_id"), "family", "cluster")
+    docs = ws.stage(members.join(clusters, "family").select("doc_id", "family", "cluster").union(alone), "between-members")
+    sizes = docs.groupBy("cluster", "family").agg(F.count("*").alias("n"))
+    small = F.col("n") < BLOCK
+    # Small families share the first blocks of a cluster; then each large one has a range of its own. The window sees a
+    # row for each large family, so it is at least BLOCK times smaller than the cluster.
+    shared = sizes.groupBy("cluster").agg(F.ceil(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)) / BLOCK).cast("int").alias("shared"))
+    large = sizes.filter(~small).select("cluster", "family", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
+    large = large.withColumn("end", F.sum("k").over(W.partitionBy("cluster").orderBy("family")).cast("int"))
+    total = shared.join(large.groupBy("cluster").agg(F.sum("k").cast("int").alias("own")), "cluster", "left").select("cluster", "shared", (F.col("shared") + F.coalesce("own", F.lit(0))).alias("hi"))
+    placed = docs.join(total, "cluster").join(large, ["cluster", "family"], "left").withColumn("after", F.col("shared") + F.col("end")).withColumn("skip", F.col("after") - F.col("k"))
+    block = F.when(F.col("k").isNull(), F.pmod(F.xxhash64("family"), F.col("shared"))).otherwise(F.col("skip") + F.pmod(F.xxhash64("doc_id"), F.col("k"))).cast("int")
+    return placed.withColumn("block", block).withColumn("lo", F.lit(0)).select(PLACE)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (see the module's text); links need this percentage."""
     ws = Workspace(spark, "minhash")
@@ -241,25 +315,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     reps = feats.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     reps = ws.stage(reps, "representatives")
-    keys = reps.select("rep", "sig").mapInArrow(_keys(chunks_for(percent)), "doc_id long, key long").repartition("key")
-    first = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key", "low")
-    stars = keys.join(first, "key").filter("doc_id <> low").select("doc_id", "low").distinct()
-    clusters = ws.stage(components(stars, "doc_id", "low", ws).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
-
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = ws.stage(clusters.join(sizes, "cluster").select("doc_id", "cluster", "blocks"), "placed")
-    members = texts.join(broadcast_if_small(placed), "doc_id").select("doc_id", "cluster", "blocks", "text")
-    members = members.mapInArrow(_sets, "doc_id long, cluster long, blocks int, members binary")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    spread = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "doc_id", "members")
-    spread = spread.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
-    found = ws.stage(spread.mapInArrow(lambda batches: _links(batches, percent), "a long, b long"), "links")
-
-    comps = components(found, "a", "b", ws).select(F.col("node").alias("rep"), "component")
-    named = reps.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    # Ids of several rows with different sets: all their representatives belong together.
+    ids = feats.filter("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max(F.col("digest").isNull()).alias("bare"))
+    mixed = ws.stage(ids.filter("lo is not null and (lo <> hi or bare)").select("doc_id", "lo"), "mixed-ids")
+    n_mixed = mixed.count()
+    none = spark.createDataFrame([], "a long, b long")
+    same = none
+    if n_mixed:
+        several = feats.filter("digest is not null").join(broadcast_if_small(mixed.select("doc_id"), n_mixed), "doc_id").select("doc_id", "digest")
+        mine = several.join(reps.select("digest", "rep"), "digest").select("doc_id", "rep")
+        same = ws.stage(mine.join(mine.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").distinct(), "same-ids")
+
+    keys = reps.select("rep", "sig").mapInArrow(_keys(chunks_for(percent)), "doc_id long, key long")
+    first = ws.stage(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key", "low"), "shared-keys")
+    stars = ws.stage(keys.join(broadcast_if_small(first), "key").filter("doc_id <> low").groupBy("doc_id", "low").agg(F.count("*").alias("n")), "stars")
+
+    near = ws.stage(_compare(texts, ws.stage(_near_groups(stars), "near-groups"), percent).union(same), "links")
+    comps = ws.stage(components(near, "a", "b", ws), "families")
+    across = _cross_groups(stars, comps, ws)
+    if across is not None:
+        more = ws.stage(_compare(texts, ws.stage(across, "cross-groups"), percent), "cross-links")
+        if not more.isEmpty():
+            comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b", ws)
+
+    named = reps.select("digest", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
+    if n_mixed:
+        own = mixed.join(named.withColumnRenamed("digest", "lo"), "lo").select("doc_id", F.col("component").alias("own"))
+        out = out.join(broadcast_if_small(ws.stage(own, "components-of-mixed-ids"), n_mixed), "doc_id", "left")
+        component = F.coalesce("own", "component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"))
 
 

@@ -327,6 +327,53 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _groups(rows)
 
 
+def _classes(rows):
+    """(doc_id, set size, class, kept) of every row with an id; all rows of an id are one document."""
+    sets: dict = {}
+    for i, t in rows:
+        if i is not None:
+            sets.setdefault(i, []).append(_set(t))
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return sorted((i, len(_set(t)), root(i), root(i) == i) for i, t in rows if i is not None)
+
+
+@pytest.mark.parametrize("block", [8, 192])
+def test_near_duplicates_of_repeated_ids_and_chains(spark, monkeypatch, block):
+    """One id on several texts, groups of near copies around one text, and chains whose ends are far apart."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(500)}"
+    texts = []
+    for n, size in [(12, 60)] * 6 + [(30, 80)] * 6:
+        base = [word() for _ in range(size)]
+        for _ in range(n):
+            texts.append(" ".join(base))
+            base[rng.randrange(size)] = word()
+    middle = [word() for _ in range(200)]
+    for _ in range(300):
+        t = list(middle)
+        for _ in range(rng.randrange(6)):
+            t[rng.randrange(200)] = word()
+        texts.append(" ".join(t))
+    rng.shuffle(texts)
+    rows = [(2, "a b c d e f"), (5, "a b c d e f"), (5, "x y z q r s"), (9, "x y z q r s"), (11, None), (11, "x y z q r s"), (None, "a b c d e f"), (None, "alone"), (13, None), (13, "")]
+    rows += [(rng.randrange(20, 2000), t) for t in texts]
+    got = [tuple(r) for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(r for r in got if r[0] is not None) == _classes(rows)
+    assert sorted((r for r in got if r[0] is None), key=str) == [(None, 1, None, True), (None, 2, 2, False)]
+
+
 def test_index_guarantee():
     """Any two signatures within the distance share a key."""
     rng = np.random.default_rng(3)
