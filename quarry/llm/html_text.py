@@ -9,18 +9,20 @@ the most probable labelling in which nothing below a rejected node is kept, so
 an ancestor and a descendant never contradict each other.
 
 The trees are trained here, by logistic boosting over binned features in
-numpy. Examples are nodes of a hash-chosen sample of about ``TRAIN_PAGES``
-pages (the documented bound), labelled by their own markup (articles against
-navigation and the like), and nodes of the same texts set into made-up
-layouts in which the label of each part is known, with tags and attribute
-tokens left out at random so that densities and siblings get to matter.
+numpy. Examples are nodes of the ``TRAIN_PAGES`` distinct pages whose hashes
+come first, ``TRAIN_NODES`` of each at most (the documented bounds), labelled by
+their own markup (articles against navigation and the like), and nodes of the
+same texts set into made-up layouts in which the label of each part is known.
+Tags and attribute tokens are hidden in half of the pages and at random in the
+layouts, so that densities, depth and siblings have to tell the labels.
 
 Text: scripts, styles, heads, templates and comments have none; character
 references are decoded; white space inside a block becomes one space, as does
 <br>; blocks are joined by newlines in page order.
 
 Defined cases: a null or empty html has an empty text; unclosed and stray tags
-are mended as browsers do for paragraphs, list items and heads; if no model can
+are mended as browsers do for paragraphs, list items and heads; an element
+without text that is left open ends with the block around it; if no model can
 be trained, all blocks outside navigation markup are kept; a page without a kept
 block has an empty text; repeated rows each get a row; extra columns pass
 through.
@@ -31,6 +33,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRAIN_PAGES = 300
+#: What a page gives at most to the training: nodes, texts of either kind, and characters of such a text.
+TRAIN_NODES, TRAIN_TEXTS, TRAIN_CHARS = 2000, 40, 2000
 ROWS = 256
+#: Log-odds that it takes to reject a node below a kept one.
+CUT = 4.0
 
 # Element names by kind.
 BLOCKS = {
@@ -50,6 +57,8 @@ BLOCKS = {
 }
 SILENT = {"script", "style", "head", "template", "noscript", "svg", "iframe", "object", "select", "textarea", "button", "math", "canvas", "audio", "video", "title"}
 RAW = {"script", "style", "textarea", "title", "iframe"}
+#: Silent elements in which a block of the page can't stand; such a block ends one that was left open.
+FOREIGN = {"svg", "math", "select"}
 #: What may stand in a head; everything else ends an open one, as browsers do.
 IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "script", "style", "template", "noscript", "title"}
 ENDS_P = set(BLOCKS) - {"html", "body"}
@@ -63,7 +72,12 @@ MAIN = "article content main post entry story body text page blog articlebody ar
 # Fixed values end.
 
 _AWAY, _MAIN = set(AWAY), set(MAIN)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: What may be markup: tags, comments and declarations.
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
+#: A whole tag without quotes; possessive, so that a mismatch costs no more than what it read.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)>")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_VALUE = re.compile(r"=\s*+([\"'])|>")
 _ATTR = re.compile(r"""(?:^|[\s/])(class|id|role|itemprop|hidden|aria-hidden|style|data-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -82,50 +96,161 @@ class Node:
         self.chars = self.link = self.stops = self.words = self.controls = self.tags = 0
 
 
+def _tag(page: str, at: int, last: dict[str, int]) -> tuple[bool, str, str, int] | None:
+    """The tag at a "<": whether it closes, its name, its attributes, and where it ends; None if it is no tag.
+
+    A quote counts after an equals sign only, as in browsers. Where its end is missing, and so would be the rest of the
+    page, the tag ends at the next ">". ``last`` has the last place of each quote, so nothing is looked for twice.
+    """
+    if m := _PLAIN.match(page, at):
+        return bool(m[1]), m[2].lower(), m[3], m.end()
+    m = _NAME.match(page, at)
+    if not m:
+        return None
+    begin = end = m.end()
+    while True:
+        v = _VALUE.search(page, end)
+        if not v:
+            end = len(page)
+            return page[at + 1] == "/", m[1].lower(), page[begin:end], end
+        end = v.end()
+        if not v[1]:
+            return page[at + 1] == "/", m[1].lower(), page[begin : end - 1], end
+        if last[v[1]] >= end:
+            end = page.find(v[1], end) + 1
+
+
+class _Open:
+    """Tags that are open, counted, and those open inside the innermost list or table."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.total: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]
+
+    def push(self, tag: str) -> None:
+        self.stack.append(tag)
+        self.total[tag] = self.total.get(tag, 0) + 1
+        if tag in SCOPES:
+            self.scopes.append({})
+        else:
+            self.scopes[-1][tag] = self.scopes[-1].get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop()
+        self.total[tag] -= 1
+        if tag in SCOPES:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        return tag
+
+
+def _named(attributes: str) -> tuple[bool, bool, str | None]:
+    """What the attributes say: away from the main text, main text, and a label of made-up pages."""
+    away = main = False
+    label = None
+    for k, v in _ATTR.findall(attributes):
+        k, v = k.lower(), v.strip("\"'")
+        if k == "data-label":
+            label = v
+        elif k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and _HIDDEN.search(v):
+            away = True
+        elif k != "style":
+            tokens = set(_SPLIT.split(_CAMEL.sub(" ", v).lower())) | set(v.lower().split())
+            away |= not tokens.isdisjoint(_AWAY)
+            main |= not tokens.isdisjoint(_MAIN)
+    return away, main, label
+
+
 def parse(page: str) -> list[Node]:
-    """All block nodes of a page, in order; the first is a root of its own."""
+    """All block nodes of a page, in order; the first is a root of its own. Time and memory grow with the page's length."""
     root = Node("html", None, False, False, None)
     nodes, cur = [root], root
-    links = 0
-    silent: list[str] = []  # open elements without text
-    at = 0
-    stack: list[str] = []  # open block tags below the root
-    while m := _TOKEN.search(page, at):
-        if silent == ["head"] and not page[at : m.start()].isspace() and m.start() > at:
-            silent.clear()
-        if not silent and m.start() > at:
-            _say(cur, page[at : m.start()], links)
-        at = m.end()
-        tag = m[2]
+    links, at, said = 0, 0, 0
+    head = False  # whether a head is open
+    silent: str | None = None  # the outermost open element without text
+    inside: dict[str, int] = {}  # elements open in it, and how often it is open itself
+    tags = _Open()
+    last = {q: page.rfind(q) for q in "\"'"}
+
+    def close(tag: str) -> None:
+        nonlocal cur, links
+        while True:
+            cur = cur.up
+            if tags.pop() == tag:
+                break
+        links = 0
+
+    while m := _OPEN.search(page, at):
+        here = m.start()
+        kind = page[here + 1]
+        raw = None  # text that markup encloses
+        if kind in "!?":
+            if page.startswith("<!--", here):
+                end = page.find("-->", here + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", here):
+                end = page.find("]]>", here + 9)
+                raw = page[here + 9 : end if end >= 0 else len(page)]
+                end = len(page) if end < 0 else end + 3
+            else:
+                end = page.find(">", here)
+                end = len(page) if end < 0 else end + 1
+            tag = None
+        else:
+            got = _tag(page, here, last)
+            if got is None:  # "</" before something else
+                at = here + 2
+                continue
+            closing, tag, attributes, end = got
+        if said < here and not silent:
+            text = page[said:here]
+            if head and not text.isspace():
+                head = False
+            if not head:
+                _say(cur, text, links)
+        at = said = end
         if tag is None:
-            if not silent and m[0].startswith("<![CDATA["):
-                _say(cur, m[0][9:].removesuffix("]]>"), links)
+            if raw and not silent and not head:
+                _say(cur, raw, links)
             continue
-        tag, close = tag.lower(), bool(m[1])
-        if silent and not close and (tag == "body" and silent[0] == "head" or silent == ["head"] and tag not in IN_HEAD):
-            silent.clear()
-        if silent:
-            if close:
-                if tag in silent:
-                    while silent.pop() != tag:
-                        pass
-            elif tag in SILENT and not m[0].endswith("/>"):
-                if tag in RAW:
-                    at = _raw_end(page, tag, at)
-                elif tag != "head":
-                    silent.append(tag)
+        if not closing and tag in RAW:
+            if not silent and not head and tag == "textarea":
+                cur.controls += 1
+            at = said = _raw_end(page, tag, end)
             continue
+        if silent:
+            if closing and inside.get(tag):
+                inside[tag] -= 1
+                if tag == silent and not inside[tag]:
+                    silent = None
+                continue
+            if not closing and not (silent in FOREIGN and tag in BLOCKS and not inside.get("foreignobject") or head and tag == "body"):
+                if page[end - 2 : end] != "/>" or tag in BLOCKS:
+                    inside[tag] = inside.get(tag, 0) + 1
+                continue
+            if closing and not (tag in BLOCKS and tags.total.get(tag)):
+                continue
+            silent = None  # left open: a block outside ends, or one begins that can't stand in it
+        if head:
+            if closing:
+                head = tag != "head"
+                continue
+            if tag not in IN_HEAD:
+                head = False
         if tag in SILENT:
-            if not close:
-                if tag in ("button", "select", "textarea"):
+            if not closing:
+                if tag == "head":
+                    head = not tags.stack
+                    continue
+                if tag in ("button", "select") and not head:
                     cur.controls += 1
-                if tag in RAW:
-                    at = _raw_end(page, tag, at)
-                elif not m[0].endswith("/>"):
-                    silent.append(tag)
+                if page[end - 2 : end] != "/>":
+                    silent, inside = tag, {tag: 1}
             continue
         if tag == "a":
-            links = 0 if close else 1
+            links = 0 if closing else 1
         elif tag == "br":
             cur.texts.append(" ")
         elif tag == "input":
@@ -135,57 +260,46 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in ("html", "body"):
             continue
-        if close:
-            if tag in stack:
-                while stack:
-                    cur = cur.up
-                    if stack.pop() == tag:
-                        break
-                links = 0
+        if closing:
+            if tags.total.get(tag):
+                close(tag)
             elif tag == "p":
                 cur.texts.append(None)
             continue
-        if tag in ENDS_P and stack and stack[-1] == "p":
-            stack.pop()
+        if tag in ENDS_P and tags.stack and tags.stack[-1] == "p":
+            tags.pop()
             cur = cur.up
         for other in SIBLINGS.get(tag, ()):
-            back = [i for i in range(len(stack) - 1, -1, -1) if stack[i] == other or stack[i] in SCOPES]
-            if back and stack[back[0]] == other:
-                while len(stack) > back[0]:
-                    stack.pop()
-                    cur = cur.up
+            if tags.scopes[-1].get(other):
+                kept = links
+                close(other)
+                links = kept
         if tag == "hr":
             cur.texts.append(None)
             continue
-        away = main = False
-        label = None
-        for k, v in _ATTR.findall(m[3]) if m[3] else ():
-            k, v = k.lower(), v.strip("\"'")
-            if k == "data-label":
-                label = v
-            elif k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and re.search(r"display\s*:\s*none", v, re.I):
-                away = True
-            elif k != "style":
-                tokens = set(_SPLIT.split(_CAMEL.sub(" ", v).lower())) | set(v.lower().split())
-                away |= not tokens.isdisjoint(_AWAY)
-                main |= not tokens.isdisjoint(_MAIN)
+        away, main, label = _named(attributes) if attributes else (False, False, None)
         node = Node(tag, cur, away, main, label)
         cur.texts.append(node)
         cur.kids.append(node)
         nodes.append(node)
         cur = node
-        stack.append(tag)
-    if silent == ["head"] and at < len(page) and not page[at:].isspace():
-        silent.clear()
-    if not silent and at < len(page):
-        _say(cur, page[at:], links)
+        tags.push(tag)
+    if said < len(page) and not silent:
+        text = page[said:]
+        if not head or not text.isspace():
+            _say(cur, text, links)
     return nodes
 
 
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+
+
 def _raw_end(page: str, tag: str, at: int) -> int:
     """Where an element of raw content ends; nothing in it is markup but its own end tag."""
-    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-    return end.end() if end else len(page)
+    m = _RAW_END[tag].search(page, at)
+    end = page.find(">", m.end()) + 1 if m else 0
+    return end or len(page)
 
 
 def _say(node: Node, raw: str, link: int) -> None:
@@ -325,7 +439,7 @@ class Boosted:
 def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
     """The likeliest labels with no kept node below a rejected one; the root is always open.
 
-    Nodes weigh by the root of their own text, and a little without text.
+    Nodes weigh by the root of their own text, and a little without text; cutting a node from a kept one costs ``CUT``.
     """
     n = len(nodes)
     keep, drop = [0.0] * n, [0.0] * n
@@ -337,11 +451,11 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
         drop[i] += w * neg[i]
         if i:
             u = number[id(nodes[i].up)]
-            keep[u] += max(keep[i], drop[i])
+            keep[u] += max(keep[i], drop[i] - CUT)
             drop[u] += drop[i]
     out = [True] * n
     for i in range(1, n):
-        out[i] = out[number[id(nodes[i].up)]] and keep[i] > drop[i]
+        out[i] = out[number[id(nodes[i].up)]] and keep[i] > drop[i] - CUT
     # The root's own loose text isn't in any block that could be judged by its markup.
     out[0] = bool(odds[0] > 0) or not nodes[0].kids
     return out
@@ -450,35 +564,49 @@ def _forced(nodes: list[Node]) -> np.ndarray:
     return y
 
 
+def _own(x: Node) -> str:
+    """A node's own text, in one line."""
+    return " ".join("".join(t for t in x.texts if isinstance(t, str)).split())
+
+
+def examples(page: str, most: int = TRAIN_NODES) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+    """Features and labels of up to ``most`` nodes of a page, and texts of main blocks and of others.
+
+    Every other page is seen without its tags' names and attribute tokens, so that the labels, which come from these,
+    are to be told from text, links, depth and siblings.
+    """
+    nodes = parse(page)
+    y = _own_label(nodes)
+    x = features(nodes)
+    if zlib.crc32(page.encode("utf-8", "replace")) & 1:
+        x[:, :7] = 0
+    rng = random.Random(len(nodes))
+    pick = sorted(rng.sample(range(len(nodes)), most)) if len(nodes) > most else range(len(nodes))
+    said = [(_own(nodes[i]), y[i]) for i in pick]
+    good = [t for t, label in said if label == 1 and len(t) > 40]
+    loose = [t for t, label in said if label != label and len(t) > 40]
+    pick = np.array(pick, np.int64)
+    known = pick[~np.isnan(y[pick])]
+    return x[known], y[known], good or loose, [t for t, label in said if t and label == 0]
+
+
 def train(pages: list[str], seed: int = 9) -> Boosted | None:
+    return boost([examples(page) for page in pages], seed)
+
+
+def boost(got: list[tuple[np.ndarray, np.ndarray, list[str], list[str]]], seed: int = 9) -> Boosted | None:
+    """Trees from examples of pages and of made-up layouts around their texts; None if all have one label."""
     rng = random.Random(seed)
-    xs, ys = [], []
-    good: list[str] = []
-    short: list[str] = []
-    for page in pages:
-        nodes = parse(page)
-        y = _own_label(nodes)
-        if not np.isnan(y).all():
-            xs.append(features(nodes))
-            ys.append(y)
-        for x, label in zip(nodes, y):
-            s = " ".join("".join(t for t in x.texts if isinstance(t, str)).split())
-            if s and label == 1 and len(s) > 40:
-                good.append(s)
-            elif s and label == 0:
-                short.append(s)
-    if not good:
-        good = [" ".join("".join(t for t in x.texts if isinstance(t, str)).split()) for p in pages for x in parse(p)]
-        good = [x for x in good if len(x) > 40]
-    short = short or ["Home", "About us", "Read more"]
-    for _ in range(2 * len(pages) if good else 0):
+    xs, ys = [x for x, *_ in got if len(x)], [y for _, y, *_ in got if len(y)]
+    good = [t for _, _, texts, _ in got for t in texts]
+    short = [t for *_, texts in got for t in texts] or ["Home", "About us", "Read more"]
+    for _ in range(2 * len(got) if good else 0):
         nodes = parse(_made_up(rng, good, short))
-        y = _forced(nodes)
         for x in nodes:  # markup left out at random
             if rng.random() < 0.15:
                 x.away = x.main = False
         xs.append(features(nodes))
-        ys.append(y)
+        ys.append(_forced(nodes))
     if not xs:
         return None
     x, y = np.concatenate(xs), np.concatenate(ys)
@@ -490,13 +618,24 @@ def train(pages: list[str], seed: int = 9) -> Boosted | None:
     return Boosted().fit(x, y, weight)
 
 
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, page in zip(*(batch.column(c).to_pylist() for c in range(2))):
+            x, y, good, short = examples(page)
+            # A bounded part of each text will do for made-up layouts.
+            parts = [[t[:TRAIN_CHARS] for t in texts[:TRAIN_TEXTS]] for texts in (good, short)]
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([x.astype(np.float32).tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()), *(pa.array([p], pa.list_(pa.string())) for p in parts)], ["key", "x", "y", "good", "short"])
+
+
 def fit(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES) -> Boosted | None:
-    rows = pages.select(pages[html_col].cast("string").alias("html")).filter("html <> ''")
-    total = rows.count()
-    share = min(1.0, train_pages / max(1, total))
-    some = rows.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
-    # Distinct: a much copied page is one example. Very long pages make up few examples and much memory.
-    return train(sorted(r["html"] for r in some.distinct().filter(F.length("html") < 200_000).limit(4 * train_pages).collect()))
+    """Trees from the ``train_pages`` distinct pages whose hashes come first; each is parsed in a task and gives bounded examples."""
+    rows = pages.select(pages[html_col].cast("string").alias("html")).filter("html <> ''").select(F.xxhash64("html").alias("key"), "html")
+    keys = rows.select("key").distinct().orderBy("key").limit(train_pages)
+    some = rows.join(F.broadcast(keys), "key", "left_semi")  # train_pages rows
+    # Many copies of a page are one example.
+    found = some.mapInArrow(_examples, "key long, x binary, y binary, good array<string>, short array<string>").groupBy("key").agg(*(F.first(c).alias(c) for c in ("x", "y", "good", "short")))
+    got = sorted(found.toLocalIterator(), key=lambda r: r["key"])
+    return boost([(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(np.float64), np.frombuffer(r["y"]), r["good"], r["short"]) for r in got])
 
 
 def extract_one(nodes: list[Node], odds: np.ndarray) -> str:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -286,7 +288,7 @@ def _set(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def _groups(rows):
+def _groups(rows, percent=85):
     ids = [i for i, *_ in rows]
     sets = [_set(t) for _, t, *_ in rows]
     root = {i: i for i in ids}
@@ -298,7 +300,7 @@ def _groups(rows):
 
     for a in range(len(ids)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(ids[a]), find(ids[b])
                 root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in zip(ids, sets)}
@@ -435,6 +437,71 @@ def test_html_without_a_model(spark):
     assert html_text.extract(spark, pages, None).first()["text"] == "Main words.\nMore."
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000 + 'href="x', '<a "' * 250_000, '<c x="' * 160_000, "<div>" * 60_000 + "<li>" * 60_000, "<li><ul>" + "<div>" * 40_000 + "<li></li>" * 40_000, "<svg>" * 100_000 + "</div>" * 100_000, "<script></script " * 60_000, "</" * 400_000],
+    ids=range(8),
+)
+def test_html_takes_linear_time(page):
+    began = time.perf_counter()
+    html_text.parse(page)
+    assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><body><article><p>Long text here</article>", "Long text here"),
+        ("<html><head><title>t</title><article><p>Long text here", "Long text here"),
+        ('<p>before<svg><path d="x"><p>after</p>', "before\nafter"),
+        ("<div><svg><text>no</div><p>after</p>", "after"),
+        ("<div><button>no</div><p>after", "after"),
+        ("<select><option>no<p>after", "after"),
+        ("""<head><script>for(;i<n;){/* don't */}"</head>"</script></head><p>x""", "x"),
+        ("<head><noscript>no</noscript><p>x", "x"),
+        ('<p title="a>b">x</p>', "x"),
+        ('<p title="a>x</p><p>y', "x\ny"),
+        ("3 < 4 and <5 </3 x", "3 < 4 and <5 </3 x"),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg><p>y", "y"),
+        ("<template><p>no</template><p>y", "y"),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>d", "a\nb\nc\nd"),
+        ("a<!-- > b --><![CDATA[c]]><!x>d<!--", "acd"),
+    ],
+)
+def test_html_mended(page, want):
+    nodes = html_text.parse(page)
+    assert html_text.text(nodes, [True] * len(nodes)) == want
+
+
+def _article(page):
+    """What the article element of a given page says, block by block."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inner, flags=re.S)
+    inner = re.sub(r"</?(p|h\d|ul|li|div|blockquote)\b[^>]*>", "\n", inner.replace("<br>", " "))
+    lines = html.unescape(re.sub(r"<[^>]+>", "", inner)).split("\n")
+    return "\n".join(line for line in (" ".join(x.split()) for x in lines) if line)
+
+
+def test_html_of_held_pages(spark):
+    """Pages that training didn't see, as they are and with nothing but divisions to tell the parts by."""
+    rows = sorted(r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").filter("html like '%<article>%'").collect())
+    model = html_text.train(rows[:100])
+    bare = lambda p: re.sub(r"<(/?)(article|nav|header|footer|aside|section|main)\b[^>]*>", r"<\1div>", re.sub(r' (class|id|role)="[^"]*"', "", p))
+    for change, least in ((lambda p: p, 0.99), (bare, 0.95)):
+        right = 0
+        for page in rows[100:]:
+            nodes = html_text.parse(change(page))
+            right += html_text.extract_one(nodes, model.predict(html_text.features(nodes))) == _article(page)
+        assert right >= least * len(rows[100:])
+
+
+def test_html_fit_ignores_layout(spark):
+    """The same trees, however the pages lie; copies and long pages don't matter."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html")
+    a, b = (html_text.fit(p, train_pages=40) for p in (pages.repartition(2), pages.union(pages).repartition(7)))
+    assert all(np.array_equal(x, y) for x, y in zip(a.leaf, b.leaf))
+
+
 def test_html_hierarchy():
     nodes = html_text.parse("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
     for seed in range(50):

@@ -42,7 +42,7 @@ def test_filters_take_effect(spark, steps):
 
 def test_near_duplicates(steps):
     rows, _ = steps
-    groups = _groups([(i, r["text"]) for i, r in rows[2].items()])
+    groups = _groups([(i, r["text"]) for i, r in rows[2].items()], corpus_pipeline.NEAR_PERCENT)
     assert set(rows[3]) == {i for i, (_, c) in groups.items() if i == c}
 
 
