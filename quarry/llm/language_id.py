@@ -1,17 +1,18 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a text in units: a word with its delimiting
-spaces, cut every ``UNIT`` bytes if it is longer; states start anew at each
-unit. Every byte position gets a distribution over the languages from the
-states of both directions, and a document's probabilities are the mean over
-all its positions. As a unit's positions depend on the unit alone, a worker
-computes each distinct unit once and keeps its sums, up to a bound.
-
-Training is numpy backpropagation through time on the driver. It sees counts
-of (language, word) from a hash-chosen sample of about ``TRAIN_DOCS`` labelled
-documents, at most ``TRAIN_WORDS`` of them: the documented bounds. Documents
-with crc32(doc_id as text) mod 4 = 2 are held out. Predictions read whole texts
-and nothing but the text.
+The network reads the running bytes of a text, in windows of up to ``WHOLE``
+bytes: a text of that length or less is one window, a longer one is cut into
+cores of ``CORE`` bytes, each read with ``CONTEXT`` bytes more on either side. Every
+byte position gets a distribution over the languages from the states of both
+directions, and a document's probabilities are the mean over all its positions;
+those of a window's context count in the neighbouring window only.
+
+Training is numpy backpropagation through time on the driver. It sees windows of
+``SPAN`` bytes, up to ``SPANS`` of each of about ``TRAIN_DOCS`` labelled documents
+chosen by hash, in equal parts of every language, and at most ``LANGUAGES``
+languages, the most frequent: the documented bounds. Documents with
+crc32(doc_id as text) mod 4 = 2 are held out. Predictions read whole texts and
+nothing but the text.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 without any training row every text is ``und``; a null lang is not learned;
@@ -28,14 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import arrow_text as at
-from quarry.llm.quality_rules import SPACE
 
-UNIT = 24
+CORE, CONTEXT = 448, 32
+WHOLE = CORE + 2 * CONTEXT
+SPAN, SPANS = 64, 6
 EMBED = 10
-HIDDEN = 12
+HIDDEN = 8
 TRAIN_DOCS = 8_000
-TRAIN_WORDS = 120_000
-CACHE = 400_000
+LANGUAGES = 500
+#: Windows that are read at a time.
+BATCH = 1024
+#: Fills up the few windows of training that are shorter than the others.
+PAD = 0x20
 UND = "und"
 
 
@@ -57,36 +62,83 @@ class Network:
         for d in "fb":
             self.p |= {f"W{d}": f(embed, 3 * hidden), f"U{d}": f(hidden, 2 * hidden), f"V{d}": f(hidden, hidden), f"c{d}": np.zeros(3 * hidden, np.float32)}
 
-    def _run(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each step for units of equal length: x is (units, steps) of bytes, in reading order."""
+    def _steps(self, x: np.ndarray, d: str, tape: list | None = None) -> Iterator[np.ndarray]:
+        """The states after each step for windows of equal length: x is (windows, steps) of bytes, in reading order."""
         p, H = self.p, self.h
         table = p["E"] @ p[f"W{d}"] + p[f"c{d}"]
         h = np.zeros((len(x), H), np.float32)
-        states, tape = np.empty((x.shape[1], len(x), H), np.float32), []
-        for t in range(x.shape[1]):
-            g = table[x[:, t]]
+        for byte in np.ascontiguousarray(x.T):
+            g = table[byte]
             zr = _sigmoid(g[:, : 2 * H] + h @ p[f"U{d}"])
             z, r = zr[:, :H], zr[:, H:]
             rh = r * h
             c = np.tanh(g[:, 2 * H :] + rh @ p[f"V{d}"])
-            if keep:
+            if tape is not None:
                 tape.append((h, z, r, rh, c))
             h = z * (h - c) + c
+            yield h
+
+    def _run(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+        """All states, as (steps, windows, hidden), and what backpropagation needs."""
+        tape: list = []
+        states = np.empty((x.shape[1], len(x), self.h), np.float32)
+        for t, h in enumerate(self._steps(x, d, tape if keep else None)):
             states[t] = h
         return states, tape
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """(units, steps, classes) probabilities."""
+        """(windows, steps, classes) probabilities."""
         f, _ = self._run(x, "f", False)
         b, _ = self._run(x[:, ::-1], "b", False)
-        s = f @ self.p["O"][: self.h] + b[::-1] @ self.p["O"][self.h :] + self.p["b"]
+        return np.stack([self._softmax(f[t], b[-1 - t]) for t in range(x.shape[1])], 1)
+
+    def _softmax(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s = f @ self.p["O"][: self.h] + b @ self.p["O"][self.h :] + self.p["b"]
         s -= s.max(-1, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(-1, keepdims=True)
-        return s.transpose(1, 0, 2)
+        return s
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Weighted mean loss over all positions, and its gradient through time."""
+    def states(self, x: np.ndarray, lens: np.ndarray, d: str) -> np.ndarray:
+        """As ``_run`` for windows of falling lengths: step t has those that are longer than t, and nothing is filled up."""
+        p, H = self.p, self.h
+        table = p["E"] @ p[f"W{d}"] + p[f"c{d}"]
+        # A sigmoid is a hyperbolic tangent of half the value.
+        gates, cand, U, V = 0.5 * table[:, : 2 * H], table[:, 2 * H :].copy(), 0.5 * p[f"U{d}"], p[f"V{d}"]
+        steps = x.shape[1]
+        n = np.searchsorted(-lens, -np.arange(steps), "left")
+        out = np.zeros((steps, len(x), H), np.float32)
+        h = np.zeros((len(x), H), np.float32)
+        bytes_ = np.ascontiguousarray(x.T)
+        for t, a in enumerate(n.tolist()):
+            h, byte = h[:a], bytes_[t, :a]
+            zr = h @ U
+            zr += gates[byte]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            z = zr[:, :H]
+            c = (zr[:, H:] * h) @ V
+            c += cand[byte]
+            np.tanh(c, out=c)
+            h = np.subtract(h, c)
+            h *= z
+            h += c
+            out[t, :a] = h
+        return out
+
+    def pooled(self, x: np.ndarray, lens: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Sums of the probabilities at the positions from first to before after, of windows of falling lengths."""
+        steps = np.arange(x.shape[1])
+        back = np.where(steps < lens[:, None], lens[:, None] - 1 - steps, 0)
+        f, b = self.states(x, lens, "f"), self.states(np.take_along_axis(x, back, 1), lens, "b")
+        out = np.empty((len(x), self.k), np.float32)
+        for i, (n, lo, hi) in enumerate(zip(lens.tolist(), first.tolist(), after.tolist())):
+            out[i] = self._softmax(f[lo:hi, i], b[n - hi : n - lo, i][::-1]).sum(0)
+        return out
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the first n positions of each window, and its gradient through time."""
         p, H = self.p, self.h
         f, tape_f = self._run(x, "f", True)
         b, tape_b = self._run(x[:, ::-1], "b", True)
@@ -94,19 +146,19 @@ class Network:
         s = both @ p["O"] + p["b"]
         s -= s.max(-1, keepdims=True)
         s -= np.log(np.exp(s).sum(-1, keepdims=True))
-        n = len(x)
-        scale = (weight / (weight.sum() * x.shape[1])).astype(np.float32)
-        loss = float(-(s[:, np.arange(n), y] * scale).sum())
+        rows = np.arange(len(x))
+        scale = ((np.arange(x.shape[1])[:, None] < n) / max(1, n.sum())).astype(np.float32)
+        loss = float(-(s[:, rows, y] * scale).sum())
         ds = np.exp(s)
-        ds[:, np.arange(n), y] -= 1
-        ds *= scale[None, :, None]
+        ds[:, rows, y] -= 1
+        ds *= scale[:, :, None]
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["O"] = both.reshape(-1, 2 * H).T @ ds.reshape(-1, self.k)
         g["b"] = ds.sum((0, 1))
         dboth = ds @ p["O"].T
         for d, tape, xs, dout in (("f", tape_f, x, dboth[..., :H]), ("b", tape_b, x[:, ::-1], dboth[::-1, :, H:])):
-            dh = np.zeros((n, H), np.float32)
-            dtable = np.zeros((256, 3 * H), np.float32)
+            dh = np.zeros((len(x), H), np.float32)
+            dg = np.empty((x.shape[1], len(x), 3 * H), np.float32)
             for t in range(x.shape[1] - 1, -1, -1):
                 h, z, r, rh, c = tape[t]
                 dh = dh + dout[t]
@@ -114,49 +166,38 @@ class Network:
                 dz = dh * (h - c) * z * (1 - z)
                 drh = dc @ p[f"V{d}"].T
                 dr = drh * h * r * (1 - r)
-                dzr = np.concatenate([dz, dr], 1)
-                g[f"U{d}"] += h.T @ dzr
+                dg[t, :, :H], dg[t, :, H : 2 * H], dg[t, :, 2 * H :] = dz, dr, dc
+                g[f"U{d}"] += h.T @ dg[t, :, : 2 * H]
                 g[f"V{d}"] += rh.T @ dc
-                dg = np.concatenate([dzr, dc], 1)
-                for j in range(3 * H):
-                    dtable[:, j] += np.bincount(xs[:, t], dg[:, j], 256)
-                dh = dh * z + drh * r + dzr @ p[f"U{d}"].T
+                dh = dh * z + drh * r + dg[t, :, : 2 * H] @ p[f"U{d}"].T
+            byte = xs.T.ravel()
+            dtable = np.stack([np.bincount(byte, dg[..., j].ravel(), 256) for j in range(3 * H)], 1).astype(np.float32)
             g[f"W{d}"] = p["E"].T @ dtable
             g["E"] += dtable @ p[f"W{d}"].T
             g[f"c{d}"] = dtable.sum(0)
         return loss, g
 
 
-def units(words: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Units of space-delimited words by length: (bytes matrix, number of its word)."""
-    out: dict[int, tuple[list[bytes], list[int]]] = {}
-    for i, w in enumerate(words):
-        u = b" " + w + b" "
-        for a in range(0, len(u), UNIT):
-            rows, own = out.setdefault(len(u[a : a + UNIT]), ([], []))
-            rows.append(u[a : a + UNIT])
-            own.append(i)
-    return {n: (np.frombuffer(b"".join(rows), np.uint8).reshape(-1, n), np.array(own)) for n, (rows, own) in out.items()}
+def filled(spans: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of one size, filled up with spaces, and their own lengths."""
+    x = np.full((len(spans), size), PAD, np.uint8)
+    for row, s in zip(x, spans):
+        row[: len(s)] = np.frombuffer(s, np.uint8)
+    return x, np.array([len(s) for s in spans])
 
 
-def train(words: list[bytes], langs: np.ndarray, counts: np.ndarray, classes: int, steps: int = 900, batch: int = 384, rate: float = 0.012, seed: int = 5) -> Network:
-    """Adam on batches of units of one length, drawn by their share of positions."""
+def train(spans: list[bytes], langs: np.ndarray, classes: int, steps: int = 300, batch: int = 256, rate: float = 0.012, seed: int = 5) -> Network:
+    """Adam on batches of windows; all languages have the same share of them."""
     net, rng = Network(classes, seed), np.random.default_rng(seed)
-    by = list(units(words).values())
-    # A frequent word weighs by the root of its count; languages weigh alike.
-    w = np.sqrt(counts.astype(np.float64))
-    w /= np.bincount(langs, w, classes)[langs]
-    pick = [w[own] / w[own].sum() for _, own in by]
-    share = np.array([(w[own].sum()) * x.shape[1] for x, own in by])
-    share /= share.sum()
-    cum = [np.cumsum(q) for q in pick]
+    x, n = filled(spans, SPAN)
+    by = [np.flatnonzero(langs == k) for k in range(classes)]
+    some = np.array([k for k in range(classes) if len(by[k])])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v = {k: np.zeros_like(x) for k, x in net.p.items()}
+    v = {k: np.zeros_like(w) for k, w in net.p.items()}
     for step in range(1, steps + 1):
-        j = rng.choice(len(by), p=share)
-        x, own = by[j]
-        at_ = np.minimum(np.searchsorted(cum[j], rng.random(batch)), len(own) - 1)
-        _, g = net.gradient(x[at_], langs[own[at_]], np.ones(len(at_)))
+        pick = some[rng.integers(0, len(some), batch)]
+        rows = np.array([by[k][rng.integers(len(by[k]))] for k in pick])
+        _, g = net.gradient(x[rows], langs[rows], n[rows])
         lr = rate * min(1.0, 2.0 * (1 - step / (steps + 1)))
         for k in net.p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -169,57 +210,63 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> tuple[list[str], Network | None]:
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each text, spread over it evenly."""
+    for batch in batches:
+        langs, spans = [], []
+        for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            raw = t.encode()
+            k = max(1, min(SPANS, len(raw) // SPAN))
+            starts = [j * (len(raw) - SPAN) // max(1, k - 1) for j in range(k)] if len(raw) > SPAN else [0]
+            spans += [raw[a : a + SPAN] for a in starts]
+            langs += [lang] * len(starts)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(spans, pa.binary())], ["lang", "span"])
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], Network | None]:
     """Languages in order, and the network, from documents that aren't held out and have a lang."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = rows.groupBy("lang").count().collect()  # a row per language
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return [], None
     # Each language gives up to its part of the bound.
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, train_docs / len(langs) / r["count"]) * (1 << 30))))))
-    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")])
-    words = some.select("lang", F.explode(F.split("text", SPACE)).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
-    got = words.orderBy(F.desc("count"), F.xxhash64("word"), "lang").limit(train_words).toPandas()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, train_docs / len(langs) / r["n"]) * (1 << 30))) for r in sizes], "lang string, share long")
+    some = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share"))  # LANGUAGES rows at most
+    got = some.filter("text <> ''").select("lang", "text").mapInArrow(_spans, "lang string, span binary").distinct().toPandas()
     if not len(got):
         return langs, None
+    got = got.sort_values(["lang", "span"])
     number = {x: i for i, x in enumerate(langs)}
-    return langs, train([w.encode() for w in got["word"]], got["lang"].map(number).to_numpy(), got["count"].to_numpy(), len(langs))
-
-
-class Reader:
-    """Sums of position probabilities per distinct word, computed once and kept."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.keys = np.zeros(0, np.uint64)
-        self.sums = np.zeros((0, net.k + 1), np.float32)
-
-    def word_sums(self, t: at.Texts, w: at.Words) -> np.ndarray:
-        """For each word: the sum of its positions' probabilities, and in the last column their number."""
-        h = at.byte_hashes(t.data, w.starts, w.lens)
-        uniq, where = np.unique(h, return_index=True)
-        if len(self.keys) > CACHE:
-            self.__init__(self.net)
-        known = np.zeros(len(uniq), bool)
-        if len(self.keys):
-            p = np.minimum(np.searchsorted(self.keys, uniq), len(self.keys) - 1)
-            known = self.keys[p] == uniq
-        new = where[~known]
-        if len(new):
-            raw = t.data.tobytes()
-            words = [raw[a : a + n] for a, n in zip(w.starts[new].tolist(), w.lens[new].tolist())]
-            sums = np.zeros((len(new), self.net.k + 1))
-            for n, (x, own) in units(words).items():
-                for a in range(0, len(x), 8192):
-                    part = self.net.predict(x[a : a + 8192]).sum(1)
-                    for k in range(self.net.k):
-                        sums[:, k] += np.bincount(own[a : a + 8192], part[:, k], len(new))
-                    sums[:, -1] += n * np.bincount(own[a : a + 8192], minlength=len(new))
-            keys = np.concatenate([self.keys, uniq[~known]])
-            order = np.argsort(keys)
-            self.keys, self.sums = keys[order], np.concatenate([self.sums, sums.astype(np.float32)])[order]
-        return self.sums[np.searchsorted(self.keys, h)]
+    return langs, train(got["span"].tolist(), got["lang"].map(number).to_numpy(), len(langs))
+
+
+def windows(t: at.Texts) -> tuple[np.ndarray, ...]:
+    """Windows of a slice's texts: the text, where the window begins and ends in the slice, and which of its positions count."""
+    n = np.diff(t.offsets)
+    k = np.where(n > WHOLE, -(-n // CORE), np.minimum(n, 1))
+    own = np.repeat(np.arange(len(t)), k)
+    j = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k)
+    long = n[own] > WHOLE
+    core = np.where(long, j * CORE, 0)
+    end = np.where(long, np.minimum(core + CORE, n[own]), n[own])
+    begin = np.maximum(core - CONTEXT, 0)
+    stop = np.minimum(end + CONTEXT, n[own])
+    base = t.offsets[own]
+    return own, base + begin, base + stop, core - begin, end - begin
+
+
+def read(net: Network, t: at.Texts) -> np.ndarray:
+    """Each text's sum of the probabilities at all its positions."""
+    own, begin, stop, first, after = windows(t)
+    out = np.zeros((len(t), net.k))
+    order = np.argsort(begin - stop, kind="stable")
+    for a in range(0, len(order), BATCH):
+        w = order[a : a + BATCH]
+        lens = stop[w] - begin[w]
+        x = t.data[np.minimum(begin[w, None] + np.arange(lens[0]), len(t.data) - 1)]
+        np.add.at(out, own[w], net.pooled(x, lens, first[w], after[w]))
+    return out
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -237,16 +284,12 @@ def _has_letter(t: at.Texts) -> np.ndarray:
 def _predict(text_at: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, net = shared.value
-        reader = Reader(net) if net else None
         for batch in batches:
             for t in at.slices(batch.column(text_at)):
                 ok = _has_letter(t) & t.valid & (net is not None)
                 best, score = np.zeros(len(t), np.int64), np.zeros(len(t))
                 if net is not None and len(t.data):
-                    w = at.words(t, at.NOT_SPACE)
-                    sums = np.concatenate([np.zeros((1, net.k + 1)), np.cumsum(reader.word_sums(t, w), 0, dtype=np.float64)])
-                    own = sums[w.first[1:]] - sums[w.first[:-1]]
-                    prob = own[:, :-1] / np.maximum(own[:, -1:], 1)
+                    prob = read(net, t) / np.maximum(np.diff(t.offsets), 1)[:, None]
                     best, score = prob.argmax(1), np.clip(prob.max(1), 0, 1)
                 names = [langs[b] if o else UND for b, o in zip(best.tolist(), ok.tolist())]
                 yield pa.RecordBatch.from_arrays(

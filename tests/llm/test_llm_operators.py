@@ -549,19 +549,66 @@ def test_gru_gradient():
     net = language_id.Network(3, embed=4, hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
-    x, y = rng.integers(97, 100, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5)
-    _, g = net.gradient(x, y, np.ones(5))
+    x, y, n = rng.integers(97, 100, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5), np.array([6, 4, 6, 1, 6])
+    _, g = net.gradient(x, y, n)
     for k, v in net.p.items():
         at = (98, 1) if k == "E" else tuple(rng.integers(0, s) for s in v.shape)
         old = v[at]
         v[at] = old + 1e-3
-        up, _ = net.gradient(x, y, np.ones(5))
+        up, _ = net.gradient(x, y, n)
         v[at] = old - 1e-3
-        down, _ = net.gradient(x, y, np.ones(5))
+        down, _ = net.gradient(x, y, n)
         v[at] = old
         assert g[k][at] == pytest.approx((up - down) / 2e-3, abs=1e-4)
 
 
+def _one_by_one(net, raw):
+    """The sum of a text's position probabilities by a plain recurrence over each window."""
+    p, H = net.p, net.h
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(data, d):
+        h, out = np.zeros(H), []
+        for byte in data:
+            g = p["E"][byte] @ p[f"W{d}"] + p[f"c{d}"]
+            zr = sig(g[: 2 * H] + h @ p[f"U{d}"])
+            c = np.tanh(g[2 * H :] + (zr[H:] * h) @ p[f"V{d}"])
+            h = zr[:H] * h + (1 - zr[:H]) * c
+            out.append(h)
+        return out
+
+    n, total = len(raw), np.zeros(net.k)
+    cores = [(0, n)] if n <= language_id.WHOLE else [(a, min(n, a + language_id.CORE)) for a in range(0, n, language_id.CORE)]
+    for a, b in cores:
+        lo, hi = (max(0, a - language_id.CONTEXT), min(n, b + language_id.CONTEXT)) if len(cores) > 1 else (0, n)
+        f, back = states(raw[lo:hi], "f"), states(raw[lo:hi][::-1], "b")[::-1]
+        for i in range(a - lo, b - lo):
+            e = np.exp(np.concatenate([f[i], back[i]]) @ p["O"] + p["b"])
+            total += e / e.sum()
+    return total
+
+
+def test_language_positions_one_by_one():
+    """Every position of every text counts once, and as a plain recurrence would have it."""
+    net = language_id.Network(3, seed=2)
+    texts = ["a", "héllo wörld " * 3, "", None, "x" * language_id.WHOLE, "some words and more " * 60, "é" * 700]
+    for batch in (2, 1024):
+        language_id.BATCH, kept = batch, language_id.BATCH
+        t = next(arrow_text.slices(pa.array(texts)))
+        got = language_id.read(net, t)
+        language_id.BATCH = kept
+        for row, x in zip(got, texts):
+            raw = (x or "").encode()
+            assert row == pytest.approx(_one_by_one(net, raw), abs=1e-2)
+            assert row.sum() == pytest.approx(len(raw), rel=1e-4)
+
+
+def test_language_of_held_out_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    got = language_id.identify(spark, d, language_id.fit(d)).filter(language_id.held_out("doc_id") & F.col("lang").isNotNull() & (F.col("lang_pred") != "und")).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got) > 50
+
+
 def test_language_id(spark, empty):
     alpha = {"aa": "abc", "bb": "xyz"}
     rng = random.Random(1)
