@@ -7,7 +7,7 @@ so a text falls into segments: one space mark, if any, and what follows it.
 Encoding a batch:
 
 1. The distinct segments of the batch are joined into one text, with a
-   separator, and its suffix array, 16 characters deep, is built in numpy.
+   separator, and its suffix array, as deep as the longest piece, is built in numpy.
 2. Every piece is looked up by binary search; the range it finds lists all its
    occurrences. These are the edges, sorted by where they end.
 3. Edges are relaxed in order of position. A prefix of a segment has one
@@ -24,7 +24,7 @@ Decoding joins pieces and bytes and drops the first space. Encoded segments are
 remembered within a worker, up to a bound. The tokenizer file's path is a
 parameter.
 
-Defined cases: a null text has null ids; an empty text has none; invalid byte
+Defined cases: a model of another kind than byte pairs is refused; a null text has null ids; an empty text has none; invalid byte
 sequences in ids decode to U+FFFD; extra columns pass through.
 """
 
@@ -44,7 +44,6 @@ from quarry.llm import arrow_text as at
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 MARK_BYTES = chr(MARK).encode()
-DEEP = 16
 #: Ends a segment in the batch's text; no character.
 SEPARATOR = 0x110000
 CACHE = 250_000
@@ -71,6 +70,8 @@ class Model:
         plain = [i for i in range(n) if not special[i] and self.byte_of[i] < 0]
         self.id_of = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: sp.get_score(i) for i in plain}
+        if any(s != int(s) or s > 0 for t, s in self.score.items() if len(t) > 1):
+            raise ValueError(f"{path}: the scores of its pieces are no merge order; only byte-pair models can be used")
         #: Rank in merge order; single characters, which no merge makes, come first.
         chars = [i for i in plain if len(self.text[i]) == 1]
         longer = sorted((i for i in plain if len(self.text[i]) > 1), key=lambda i: (-sp.get_score(i), i))
@@ -101,11 +102,13 @@ class Model:
                 self.left[r], self.right[r] = got
         order = np.argsort(np.array(pair, np.int64))
         self.pair, self.made = np.array(pair, np.int64)[order], np.array(made, np.int64)[order]
-        usable = [(t, r) for t, r in ranks.items() if reach[r] and len(t) <= DEEP]
+        usable = [(t, r) for t, r in ranks.items() if reach[r]]
         self.use_rank = np.array([r for _, r in usable], np.int64)
         self.use_len = np.array([len(t) for t, _ in usable], np.int64)
-        self.use_char = np.zeros((len(usable), DEEP), np.uint32)
-        self.use_char[np.arange(DEEP)[None, :] < self.use_len[:, None]] = np.frombuffer("".join(t for t, _ in usable).encode("utf-32-le"), np.uint32)
+        #: The suffix array's depth: characters of the longest piece.
+        self.deep = int(self.use_len.max(initial=1))
+        self.use_char = np.zeros((len(usable), self.deep), np.uint32)
+        self.use_char[np.arange(self.deep)[None, :] < self.use_len[:, None]] = np.frombuffer("".join(t for t, _ in usable).encode("utf-32-le"), np.uint32)
         raw = [bytes([self.byte_of[i]]) if self.byte_of[i] >= 0 else b"" if special[i] else self.text[i].replace(spaces, " ").encode() for i in range(n)]
         self.raw_len = np.array([len(x) for x in raw])
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
@@ -196,7 +199,7 @@ class Model:
         n = len(code)
         bits = max(1, int(len(alphabet) + 1).bit_length())
         per = 62 // bits
-        words = -(-DEEP // per)
+        words = -(-(self.deep + 1) // per)  # one letter more than the longest piece, to bound its range from above
         padded = np.concatenate([code, np.zeros(per * words, np.int64)])
         keys = []
         for w in range(words):
@@ -206,12 +209,12 @@ class Model:
             keys.append(k)
         suffix = np.lexsort(keys[::-1]) if words > 1 else np.argsort(keys[0], kind="stable")
         keys = [k[suffix] for k in keys]
-        inside = np.arange(DEEP)[None, :] < self.use_len[:, None]
+        inside = np.arange(self.deep)[None, :] < self.use_len[:, None]
         found = np.minimum(np.searchsorted(alphabet, self.use_char), len(alphabet) - 1)
         here = ((alphabet[found] == self.use_char) | ~inside).all(1)
         rank, size = self.use_rank[here], self.use_len[here]
         letters = np.zeros((len(rank), per * words), np.int64)
-        letters[:, :DEEP] = np.where(inside[here], found[here] + 1, 0)
+        letters[:, : self.deep] = np.where(inside[here], found[here] + 1, 0)
         top = np.arange(per * words)[None, :] >= size[:, None]
         lo = self._bound(keys, letters, per, bits)
         hi = self._bound(keys, np.where(top, (1 << bits) - 1, letters), per, bits)

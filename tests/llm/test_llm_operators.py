@@ -283,6 +283,48 @@ def test_pieces_against_library(spark, clash, empty):
 # -- 6 -------------------------------------------------------------------------
 
 
+class _Toy:
+    """A model file as the library would read it: characters, and merges up to a piece of forty letters."""
+
+    pieces = ["<unk>", *(f"<0x{i:02X}>" for i in range(256)), "\u2581", "a", "b", *("ab" * (1 << k) for k in range(5)), "ab" * 20]
+
+    def __init__(self, model_file):
+        self.fraction = 0.5 if "unigram" in model_file else 0.0
+
+    def vocab_size(self):
+        return len(self.pieces)
+
+    def id_to_piece(self, i):
+        return self.pieces[i]
+
+    def get_score(self, i):
+        return -float(i) - self.fraction
+
+    def is_unknown(self, i):
+        return i == 0
+
+    def is_control(self, i):
+        return False
+
+    is_unused = is_control
+
+    def is_byte(self, i):
+        return 1 <= i <= 256
+
+
+def test_pieces_of_any_length(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", _Toy)
+    model = pieces.Model("toy")
+    assert model.deep >= 40
+    ids, cuts = model.encode_segments(["ab" * 20, "ab" * 16, "ab" * 3])
+    got = [[_Toy.pieces[i] for i in ids[a:b]] for a, b in zip(cuts, cuts[1:])]
+    assert got == [["ab" * 20], ["ab" * 16], ["abab", "ab"]]
+    with pytest.raises(ValueError, match="byte-pair"):
+        pieces.Model("unigram")
+
+
 def _set(t):
     w = (t or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
