@@ -14,10 +14,10 @@ log-probabilities (its pseudo-log-likelihood).
 1. Texts are cut into words once, in slices; each slice lists its distinct words.
 2. Those lists give the counts, and are joined with them again; every slice gets
    the counts of its own words and turns its words into classes and shares.
-3. Training is data-parallel over the whole corpus: every partition trains a
-   copy of the same start by gradient descent over all its documents of the
-   round (``ROUNDS`` disjoint rounds), and the copies are averaged by a Spark
-   aggregation, weighted by their words.
+3. Training starts from the classes' own shares and takes ``ROUNDS`` steps of Adam,
+   each on the gradient of its own part of all documents, chosen by their hash.
+   Tasks sum gradients, Spark sums the tasks', and the driver takes the step, so
+   scores don't depend on how the documents lie in partitions (but for rounding).
 
 The network, the frequent words and a row for each count that occurs are
 broadcast; all three grow with a root of the corpus. No list of words is.
@@ -48,7 +48,9 @@ CLASSES = 64
 FREQUENT = 40
 HIDDEN = 16
 WINDOW = 2
-ROUNDS = 2
+ROUNDS = 12
+#: Sums of gradients that come to the driver in a step.
+SUMS = 32
 BATCH = 4096
 #: Texts are cut into slices of this size (a longer text is a slice by itself).
 SLICE_BYTES = 1 << 21
@@ -372,42 +374,74 @@ def _coded(batch: pa.RecordBatch, classes: int) -> Iterator[list]:
         yield [row[0], np.frombuffer(row[1], np.int64), np.frombuffer(row[2], _narrow(classes)).astype(np.int64), *row[3:]]
 
 
-def _train(shared, rate: float, r: int, rounds: int):
+def _hash(klass: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each text's classes, in order."""
+    n = np.diff(first)
+    place = np.arange(len(klass)) - np.repeat(first[:-1], n)
+    h = at.mix(klass.astype(np.uint64) + at.BASE * (place.astype(np.uint64) + np.uint64(1)))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
+    return at.mix(total[first[1:]] - total[first[:-1]])
+
+
+def _gradients(shared, r: int, rounds: int):
+    """Each task's sum of gradients over the texts of round r, and of their words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, start = shared.value
-        net = Network(classes=classes).load(start)
-        m, v = [np.zeros_like(x) for x in net.p], [np.zeros_like(x) for x in net.p]
-        seen, step = 0, 0
+        classes, flat = shared.value
+        net = Network(classes=classes).load(flat)
+        total, seen = np.zeros(len(flat)), 0
         for batch in batches:
-            for number, first, klass in _coded(batch, classes):
-                mine = np.repeat((np.arange(len(first) - 1) + number) % rounds == r, np.diff(first))
-                context, klass = contexts(klass, first, classes)[:, mine], klass[mine]
+            for _, first, klass in _coded(batch, classes):
+                mine = _hash(klass, first) % np.uint64(rounds) == r
+                n = np.diff(first)
+                klass, first = klass[np.repeat(mine, n)], np.concatenate([[0], np.cumsum(n[mine])])
+                context = contexts(klass, first, classes)
                 for a in range(0, len(klass), BATCH):
                     y = klass[a : a + BATCH]
                     _, g = net.gradient(context[:, a : a + BATCH], y)
-                    step += 1
-                    for i, x in enumerate(g):
-                        m[i] += 0.1 * (x - m[i])
-                        v[i] += 0.01 * (x * x - v[i])
-                        net.p[i] -= rate / np.sqrt(1 + step / 100) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-6)
+                    total += np.concatenate([x.ravel() for x in g]).astype(np.float64) * len(y)
                     seen += len(y)
             at.give_back()
         if seen:
-            flat = net.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen))], ["k", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([seen])], ["part", "total", "n"])
 
     return run
 
 
-def train(coded: DataFrame, classes: int, rounds: int = ROUNDS) -> np.ndarray:
-    """The network's weights; each round takes every rounds-th text of every slice."""
-    flat = Network(classes=classes).flat()
+def _sum(tasks: pa.Table) -> pa.Table:
+    total = np.zeros(len(tasks.column("total")[0].as_py()) // 8)
+    for x in tasks.column("total"):
+        total += np.frombuffer(x.as_py(), np.float64)
+    return pa.table({"total": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(tasks.column("n").to_pylist())])})
+
+
+def train(coded: DataFrame, bands: Bands, rounds: int = ROUNDS, rate: float = 0.15) -> np.ndarray:
+    """The network's weights after a step on each round's texts."""
+    spark = coded.sparkSession
+    net = Network(classes=bands.classes)
+    mass = bands.mass.reshape(net.groups, CLASSES) + 1.0
+    net.p[2 * WINDOW + 1] = np.log(mass / mass.sum(1, keepdims=True)).ravel().astype(np.float32)
+    if net.groups > 1:
+        net.p[-1] = np.log(mass.sum(1) / mass.sum()).astype(np.float32)
+    flat = net.flat().astype(np.float64)
+    m, v = np.zeros_like(flat), np.zeros_like(flat)
+    step = 0
     for r in range(rounds):
-        shared = coded.sparkSession.sparkContext.broadcast((classes, flat))
-        copies = coded.select("slice", "first", "klass").mapInArrow(_train(shared, 0.02 / (r + 1), r, rounds), "k int, x double, n long")
-        mean = copies.groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()  # a row per parameter
-        if len(mean):
-            flat = mean.sort_values("k")["x"].to_numpy()
+        shared = spark.sparkContext.broadcast((bands.classes, flat.astype(np.float32)))
+        sums = coded.select("slice", "first", "klass").mapInArrow(_gradients(shared, r, rounds), "part int, total binary, n long")
+        g, seen = np.zeros_like(flat), 0
+        for row in sums.groupBy("part").applyInArrow(_sum, "total binary, n long").toLocalIterator():  # SUMS rows at most
+            g += np.frombuffer(row["total"], np.float64)
+            seen += row["n"]
+        if not seen:
+            continue
+        g /= seen
+        step += 1
+        m += 0.2 * (g - m)
+        v += 0.1 * (g * g - v)
+        fall = min(1.0, 2.0 * (1 - (r + 1) / (rounds + 1)))
+        flat -= rate * fall * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.9**step)) + 1e-6)
+        shared.destroy()
     return flat.astype(np.float32)
 
 
@@ -417,7 +451,7 @@ def _learn(spark: SparkSession, docs: DataFrame, text_col: str, kept: list[int],
     vocab = Vocabulary(ws.stage(word_lists(slices).groupBy("word").agg(F.sum("n").alias("n")), "words"))
     coded = vocab.code(slices, ws)
     ws.drop(slices)
-    return vocab, train(coded, vocab.classes, rounds), coded
+    return vocab, train(coded, vocab.bands, rounds), coded
 
 
 def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:

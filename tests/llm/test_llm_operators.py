@@ -239,6 +239,22 @@ def test_masked_lm_tells_all_words_apart(spark):
     assert klass.max() >= masked_lm.CLASSES
 
 
+def test_masked_lm_ignores_layout(spark):
+    """Fitted on 2 and on 7 partitions, documents have the same scores; and training beats the words' shares alone."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(300).cache()
+    scores = []
+    for parts in (2, 7):
+        model = masked_lm.fit(spark, d.repartition(parts))
+        scores.append({r["doc_id"]: r["pll"] for r in masked_lm.score(spark, d, model).collect()})
+    assert all(b == pytest.approx(scores[1][i], rel=1e-3) for i, b in scores[0].items())
+    bare = masked_lm.Network(classes=model[0].classes)
+    mass = model[0].bands.mass.reshape(bare.groups, -1) + 1.0
+    bare.p = [0 * x for x in bare.p]
+    bare.p[2 * masked_lm.WINDOW + 1] = np.log(mass / mass.sum(1, keepdims=True)).ravel().astype(np.float32)
+    alone = sum(r["pll"] for r in masked_lm.score(spark, d, (model[0], bare.flat())).collect())
+    assert sum(scores[1].values()) > 0.99 * alone
+
+
 def test_masked_hierarchy():
     """The ways to the classes have the probabilities of the whole distribution, and the gradient is theirs."""
     net = masked_lm.Network(classes=3 * masked_lm.CLASSES)
