@@ -20,6 +20,8 @@ TRIGGER_WORDS = (
     r"(?i)\b(due|deadline|expir\w+|renew\w*|valid\s+(?:until|till|through)|no\s+later\s+than|on\s+or\s+before|last\s+date|cut[\s-]?off|payable|remit|submit|filed?\s+by|respond|lapse\w*|maturity|effective\s+date|notice\s+period|terminat\w+|grace\s+period|overdue|reminder|by\s+the)\b"
 )
 # Fixed values end.
+#: Steps after which a repeated date has found its last day of the month (leap years may be eight years apart).
+DRIFT = 100
 
 
 def date_reasons(c: Column) -> Column:
@@ -41,15 +43,23 @@ def step(date: Column, every: Column) -> Column:
     return F.when(every == "weekly", F.date_add(date, 7)).when(every == "monthly", F.add_months(date, 1)).when(every == "quarterly", F.add_months(date, 3)).when(every == "yearly", F.add_months(date, 12))
 
 
-def next_occurrence(date: Column, every: Column, today: Column, most: int = 600) -> Column:
+def next_occurrence(date: Column, every: Column, today: Column) -> Column:
     """Repeated steps until not before today; the 31st, once shortened to the 28th, stays there.
 
-    Steps already past are folded over; ``most`` bounds weekly series of about eleven years, and a
-    weekly date is first brought near by whole weeks.
+    A day up to the 28th is never shortened, so whole periods are skipped at once. A later day is first stepped
+    ``DRIFT`` times: by then a series of months has passed a February of 28 days, one of quarters every month it meets,
+    and one of years its shortest; the rest is skipped at once as well.
     """
-    weeks = F.greatest(F.lit(0), F.floor(F.datediff(today, date) / 7)).cast("int")
-    near = F.when(every == "weekly", F.date_add(date, F.when(F.date_add(date, weeks * 7) < today, weeks + 1).otherwise(weeks) * 7)).otherwise(date)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), near, lambda d, _: F.when((d < today) & step(d, every).isNotNull(), step(d, every)).otherwise(d))
+    months = F.when(every == "monthly", 1).when(every == "quarterly", 3).when(every == "yearly", 12)
+    weeks = F.greatest(F.lit(0), F.floor((F.datediff(today, date) + 6) / 7)).cast("int")
+
+    def skip(d: Column) -> Column:
+        apart = (F.year(today) - F.year(d)) * 12 + F.month(today) - F.month(d)
+        near = F.add_months(d, F.floor(apart / months).cast("int") * months)
+        return F.when(d >= today, d).when(near >= today, near).otherwise(F.add_months(d, (F.floor(apart / months).cast("int") + 1) * months))
+
+    stepped = F.aggregate(F.sequence(F.lit(1), F.lit(DRIFT)), date, lambda d, _: F.when(d < today, step(d, every)).otherwise(d))
+    return F.when(every == "weekly", F.date_add(date, weeks * 7)).when(months.isNotNull() & (F.dayofmonth(date) <= 28), skip(date)).when(months.isNotNull(), skip(stepped)).otherwise(date)
 
 
 def period_index(c: Column) -> Column:

@@ -5,14 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
 SIZE, OVERLAP = 1800, 200
+#: Numbers of the order column in a range of batches.
+SPAN = 10_000
 _SENTENCE = re.compile(r"(?<=[.!?])(?=\s+[A-Z\"'(])|(?<=\n)")
 
 # Phrases that mark a document's type, with their weights; categories in order of precedence.
@@ -116,42 +120,123 @@ def leading(chunks: DataFrame, file_col: str, budget: int) -> DataFrame:
     return chunks.withColumn("before", before).filter(F.col("before") < budget).drop("before")
 
 
-def batches(docs: DataFrame, group_col: str, order_col: str, size_col: str, most_chars: int, most_docs: int) -> DataFrame:
-    """Greedy batches within each group: a new one where the next document would exceed the characters or the count.
+def batches(docs: DataFrame, group_col: str, order_col: str, size_col: str, most_chars: int, most_docs: int, span: int = SPAN) -> DataFrame:
+    """Greedy batches: a new one where the next document would exceed the characters or the count.
 
-    A fold over each group's ordered documents; groups (a folder, a client) are bounded by the caller.
+    A batch depends on the one before it, so this is a fold. Each group is cut into ranges of ``span`` numbers of its
+    order column, and batches begin anew in each: a task folds one range, however large the group. Rows are
+    (group, order, range, batch); batches count from 0 in each range.
     """
-    kind = docs.schema[group_col].dataType.simpleString()
-    okind = docs.schema[order_col].dataType.simpleString()
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (group_col, order_col)}
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(order_col)
         number, used, count, out = 0, 0, 0, []
-        for n in f[size_col]:
+        for n in f[size_col].fillna(0):
             if count and (used + n > most_chars or count >= most_docs):
                 number, used, count = number + 1, 0, 0
             used, count = used + n, count + 1
             out.append(number)
-        return pd.DataFrame({group_col: f[group_col], order_col: f[order_col], "batch": out})
-
-    return docs.select(group_col, order_col, size_col).groupBy(group_col).applyInPandas(run, f"{group_col} {kind}, {order_col} {okind}, batch int")
+        return pd.DataFrame({group_col: f[group_col], order_col: f[order_col], "range": f["range"], "batch": out})
+
+    rows = docs.select(group_col, order_col, size_col, F.floor(F.col(order_col) / span).cast("long").alias("range"))
+    return rows.groupBy(group_col, "range").applyInPandas(run, f"{group_col} {kinds[group_col]}, {order_col} {kinds[order_col]}, range long, batch int")
+
+
+def _substrings(data: np.ndarray, n: int, base: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """Hashes of all substrings of n bytes: differences of the prefix hashes."""
+    return prefix[n:] - prefix[: len(prefix) - n] * base[n]
+
+
+def _locate(sizes: list[int]):
+    def run(probes: pa.Table, pages: pa.Table) -> pa.Table:
+        """First and last pages of each probe's head and tail in these pages, by size: -1 if there is none."""
+        number, texts = pages.column("page").to_pylist(), pages.column("page_text").to_pylist()
+        heads, tails = probes.column("head").to_pylist(), probes.column("tail").to_pylist()
+        first = np.full((len(heads), len(sizes)), -1, np.int64)
+        last = first.copy()
+        raw = b"\n".join(t.encode() for t in texts)
+        data = np.frombuffer(raw, np.uint8)
+        page = np.repeat(np.array(number, np.int64), [len(t) + 1 for t in texts])[: len(data)] if texts else np.zeros(0, np.int64)
+        if len(data):
+            longest = max(sizes)
+            base = np.full(longest + 1, _BASE, np.uint64)
+            base[0] = 1
+            base = np.multiply.accumulate(base)
+            prefix = np.zeros(len(data) + 1, np.uint64)
+            codes = data.astype(np.uint64) + np.uint64(1)
+            # prefix[i + 1] = prefix[i] * base + code[i]: as sums of codes over falling powers, by the inverse of the base.
+            inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), _INVERSE, np.uint64)]))
+            power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), _BASE, np.uint64)]))
+            prefix[1:] = np.cumsum(codes * inverse[1:], dtype=np.uint64) * power[1:]
+            for which, found in ((heads, first), (tails, last)):
+                asked: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+                for i, t in enumerate(which):
+                    for k, n in enumerate(sizes):
+                        s = (t[:n] if which is heads else t[max(0, len(t) - n) :]).encode()
+                        asked.setdefault(len(s), {}).setdefault(s, []).append((i, k))
+                for n, by in asked.items():
+                    if n > len(data):
+                        continue
+                    h = _substrings(data, n, base, prefix)
+                    own = np.array([_hash(s) for s in by], np.uint64)
+                    order = np.argsort(own)
+                    at = np.minimum(np.searchsorted(own[order], h), len(own) - 1)
+                    hit = np.flatnonzero(own[order][at] == h)
+                    spots: dict[int, np.ndarray] = {}
+                    which_probe = order[at[hit]]
+                    by_probe = np.argsort(which_probe, kind="stable")
+                    cuts = np.searchsorted(which_probe[by_probe], np.arange(len(own) + 1))
+                    for j, (s, places) in enumerate(by.items()):
+                        spots = hit[by_probe[cuts[j] : cuts[j + 1]]]
+                        spots = [p for p in (spots.tolist() if which is heads else spots[::-1].tolist()) if raw[p : p + n] == s]
+                        if spots:
+                            pages_ = page[spots]
+                            for i, k in places:
+                                found[i, k] = pages_.min() if which is heads else pages_.max()
+        return pa.table({"file": probes.column("file"), "chunk_index": probes.column("chunk_index"), "first": pa.array(first.tolist(), pa.list_(pa.int64())), "last": pa.array(last.tolist(), pa.list_(pa.int64()))})
+
+    return run
+
+
+def _hash(s: bytes) -> int:
+    h = 0
+    for c in s:
+        h = (h * int(_BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+#: Pages and chunks of a file that a task holds at a time.
+PAGE_PART, CHUNK_PART = 2_000, 20_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def locate_pages(chunks: DataFrame, pages: DataFrame, file_col: str, probe: int = 60, step: int = 16) -> DataFrame:
     """page_start and page_end of chunks, by looking up their first and last letters and digits on the file's pages.
 
-    The probe shrinks until it is found; chunks that aren't found have nulls.
+    The probe shrinks until it is found; chunks that aren't found have nulls. A task meets a part of a file's pages with
+    a part of its chunks' probes and looks all of them up by rolling hashes, so work grows with the text and not with
+    pages times chunks; parts of one file are put together by an aggregation.
     """
     squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    p = pages.select(file_col, "page", squash(F.col("text")).alias("page_text"))
-    c = chunks.withColumn("flat", squash(F.col("text")))
     sizes = list(range(probe, 0, -step))
-    found = c.join(p, file_col)
-    head = [F.min(F.when(F.col("page_text").contains(F.substr("flat", F.lit(1), F.lit(n))), F.col("page"))) for n in sizes]
-    tail = [F.max(F.when(F.col("page_text").contains(F.substr("flat", F.greatest(F.length("flat") - n + 1, F.lit(1)), F.lit(n))), F.col("page"))) for n in sizes]
-    return found.filter("flat <> ''").groupBy(file_col, "chunk_index").agg(F.coalesce(*head).alias("page_start"), F.coalesce(*tail).alias("page_end"))
-
-
-def marker_table(spark: SparkSession) -> DataFrame:
-    """The markers as rows, for callers that edit them."""
-    return spark.createDataFrame([(c, p, w) for c, ps in MARKERS.items() for p, w in ps.items()], "category string, phrase string, weight int")
+    kind = chunks.schema[file_col].dataType.simpleString()
+    p = pages.select(F.col(file_col).alias("file"), F.col("page").cast("long").alias("page"), squash(F.col("text")).alias("page_text")).filter("page_text <> ''")
+    flat = squash(F.col("text"))
+    c = chunks.select(F.col(file_col).alias("file"), F.col("chunk_index").cast("long").alias("chunk_index"), F.substr(flat, F.lit(1), F.lit(probe)).alias("head"), F.substr(flat, F.greatest(F.length(flat) - probe + 1, F.lit(1))).alias("tail")).filter("head <> ''")
+    p = p.withColumn("p", F.floor(F.col("page") / PAGE_PART).cast("int"))
+    c = c.withColumn("c", F.floor(F.col("chunk_index") / CHUNK_PART).cast("int"))
+    most = p.agg(F.max("p")).first()[0] or 0, c.agg(F.max("c")).first()[0] or 0
+    if any(most):
+        # Files of several parts: each part of the pages meets each part of the chunks.
+        p_of, c_of = p.select("file", "p").distinct(), c.select("file", "c").distinct()
+        # Named anew, as both sides have columns of one origin.
+        p, c = (d.select(*(F.col(x).alias(x) for x in d.columns)) for d in (p.join(c_of, "file"), c.join(p_of, "file")))
+    else:
+        p, c = p.withColumn("c", F.lit(0)), c.withColumn("p", F.lit(0))
+    found = c.groupBy("file", "p", "c").cogroup(p.groupBy("file", "p", "c")).applyInArrow(_locate(sizes), f"file {kind}, chunk_index long, first array<bigint>, last array<bigint>")
+    seen = lambda a, k: F.when(F.get(a, F.lit(k)) >= 0, F.get(a, F.lit(k)))
+    each = [F.min(seen("first", k)).alias(f"f{k}") for k in range(len(sizes))] + [F.max(seen("last", k)).alias(f"l{k}") for k in range(len(sizes))]
+    best = found.groupBy("file", "chunk_index").agg(*each)
+    return best.select(F.col("file").alias(file_col), "chunk_index", *(F.coalesce(*(F.col(f"{x}{k}") for k in range(len(sizes)))).alias(name) for x, name in (("f", "page_start"), ("l", "page_end"))))

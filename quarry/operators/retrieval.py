@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.plans.workspace import Workspace, broadcast_if_small
 
 #: Distance at which a match is no longer relevant; distances are 1 - cosine, in [0, 2].
 MAX_DISTANCE = 1.5
@@ -15,14 +21,8 @@ MIN_KEEP = 5
 PER_FILE, IN_CONTEXT, TOP_K = 4, 10, 40
 
 
-def dot(c: str | Column, v: list[float]) -> Column:
-    """Inner product of an array column with a constant vector, in double; unrolled, so that it is generated code."""
-    c = F.col(c) if isinstance(c, str) else c
-    if len(v) <= 128:
-        terms = [F.get(c, F.lit(i)).cast("double") * F.lit(float(x)) for i, x in enumerate(v)]
-        return sum(terms[1:], terms[0])
-    q = F.array(*(F.lit(float(x)) for x in v))
-    return F.aggregate(F.zip_with(c, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+#: Queries that are answered in one pass over the chunks, and chunks whose distances to them are held at a time.
+QUERY_BLOCK, CHUNK_BLOCK = 4096, 1024
 
 
 def norm(c: str | Column) -> Column:
@@ -30,32 +30,88 @@ def norm(c: str | Column) -> Column:
     return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def cosine_distance(c: str, v: list[float]) -> Column:
-    """1 - cosine, with the cosine clamped to [-1, 1]."""
-    size = sum(float(x) ** 2 for x in v) ** 0.5
-    cos = dot(c, v) / (norm(c) * F.lit(size))
-    return 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))
-
-
 def in_scope(chunks: DataFrame, key: str, scope: DataFrame | None) -> DataFrame:
     """Chunks of files in the scope: all without a scope, none with an empty one."""
     return chunks if scope is None else chunks.join(scope.select(key).distinct(), key, "left_semi")
 
 
-def top_k(chunks: DataFrame, vector: list[float], k: int = TOP_K, id_col: str = "chunk_id", vec_col: str = "embedding", scope: DataFrame | None = None, key: str = "file") -> DataFrame:
-    """The k nearest chunks, ties by id; the scope applies before. Each partition keeps only its own k."""
-    near = in_scope(chunks, key, scope).withColumn("distance", F.round(cosine_distance(vec_col, vector), 6))
-    return near.orderBy("distance", id_col).limit(k)
+def _unit(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of an Arrow list column over their norms, and which rows have one: no nulls, no zeros, all of one length."""
+    rows = [None if v is None else np.asarray(v, np.float64) for v in arr.to_pylist()]
+    size = next((len(v) for v in rows if v is not None), 0)
+    ok = np.array([v is not None and len(v) == size > 0 and bool(np.isfinite(v).all()) and bool(v.any()) for v in rows], bool)
+    x = np.array([v for v, good in zip(rows, ok) if good]).reshape(-1, size)
+    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x, ok
+
+
+def _nearest(shared, k: int):
+    """For each query of a block, the k nearest of a partition's chunks, as (query_id, id, micro)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        best_d = np.full((len(q), 0), 0, np.int64)
+        best_i = np.full((len(q), 0), 0, np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, CHUNK_BLOCK):
+                part = batch.slice(a, CHUNK_BLOCK)
+                x, ok = _unit(part.column(1))
+                ids = np.asarray(part.column(0))[ok]
+                if not len(ids) or x.shape[1] != q.shape[1]:
+                    continue
+                order = np.argsort(ids, kind="stable")
+                d = np.rint((1 - np.clip(q @ x[order].T, -1, 1)) * 1e6).astype(np.int64)
+                # Distance first, then the place in the order of ids: no two are alike.
+                key = (d << 20) | np.arange(len(ids))
+                if len(ids) > k:
+                    key = np.partition(key, k - 1, 1)[:, :k]
+                best_d = np.concatenate([best_d, key >> 20], 1)
+                best_i = np.concatenate([best_i, ids[order][key & 0xFFFFF]], 1)
+                if best_d.shape[1] > 4 * k:
+                    best_d, best_i = _first(best_d, best_i, k)
+        best_d, best_i = _first(best_d, best_i, k)
+        if best_d.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", "id", "micro"])
+
+    return run
+
+
+def _first(d: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((i, d), 1)[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+
+def top_k(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", vec_col: str = "embedding", scope: DataFrame | None = None, key: str = "file") -> DataFrame:
+    """For each query (query_id, vector), its k nearest chunks: query_id, the chunk's id and key, distance, and pos from 1.
+
+    Distances are 1 - cosine, in six digits; ties go by id. The scope applies before. Queries come in blocks: a block is
+    broadcast (QUERY_BLOCK vectors), every partition keeps k chunks for each of its queries, and Spark merges those.
+    Vectors that are null, zero or of another length are near to nothing.
+    """
+    spark = chunks.sparkSession
+    ws = Workspace(spark, "top-k")
+    near = in_scope(chunks, key, scope).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = []
+    for b in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # about QUERY_BLOCK rows
+        q, ok = _unit(own.column("v").combine_chunks()) if own.num_rows else (np.zeros((0, 0)), np.zeros(0, bool))
+        names = own.column("query_id").to_numpy()[ok] if own.num_rows else np.zeros(0, np.int64)
+        found.append(near.mapInArrow(_nearest(spark.sparkContext.broadcast((names, q)), k), "query_id long, id long, micro long"))
+    every = ws.stage(reduce(DataFrame.union, found), "nearest")
+    pos = F.row_number().over(W.partitionBy("query_id").orderBy("micro", "id")).cast("long")
+    best = every.withColumn("pos", pos).filter(F.col("pos") <= k).select("query_id", F.col("id").alias(id_col), (F.col("micro") / 1e6).alias("distance"), "pos")
+    return best.join(chunks.select(F.col(id_col).cast("long").alias(id_col), key), id_col).select("query_id", id_col, key, "distance", "pos")
 
 
 def with_position(matches: DataFrame, *order: str) -> DataFrame:
-    """pos from 1; for the at most k rows of a search."""
-    return matches.withColumn("pos", F.row_number().over(W.orderBy(*order)).cast("long"))
+    """pos from 1; for the at most k rows of each query's search."""
+    return matches.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long"))
 
 
 def relative_cut(matches: DataFrame, delta: float = RELATIVE_DELTA, keep: int = MIN_KEEP) -> DataFrame:
-    """Matches within delta of the best; the first ``keep`` if fewer stay and there were as many."""
-    w = W.partitionBy()
+    """Each query's matches within delta of its best; the first ``keep`` if fewer stay and there were as many."""
+    w = W.partitionBy("query_id")
     near = F.col("distance") <= F.min("distance").over(w) + F.lit(delta)
     m = matches.withColumn("near", near)
     m = m.withColumn("n_near", F.sum(F.col("near").cast("int")).over(w)).withColumn("n_all", F.count("*").over(w))
@@ -64,22 +120,32 @@ def relative_cut(matches: DataFrame, delta: float = RELATIVE_DELTA, keep: int =
 
 
 def diversify(matches: DataFrame, file_col: str, per_file: int = PER_FILE, total: int = IN_CONTEXT) -> DataFrame:
-    """Round-robin over files in order of first appearance."""
-    own = W.partitionBy(file_col)
+    """For each query, round-robin over files in order of first appearance."""
+    own = W.partitionBy("query_id", file_col)
     m = matches.withColumn("round", F.row_number().over(own.orderBy("pos"))).withColumn("first_pos", F.min("pos").over(own)).filter(F.col("round") <= per_file)
-    return m.withColumn("slot", F.row_number().over(W.orderBy("round", "first_pos")).cast("long")).filter(F.col("slot") <= total).drop("round", "first_pos")
+    return m.withColumn("slot", F.row_number().over(W.partitionBy("query_id").orderBy("round", "first_pos")).cast("long")).filter(F.col("slot") <= total).drop("round", "first_pos")
+
+
+def _asked(questions: DataFrame, tokens: Column) -> DataFrame:
+    return questions.select("query_id", F.explode(tokens).alias("token"))
 
 
-def lexical_focus(matches: DataFrame, question: str | Column, file_col: str, text_col: str, name_col: str) -> DataFrame:
-    """Files with a chunk or a name that shares a stemmed token with the question.
+def lexical_focus(chunks: DataFrame, questions: DataFrame, file_col: str, text_col: str, name_col: str) -> DataFrame:
+    """For each question (query_id, question), the chunks of files of which a chunk or the name shares a stemmed token with it.
 
-    Unchanged if the question has no tokens, nothing matches, or there is one row.
+    All chunks if the question has no tokens, nothing matches, or there is one chunk. Tokens meet in an equality join,
+    and only (question, file) pairs are put together.
     """
-    q = T.stems(T.significant_tokens(F.lit(question) if isinstance(question, str) else question))
+    ws = Workspace(chunks.sparkSession, "lexical-focus")
     own = T.stems(F.array_union(T.significant_tokens(F.col(text_col)), T.significant_tokens(T.split_camel(F.col(name_col)))))
-    m = matches.withColumn("hit", F.arrays_overlap(own, q))
-    m = m.withColumn("file_hit", F.max("hit").over(W.partitionBy(file_col))).withColumn("any_hit", F.max("hit").over(W.partitionBy())).withColumn("n_all", F.count("*").over(W.partitionBy()))
-    return m.filter(~F.col("any_hit") | (F.col("n_all") <= 1) | F.col("file_hit")).drop("hit", "file_hit", "any_hit", "n_all")
+    asked = ws.stage(_asked(questions, T.stems(T.significant_tokens(F.col("question")))), "tokens")
+    hits = chunks.select(file_col, F.explode(own).alias("token")).join(broadcast_if_small(asked), "token").select("query_id", file_col).distinct()
+    hits = ws.stage(hits, "files")
+    missed = questions.select("query_id").join(broadcast_if_small(hits.select("query_id").distinct()), "query_id", "left_anti")
+    files = chunks.select(file_col).distinct()
+    # Questions are the smaller side by far; each missed one gets every file, but no chunk is paired with a question.
+    every = files.join(broadcast_if_small(ws.stage(missed, "missed")), F.lit(True))
+    return chunks.join(broadcast_if_small(ws.stage(hits.unionByName(every), "pairs")), file_col)
 
 
 def drop_templates(matches: DataFrame, name_col: str, question: str) -> DataFrame:
@@ -89,12 +155,29 @@ def drop_templates(matches: DataFrame, name_col: str, question: str) -> DataFram
     return matches.filter(asked | named | ~F.col(name_col).rlike(T.TEMPLATE_NAME))
 
 
-def answer_overlap(chunks: DataFrame, answer: str, file_col: str, text_col: str, name_col: str) -> DataFrame:
-    """Per file, chunks whose token overlap with an answer is at least 0.6 of the file's best."""
-    a = F.array_except(T.overlap_tokens(F.lit(answer)), T.overlap_tokens(F.col(name_col)))
-    m = chunks.withColumn("overlap", F.size(F.array_intersect(T.overlap_tokens(F.col(text_col)), a)))
-    m = m.withColumn("best", F.max("overlap").over(W.partitionBy(file_col)))
-    return m.filter((F.col("best") > 0) & (F.col("overlap") >= F.greatest(F.lit(1), F.ceil(F.col("best") * 0.6)))).drop("best")
+def answer_overlap(chunks: DataFrame, answers: DataFrame, id_col: str, file_col: str, text_col: str, name_col: str) -> DataFrame:
+    """For each answer (query_id, answer), and file, the chunks whose token overlap with it is at least 0.6 of the file's best.
+
+    Rows are (query_id, chunk, file, overlap); tokens of a file's name don't count.
+    """
+    ws = Workspace(chunks.sparkSession, "answer-overlap")
+    asked = ws.stage(_asked(answers, T.overlap_tokens(F.col("answer"))), "tokens")
+    own = F.array_except(T.overlap_tokens(F.col(text_col)), T.overlap_tokens(F.col(name_col)))
+    shared = chunks.select(id_col, file_col, F.explode(own).alias("token")).join(broadcast_if_small(asked), "token")
+    counts = ws.stage(shared.groupBy("query_id", id_col, file_col).agg(F.count("*").alias("overlap")), "overlaps")
+    best = ws.stage(counts.groupBy("query_id", file_col).agg(F.max("overlap").alias("best")), "best")
+    return counts.join(broadcast_if_small(best), ["query_id", file_col]).filter(F.col("overlap") >= F.ceil(F.col("best") * 0.6)).select("query_id", id_col, file_col, "overlap")
+
+
+def first_chunks(chunks: DataFrame, file_col: str, id_col: str, k: int, salts: int = 64) -> DataFrame:
+    """The first k chunks of each file in the order of their ids, with chunk_index from 0.
+
+    Each file is cut into salted parts of which k rows go on, so a file with very many chunks is no single task's sort.
+    """
+    part = F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("salt")
+    some = chunks.select("*", part).withColumn("place", F.row_number().over(W.partitionBy(file_col, "salt").orderBy(id_col))).filter(F.col("place") <= k)
+    index = (F.row_number().over(W.partitionBy(file_col).orderBy(id_col)) - 1).cast("long")
+    return some.drop("salt", "place").withColumn("chunk_index", index).filter(F.col("chunk_index") < k)
 
 
 def named_files(files: DataFrame, question: str, name_col: str = "file_name", most: int = 5) -> DataFrame:

@@ -1,19 +1,36 @@
-"""File vectors, threshold clusters and folder fit."""
+"""File vectors, threshold clusters and folder fit.
+
+Near vectors are found exactly. Equal vectors fold into one. Up to ``PIVOTS``
+vectors chosen by hash are pivots; each vector is at home in the cell of the
+nearest one. Angles obey the triangle inequality, so a vector has to visit a cell
+only if its angle to the pivot is within the cell's radius and the limit; of two
+cells, the vectors of the first visit the second. Cells are cut into blocks of
+about ``BLOCK``. A task holds one block and streams its visitors past it; of the
+pairs it finds, it gives what is asked for: the pairs themselves, those that join
+separate trees, counts per vector, or sums per cluster.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.retrieval import mean_by_file, norm
 from quarry.plans.components import components
-from quarry.plans.workspace import Workspace
+from quarry.plans.workspace import Workspace, broadcast_if_small
 
 CLUSTER_DISTANCE = 0.22
 FOLDER_SIMILARITY = 0.70
-BLOCK = 512
+BLOCK = 2048
+PIVOTS = 1024
+#: Folders whose vectors are broadcast at a time.
+FOLDER_BLOCK = 4096
 
 
 def normalise(c: Column) -> Column:
@@ -33,53 +50,261 @@ def similarity(a: str | Column, b: str | Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))
 
 
-def near_pairs(vectors: DataFrame, id_col: str, vec_col: str, distance: float, blocks: int) -> DataFrame:
-    """(a, b, distance) of all pairs of unit vectors within a distance, a < b.
+def _matrix(arr: pa.Array) -> np.ndarray:
+    return np.array([np.asarray(v, np.float64) for v in arr.to_pylist()])
 
-    Vectors are dealt into blocks; each pair of blocks is one task's matrix
-    product, so no pair is a row unless it is within the distance.
-    """
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    spread = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
 
-    def pairs(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(f["v"].to_numpy())
-        ids, blk = f["id"].to_numpy(), f["block"].to_numpy()
-        left = np.flatnonzero(blk == key[0])
-        right = np.flatnonzero(blk == key[1])
-        d = np.round(1 - np.clip(x[left] @ x[right].T, -1, 1), 6)
-        i, j = np.nonzero(d <= distance)
-        a, b = ids[left[i]], ids[right[j]]
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d[i, j]})
-        return out[out["a"] < out["b"]].drop_duplicates() if key[0] == key[1] else out[out["a"] < out["b"]]
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1, 1))
+
+
+def _home(shared):
+    """Adds each vector's cell and its angle to the pivot; a zero vector has no direction and is at home nowhere (-1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                x = _matrix(part.column(1))
+                angle = _angles(x, pivots)
+                cell = np.where(x.any(1), angle.argmin(1), -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(angle.min(1))], names=[*part.schema.names, "cell", "angle"])
+
+    return run
+
+
+def _visits(shared, theta: float):
+    """A row for each block that a vector is at home in (side 0) or visits (side 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, radius, blocks = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                x, cell, own = _matrix(part.column(1)), np.asarray(part.column("cell")), np.asarray(part.column("spot"))
+                near = (_angles(x, pivots) <= radius + theta) | (cell < 0)[:, None]
+                near &= (np.arange(len(pivots)) > cell[:, None]) & (blocks > 0)
+                row, c, b, side = [], [], [], []
+                for i, k in enumerate(cell.tolist()):
+                    if k >= 0:
+                        mine = int(own[i] % blocks[k])
+                        later = int(blocks[k]) - mine
+                        row += [i] * later
+                        c += [k] * later
+                        b += range(mine, int(blocks[k]))
+                        side += [0] + [1] * (later - 1)
+                    for j in np.flatnonzero(near[i]).tolist():
+                        row += [i] * int(blocks[j])
+                        c += [j] * int(blocks[j])
+                        b += range(int(blocks[j]))
+                        side += [1] * int(blocks[j])
+                got = part.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(got.column(n) for n in ("id", "v", "copies", "label")), *(pa.array(x, pa.int32()) for x in (c, b, side))], names=["id", "v", "copies", "label", "cell", "block", "side"])
+
+    return run
+
+
+class _Trees:
+    """Union-find over ids."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def joined(self, a: int, b: int) -> bool:
+        """Whether this joins two so far separate trees."""
+        x, y = self._root(a), self._root(b)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+    def _root(self, x: int) -> int:
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = self.up[y]
+            x = y
+        return x
+
+
+SHAPES = {"pairs": "a long, b long, micro long", "trees": "a long, b long", "counts": "id long, n long", "sums": "label long, links long, widest long, micro decimal(38,0)"}
+
+
+def _compare(distance: float, give: str):
+    """Rows of ``_visits`` sorted by (cell, block, side): a block is held, its visitors pass."""
+    most = round(distance * 1e6)
+
+    def found(ids, x, copies, labels, home, trees):
+        """What pairs between visitors (or the block itself, without home) and the block give."""
+        hid, hx, hcopies = home
+        d = np.rint((1 - np.clip(x @ hx.T, -1, 1)) * 1e6).astype(np.int64)
+        near = d <= most
+        if ids is hid:
+            near &= np.arange(len(ids))[:, None] < np.arange(len(ids))
+        i, j = np.nonzero(near)
+        if give == "counts":
+            return [np.concatenate([ids[i], hid[j]]), np.concatenate([hcopies[j], copies[i]])]
+        if give == "sums":
+            w = copies[i] * hcopies[j]
+            return [labels[i], w, d[i, j], d[i, j] * w]
+        a, b = np.minimum(ids[i], hid[j]), np.maximum(ids[i], hid[j])
+        if give == "pairs":
+            return [a, b, d[i, j]]
+        keep = [trees.joined(p, q) for p, q in zip(a.tolist(), b.tolist())]
+        return [a[keep], b[keep]]
 
-    return spread.groupBy("bi", "bj").applyInPandas(pairs, "a long, b long, distance double")
+    def out(cols):
+        if give == "counts":
+            ids, where = np.unique(cols[0], return_inverse=True)
+            cols = [ids, np.bincount(where, cols[1], len(ids)).astype(np.int64)]
+        elif give == "sums":
+            labels, where = np.unique(cols[0], return_inverse=True)
+            widest = np.zeros(len(labels), np.int64)
+            np.maximum.at(widest, where, cols[2])
+            micro = [int(m) for m in np.bincount(where, cols[3], len(labels))]
+            return pa.RecordBatch.from_arrays([pa.array(labels), pa.array(np.bincount(where, cols[1], len(labels)).astype(np.int64)), pa.array(widest), pa.array(micro, pa.decimal128(38, 0))], ["label", "links", "widest", "micro"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [n.split()[0] for n in SHAPES[give].split(", ")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, home, trees = None, [], None, None
 
-def clusters(vectors: DataFrame, id_col: str, vec_col: str, distance: float = CLUSTER_DISTANCE, gate: Column | None = None) -> DataFrame:
-    """Single-linkage clusters: (id, cluster), the cluster being its smallest id; a loner is its own.
+        def settle():
+            nonlocal home
+            rows = pa.Table.from_batches(held)
+            home = (rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks()), rows.column("copies").to_numpy())
+            return out(found(home[0], home[1], home[2], rows.column("label").to_numpy(), home, trees))
 
-    ``gate`` is a condition on pairs (columns a, b, distance) that links must meet as well.
+        for batch in batches:
+            cell, block, side = (np.asarray(batch.column(c)) for c in ("cell", "block", "side"))
+            cuts = np.flatnonzero((np.diff(cell, prepend=cell[:1] - 1) != 0) | (np.diff(block, prepend=block[:1]) != 0) | (np.diff(side, prepend=side[:1]) != 0)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                now = (int(cell[a]), int(block[a]))
+                if now != key:
+                    if held and home is None:
+                        yield settle()
+                    key, held, home, trees = now, [], None, _Trees()
+                part = batch.slice(a, b - a)
+                if side[a] == 0:
+                    held.append(part)
+                    continue
+                if home is None and held:
+                    yield settle()
+                for s in range(0, part.num_rows if held else 0, 1024):
+                    v = part.slice(s, 1024)
+                    yield out(found(np.asarray(v.column("id")), _matrix(v.column("v")), np.asarray(v.column("copies")), np.asarray(v.column("label")), home, trees))
+        if held and home is None:
+            yield settle()
+
+    return run
+
+
+class Near:
+    """Unit vectors with all that lie within a distance of each other; nulls are left out.
+
+    ``reps`` has a row for each different vector: id (the smallest), v, copies.
     """
-    spark = vectors.sparkSession
-    ws = Workspace(spark, "clusters")
-    blocks = max(1, -(-vectors.count() // BLOCK))
-    links = near_pairs(vectors, id_col, vec_col, distance, blocks)
-    links = links if gate is None else links.filter(gate)
-    comps = components(ws.stage(links.select("a", "b"), "links"), "a", "b", ws)
-    return vectors.select(F.col(id_col).alias("id")).join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
+    def __init__(self, vectors: DataFrame, id_col: str, vec_col: str, distance: float):
+        self.distance, self.ws = distance, Workspace(vectors.sparkSession, "near")
+        v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+        self.members = self.ws.stage(v.withColumn("key", F.sha2(F.col("v").cast("string"), 256)), "members")
+        folded = self.members.groupBy("key").agg(F.min("id").alias("id"), F.min("v").alias("v"), F.count("*").alias("copies"))
+        self.reps = self.ws.stage(folded, "different")
+        self._homes()
+
+    def _homes(self) -> None:
+        spark = self.reps.sparkSession
+        rows = self.reps.filter(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, math.isqrt(self.reps.count())))).toArrow()
+        self.pivots = _matrix(rows.column("v").combine_chunks()) if rows.num_rows else np.zeros((1, 0))
+        at_home = self.reps.select("id", "v", "copies", F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)).alias("spot"))
+        if rows.num_rows:
+            at_home = at_home.mapInArrow(_home(spark.sparkContext.broadcast(self.pivots)), "id long, v array<double>, copies long, spot long, cell int, angle double")
+        else:
+            at_home = at_home.select("*", F.lit(-1).alias("cell"), F.lit(0.0).alias("angle"))
+        self.homes = self.ws.stage(at_home, "homes")
+        cells = self.homes.filter("cell >= 0").groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # PIVOTS rows at most
+        self.radius, self.blocks = np.full(len(self.pivots), -4.0), np.zeros(len(self.pivots), np.int64)
+        for r in cells:
+            self.radius[r["cell"]], self.blocks[r["cell"]] = r["radius"], -(-r["n"] // BLOCK)
+
+    def find(self, give: str, labels: DataFrame | None = None) -> DataFrame:
+        """What the pairs give (see ``SHAPES``); ``labels`` (id, label) are those that sums go by."""
+        rows = self.homes.withColumn("label", F.lit(0).cast("long")) if labels is None else self.homes.join(labels, "id")
+        rows = rows.select("id", "v", "copies", "spot", "cell", "label")
+        theta = math.acos(max(-1.0, min(1.0, 1 - self.distance - 1e-6))) + 1e-6
+        shared = rows.sparkSession.sparkContext.broadcast((self.pivots, self.radius, self.blocks))
+        visits = rows.mapInArrow(_visits(shared, theta), "id long, v array<double>, copies long, label long, cell int, block int, side int")
+        return visits.repartition("cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(_compare(self.distance, give), SHAPES[give])
+
+
+def near_pairs(vectors: DataFrame, id_col: str, vec_col: str, distance: float) -> DataFrame:
+    """(a, b, distance) of all pairs of different unit vectors within a distance, a < b; equal ones count as the smallest id."""
+    return Near(vectors, id_col, vec_col, distance).find("pairs").select("a", "b", (F.col("micro") / 1e6).alias("distance"))
+
+
+def near_links(vectors: DataFrame, id_col: str, vec_col: str, distance: float) -> DataFrame:
+    """For every vector its class (the smallest id of equal ones) and its number of links, copies included."""
+    near = Near(vectors, id_col, vec_col, distance)
+    n = near.find("counts").groupBy("id").agg(F.sum("n").alias("n"))
+    reps = near.ws.stage(near.reps.select("key", "id", "copies").join(n, "id", "left").select("key", F.col("id").alias("class"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
+    return near.members.select("id", "key").join(broadcast_if_small(reps, limit=200_000), "key").select("id", "class", "links")
 
-def cohesion(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Per cluster the mean and largest link distance, and its number of links."""
-    m = members.select(F.col("id").alias("a"), "cluster")
-    return links.join(m, "a").groupBy("cluster").agg(F.count("*").alias("links"), F.max("distance").alias("widest"), F.avg("distance").alias("mean"))
+
+def _clusters(near: Near) -> DataFrame:
+    """(key, id, cluster) of the different vectors."""
+    ws = near.ws
+    comps = components(ws.stage(near.find("trees"), "trees"), "a", "b", ws)
+    return ws.stage(near.reps.select("key", "id", "copies").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "copies", F.coalesce("component", "id").alias("cluster")), "clusters")
+
+
+def clusters(vectors: DataFrame, id_col: str, vec_col: str, distance: float = CLUSTER_DISTANCE) -> DataFrame:
+    """Single-linkage clusters: (id, cluster), the cluster being its smallest id; a loner is its own."""
+    near = Near(vectors, id_col, vec_col, distance)
+    return near.members.select("id", "key").join(broadcast_if_small(_clusters(near).select("key", "cluster"), limit=200_000), "key").select("id", "cluster")
+
+
+def cohesion(vectors: DataFrame, id_col: str, vec_col: str, distance: float = CLUSTER_DISTANCE) -> DataFrame:
+    """Per cluster with a link: the number of its links, the largest and the mean distance; copies of a vector are links of distance 0."""
+    near = Near(vectors, id_col, vec_col, distance)
+    c = _clusters(near)
+    sums = near.find("sums", c.select("id", F.col("cluster").alias("label"))).select(F.col("label").alias("cluster"), "links", "widest", "micro")
+    copies = c.select("cluster", (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("links"), F.lit(0).cast("long").alias("widest"), F.lit(0).cast("decimal(38,0)").alias("micro")).filter("links > 0")
+    both = sums.union(copies).groupBy("cluster").agg(F.sum("links").alias("links"), F.max("widest").alias("widest"), F.sum("micro").alias("micro"))
+    return both.select("cluster", "links", (F.col("widest") / 1e6).alias("widest"), (F.col("micro").cast("double") / F.col("links") / 1e6).alias("mean"))
+
+
+def _best(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, centres = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                sim = np.round(np.clip(_matrix(part.column(1)) @ centres.T, -1, 1), 6)
+                top = sim.argmax(1)  # names ascend: of equals, the smallest
+                best = sim[np.arange(len(top)), top]
+                ok = best >= least
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), pa.array(names[top[ok]]), pa.array(best[ok])], ["id", "folder", "sim"])
+
+    return run
 
 
 def best_folder(files: DataFrame, folders: DataFrame, least: float = FOLDER_SIMILARITY) -> DataFrame:
-    """For each (id, vec) the most similar folder (folder, vec) of at least a similarity; folders are few and checked by the caller's hint."""
-    s = files.crossJoin(F.broadcast(folders.withColumnRenamed("vec", "centre"))).withColumn("sim", F.round(similarity("vec", "centre"), 6)).filter(F.col("sim") >= least)
+    """For each (id, vec) the most similar folder (folder, vec) of at least a similarity, the smallest of equals.
+
+    Folders are broadcast in blocks; every block is one pass over the files, and the best of the passes is taken.
+    """
+    spark = files.sparkSession
+    rows = files.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
+    centres = folders.select(F.col("folder").cast("long").alias("folder"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
+    centres = Workspace(spark, "folders").stage(centres, "centres")
+    blocks = max(1, -(-centres.count() // FOLDER_BLOCK))
+    passes = []
+    for b in range(blocks):
+        own = centres.filter(F.pmod(F.xxhash64("folder"), F.lit(blocks)) == b).orderBy("folder").toArrow()  # about FOLDER_BLOCK rows
+        if own.num_rows:
+            shared = spark.sparkContext.broadcast((own.column("folder").to_numpy(), _matrix(own.column("vec").combine_chunks())))
+            passes.append(rows.mapInArrow(_best(shared, least), "id long, folder long, sim double"))
+    if not passes:
+        return rows.limit(0).select("id", F.lit(0).cast("long").alias("folder"), F.lit(0.0).alias("sim"))
+    s = reduce(DataFrame.union, passes)
     return s.groupBy("id").agg(F.max_by(F.struct("folder", "sim"), F.struct("sim", F.negative("folder"))).alias("b")).select("id", "b.*")
 
 
-__all__ = ["best_folder", "clusters", "cohesion", "fuse", "mean_by_file", "near_pairs", "normalise", "similarity"]
+__all__ = ["Near", "best_folder", "clusters", "cohesion", "fuse", "mean_by_file", "near_links", "near_pairs", "normalise", "similarity"]

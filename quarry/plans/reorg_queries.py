@@ -13,12 +13,12 @@ from quarry.plans.registry import query, table
 from quarry.plans.retrieval_queries import NEAR, _top
 
 QUESTION = "Compare all the bank statements, agreements and lease notices: which are unpaid?"
-POOL = f"{NEAR.format(scope='')}, {FILES}, rest AS (SELECT * FROM files WHERE doc_id NOT IN (SELECT vec_id FROM top) AND NOT regexp_matches(file_name, '(^|[^a-z0-9])template([^a-z0-9]|$)', 'i'))"
+POOL = f"{NEAR.format(scope='')}, {FILES}, rest AS (SELECT * FROM files WHERE doc_id NOT IN (SELECT vec_id FROM top WHERE query_id = 0) AND NOT regexp_matches(file_name, '(^|[^a-z0-9])template([^a-z0-9]|$)', 'i'))"
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f = files_of(spark, sf_dir).withColumn("doc_type", F.when(F.col("lang") == "de", "Notice")).withColumn("entity", F.concat(F.lit("lease "), "source"))
-    return _top(spark, sf_dir).select(F.col("vec_id").alias("doc_id")), f
+    return _top(spark, sf_dir).filter("query_id = 0").select(F.col("vec_id").alias("doc_id")), f
 
 
 @query(
@@ -34,7 +34,7 @@ def kind_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {POOL}, covered AS (SELECT DISTINCT source FROM files WHERE doc_id IN (SELECT vec_id FROM top) AND doc_id < 20),
+    f"""WITH {POOL}, covered AS (SELECT DISTINCT source FROM files WHERE doc_id IN (SELECT vec_id FROM top WHERE query_id = 0) AND doc_id < 20),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, file_name, doc_id) AS r FROM rest WHERE source NOT IN (SELECT source FROM covered))
 SELECT doc_id, source FROM r WHERE r = 1 ORDER BY size DESC, file_name, doc_id LIMIT 6"""
 )
@@ -48,7 +48,7 @@ def entity_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {NEAR.format(scope='')}, {FILES}, named AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'dues-' ELSE 'notes-' END || file_name AS file_name, size, text FROM files),
-c AS (SELECT doc_id FROM named WHERE file_name LIKE 'dues-%' AND doc_id NOT IN (SELECT vec_id FROM top) ORDER BY size DESC, file_name, doc_id LIMIT 3),
+c AS (SELECT doc_id FROM named WHERE file_name LIKE 'dues-%' AND doc_id NOT IN (SELECT vec_id FROM top WHERE query_id = 0) ORDER BY size DESC, file_name, doc_id LIMIT 3),
 p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM named JOIN c USING (doc_id))
 SELECT doc_id, i + 1 AS place, sha256(line) AS hash FROM p WHERE i < 2"""
 )

@@ -9,61 +9,48 @@ from quarry.functions import text as T
 from quarry.operators import retrieval as R
 from quarry.plans.registry import query, table
 
+#: Every vector whose id is divisible by 100 is a query, against all vectors.
 NEAR = """
-q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
-near AS (SELECT vec_id, label, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), q.v), 6) AS distance FROM embeddings, q),
-top AS (SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS pos FROM near {scope} ORDER BY distance, vec_id LIMIT 40)
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
+near AS (SELECT query_id, vec_id, label, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), q.v), 6) AS distance FROM embeddings, q),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS pos FROM near {scope}) WHERE pos <= 40)
 """
-
-
-def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
+CUT = """cut AS (SELECT *, min(distance) OVER (PARTITION BY query_id) AS best, count(*) OVER (PARTITION BY query_id) AS n FROM top),
+near2 AS (SELECT *, sum(CASE WHEN distance <= best + 0.2 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS kept FROM cut),
+rel AS (SELECT * FROM near2 WHERE CASE WHEN kept < 5 AND n >= 5 THEN pos <= 5 ELSE distance <= best + 0.2 END)"""
+ROUNDS = """rounds AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY pos) AS r, min(pos) OVER (PARTITION BY query_id, label) AS f FROM {0})
+SELECT query_id, vec_id, label, distance, pos, slot FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, f) AS slot FROM rounds WHERE r <= 4) WHERE slot <= 10"""
 
 
 def _top(spark: SparkSession, sf_dir: str, scope: DataFrame | None = None) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return R.with_position(R.top_k(e, _vector(spark, sf_dir), id_col="vec_id", scope=scope, key="label"), "distance", "vec_id").select("vec_id", "label", "distance", "pos")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.top_k(e, queries, id_col="vec_id", scope=scope, key="label")
 
 
-@query(f"WITH {NEAR.format(scope='')} SELECT vec_id, label, distance, pos FROM top")
+@query(f"WITH {NEAR.format(scope='')} SELECT query_id, vec_id, label, distance, pos FROM top")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir)
 
 
-@query(
-    f"""WITH {NEAR.format(scope="WHERE label IN (SELECT label FROM embeddings WHERE vec_id % 3 = 0)")},
-cut AS (SELECT *, min(distance) OVER () AS best, count(*) OVER () AS n FROM top),
-near2 AS (SELECT *, sum(CASE WHEN distance <= best + 0.2 THEN 1 ELSE 0 END) OVER () AS kept FROM cut),
-rel AS (SELECT * FROM near2 WHERE CASE WHEN kept < 5 AND n >= 5 THEN pos <= 5 ELSE distance <= best + 0.2 END),
-rounds AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos) AS r, min(pos) OVER (PARTITION BY label) AS f FROM rel)
-SELECT vec_id, label, distance, pos, slot FROM (SELECT *, row_number() OVER (ORDER BY r, f) AS slot FROM rounds WHERE r <= 4) WHERE slot <= 10"""
-)
+@query(f"""WITH {NEAR.format(scope="WHERE label IN (SELECT label FROM embeddings WHERE vec_id % 3 = 0)")}, {CUT}, {ROUNDS.format('rel')}""")
 def vector_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The core path: scope, top k, relative cut, diversification."""
     scope = table(spark, sf_dir, "embeddings").filter("vec_id % 3 = 0").select("label")
     return R.diversify(R.relative_cut(_top(spark, sf_dir, scope), delta=0.2), "label")
 
 
-@query(
-    f"""WITH {NEAR.format(scope='')},
-cut AS (SELECT *, min(distance) OVER () AS best, count(*) OVER () AS n FROM top),
-near2 AS (SELECT *, sum(CASE WHEN distance <= best + 0.2 THEN 1 ELSE 0 END) OVER () AS kept FROM cut)
-SELECT vec_id, label, distance, pos FROM near2 WHERE CASE WHEN kept < 5 AND n >= 5 THEN pos <= 5 ELSE distance <= best + 0.2 END"""
-)
+@query(f"WITH {NEAR.format(scope='')}, {CUT} SELECT query_id, vec_id, label, distance, pos FROM rel")
 def relative_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.relative_cut(_top(spark, sf_dir), delta=0.2)
 
 
-@query(f"WITH {NEAR.format(scope='')} SELECT vec_id, label, distance, pos FROM top WHERE distance <= 1.5")
+@query(f"WITH {NEAR.format(scope='')} SELECT query_id, vec_id, label, distance, pos FROM top WHERE distance <= 1.5")
 def absolute_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir).filter(F.col("distance") <= R.MAX_DISTANCE)
 
 
-@query(
-    f"""WITH {NEAR.format(scope='')},
-rounds AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos) AS r, min(pos) OVER (PARTITION BY label) AS f FROM top)
-SELECT vec_id, label, distance, pos, slot FROM (SELECT *, row_number() OVER (ORDER BY r, f) AS slot FROM rounds WHERE r <= 4) WHERE slot <= 10"""
-)
+@query(f"WITH {NEAR.format(scope='')}, {ROUNDS.format('top')}")
 def diversify_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.diversify(_top(spark, sf_dir), "label")
 
@@ -84,18 +71,18 @@ def stems_sql(tokens: str) -> str:
 
 
 @query(
-    f"""WITH q AS (SELECT {stems_sql(tokens_sql('text'))} AS t FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark WHERE text IS NOT NULL)),
+    f"""WITH q AS (SELECT item_id AS query_id, {stems_sql(tokens_sql("coalesce(text, '')"))} AS t FROM benchmark WHERE item_id % 100 = 0),
 d AS (SELECT doc_id, source, {stems_sql(tokens_sql("coalesce(text, '')"))} AS t FROM documents),
-h AS (SELECT doc_id, source, list_has_any(d.t, q.t) AS hit FROM d, q),
-f AS (SELECT *, bool_or(hit) OVER (PARTITION BY source) AS file_hit, bool_or(hit) OVER () AS any_hit, count(*) OVER () AS n FROM h)
-SELECT doc_id, source FROM f WHERE NOT any_hit OR n <= 1 OR file_hit"""
+h AS (SELECT query_id, doc_id, source, list_has_any(d.t, q.t) AS hit FROM d, q),
+f AS (SELECT *, bool_or(hit) OVER (PARTITION BY query_id, source) AS file_hit, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit, count(*) OVER (PARTITION BY query_id) AS n FROM h)
+SELECT query_id, doc_id, source FROM f WHERE NOT any_hit OR n <= 1 OR file_hit"""
 )
 def lexical_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as files, documents as chunks, the first benchmark item as question."""
-    q = table(spark, sf_dir, "benchmark").filter("text is not null").orderBy("item_id").first()["text"]
+    """Sources as files, documents as chunks, every hundredth benchmark item as a question."""
+    q = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     # The source's name has too few letters to be a token; the empty name keeps to chunk texts.
     docs = table(spark, sf_dir, "documents").withColumn("name", F.lit(""))
-    return R.lexical_focus(docs, q, "source", "text", "name").select("doc_id", "source")
+    return R.lexical_focus(docs, q, "source", "text", "name").select("query_id", "doc_id", "source")
 
 
 @query(
@@ -107,15 +94,15 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH q AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS t FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark WHERE text IS NOT NULL)),
-d AS (SELECT doc_id, source, len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{4,}')), q.t)) AS overlap FROM documents, q),
-m AS (SELECT *, max(overlap) OVER (PARTITION BY source) AS best FROM d)
-SELECT doc_id, source, overlap FROM m WHERE best > 0 AND overlap >= greatest(1, ceil(best * 0.6))"""
+    r"""WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS t FROM benchmark WHERE item_id % 100 = 0),
+d AS (SELECT query_id, doc_id, source, len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{4,}')), q.t)) AS overlap FROM documents, q),
+m AS (SELECT *, max(overlap) OVER (PARTITION BY query_id, source) AS best FROM d)
+SELECT query_id, doc_id, source, overlap FROM m WHERE best > 0 AND overlap >= greatest(1, ceil(best * 0.6))"""
 )
 def answer_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "benchmark").filter("text is not null").orderBy("item_id").first()["text"]
+    a = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
     docs = table(spark, sf_dir, "documents").withColumn("name", F.lit(""))
-    return R.answer_overlap(docs, a, "source", "text", "name").select("doc_id", "source", F.col("overlap").cast("long").alias("overlap"))
+    return R.answer_overlap(docs, a, "doc_id", "source", "text", "name").select("query_id", "doc_id", "source", "overlap")
 
 
 @query(
@@ -124,7 +111,4 @@ SELECT label, vec_id, chunk_index FROM c WHERE chunk_index < 10"""
 )
 def whole_file_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten chunks of each file."""
-    from pyspark.sql import Window as W
-
-    c = table(spark, sf_dir, "embeddings").withColumn("chunk_index", (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("long"))
-    return c.filter("chunk_index < 10").select("label", "vec_id", "chunk_index")
+    return R.first_chunks(table(spark, sf_dir, "embeddings"), "label", "vec_id", 10).select("label", "vec_id", "chunk_index")

@@ -106,19 +106,19 @@ def leading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
-r(source, doc_id, rn, batch, used, n) AS (SELECT source, doc_id, rn, 0, n_chars, 1 FROM d WHERE rn = 1 UNION ALL
-  SELECT d.source, d.doc_id, d.rn, CASE WHEN used + d.n_chars > 20000 OR n >= 10 THEN batch + 1 ELSE batch END, CASE WHEN used + d.n_chars > 20000 OR n >= 10 THEN d.n_chars ELSE used + d.n_chars END, CASE WHEN used + d.n_chars > 20000 OR n >= 10 THEN 1 ELSE n + 1 END
-  FROM r JOIN d ON d.source = r.source AND d.rn = r.rn + 1)
-SELECT source, doc_id, batch FROM r"""
+    """WITH RECURSIVE d AS (SELECT source, doc_id, doc_id // 10000 AS range, n_chars, row_number() OVER (PARTITION BY source, doc_id // 10000 ORDER BY doc_id) AS rn FROM documents),
+r(source, range, doc_id, rn, batch, used, n) AS (SELECT source, range, doc_id, rn, 0, n_chars, 1 FROM d WHERE rn = 1 UNION ALL
+  SELECT d.source, d.range, d.doc_id, d.rn, CASE WHEN used + d.n_chars > 20000 OR n >= 10 THEN batch + 1 ELSE batch END, CASE WHEN used + d.n_chars > 20000 OR n >= 10 THEN d.n_chars ELSE used + d.n_chars END, CASE WHEN used + d.n_chars > 20000 OR n >= 10 THEN 1 ELSE n + 1 END
+  FROM r JOIN d ON d.source = r.source AND d.range = r.range AND d.rn = r.rn + 1)
+SELECT source, doc_id, range, batch FROM r"""
 )
 def size_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy batches of at most ten documents or 20,000 characters per source."""
+    """Greedy batches of at most ten documents or 20,000 characters per source, anew in every range of 10,000 ids."""
     return C.batches(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 20_000, 10)
 
 
 @query(
-    f"""WITH {LINES}, f AS (SELECT doc_id, chunk_index, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS flat FROM lines), p AS (SELECT doc_id, chunk_index AS page, flat AS page_text FROM f)
+    f"""WITH {LINES}, f AS (SELECT doc_id, chunk_index, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS flat FROM lines), p AS (SELECT doc_id, chunk_index AS page, flat AS page_text FROM f WHERE flat <> '')
 SELECT doc_id, chunk_index, coalesce({', '.join(f"min(CASE WHEN contains(page_text, left(flat, {n})) THEN page END)" for n in (60, 44, 28, 12))}) AS page_start,
   coalesce({', '.join(f"max(CASE WHEN contains(page_text, right(flat, {n})) THEN page END)" for n in (60, 44, 28, 12))}) AS page_end FROM f JOIN p USING (doc_id) WHERE flat <> '' GROUP BY doc_id, chunk_index"""
 )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.operators import vectors as V
 from quarry.plans.registry import query, table
-from quarry.plans.workspace import Workspace
 
 MEANS = """
 flat AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -31,10 +30,14 @@ def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").withColumn("vec", V.normalise(F.col("embedding")))
 
 
-@query(f"WITH {PAIRS} SELECT a, b, distance FROM pairs WHERE distance <= 0.62")
+@query(
+    f"""WITH {PAIRS}, l AS (SELECT a AS vec_id FROM pairs WHERE distance <= 0.62 UNION ALL SELECT b FROM pairs WHERE distance <= 0.62), n AS (SELECT vec_id, count(*) AS links FROM l GROUP BY vec_id),
+c AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings)
+SELECT vec_id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN n USING (vec_id)"""
+)
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _unit(spark, sf_dir)
-    return V.near_pairs(e, "vec_id", "vec", 0.62, max(1, -(-e.count() // V.BLOCK)))
+    """A row for each vector: its class of equal vectors, and how many vectors are near it."""
+    return V.near_links(_unit(spark, sf_dir), "vec_id", "vec", 0.62).select(F.col("id").alias("vec_id"), F.col("class").alias("class_id"), "links")
 
 
 @query(
@@ -53,10 +56,7 @@ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT cluster, count(*) AS links, max(distance) AS widest, round(avg(distance), 6) AS mean FROM pairs JOIN k USING (a) WHERE distance <= 0.62 GROUP BY cluster"""
 )
 def cluster_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _unit(spark, sf_dir)
-    ws = Workspace(spark, "cohesion")
-    links = ws.stage(V.near_pairs(e, "vec_id", "vec", 0.62, max(1, -(-e.count() // V.BLOCK))), "links")
-    return V.cohesion(links, V.clusters(e, "vec_id", "vec", 0.62)).withColumn("mean", F.round("mean", 6))
+    return V.cohesion(_unit(spark, sf_dir), "vec_id", "vec", 0.62).withColumn("mean", F.round("mean", 6))
 
 
 @query(
@@ -64,7 +64,7 @@ def cluster_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, folder) AS rn FROM s WHERE sim >= 0.3) SELECT id, folder, sim FROM r WHERE rn = 1"""
 )
 def folder_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best folder of each file; labels are folders, at most a few hundred centroids."""
+    """The best folder of each file; labels are folders."""
     e = table(spark, sf_dir, "embeddings")
     centres = V.mean_by_file(e, "label", "embedding").select(F.col("label").alias("folder"), "vec")
     return V.best_folder(_unit(spark, sf_dir).select(F.col("vec_id").alias("id"), "vec"), centres, 0.3)

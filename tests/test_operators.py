@@ -80,7 +80,7 @@ def test_gaps_rules(spark):
 
 
 def test_relative_cut_and_diversify(spark):
-    m = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", 0.9), ("c", 1.0), ("d", 1.1), ("e", 1.2)], "f string, distance double")
+    m = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", 0.9), ("c", 1.0), ("d", 1.1), ("e", 1.2)], "f string, distance double").withColumn("query_id", F.lit(1))
     m = retrieval.with_position(m, "distance")
     cut = retrieval.relative_cut(m)
     assert [r["pos"] for r in cut.orderBy("pos").collect()] == [1, 2, 3, 4, 5]
@@ -91,7 +91,8 @@ def test_relative_cut_and_diversify(spark):
 
 def test_scope(spark):
     e = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "y", [0.0, 1.0])], "chunk_id long, file string, embedding array<float>")
-    ids = lambda scope: [r["chunk_id"] for r in retrieval.top_k(e, [1.0, 0.0], scope=scope).collect()]
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0]), (9, None)], "query_id long, vector array<double>")
+    ids = lambda scope: [r["chunk_id"] for r in retrieval.top_k(e, q, scope=scope).orderBy("query_id", "pos").collect()]
     assert ids(None) == [1, 2] and ids(e.filter("file = 'y'").select("file")) == [2] and ids(e.limit(0).select("file")) == []
 
 
@@ -228,3 +229,117 @@ def test_entry_without_llm():
     names = set(entry.queries())
     assert len([n for n in names if not n.startswith("op") and n != "pipeline"]) >= 80
     assert bool([n for n in names if n.startswith("op")]) == (importlib.util.find_spec("quarry.llm") is not None)
+
+
+def test_near_vectors_in_blocks(spark, monkeypatch):
+    """Against all pairs: small blocks, copies, opposite and zero vectors, clusters and sums."""
+    import numpy as np
+
+    from quarry.operators import vectors as V
+
+    monkeypatch.setattr(V, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8))
+    x = centres[rng.integers(0, 6, 150)] + 0.25 * rng.normal(size=(150, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[140:] = x[:10]
+    x[77] = 0
+    rows = [(int(i) + 1, v.tolist()) for i, v in enumerate(x)]
+    d = spark.createDataFrame([*rows, (900, None)], "id long, v array<double>")
+    dist = np.round(1 - np.clip(x @ x.T, -1, 1), 6)
+    for limit in (0.02, 0.1, 0.6):
+        near = (dist <= limit) & ~np.eye(len(x), dtype=bool)
+        same = np.array([[(a == b).all() for b in x] for a in x])
+        klass = [int(np.flatnonzero(r)[0]) + 1 for r in same]
+        assert {r["id"]: (r["class"], r["links"]) for r in V.near_links(d, "id", "v", limit).collect()} == {i + 1: (klass[i], int(near[i].sum())) for i in range(len(x))}
+        up = list(range(len(x)))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in zip(*np.nonzero(near)):
+            p, q = root(int(a)), root(int(b))
+            up[max(p, q)] = min(p, q)
+        assert {r["id"]: r["cluster"] for r in V.clusters(d, "id", "v", limit).collect()} == {i + 1: root(i) + 1 for i in range(len(x))}
+        sums: dict = {}
+        for a, b in zip(*np.nonzero(np.triu(near, 1))):
+            sums.setdefault(root(int(a)) + 1, []).append(dist[a, b])
+        got = {r["cluster"]: r for r in V.cohesion(d, "id", "v", limit).collect()}
+        assert got.keys() == sums.keys()
+        for k, v in sums.items():
+            assert (got[k]["links"], got[k]["widest"]) == (len(v), max(v)) and got[k]["mean"] == pytest.approx(sum(v) / len(v), abs=1e-6)
+    firsts = [i for i in range(len(x)) if klass[i] == i + 1]
+    want = {(i + 1, j + 1) for i in firsts for j in firsts if i < j and dist[i, j] <= 0.1}
+    assert {(r["a"], r["b"]) for r in V.near_pairs(d, "id", "v", 0.1).collect()} == want
+    assert V.near_links(d.limit(0), "id", "v", 0.1).count() == V.clusters(d.limit(0), "id", "v", 0.1).count() == 0
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 5)).round(1)
+    x[50:60] = x[7]
+    d = spark.createDataFrame([(int(i), f"f{i % 4}", v.tolist()) for i, v in enumerate(x)] + [(500, "f0", None), (501, "f0", [0.0] * 5), (502, "f0", [1.0])], "chunk_id long, file string, embedding array<double>").repartition(5)
+    q = d.filter("chunk_id % 10 = 7 and chunk_id < 120").select(d.chunk_id.alias("query_id"), d.embedding.alias("vector"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    dist = np.round(1 - np.clip(u @ u.T, -1, 1), 6)
+    got: dict = {}
+    for r in retrieval.top_k(d, q, k=9).collect():
+        got.setdefault(r["query_id"], {})[r["pos"]] = (r["chunk_id"], r["distance"])
+    for i in range(7, 120, 10):
+        want = sorted(range(120), key=lambda j: (dist[i, j], j))[:9]
+        assert [got[i][p] for p in range(1, 10)] == [(j, pytest.approx(dist[i, j], abs=1e-9)) for j in want]
+
+
+def test_repeated_dates_by_steps(spark):
+    """Against steps of one period: late days, leap years, and series of a hundred years."""
+    import datetime as dt
+
+    from quarry.functions import dates as D
+
+    def add(d, months):
+        y, m = divmod(d.year * 12 + d.month - 1 + months, 12)
+        last = (dt.date(y + (m == 11), (m + 1) % 12 + 1, 1) - dt.timedelta(1)).day
+        return dt.date(y, m + 1, min(d.day, last))
+
+    days = [dt.date(y, m, k) for y in (1891, 1896, 1996, 2023) for m, k in ((1, 29), (1, 30), (1, 31), (2, 28), (3, 31), (5, 31), (8, 30), (12, 31), (6, 15))] + [dt.date(1896, 2, 29), dt.date(2000, 2, 29), dt.date(2030, 1, 31)]
+    rows = [(d, e) for d in days for e in ("weekly", "monthly", "quarterly", "yearly", "none")]
+    for today in (dt.date(2024, 2, 29), dt.date(2023, 12, 31), dt.date(1996, 3, 1)):
+        got = spark.createDataFrame(rows, "d date, e string").select("d", "e", D.next_occurrence(F.col("d"), F.col("e"), F.lit(today)).alias("n")).collect()
+        for d, e, n in got:
+            want = d
+            while e != "none" and want < today:
+                want = want + dt.timedelta(7) if e == "weekly" else add(want, {"monthly": 1, "quarterly": 3, "yearly": 12}[e])
+            assert n == want, (d, e, today)
+
+
+def test_pages_in_parts(spark, monkeypatch):
+    import random
+    import re
+
+    rng = random.Random(4)
+    monkeypatch.setattr(chunking, "PAGE_PART", 5)
+    monkeypatch.setattr(chunking, "CHUNK_PART", 4)
+    pages, chunks = [], []
+    for f in ("a", "b", None):
+        texts = [" ".join(rng.choice(["Tax", "bill", "of", "May", "12", "x"]) for _ in range(rng.randrange(0, 30))) for _ in range(23)]
+        pages += [(f, i + 1, t) for i, t in enumerate(texts)]
+        chunks += [(f, i, rng.choice([" ".join(texts[i : i + 2])[5:], texts[i], "not found anywhere at all", "", "é!"])) for i in range(22)]
+    squash = lambda t: re.sub("[^a-z0-9]", "", t.lower())
+    want = {}
+    for f, i, t in chunks:
+        flat = squash(t)
+        if flat and f:
+            own = [(p, squash(x)) for g, p, x in pages if g == f]
+            ends = []
+            for cut, pick in ((lambda n: flat[:n], min), (lambda n: flat[-n:], max)):
+                hits = next((h for n in (60, 44, 28, 12) if (h := [p for p, x in own if cut(n) in x])), None)
+                ends.append(pick(hits) if hits else None)
+            want[f, i] = tuple(ends)
+    got = chunking.locate_pages(spark.createDataFrame(chunks, "f string, chunk_index long, text string"), spark.createDataFrame(pages, "f string, page long, text string"), "f")
+    assert {(r["f"], r["chunk_index"]): (r["page_start"], r["page_end"]) for r in got.filter("f is not null").collect()} == want
