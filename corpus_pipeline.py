@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on
 everything that its predecessor kept. All but the last return the columns of
 documents. Stages are written as Parquet to the cluster's shared folder and
 read again, so a lost executor costs one stage's tasks at most.
+
+Defined cases: rules and near-duplicates number the rows and judge each by its
+own number, so null ids, repeated ids and repeated rows are rows like others: of
+equal rows one stays after near-duplicates, that of the smallest id, null ids
+last. Null and empty texts fail the rules; in later stages they are unique and
+stay. Further columns are dropped, whatever their names. An empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -49,8 +56,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _numbered(docs, ws)
     found = minhash.near_duplicates(spark, rows, id_col="row", percent=NEAR_PERCENT).select(F.col("doc_id").alias("row"), "component_id")
     placed = ws.stage(found.join(rows.select("row", "doc_id"), "row"), "placed")
-    first = placed.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return _without(rows, placed.join(first, "component_id").filter("row <> first"), ws)
+    first = placed.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+    # Joined by row, of which each is there once: a group of very many copies is no single task's.
+    return _without(rows, placed.join(first.select("row"), "row", "left_anti"), ws)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
