@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 MAX_AMOUNT = 1e14
+# An amount in prose has a currency before it, or digits in groups.
+PROSE_AMOUNT = r"(?i)(?:(?:₹|£|\$|€|\brs\.?\s*|\binr\s*|\busd\s*|\bgbp\s*|\beur\s*)([0-9][0-9,]*)|([0-9]{1,3}(?:,[0-9]{2,3})+))(?:\.[0-9]+)?"
+# Fixed values end.
 
 
 def _plausible(s: Column) -> Column:
@@ -58,3 +61,9 @@ def fraction(c: Column) -> Column:
     """Up to two decimals, as text."""
     frac = F.regexp_replace(F.regexp_extract(F.regexp_replace(c, r"[^0-9.]", ""), r"\.(.*)$", 1), r"\D", "")
     return F.when(frac != "", F.substr(frac, F.lit(1), F.lit(2)))
+
+
+def prose_amount(c: Column) -> Column:
+    """The first amount in a text, in whole units: of digits alone, with a currency before it, or in groups; else null."""
+    digits = F.regexp_replace(F.concat(F.regexp_extract(c, PROSE_AMOUNT, 1), F.regexp_extract(c, PROSE_AMOUNT, 2)), ",", "")
+    return F.when(F.trim(c).rlike("^[0-9]{1,15}$"), F.trim(c).try_cast("long")).otherwise(digits.try_cast("long"))

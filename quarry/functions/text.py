@@ -19,10 +19,9 @@ STOPWORDS = (
 DOC_TYPE_WORDS = "invoice invoices statement statements receipt receipts bill bills notice notices letter form return returns agreement lease contract report summary document scan final copy note record records file docs".split()
 LEGAL_SUFFIXES = "private pvt limited ltd llp llc inc incorporated corporation corp company co plc gmbh sons".split()
 COMPANY_WORDS = "llc inc llp ltd co corp corporation company group the".split()
-SMALL_TALK = "hi hello hey thanks thank you ok okay bye good morning good evening how are you".split()
 NULLISH = ["null", "none", "n/a", "na", "not found", "not stated"]
 TEMPLATE_NAME = r"(?i)(?:^|[^a-z0-9])(template|sample|example|boilerplate|placeholder|lorem|starter|demo|blank|_default)(?:[^a-z0-9]|$)"
-SUPERSEDED_NAME = r"(?i)(?:^|[^a-z0-9])(draft|old|copy|superseded|backup|v[0-9]+)(?:[^a-z0-9]|$)"
+SUPERSEDED_NAME = r"(?i)(?:^|[^a-z0-9])(draft|superseded|obsolete|old|backup|previous|prev|copy|v[0-9]+)(?:[^a-z0-9]|$)"
 LEDGER_NAME = r"(?i)(tracker|ledger|outstanding|receivable|arrears|dues|statement[ _-]?of[ _-]?account|fees?[ _-]?(status|due|outstanding|pending))"
 PAYMENT_STATUS = r"(?i)\b(unpaid|paid|pending|outstanding|overdue|owe[ds]?|owing|settled|cleared|due|dues|receivable|payable|arrears|balance)\b"
 ENTITY_BREADTH = r"(?i)\b(all the|all of|same|different|distinct|separate|apart|each|every|how many|list|which|compare|both|versus|vs)\b"

@@ -216,3 +216,10 @@ def calendar(events: DataFrame) -> DataFrame:
     fold = lambda c: F.regexp_replace(c, r"(.{73})(?=.)", "$1\r\n ")
     lines = F.array_compact(F.array(F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "uid"), F.concat(F.lit("DTSTART;VALUE=DATE:"), day), fold(F.concat(F.lit("SUMMARY:"), T.ics_escape(F.col("title")))), F.concat(F.lit("RRULE:"), rule), F.lit("END:VEVENT")))
     return events.select("uid", F.array_join(lines, "\r\n").alias("vevent"))
+
+
+def tabs(items: DataFrame) -> DataFrame:
+    """Items of the two tabs: open (pending, with a date) and reminded (done, or with a reminder set); one may be on both."""
+    dated = F.col("bucket").isin("OVERDUE", "DUE_SOON", "UPCOMING")
+    on = F.array(F.when((F.col("status") == "PENDING") & dated, "open"), F.when((F.col("status") == "DONE") | F.coalesce("reminder_set", F.lit(False)), "reminded"))
+    return items.withColumn("tab", F.explode(F.filter(on, lambda t: t.isNotNull())))

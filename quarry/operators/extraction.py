@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import dates as D
 from quarry.functions import money as M
 from quarry.functions import text as T
 
@@ -64,6 +65,85 @@ def isolate_json(c: Column) -> Column:
     return F.nullif(F.when(first_arr, arr).otherwise(obj), F.lit(""))
 
 
+# What a reply may say of a deadline, and the shapes of tax identifiers.
+KINDS = ["DEADLINE", "RENEWAL", "ACTION"]
+CONFIDENCES = ["HIGH", "MEDIUM", "LOW"]
+RECURRENCES = {"WEEKLY": "WEEKLY", "MONTHLY": "MONTHLY", "QUARTERLY": "QUARTERLY", "YEARLY": "YEARLY", "NONE": "NONE", "ANNUAL": "YEARLY", "ANNUALLY": "YEARLY", "DAILY": "WEEKLY"}
+GSTIN = r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]"
+PAN = r"[A-Z]{5}[0-9]{4}[A-Z]"
+# Fixed values end.
+
+
+def tax_ids(c: Column) -> Column:
+    """struct(gstin, pan) of the first GSTIN of a text, which holds a PAN, else of the first PAN alone; null without either."""
+    up = F.upper(c)
+    gstin = F.regexp_extract(up, rf"\b({GSTIN})\b", 1)
+    pan = F.when(gstin != "", F.substr(gstin, F.lit(3), F.lit(10))).otherwise(F.regexp_extract(up, rf"\b({PAN})\b", 1))
+    return F.when(pan != "", F.struct(F.nullif(gstin, F.lit("")).alias("gstin"), pan.alias("pan")))
+
+
+def new_identities(files: DataFrame, known: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, gstin, pan) of files without a stored identity whose text has one."""
+    t = files.join(known.select(key).distinct(), key, "left_anti").withColumn("__ids", tax_ids(F.col(text_col)))
+    return t.filter("__ids is not null").select(key, "__ids.gstin", "__ids.pan")
+
+
+def valid_id(c: Column, shape: str) -> Column:
+    """The identifier in capitals without blanks, if that is its whole shape; else null."""
+    u = F.upper(F.regexp_replace(c, r"\s", ""))
+    return F.when(u.rlike(f"^(?:{shape})$"), u)
+
+
+def _trimmed(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit("")))
+
+
+def parse_facts(replies: DataFrame, reply_col: str) -> DataFrame:
+    """A row for each fact of a reply's array, after the other columns; replies that aren't such an array have none.
+
+    Amounts are numbers, cut to whole units, or the first amount of a text.
+    """
+    kind = "array<struct<subject:string,key:string,label:string,value:string,balance:string,status:string,date:string,note:string>>"
+    arr = F.regexp_extract(F.coalesce(F.col(reply_col), F.lit("")), r"(?s)(\[.*\])", 1)
+    rest = [c for c in replies.columns if c != reply_col]
+    f = replies.select(*rest, F.explode(F.from_json(arr, kind)).alias("f")).filter("f is not null")
+    text = {c: _trimmed(F.col(f"f.{c}")) for c in ("subject", "key", "label", "status", "date", "note")}
+    number = lambda c: F.when(F.col(c).rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), F.col(c).try_cast("decimal(38,6)").cast("long")).otherwise(M.prose_amount(F.col(c)))
+    some = (text["subject"] != "") | (text["key"] != "") | (text["label"] != "") | F.col("f.value").isNotNull()
+    return f.filter(some).select(*rest, *(text[c].alias(c) for c in ("subject", "key", "label")), number("f.value").alias("value"), number("f.balance").alias("balance"), *(text[c].alias(c) for c in ("status", "date", "note")))
+
+
+def _one_of(c: Column, words: dict[str, str], otherwise: str) -> Column:
+    table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, F.upper(F.trim(c))), F.lit(otherwise))
+
+
+def parse_deadlines(replies: DataFrame, reply_col: str) -> DataFrame:
+    """A row for each dated item of a reply (an array, or an object's array "deadlines"), after the other columns."""
+    item = "struct<doc:string,docId:string,title:string,description:string,date:string,kind:string,confidence:string,recurring:string>"
+    json = isolate_json(F.col(reply_col))
+    rest = [c for c in replies.columns if c != reply_col]
+    arr = F.when(F.startswith(json, F.lit("[")), F.from_json(json, f"array<{item}>")).otherwise(F.from_json(json, f"struct<deadlines:array<{item}>>")["deadlines"])
+    d = replies.select(*rest, F.explode(arr).alias("d")).filter(D.is_iso(F.trim("d.date")))
+    title = F.trim("d.title")
+    return d.select(
+        *rest, F.coalesce(F.coalesce("d.doc", "d.docId").try_cast("int"), F.lit(0)).alias("doc"), F.when(title.isNull() | (title == ""), "Deadline").otherwise(title).alias("title"), _trimmed(F.col("d.description")).alias("description"), F.trim("d.date").alias("date"),
+        _one_of(F.col("d.kind"), {k: k for k in KINDS}, "ACTION").alias("kind"), _one_of(F.col("d.confidence"), {k: k for k in CONFIDENCES}, "MEDIUM").alias("confidence"), _one_of(F.col("d.recurring"), RECURRENCES, "NONE").alias("recurring"),
+    )
+
+
+def parse_documents(replies: DataFrame, reply_col: str) -> DataFrame:
+    """A row for each document of a reply's "documents" that has a series with its period, or an owner."""
+    item = "struct<doc:string,docId:string,series:string,period:string,issuer:string,entity:string,gstin:string,pan:string>"
+    rest = [c for c in replies.columns if c != reply_col]
+    d = replies.select(*rest, F.explode(F.from_json(isolate_json(F.col(reply_col)), f"struct<documents:array<{item}>>")["documents"]).alias("d"))
+    some = lambda c: F.nullif(F.trim(f"d.{c}"), F.lit(""))
+    d = d.select(*rest, F.coalesce(F.coalesce("d.doc", "d.docId").try_cast("int"), F.lit(0)).alias("doc"), *(some(c).alias(c) for c in ("series", "period", "issuer", "entity")), valid_id(some("gstin"), GSTIN).alias("gstin"), valid_id(some("pan"), PAN).alias("pan"))
+    periodic = F.col("series").isNotNull() & F.col("period").isNotNull()
+    d = d.withColumn("series", F.when(periodic, F.col("series"))).withColumn("period", F.when(periodic, F.col("period")))
+    return d.filter((F.col("doc") > 0) & F.coalesce("series", "entity", "gstin", "pan").isNotNull())
+
+
 def complete(docs: DataFrame, schema: DataFrame, cells: DataFrame) -> DataFrame:
     """A cell for every document and field of the schema (a short list): MISSING where none came."""
     return docs.select("doc_id").crossJoin(F.broadcast(schema.select("field"))).join(cells, ["doc_id", "field"], "left").withColumn("status", F.coalesce("status", F.lit(MISSING)))

@@ -11,9 +11,11 @@ from quarry.functions import text as T
 # Extensions that are indexed, and folders that are skipped.
 SUPPORTED = "pdf doc docx odt rtf txt md csv tsv xls xlsx ppt pptx json xml html yaml log properties png jpg jpeg tiff bmp".split()
 SKIP_DIRS = "node_modules target build dist out bin obj __pycache__ venv .git .idea .gradle .svn vendor".split()
-BINARY = "pdf doc docx xls xlsx ppt pptx png jpg jpeg gif bmp tiff webp zip odt".split()
+BINARY = "jpg jpeg png gif bmp tiff heic svg ico mp3 mp4 mov wav zip exe dll".split()
+RAW_TEXT = "csv tsv txt md".split()
 # Fixed values end.
 MAX_BYTES = 50 << 20
+RAW_BYTES = 512 * 1024
 FILE_TOKENS, TOTAL_TOKENS = 500_000, 200_000_000
 
 
@@ -120,3 +122,61 @@ def target_selection(files: DataFrame, paths: DataFrame | None = None, folder: s
     if client_paths is not None:
         return files.join(client_paths.select("path").distinct(), "path", "left_semi")
     return files
+
+
+def is_binary(name: Column) -> Column:
+    return T.extension(name).isin(BINARY)
+
+
+def content(files: DataFrame, chunks: DataFrame, raw: DataFrame) -> DataFrame:
+    """(path, content): the raw text of small text files (path, text), else the file's chunks (path, chunk_index, text) joined in order."""
+    small = T.extension(F.col("file_name")).isin(RAW_TEXT) & (F.col("size") <= RAW_BYTES)
+    f = files.select("path", small.alias("small")).join(raw.select("path", F.col("text").alias("raw")), "path", "left").withColumn("raw", F.when(F.col("small"), F.col("raw")))
+    rest = f.filter("raw is null").select("path")
+    joined = chunks.join(rest, "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
+    joined = joined.select("path", F.concat(F.array_join(F.transform("c", lambda x: x["text"]), "\n"), F.lit("\n")).alias("joined"))
+    return f.join(joined, "path", "left").select("path", F.coalesce("raw", "joined").alias("content"))
+
+
+def snippet_gather(chunks: DataFrame, file_col: str, most: int = 16_000) -> DataFrame:
+    """A file's leading chunks until a number of characters; the last one is cut there. A line break follows each."""
+    w = W.partitionBy(file_col).orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
+    c = chunks.withColumn("before", before).filter(F.col("before") < most)
+    return c.withColumn("text", F.substr("text", F.lit(1), (F.lit(most) - F.col("before")).cast("int"))).drop("before")
+
+
+def file_vectors(files: DataFrame, cached: DataFrame, pooled: DataFrame, named: DataFrame, model: str) -> DataFrame:
+    """(path, vec, name_only): the cached vector of the same hash and model, else the pooled one, else that of the name.
+
+    files: path, hash. cached: path, hash, model, vec, chunks (0 marks a vector of the name alone). pooled, named: path, vec.
+    """
+    hit = cached.filter(F.col("model") == model).select("path", "hash", F.col("vec").alias("c"), F.col("chunks"))
+    f = files.select("path", "hash").join(hit, ["path", "hash"], "left").join(pooled.select("path", F.col("vec").alias("p")), "path", "left").join(named.select("path", F.col("vec").alias("n")), "path", "left")
+    name_only = F.when(F.col("c").isNotNull(), F.col("chunks") == 0).otherwise(F.col("p").isNull())
+    return f.select("path", F.coalesce("c", "p", "n").alias("vec"), name_only.alias("name_only")).filter("vec is not null")
+
+
+def reset_if_drifted(files: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The files without those that count as indexed, if there are such and no vector at all; else as they are."""
+    if vectors.isEmpty():
+        return files.filter(~F.coalesce(F.col("status") == "INDEXED", F.lit(False)))
+    return files
+
+
+def current_model(rows: DataFrame, model: str) -> DataFrame:
+    """Rows made with the current model; all others are to be made anew."""
+    return rows.filter(F.col("model") == model)
+
+
+def clear_blank(table: DataFrame, fields: list[str]) -> DataFrame:
+    """After an upsert: without rows of which every field is null or blank."""
+    some = F.lit(False)
+    for f in fields:
+        some = some | (F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) != "")
+    return table.filter(some)
+
+
+def listing(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows of an order with their place from 1: a top-k, so that only n rows meet in one task."""
+    return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions import money as M
 from quarry.functions import text as T
+from quarry.plans.workspace import Workspace, broadcast_if_small
 
 # Words of payment states, document kinds, roles and sides.
 SETTLED = "settled received cleared".split()
@@ -334,3 +336,97 @@ def suggest_entities(rows: DataFrame, claimed: DataFrame, dismissed: DataFrame)
     for c in ("gstin", "pan", "name"):
         g = g.join(norms, T.token_norm(F.col(c)) == F.col("taken"), "left_anti")
     return g.select("key", "name", "gstin", "pan", "files")
+
+
+# -- what a sheet needs before it is asked --------------------------------------
+
+
+def needs_roles(amounts: Column) -> Column:
+    """Two amounts or more, one of them settled, and one without a role."""
+    settled = lambda a: (lc(a["status"]).contains("paid") & ~lc(a["status"]).contains("unpaid")) | has(lc(a["status"]), ["partial", "settled", "received"])
+    return (F.size(amounts) >= 2) & F.exists(amounts, settled) & F.exists(amounts, lambda a: lc(a["role"]) == "")
+
+
+def needs_date_types(dates: Column) -> Column:
+    return F.exists(dates, lambda d: lc(d["type"]) == "")
+
+
+def _billing(doc_type: Column) -> Column:
+    return has(lc(doc_type), ["invoice", "bill", "receipt", "statement"])
+
+
+def inconsistent(doc_type: Column, amounts: Column) -> Column:
+    """A bill of which a line said to be paid is at least as large as the balance said to be owed."""
+    owed = lambda a: has(lc(a["status"]), ["owed", "unpaid", "due", "outstanding"]) & has(lc(a["label"]), BALANCE_LABELS)
+    paid = lambda a: lc(a["status"]).contains("paid") & ~lc(a["status"]).contains("unpaid")
+    largest = lambda f: F.array_max(F.transform(F.filter(amounts, lambda a: (a["value"] > 0) & f(a)), lambda a: a["value"]))
+    return _billing(doc_type) & (F.size(amounts) >= 2) & F.coalesce(largest(paid) >= largest(owed), F.lit(False))
+
+
+def lacks_client(doc_type: Column, parties: Column, amounts: Column) -> Column:
+    """A bill, or a note of a balance, without a client among its parties."""
+    note = F.exists(amounts, lambda a: has(lc(a["status"]), ["owe", "unpaid", "due", "outstanding", "partial"]) & has(lc(a["label"]), BALANCE_LABELS))
+    return (_billing(doc_type) | note) & ~F.exists(parties, lambda p: has(lc(p["role"]), ["client", "customer", "bill"]))
+
+
+def lacks_biller(doc_type: Column, parties: Column, amounts: Column) -> Column:
+    """A bill with an owed amount and nobody whom it is owed."""
+    owed = F.exists(amounts, lambda a: has(lc(a["status"]), ["unpaid", "owed", "due", "outstanding"]))
+    biller = F.exists(parties, lambda p: lc(p["side"]).contains("owed") | has(lc(p["role"]), ["provider", "biller", "issuer", "vendor", "landlord"]))
+    return _billing(doc_type) & owed & ~biller
+
+
+def folder_signal(path: Column, is_personal: Column) -> Column:
+    """Personal by the folder: a personal one wins, then a business one; else as it was."""
+    p = F.lower(F.coalesce(path, F.lit("")))
+    return F.when(p.rlike(r"/(personal|home|family|household)/"), True).when(p.rlike(r"/(clients?|customers?|business|work|corporate)/"), False).otherwise(is_personal)
+
+
+def owner_firm(sheets: DataFrame) -> DataFrame:
+    """The firm that bills most often, twice at least (the first name of equals): one row or none."""
+    p = sheets.select(F.explode("parties").alias("p")).filter(has(lc(F.col("p.role")), ["provider", "biller", "issuer"])).select(F.trim("p.name").alias("firm")).filter("firm <> ''")
+    return p.groupBy("firm").agg(F.count("*").alias("bills")).filter("bills >= 2").orderBy(F.desc("bills"), "firm").limit(1)
+
+
+def first_other(parties: Column, firm: Column) -> Column:
+    """The first named party that isn't the firm; empty if there is none."""
+    name = lambda p: F.trim(F.coalesce(p["name"], F.lit("")))
+    return F.coalesce(name(F.get(F.filter(parties, lambda p: (name(p) != "") & (F.lower(name(p)) != F.lower(F.coalesce(firm, F.lit(""))))), F.lit(0))), F.lit(""))
+
+
+def money_totals(receivable: DataFrame, payable: DataFrame) -> DataFrame:
+    """For each direction what is billed and owed in all, the parties, and those with a balance: what COMPARE and DIFFERENCE ask of."""
+    both = receivable.withColumn("direction", F.lit("receivable")).unionByName(payable.withColumn("direction", F.lit("payable")))
+    return both.groupBy("direction").agg(F.sum("billed").alias("billed"), F.sum("paid").alias("paid"), F.sum("owed").alias("owed"), F.count("*").alias("parties"), F.count_if(F.col("owed") > 0).alias("owing"))
+
+
+def difference(totals: DataFrame, column: str = "owed") -> DataFrame:
+    """Receivable less payable."""
+    sign = F.when(F.col("direction") == "receivable", F.col(column)).otherwise(-F.col(column))
+    return totals.agg(F.coalesce(F.sum(sign), F.lit(0)).cast("long").alias("difference"))
+
+
+def compare_parties(table: DataFrame, names: list[str]) -> DataFrame:
+    """The money rows of the named parties, the most billed first."""
+    return table.filter(F.col("party").isin([n.strip().lower() for n in names])).orderBy(F.desc("billed"), "party")
+
+
+def money_facts(questions: DataFrame, tables: DataFrame, id_col: str, text_col: str, currency: str = "USD") -> DataFrame:
+    """(id, party, fact): for each party that a question names by a significant token, what is billed, paid and still owed."""
+    ws = Workspace(questions.sparkSession, "money-facts")
+    asked = ws.stage(questions.select(id_col, F.explode(T.significant_tokens(F.col(text_col))).alias("token")), "asked")
+    money = lambda c: M.render(F.lit(currency), F.col(c))
+    fact = (
+        F.when((F.col("owed") > 0) & (F.col("paid") > 0), F.concat("name", F.lit(": "), money("billed"), F.lit(" billed, "), money("paid"), F.lit(" paid, "), money("owed"), F.lit(" still owed (partially paid)")))
+        .when(F.col("owed") > 0, F.concat("name", F.lit(": "), money("owed"), F.lit(" still owed (unpaid)")))
+        .when(F.col("billed") > 0, F.concat("name", F.lit(": "), money("billed"), F.lit(" billed, fully paid")))
+    )
+    named = tables.withColumn("fact", fact).filter("fact is not null").select("party", "fact", F.explode(T.significant_tokens(F.col("name"))).alias("token"))
+    return named.join(broadcast_if_small(asked), "token").select(id_col, "party", "fact").distinct()
+
+
+def empty_message(select: str, status: str) -> str:
+    """What to say when nothing was found."""
+    if select == "amounts":
+        return "Nothing is owed." if "un" in status or "owe" in status else "No amounts were found."
+    return {"parties": "No names were found.", "documents": "No documents were found.", "dates": "No dates were found."}.get(select, "Nothing was found.")
