@@ -97,15 +97,15 @@ def references(feats: DataFrame) -> DataFrame:
     k = len(CLASSES) + 1
     sums = lambda by: by.agg(F.sum("n_words").alias("ref_words"), *(F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(k)))
     per_lang = sums(good.groupBy("lang"))
-    word = good.select("lang", F.inline("common")).groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    word = word.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("words"))  # one entry per vocabulary word at most
-    one = per_lang.join(word, "lang", "left")
-    every = one.agg(F.sum("ref_words").alias("ref_words"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(k)), F.collect_list("words").alias("all"))
-    # A row per language; the pooled row adds them up word by word.
+    codes = good.select("lang", F.inline("common")).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    entries = F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("words")  # one entry per vocabulary word at most
+    one = per_lang.join(codes.groupBy("lang").agg(entries), "lang", "left")
+    # A row per language; in the pooled row they are added up word by word.
+    words = codes.groupBy("code").agg(F.sum("n").alias("n")).agg(entries)
+    every = per_lang.agg(F.sum("ref_words").alias("ref_words"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(k))).join(F.broadcast(words), F.lit(True), "left")  # a row each
     count = lambda m, code: F.coalesce(F.try_element_at(m, code), F.lit(0).cast("long"))
-    codes = F.sequence(F.lit(1), F.lit(len(VOCABULARY)))
-    own = one.withColumn("w", F.transform(codes, lambda c: count(F.col("words"), c)))
-    pooled = every.withColumn("lang", F.lit("*")).withColumn("w", F.transform(codes, lambda c: F.aggregate("all", F.lit(0).cast("long"), lambda a, m: a + count(m, c))))
+    each = F.sequence(F.lit(1), F.lit(len(VOCABULARY)))
+    own, pooled = (d.withColumn("w", F.transform(each, lambda c: count(F.col("words"), c))) for d in (one, every.withColumn("lang", F.lit("*"))))
     cols = ["lang", "ref_words", *(f"c{i}" for i in range(k)), "w"]
     both = own.select(cols).union(pooled.select(cols))
     chars = F.array(*(F.col(f"c{i}") for i in range(k)))

@@ -49,6 +49,8 @@ HEADERS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD = 1 << 14
+#: How far an archive is read ahead at most.
+AHEAD = 4 << 20
 BATCH_BYTES = 8 << 20
 
 
@@ -135,6 +137,7 @@ class _Scan:
 
     def __init__(self, f, size: int):
         self.f, self.size = f, size
+        self.held, self.begin, self.ahead = b"", 0, HEAD
 
     def records(self, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
         at = 0
@@ -149,8 +152,16 @@ class _Scan:
             yield got
 
     def _at(self, at: int, n: int) -> bytes:
-        self.f.seek(at)
-        return self.f.read(n)
+        """Bytes of the archive. It is read ahead: twice as far each time while reading goes on, a little after a leap."""
+        n = min(n, self.size - at)
+        end = self.begin + len(self.held)
+        if at < self.begin or at + n > end:
+            near = self.begin <= at <= end + self.ahead
+            self.ahead = min(2 * self.ahead, AHEAD) if near else HEAD
+            kept = self.held[at - self.begin :] if self.begin <= at < end else b""
+            self.f.seek(at + len(kept))
+            self.held, self.begin = kept + self.f.read(max(n, self.ahead) - len(kept)), at
+        return self.held[at - self.begin : at - self.begin + n]
 
     def _gzip(self, at, head, wanted, payload):
         size = None

@@ -5,8 +5,9 @@ of all vote patterns (at most 3 ** 10, whatever the corpus) give, by
 expectation-maximisation, each labeller's accuracies and the share of good
 documents. The posterior of a document's pattern is its soft label, and a
 linear scorer over hashed words, word shapes and pairs of shapes is trained on
-the soft labels of a hash-chosen sample of about ``TRAIN_DOCS`` documents (the
-bound on what the driver trains on). Votes, pattern counts and scores cover
+the soft labels of a hash-chosen sample of about ``TRAIN_DOCS`` documents, or
+fewer, so that they have about ``TRAIN_WORDS`` words (the bounds on what the
+driver trains on). Votes, pattern counts and scores cover
 every whole text. No quality label is read; labels serve as a test.
 
 ``score`` is the mean of the scorer's probability and the posterior; documents
@@ -32,6 +33,7 @@ from quarry.plans.workspace import Workspace
 
 GOOD, BAD, ABSTAIN = 2, 0, 1
 TRAIN_DOCS = 20_000
+TRAIN_WORDS = 20_000_000
 DIMENSIONS = 1 << 17
 THRESHOLD = 0.5
 MIN_WORDS = 20
@@ -143,8 +145,9 @@ _PLACE = 3 ** np.arange(LABELLERS)
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in at.slices(batch.column(0)):
-            code, n = np.unique(votes(Doc(t)) @ _PLACE, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["pattern", "n"])
+            d = Doc(t)
+            code, where, n = np.unique(votes(d) @ _PLACE, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n), pa.array(np.bincount(where, d.n, len(code)).astype(np.int64))], ["pattern", "n", "words"])
 
 
 class LabelModel:
@@ -189,7 +192,9 @@ def hashed(d: Doc) -> np.ndarray:
     begin = kept[w.starts] - 1
     lens = kept[w.starts + w.lens - 1] - begin
     shape = at.byte_hashes(s[turn], begin, lens)
-    pair = at.mix(np.concatenate([[np.uint64(0)], shape[:-1]]) * at.BASE + shape)
+    before = np.concatenate([[np.uint64(0)], shape[:-1]])
+    before[w.first[:-1][w.first[:-1] < len(before)]] = 0  # nothing stands before a text's first word
+    pair = at.mix(before * at.BASE + shape)
     return np.stack([d.hash % np.uint64(DIMENSIONS // 2), shape % np.uint64(DIMENSIONS // 4) + np.uint64(DIMENSIONS // 2), pair % np.uint64(DIMENSIONS // 4) + np.uint64(3 * DIMENSIONS // 4)], 1).astype(np.int64)
 
 
@@ -200,7 +205,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, code = hashed(d), votes(d) @ _PLACE
             feats = [np.unique(x[d.w.first[i] : d.w.first[i + 1]], return_counts=True) for i in range(len(t))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code), pa.array([f.astype(np.int32) for f, _ in feats], pa.list_(pa.int32())), pa.array([(c / max(1, n)).astype(np.float32) for (_, c), n in zip(feats, d.n)], pa.list_(pa.float32()))], ["pattern", "at", "share"]
+                [batch.column(1).slice(t.first, len(t)), pa.array(code), pa.array([f.astype(np.int32) for f, _ in feats], pa.list_(pa.int32())), pa.array([(c / max(1, n)).astype(np.float32) for (_, c), n in zip(feats, d.n)], pa.list_(pa.float32()))], ["key", "pattern", "at", "share"]
             )
 
 
@@ -255,13 +260,13 @@ def _score(text_at: int, shared):
 def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -> tuple[LabelModel, np.ndarray | None]:
     """The label model of all documents, and the scorer's weights."""
     texts = docs.select(docs[text_col].cast("string").alias("text"))
-    seen = texts.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3 ** 10 rows
+    seen = texts.mapInArrow(_patterns, "pattern long, n long, words long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toPandas()  # at most 3 ** 10 rows
     label = LabelModel(seen["pattern"].to_numpy(np.int64), seen["n"].to_numpy(np.int64))
     total = int(seen["n"].sum())
-    share = min(1.0, train_docs / max(1, total))
+    share = min(1.0, train_docs / max(1, total), TRAIN_WORDS / max(1, int(seen["words"].sum())))
     chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else texts
     # Equal texts count once, or one much copied text could fill the sample.
-    rows = chosen.distinct().mapInArrow(_examples, "pattern long, at array<int>, share array<float>").toArrow()
+    rows = chosen.distinct().select("text", F.xxhash64("text").alias("key")).mapInArrow(_examples, "key long, pattern long, at array<int>, share array<float>").toArrow()
     if not rows.num_rows:
         return label, None
     pattern = np.asarray(rows.column("pattern"))
@@ -271,7 +276,9 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -
     lists = [rows.column(c).combine_chunks() for c in ("at", "share")]
     off, flat = np.asarray(lists[0].offsets), [np.asarray(x.values) for x in lists]
     data = [(flat[0][a:b], flat[1][a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-    return label, train(data, soft).astype(np.float32)
+    # In the order of their hashes, so that the weights don't depend on how the documents lie.
+    order = np.argsort(np.asarray(rows.column("key")), kind="stable")
+    return label, train([data[i] for i in order.tolist()], soft[order]).astype(np.float32)
 
 
 def classify(spark: SparkSession, docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -111,6 +111,43 @@ def test_warc_foreign_and_uncommitted(spark, tmp_path):
     assert warc.read_records(spark, str(tmp_path / "m")).count() == 1
 
 
+def test_warc_of_no_pages(spark):
+    got = warc.op1_warc
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    path = None
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="spark-warc-")
+    empty.write.mode("overwrite").parquet(f"{path}/pages.parquet")
+    assert got(spark, path).count() == 0
+
+
+def test_warc_reads_ahead(tmp_path):
+    """Few reads for records in a row, little for leaps over large payloads."""
+    data = np.random.default_rng(1).integers(0, 256, 3_000_000, dtype=np.uint8).tobytes()
+
+    class Counted:
+        def __init__(self):
+            self.at, self.reads, self.bytes = 0, 0, 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            self.reads, out = self.reads + 1, data[self.at : self.at + n]
+            self.bytes += len(out)
+            return out
+
+    f = Counted()
+    scan = warc._Scan(f, len(data))
+    assert all(scan._at(a, warc.HEAD) == data[a : a + warc.HEAD] for a in range(0, len(data), 1000))
+    assert f.reads < 20
+    f = Counted()
+    scan = warc._Scan(f, len(data))
+    assert all(scan._at(a, 100) == data[a : a + 100] for a in range(0, len(data), 500_000))
+    assert f.bytes < 10 * warc.HEAD
+
+
 # -- 2 -------------------------------------------------------------------------
 
 
@@ -589,6 +626,51 @@ def test_weak_quality(spark, clash, empty):
     assert weak_quality.classify(spark, empty).count() == 0
 
 
+def _plain_votes(text):
+    """The ten labellers in plain Python: 2 good, 0 bad, 1 abstains."""
+    common = {w for words in quality_rules.COMMON_WORDS.values() for w in words.split()}
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")) for w in words]
+    n = len(words)
+    share = lambda hits: sum(hits) / n if n else 0.0
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    upper = sum(65 <= b <= 90 for b in raw) / max(1, sum(map(letter, raw)))
+    values = [
+        (share([any(b in b"#*$%&|<>" for b in w) for w in words]), lambda x: x > 0.15, lambda x: x < 0.03),
+        (share([not any(map(letter, w)) for w in words]), lambda x: x > 0.2, lambda x: x < 0.06),
+        (upper, lambda x: x > 0.4, lambda x: x < 0.15),
+        (share([w.decode("utf-8", "replace") in common for w in low]), lambda x: x < 0.08, lambda x: x > 0.2),
+        (share([len(w) for w in words]), lambda x: x > 10 or x < 2.2, lambda x: 3 < x < 8.5),
+        (share([w[-1:] in (b".", b",") for w in words]), lambda x: x < 0.02, lambda x: x > 0.05),
+        (share([w[-1:] in (b"!", b"?") for w in words]), lambda x: x > 0.25, lambda x: x < 0.02),
+        (share([i > 0 and low[i] == low[i - 1] for i in range(n)]), lambda x: x > 0.2, lambda x: x < 0.03),
+        (len(set(low)) / n**0.85 if n else 0.0, lambda x: x < 0.4, lambda x: x > 0.9),
+    ]
+    out = [0 if bad(x) else 2 if good(x) else 1 for x, bad, good in values] + [0 if n == 0 else 2 if n > 60 else 1]
+    if 0 < n < weak_quality.MIN_WORDS:
+        out = [1 if v == 0 and k in (3, 4, 5, 7, 8, 9) else v for k, v in enumerate(out)]
+    return out
+
+
+def test_weak_quality_against_plain_python(spark):
+    """Votes, posteriors and scores of given documents, recomputed one by one."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(120)
+    label, weights = weak_quality.fit(d)
+    got = {r["doc_id"]: r for r in weak_quality.classify(spark, d).collect()}
+    for r in d.collect():
+        v = _plain_votes(r["text"])
+        odds = np.log(label.prior / (1 - label.prior)) + sum(np.log(label.given[0][k, x]) - np.log(label.given[1][k, x]) for k, x in enumerate(v))
+        post = 1 / (1 + np.exp(-odds)) if (r["text"] or "").split() else 0.0
+        assert got[r["doc_id"]]["weak_label"] == pytest.approx(post, abs=1e-9)
+        t = next(arrow_text.slices(pa.array([r["text"]])))
+        x = weak_quality.hashed(weak_quality.Doc(t))
+        if weights is not None and len(x):
+            score = 1 / (1 + np.exp(-(sum(float(weights[f]) for row in x.tolist() for f in row) / len(x) + float(weights[-1]))))
+            assert got[r["doc_id"]]["linear_score"] == pytest.approx(score, abs=1e-4)
+            assert got[r["doc_id"]]["quality_score"] == pytest.approx((score + post) / 2, abs=1e-4)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(2)
     y = rng.random(20_000) < 0.7
