@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dates as D
 from quarry.functions import text as T
+from quarry.operators.library import undismissed
 
 LATE_DAYS = 60
 MAX_GAP, MAX_PER_SERIES = 4, 8
@@ -46,7 +47,7 @@ def attention(deadlines: DataFrame, dates: DataFrame, missing: DataFrame, dismis
     t = dates.filter(window("event_date")).select(F.concat_ws("|", F.lit("date"), "path", "event_date").alias("item_key"), "path", "title", F.col("event_date").alias("day"))
     t = t.join(d.select("path", "day"), ["path", "day"], "left_anti").select(d.columns)
     m = missing.select(F.concat_ws("|", F.lit("missing"), "series", "period").alias("item_key"), F.lit(None).cast("string").alias("path"), F.concat_ws(" ", "series", "period").alias("title"), F.lit(None).cast("string").alias("day"))
-    shown = d.unionByName(t.unionByName(m).join(dismissed.select("item_key").distinct(), "item_key", "left_anti"))
+    shown = d.unionByName(undismissed(t.unionByName(m), dismissed, "item_key"))
     gap = F.datediff(F.try_to_date("day", "yyyy-MM-dd"), today)
     return shown.withColumn("bucket", F.when(gap == 0, "DUE_TODAY").when(gap < 0, "OVERDUE").otherwise("MISSING")).withColumn("rank", F.when(gap == 0, 0).when(gap < 0, 1).otherwise(2))
 

@@ -173,11 +173,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (path = canonica
 SELECT source, doc_id, size FROM r WHERE r = 1"""
 )
 def canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source's files as spellings of one path."""
-    f = files_of(spark, sf_dir).withColumn("canonical", F.col("source")).withColumn("exact", F.lower("path"))
-    rest = F.struct("doc_id", "size")
-    best = F.max_by(rest, F.struct((F.col("path") == F.col("exact")).cast("int"), "size", "path"))
-    return f.groupBy("source").agg(best.alias("r")).select("source", "r.*")
+    """A source's files as spellings of one path, of which the lower-cased one is exact."""
+    f = files_of(spark, sf_dir)
+    # The operator compares a path with its canonical form; here that is one text for a whole source.
+    one = f.select("doc_id", "size", F.col("source").alias("canonical"), F.when(F.col("path") == F.lower("path"), F.col("source")).otherwise(F.concat(F.col("source"), F.lit(" "), "path")).alias("path"))
+    return L.canonical_dedupe(one).select(F.col("canonical").alias("source"), "doc_id", "size")
 
 
 @query(

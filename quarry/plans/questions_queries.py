@@ -137,3 +137,28 @@ def source_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     top = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("source").alias("file"), (k % 7).cast("int").alias("page_start"), (k % 7 + k % 3).cast("int").alias("page_end"), "text", k.alias("pos"))
     return R.group_sources(top, "file").select("file", F.size("snippets").cast("long").alias("snippets"), F.array_join("pages", ",").alias("pages"))
+
+
+NATIONS = "strftime(DATE '2001-01-01' + CAST(n_nationkey AS INTEGER) * 31, '%B')"
+
+
+@query(
+    f"""WITH n AS (SELECT n_nationkey, 'contract-' || n_nationkey || '-' || {NATIONS} || '.pdf' AS file_name FROM nation), h AS (SELECT n_nationkey FROM n WHERE contains(lower(file_name), 'august') OR contains(lower(file_name), 'october'))
+SELECT n_nationkey FROM h WHERE (SELECT count(*) FROM h) <= 5"""
+)
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a question names by a distinctive token (nations, each with a month); a kind of document is none."""
+    month = F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("n_nationkey") * 31).cast("int")), "MMMM")
+    f = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("contract-"), F.col("n_nationkey").cast("string"), F.lit("-"), month, F.lit(".pdf")).alias("file_name"))
+    return R.named_files(f, "Is the contract of August or that of October longer?").select("n_nationkey")
+
+
+@query(
+    """WITH pool AS (SELECT doc_id, source FROM documents WHERE doc_id % 9 = 0 AND source <> (SELECT max(source) FROM documents)), extra AS (SELECT doc_id, source FROM documents WHERE doc_id % 4 = 0)
+SELECT * FROM pool UNION ALL SELECT * FROM extra WHERE source NOT IN (SELECT source FROM pool WHERE source IS NOT NULL)"""
+)
+def injected_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of files that a pool lacks are appended to it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    last = d.agg(F.max("source").alias("last"))
+    return R.inject(d.filter("doc_id % 9 = 0").join(F.broadcast(last), F.col("source") != F.col("last"), "left_semi"), d.filter("doc_id % 4 = 0 and source is not null"), "source")

@@ -343,3 +343,36 @@ def test_pages_in_parts(spark, monkeypatch):
             want[f, i] = tuple(ends)
     got = chunking.locate_pages(spark.createDataFrame(chunks, "f string, chunk_index long, text string"), spark.createDataFrame(pages, "f string, page long, text string"), "f")
     assert {(r["f"], r["chunk_index"]): (r["page_start"], r["page_end"]) for r in got.filter("f is not null").collect()} == want
+
+
+def test_file_predicates_and_sinks(spark, tmp_path):
+    assert [one(spark, files.needs_ocr(F.lit(c), F.lit(p))) for c, p in ((50, 1), (500, 2), (0, 0))] == [True, False, False]
+    events = spark.createDataFrame([("u1", "BEGIN:VEVENT\r\nUID:u1\r\nEND:VEVENT")], "uid string, vevent string")
+    files.write_calendar(events, str(tmp_path / "calendar"))
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "calendar")).collect())
+    assert text.startswith("BEGIN:VCALENDAR") and "UID:u1" in text and "END:VCALENDAR" in text
+    rows = spark.createDataFrame([("<b>", 1), (None, 2)], "a string, b int")
+    assert {r["html"] for r in files.html_report(rows, ["a", "b"]).collect()} == {"<tr><td>&lt;b&gt;</td><td>1</td></tr>", "<tr><td></td><td>2</td></tr>"}
+
+
+def test_fence(spark):
+    got = one(spark, model_port.fence(F.lit("a<b>\n"), F.lit("text << end"), F.lit("n1")))
+    assert got.startswith("<<n1 ") and got.endswith("\n<<end n1>>") and "<b>" not in got
+
+
+def test_library_tables(spark):
+    from quarry.operators import questions
+
+    f = spark.createDataFrame([("a", "h1"), ("b", "h2"), ("c", "h3"), ("d", "h4")], "path string, hash string")
+    v = lambda rows: spark.createDataFrame(rows, "path string, vec array<double>")
+    cached = spark.createDataFrame([("a", "h1", "m", [1.0], 3), ("b", "old", "m", [2.0], 3), ("c", "h3", "other", [3.0], 3)], "path string, hash string, model string, vec array<double>, chunks int")
+    got = library.file_vectors(f, cached, v([("a", [9.0]), ("b", [4.0])]), v([("b", [8.0]), ("c", [5.0])]), "m").collect()
+    assert {(r["path"], r["vec"][0], r["name_only"]) for r in got} == {("a", 1.0, False), ("b", 4.0, False), ("c", 5.0, True)}
+    assert [r["path"] for r in library.current_model(cached, "m").orderBy("path").collect()] == ["a", "b"]
+    t = spark.createDataFrame([(1, " ", None), (2, "x", None)], "id int, series string, period string")
+    assert [r["id"] for r in library.clear_blank(t, ["series", "period"]).collect()] == [2]
+    states = spark.createDataFrame([("a", "INDEXED"), ("b", "FAILED")], "path string, status string")
+    assert library.reset_if_drifted(states, f).count() == 2 and library.reset_if_drifted(states, f.limit(0)).count() == 1
+    q = F.col("q")
+    rows = spark.createDataFrame([("in general, what does Sharma owe",), ("what is his daughter's PAN",), ("all clients please",), (None,)], "q string")
+    assert [r[0] for r in rows.select(questions.broadens(q, q.contains("Sharma"))).collect()] == [False, True, True, False]
