@@ -38,7 +38,7 @@ HIDDEN = 8
 TRAIN_DOCS = 8_000
 LANGUAGES = 500
 #: Windows that are read at a time.
-BATCH = 1024
+BATCH = 2048
 #: Fills up the few windows of training that are shorter than the others.
 PAD = 0x20
 UND = "und"
@@ -132,10 +132,19 @@ class Network:
         steps = np.arange(x.shape[1])
         back = np.where(steps < lens[:, None], lens[:, None] - 1 - steps, 0)
         f, b = self.states(x, lens, "f"), self.states(np.take_along_axis(x, back, 1), lens, "b")
-        out = np.empty((len(x), self.k), np.float32)
-        for i, (n, lo, hi) in enumerate(zip(lens.tolist(), first.tolist(), after.tolist())):
-            out[i] = self._softmax(f[lo:hi, i], b[n - hi : n - lo, i][::-1]).sum(0)
-        return out
+        front, rear, bias = self.p["O"][: self.h].T.copy(), self.p["O"][self.h :].T.copy(), self.p["b"][:, None]
+        out = np.zeros((self.k, len(x)), np.float32)
+        for t, a in enumerate(np.searchsorted(-lens, -steps, "left").tolist()):
+            # Languages by windows, so that sums over languages run along whole rows.
+            s = front @ f[t, :a].T
+            s += rear @ b[lens[:a] - 1 - t, np.arange(a)].T
+            s += bias
+            s -= s.max(0)
+            np.exp(s, out=s)
+            s /= s.sum(0)
+            inside = (first[:a] <= t) & (t < after[:a])
+            out[:, :a] += s if inside.all() else s * inside
+        return out.T
 
     def gradient(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the first n positions of each window, and its gradient through time."""
@@ -186,7 +195,7 @@ def filled(spans: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([len(s) for s in spans])
 
 
-def train(spans: list[bytes], langs: np.ndarray, classes: int, steps: int = 300, batch: int = 256, rate: float = 0.012, seed: int = 5) -> Network:
+def train(spans: list[bytes], langs: np.ndarray, classes: int, steps: int = 200, batch: int = 256, rate: float = 0.012, seed: int = 5) -> Network:
     """Adam on batches of windows; all languages have the same share of them."""
     net, rng = Network(classes, seed), np.random.default_rng(seed)
     x, n = filled(spans, SPAN)
