@@ -125,3 +125,29 @@ def roster(clients: DataFrame, idents: DataFrame, assigned: DataFrame, live: Dat
     c = clients.select("client_id", "name").join(i, "client_id", "left").join(n, "client_id", "left")
     zero = F.lit(0).cast("long")
     return c.select("client_id", "name", F.coalesce("identifiers", F.array().cast("array<string>")).alias("identifiers"), F.coalesce("files", zero).alias("files"), F.coalesce("live_files", zero).alias("live_files"), (F.coalesce("live_files", zero) > 0).alias("active"))
+
+
+def create(clients: DataFrame, idents: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clients and identifiers with new clients (client_id, name) added; a client's name and its short form identify it."""
+    return clients.unionByName(new.select(clients.columns)), add_identifiers(idents, identifiers(new))
+
+
+def rename(clients: DataFrame, names: DataFrame) -> DataFrame:
+    """names: (client_id, name)."""
+    n = names.select("client_id", F.col("name").alias("__name"))
+    return clients.join(n, "client_id", "left").select(*(F.coalesce("__name", "name").alias("name") if c == "name" else F.col(c) for c in clients.columns))
+
+
+def delete(tables: list[DataFrame], gone: DataFrame) -> list[DataFrame]:
+    """Every table without the rows of the clients that go (client_id)."""
+    return [t.join(broadcast_if_small(gone.select("client_id").distinct()), "client_id", "left_anti") for t in tables]
+
+
+def add_identifiers(idents: DataFrame, new: DataFrame, least: int = 3) -> DataFrame:
+    """Identifiers (client_id, norm) with others added, normalised; short ones and repeated ones are ignored."""
+    n = new.select("client_id", _core(F.col("norm")).alias("norm")).filter(F.length("norm") >= least)
+    return idents.select("client_id", "norm").unionByName(n).distinct()
+
+
+def remove_identifiers(idents: DataFrame, gone: DataFrame) -> DataFrame:
+    return idents.join(gone.select("client_id", _core(F.col("norm")).alias("norm")), ["client_id", "norm"], "left_anti")

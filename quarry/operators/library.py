@@ -180,3 +180,32 @@ def clear_blank(table: DataFrame, fields: list[str]) -> DataFrame:
 def listing(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of an order with their place from 1: a top-k, so that only n rows meet in one task."""
     return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
+
+
+def salted(hash_: Column, version: str) -> Column:
+    """A hash of the scan's version and the content: a new version makes every file new to the scan."""
+    return F.concat(F.lit(version + ":"), hash_)
+
+
+def unscanned(files: DataFrame, scanned: DataFrame, version: str) -> DataFrame:
+    """Files (path, hash) whose salted hash isn't among those of their path (path, scan_key)."""
+    f = files.withColumn("scan_key", salted(F.col("hash"), version))
+    return f.join(scanned.select("path", "scan_key"), ["path", "scan_key"], "left_anti").drop("scan_key")
+
+
+def untyped(files: DataFrame) -> DataFrame:
+    """Files that classification has still to look at."""
+    return files.filter(F.trim(F.coalesce("doc_type", F.lit(""))) == "")
+
+
+def undo_outcomes(log: DataFrame, existing: DataFrame) -> DataFrame:
+    """What becomes of each move (seq, from_path, to_path) that is undone, the last first: undo, or why it is skipped.
+
+    existing: (path, is_dir). Folders above the original have to be there.
+    """
+    here = existing.select("path", "is_dir")
+    at = lambda name, path: here.select(F.col("path").alias(path), F.lit(True).alias(name))
+    o = log.withColumn("parent", F.regexp_extract("from_path", r"(?s)^(.*)/[^/]*$", 1))
+    o = o.join(at("found", "to_path"), "to_path", "left").join(at("taken", "from_path"), "from_path", "left").join(here.filter("is_dir").select(F.col("path").alias("parent"), F.lit(True).alias("folder")), "parent", "left")
+    outcome = F.when(F.col("found").isNull(), "missing").when(F.col("taken").isNotNull(), "occupied").when((F.col("parent") != "") & F.col("folder").isNull(), "orphaned").otherwise("undo")
+    return o.select("seq", "from_path", "to_path", outcome.alias("outcome"))

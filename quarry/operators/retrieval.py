@@ -210,3 +210,12 @@ def mean_by_file(vectors: DataFrame, file_col: str, vec_col: str) -> DataFrame:
     size = norm("vec")
     return packed.withColumn("vec", F.when(size > 1e-12, F.transform("vec", lambda x: x / size)).otherwise(F.col("vec")))
 
+
+
+def content_preview(chunks: DataFrame, file_col: str, most: int) -> DataFrame:
+    """(file, preview): a file's leading chunks, single-spaced, cut after so many characters; files without text have none."""
+    before = F.coalesce(F.sum(F.length("text") + 1).over(W.partitionBy(file_col).orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    c = chunks.filter("text is not null").withColumn("before", before).filter(F.col("before") <= most)
+    flat = F.trim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), " "), r"\s+", " "))
+    p = c.groupBy(file_col).agg(flat.alias("flat")).filter("flat <> ''")
+    return p.select(file_col, F.when(F.length("flat") > most, F.concat(F.trim(F.substr("flat", F.lit(1), F.lit(most))), F.lit("…"))).otherwise(F.col("flat")).alias("preview"))

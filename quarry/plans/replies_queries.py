@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dates as D
 from quarry.functions import money as M
+from quarry.operators import clients as C
 from quarry.operators import deadlines as L
 from quarry.operators import extraction as E
 from quarry.operators import library as B
 from quarry.operators import model_port as P
+from quarry.operators import questions as Q
+from quarry.operators import retrieval as R
 from quarry.operators import sheets as S
 from quarry.plans.dates_queries import DEADLINES, TODAY, _deadlines, _today
 from quarry.plans.library_queries import FILES, files_of
@@ -269,3 +272,92 @@ def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("id"), B.is_binary(name).alias("needed")).filter("needed")
 
 
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey AS id, 'March' || CASE l_partkey % 3 WHEN 0 THEN 'Rent' WHEN 1 THEN 'Lease' ELSE 'Rent' END || '-' || l_suppkey || '.pdf' AS name FROM lineitem),
+t AS (SELECT id, unnest(['march', CASE WHEN name LIKE 'MarchRent%' THEN 'rent' ELSE 'lease' END]) AS token FROM m), n AS (SELECT id, count(*) AS n FROM m GROUP BY id)
+SELECT id, CASE token WHEN 'lease' THEN 'lease' ELSE token END AS token FROM t JOIN n USING (id) WHERE token <> 'march' OR true GROUP BY id, token, n HAVING count(*) = n"""
+)
+def common_name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that the names of all files of a match share."""
+    kind = F.when(F.col("l_partkey") % 3 == 1, "Lease").otherwise("Rent")
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("March"), kind, F.lit("-"), F.col("l_suppkey").cast("string"), F.lit(".pdf")).alias("name"))
+    return Q.common_name_tokens(m, "id", "name")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN length(t) > 150 THEN trim(left(t, 150)) || '…' ELSE t END AS preview FROM l WHERE t <> ''"""
+)
+def content_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 150 characters of each file, of one chunk each."""
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
+    return R.content_preview(chunks, "doc_id", 150)
+
+
+@query(
+    """SELECT c_custkey AS client_id, CASE WHEN c_custkey % 5 = 0 THEN 'Renamed ' || c_custkey ELSE c_name END AS name FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier WHERE (s_suppkey + 1000000) % 7 <> 0"""
+)
+def client_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients after some were created, renamed and deleted."""
+    k = F.col("c_custkey")
+    clients = table(spark, sf_dir, "customer").select(k.alias("client_id"), F.col("c_name").alias("name"))
+    new = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("client_id"), F.col("s_name").alias("name"))
+    named = C.rename(clients, table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select(k.alias("client_id"), F.concat(F.lit("Renamed "), k.cast("string")).alias("name")))
+    both, idents = C.create(named, C.identifiers(named), new)
+    gone = both.filter("client_id % 7 = 0")
+    return C.delete([both, idents], gone)[0]
+
+
+@query(
+    """WITH i AS (SELECT c_custkey AS client_id, lower(c_name) AS norm FROM customer UNION SELECT c_custkey, 'alias ' || c_custkey FROM customer WHERE c_custkey % 2 = 0)
+SELECT client_id, norm FROM i WHERE NOT (client_id % 6 = 0 AND norm LIKE 'alias%')"""
+)
+def identifier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers after some were added, in other spellings too, and some removed."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    own = c.select(k.alias("client_id"), F.lower("c_name").alias("norm"))
+    alias = lambda text, keep: c.filter(keep).select(k.alias("client_id"), F.concat(F.lit(text), k.cast("string")).alias("norm"))
+    added = C.add_identifiers(own, alias(" Alias  ", "c_custkey % 2 = 0").union(alias("ALIAS ", "c_custkey % 4 = 0")).union(c.select(k, F.lit("x"))))
+    return C.remove_identifiers(added, alias("alias ", "c_custkey % 6 = 0"))
+
+
+@query(f"""WITH {FILES} SELECT doc_id FROM files WHERE doc_id % 2 = 1 OR doc_id % 3 = 0""")
+def unscanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose content was not scanned by this version."""
+    f = files_of(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
+    seen = f.filter("doc_id % 2 = 0").select("path", F.when(F.col("doc_id") % 3 == 0, B.salted(F.col("hash"), "v5")).otherwise(B.salted(F.coalesce("hash", F.lit("")), "v6")).alias("scan_key"))
+    return B.unscanned(f.withColumn("hash", F.coalesce("hash", F.lit(""))), seen, "v6").select("doc_id")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0""")
+def untyped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return B.untyped(table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "Invoice").when(k % 3 == 1, " ").alias("doc_type"))).select("id")
+
+
+@query(
+    """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' WHEN o_orderkey % 5 = 1 THEN 'occupied' WHEN o_custkey % 2 = 1 THEN 'orphaned' ELSE 'undo' END AS outcome FROM orders"""
+)
+def undo_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which moves can be undone: the file is there, its old place is free, and its folder exists."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("/f"), k.cast("string"))
+    folder = F.concat(F.lit("/old/"), (F.col("o_custkey") % 2).cast("string"))
+    o = table(spark, sf_dir, "orders").select(k, F.concat(folder, name).alias("from_path"), F.concat(F.lit("/new"), name).alias("to_path"))
+    there = o.filter("o_orderkey % 5 <> 0").select(F.col("to_path").alias("path"), F.lit(False).alias("is_dir"))
+    there = there.union(o.filter("o_orderkey % 5 = 1").select("from_path", F.lit(False))).union(o.select(F.lit("/old/0"), F.lit(True)).distinct())
+    return B.undo_outcomes(o.withColumnRenamed("o_orderkey", "seq"), there).select("seq", "outcome")
+
+
+@query(
+    f"""WITH {FILES}, k AS (SELECT doc_id, source, CASE doc_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'document' WHEN 2 THEN 'document' WHEN 3 THEN 'document' WHEN 4 THEN 'image' END AS family FROM files)
+SELECT DISTINCT a.doc_id AS file, b.source AS folder FROM k a JOIN (SELECT DISTINCT source, family FROM k WHERE doc_id % 2 = 0) b USING (family) WHERE a.doc_id % 2 = 1"""
+)
+def compatible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and the folders with a member of their family."""
+    f = files_of(spark, sf_dir)
+    return Q.compatible_files(f.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("file"), "file_name"), f.filter("doc_id % 2 = 0").select(F.col("source").alias("folder"), "file_name"))
