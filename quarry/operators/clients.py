@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.plans.workspace import broadcast_if_small
+from quarry.plans.workspace import Workspace, broadcast_if_small
 
 # Words that don't name a client by themselves, and legal forms.
 GENERIC = (
@@ -54,6 +54,7 @@ def occurrences(texts: DataFrame, keys: DataFrame, id_col: str, text_col: str, k
 
     Only the distinct word counts of keys come to the driver. Null and empty texts have no rows.
     """
+    keys = Workspace(texts.sparkSession, "occurrences").stage(keys, "keys")  # read three times below
     sizes = sorted(r["n"] for r in keys.select(F.size(F.regexp_extract_all(key_col, F.lit(f"({WORD})"), F.lit(1))).alias("n")).distinct().collect() if r["n"])
     if not sizes:
         return texts.select(id_col).join(keys, F.lit(False))
