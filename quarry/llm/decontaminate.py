@@ -307,7 +307,10 @@ def match(spark: SparkSession, docs: DataFrame, bench: DataFrame, text_col: str
             shared.destroy()
         every = reduce(DataFrame.union, found).groupBy("_row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-        rows = rows.join(ws.stage(every, "all-hits"), "_row", "left").select(*docs.columns, none(F.col("hits"), "array<bigint>").alias("hits"), none(F.col("items"), "array<string>").alias("items"))
+        every = ws.stage(every, "all-hits")
+        for hits in found:
+            ws.drop(hits)
+        rows = rows.join(every, "_row", "left").select(*docs.columns, none(F.col("hits"), "array<bigint>").alias("hits"), none(F.col("items"), "array<string>").alias("items"))
         first = _count(text_at)
     last = docs.select("*", *_nulls(n_words="long", n_hit="long", items="array<string>", spans="array<struct<n_words:bigint,first:bigint,after:bigint>>")).schema
     return rows.mapInArrow(_then(first, _merge(text_at)), last)

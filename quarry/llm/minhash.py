@@ -330,9 +330,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = ws.stage(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key", "low"), "shared-keys")
     stars = ws.stage(keys.join(broadcast_if_small(first), "key").filter("doc_id <> low").groupBy("doc_id", "low").agg(F.count("*").alias("n")), "stars")
 
+    ws.drop(first)
     near = ws.stage(_compare(texts, ws.stage(_near_groups(stars), "near-groups"), percent).union(same), "links")
     comps = ws.stage(components(near, "a", "b", ws), "families")
-    across = _cross_groups(stars, comps, ws)
+    across = _cross_groups(stars, comps, ws)  # staged, so the stars can go
+    ws.drop(stars)
     if across is not None:
         more = ws.stage(_compare(texts, ws.stage(across, "cross-groups"), percent), "cross-links")
         if not more.isEmpty():
