@@ -261,13 +261,13 @@ def clusters(vectors: DataFrame, id_col: str, vec_col: str, distance: float = CL
 
 
 def cohesion(vectors: DataFrame, id_col: str, vec_col: str, distance: float = CLUSTER_DISTANCE) -> DataFrame:
-    """Per cluster with a link: the number of its links, the largest and the mean distance; copies of a vector are links of distance 0."""
+    """Per cluster with a link: the number of its links, the largest and the mean distance (cut to six digits); copies of a vector are links of distance 0."""
     near = Near(vectors, id_col, vec_col, distance)
     c = _clusters(near)
     sums = near.find("sums", c.select("id", F.col("cluster").alias("label"))).select(F.col("label").alias("cluster"), "links", "widest", "micro")
     copies = c.select("cluster", (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("links"), F.lit(0).cast("long").alias("widest"), F.lit(0).cast("decimal(38,0)").alias("micro")).filter("links > 0")
     both = sums.union(copies).groupBy("cluster").agg(F.sum("links").alias("links"), F.max("widest").alias("widest"), F.sum("micro").alias("micro"))
-    return both.select("cluster", "links", (F.col("widest") / 1e6).alias("widest"), (F.col("micro").cast("double") / F.col("links") / 1e6).alias("mean"))
+    return both.select("cluster", "links", (F.col("widest") / 1e6).alias("widest"), (F.floor(F.col("micro") / F.col("links")).cast("long") / 1e6).alias("mean"))
 
 
 def _best(shared, least: float):

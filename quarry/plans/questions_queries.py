@@ -15,7 +15,7 @@ from quarry.plans.retrieval_queries import stems_sql, tokens_sql
 #: Questions of eleven shapes, by the order's number.
 SHAPES = [
     "What about April", "And his PAN", "In  general, is there an engagement letter", "Don't answer about them, which one is next", "What is Acme's son's school fee", "When is the licence due by", "Give me an overview of my files",
-    "What's in my documents", "Good morning!", "Thanks a lot", "Please follow  up on renewals for order",
+    "What's in my documents", "Good morning!", "Thanks a lot", "Please follow  up on the lease renewals for order",
 ]
 _said = lambda s: s.replace("'", "''")
 QUESTIONS = "questions AS (SELECT o_orderkey AS id, CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN '{_said(s)}'" for i, s in enumerate(SHAPES)) + " END || CASE WHEN o_orderkey % 11 IN (8, 9) THEN '' ELSE ' ' || o_custkey END AS q FROM orders)"

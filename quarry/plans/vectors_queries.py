@@ -53,10 +53,10 @@ def cluster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs WHERE distance <= 0.62 UNION ALL SELECT b, a FROM pairs WHERE distance <= 0.62),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), k AS (SELECT a, min(b) AS cluster FROM r GROUP BY a)
-SELECT cluster, count(*) AS links, max(distance) AS widest, round(avg(distance), 6) AS mean FROM pairs JOIN k USING (a) WHERE distance <= 0.62 GROUP BY cluster"""
+SELECT cluster, count(*) AS links, max(distance) AS widest, (sum(CAST(round(distance * 1000000) AS BIGINT)) // count(*)) / 1000000 AS mean FROM pairs JOIN k USING (a) WHERE distance <= 0.62 GROUP BY cluster"""
 )
 def cluster_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.cohesion(_unit(spark, sf_dir), "vec_id", "vec", 0.62).withColumn("mean", F.round("mean", 6))
+    return V.cohesion(_unit(spark, sf_dir), "vec_id", "vec", 0.62)
 
 
 @query(
