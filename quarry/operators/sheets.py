@@ -7,6 +7,7 @@ currency, status, role>> and dates array<struct<label, date, deadline, type>>.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,11 +45,8 @@ def lc(c: Column) -> Column:
 
 
 def has(c: Column, words: list[str]) -> Column:
-    """Whether a lower-cased text contains one of the words."""
-    out = c.contains(words[0])
-    for w in words[1:]:
-        out = out | c.contains(w)
-    return out
+    """Whether a lower-cased text contains one of the words; one pattern, so that the text is computed once."""
+    return c.rlike("|".join(map(re.escape, words)))
 
 
 def half_up(c: Column) -> Column:
@@ -106,19 +104,21 @@ def _owner(p: Column, owners: list[str]) -> Column:
     return T.name_norm(p["name"]).isin(owners) if owners else F.lit(False)
 
 
-def counterparty(owners: list[str], owed_to_me: bool) -> Column:
-    """The other side of a document's money; null if it has none."""
-    p = F.col("parties")
-    named = lambda x: F.trim(F.coalesce(x["name"], F.lit(""))) != ""
-    first = lambda f: F.trim(F.get(F.filter(p, f), F.lit(0))["name"])
-    is_owner = lambda x: _owner(x, owners)
+def _facts(parties: Column, owners: list[str]) -> Column:
+    """The parties with their names trimmed, sides and roles lower-cased, and whether they are an owner."""
+    return F.transform(parties, lambda p: F.struct(F.trim(F.coalesce(p["name"], F.lit(""))).alias("name"), lc(p["side"]).alias("side"), lc(p["role"]).alias("role"), _owner(p, owners).alias("owner")))
+
+
+def counterparty(p: Column, owed_to_me: bool) -> Column:
+    """The other side of a document's money, of parties as ``_facts`` gives them; null if it has none."""
+    first = lambda f: F.get(F.filter(p, lambda x: (x["name"] != "") & f(x)), F.lit(0))["name"]
     if owed_to_me:
-        client = first(lambda x: named(x) & ~is_owner(x) & ~F.lower(F.trim(x["name"])).isin(GENERIC_NAMES) & is_client_side(x))
-        anyone = first(lambda x: named(x) & ~is_owner(x))
-        return F.coalesce(client, F.when(~F.exists(p, is_owner), anyone))
-    mine = F.exists(p, lambda x: is_owner(x) & is_provider_side(x)) & ~F.exists(p, lambda x: is_owner(x) & is_client_side(x))
-    provider = first(lambda x: named(x) & ~is_owner(x) & is_provider_side(x))
-    other = first(lambda x: named(x) & ~is_owner(x) & ~is_client_side(x))
+        client = first(lambda x: ~x["owner"] & ~F.lower(x["name"]).isin(GENERIC_NAMES) & is_client_side(x))
+        anyone = first(lambda x: ~x["owner"])
+        return F.coalesce(client, F.when(~F.exists(p, lambda x: x["owner"]), anyone))
+    mine = F.exists(p, lambda x: x["owner"] & is_provider_side(x)) & ~F.exists(p, lambda x: x["owner"] & is_client_side(x))
+    provider = first(lambda x: ~x["owner"] & is_provider_side(x))
+    other = first(lambda x: ~x["owner"] & ~is_client_side(x))
     return F.when(~mine, F.coalesce(provider, other))
 
 
@@ -134,9 +134,10 @@ def money_table(sheets: DataFrame, owners: list[str], owed_to_me: bool, category
     """
     kind = lc(F.col("doc_type"))
     pay, rate, bill = has(kind, PAYMENT_DOCS), has(kind, RATE_DOCS), has(kind, BILL_DOCS)
-    d = sheets.filter(_category(category)).withColumn("cp", counterparty(owners, owed_to_me)).withColumn("party", T.name_norm(F.col("cp"))).filter("party <> ''")
+    d = sheets.filter(_category(category)).withColumn("parties", _facts(F.col("parties"), owners))
+    d = d.withColumn("cp", counterparty(F.col("parties"), owed_to_me)).withColumn("party", T.name_norm(F.col("cp"))).filter("party <> ''")
     d = d.withColumn("pay", pay).withColumn("rate", rate).withColumn("bill", bill).filter((F.size("amounts") > 0) | F.col("pay"))
-    client = F.exists("parties", lambda p: (F.trim(F.coalesce(p["name"], F.lit(""))) != "") & ~_owner(p, owners) & is_client_side(p))
+    client = F.exists("parties", lambda p: (p["name"] != "") & ~p["owner"] & is_client_side(p))
     pos = F.filter("amounts", lambda a: a["value"] > 0)
     candidate = lambda a: ~F.col("rate") & (is_definite_owed(a["status"]) | F.col("bill"))  # noqa: E731  (settled ones are out before)
     blank = lambda a: lc(a["role"]) == ""
@@ -185,8 +186,6 @@ class SheetQuery:
 
 def in_range(amount: Column, spec: str | None) -> Column:
     """">n", "<n" or "a-b" (inclusive), of digits only; anything else passes."""
-    import re
-
     if not spec:
         return F.lit(True)
     digits = lambda s: int(re.sub(r"\D", "", s) or -1)
