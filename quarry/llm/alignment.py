@@ -49,7 +49,7 @@ B_IDS = 1 << 15
 #: Pairs of one broadcast block (24 bytes each in the hash table of a join).
 PAIR_BLOCK = 1_000_000
 #: Bytes of text that are segmented and encoded together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Above this many links a group is counted by distinct ids and not link by link.
 WIDE_GROUP = 100_000
 
