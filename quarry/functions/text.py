@@ -20,20 +20,21 @@ DOC_TYPE_WORDS = "invoice invoices statement statements receipt receipts bill bi
 LEGAL_SUFFIXES = "private pvt limited ltd llp llc inc incorporated corporation corp company co plc gmbh sons".split()
 COMPANY_WORDS = "llc inc llp ltd co corp corporation company group the".split()
 NULLISH = ["null", "none", "n/a", "na", "not found", "not stated"]
+TEMPLATE_WORDS = "template templates sample samples example examples boilerplate placeholder demo blank".split()
 TEMPLATE_NAME = r"(?i)(?:^|[^a-z0-9])(template|sample|example|boilerplate|placeholder|lorem|starter|demo|blank|_default)(?:[^a-z0-9]|$)"
 SUPERSEDED_NAME = r"(?i)(?:^|[^a-z0-9])(draft|superseded|obsolete|old|backup|previous|prev|copy|v[0-9]+)(?:[^a-z0-9]|$)"
 LEDGER_NAME = r"(?i)(tracker|ledger|outstanding|receivable|arrears|dues|statement[ _-]?of[ _-]?account|fees?[ _-]?(status|due|outstanding|pending))"
 PAYMENT_STATUS = r"(?i)\b(unpaid|paid|pending|outstanding|overdue|owe[ds]?|owing|settled|cleared|due|dues|receivable|payable|arrears|balance)\b"
 ENTITY_BREADTH = r"(?i)\b(all the|all of|same|different|distinct|separate|apart|each|every|how many|list|which|compare|both|versus|vs)\b"
 EXTENSION_FAMILIES = {
-    "document": "pdf doc docx odt rtf txt md",
-    "sheet": "xls xlsx csv tsv ods",
-    "slides": "ppt pptx odp key",
-    "image": "jpg jpeg png gif bmp tiff webp heic svg",
-    "audio": "mp3 wav m4a flac ogg aac",
-    "video": "mp4 mov avi mkv webm",
-    "archive": "zip tar gz rar 7z",
-    "code": "java py js ts c cpp go rs html css json xml yaml yml sh",
+    "document": "pdf docx doc rtf odt txt md pages epub tex",
+    "image": "jpg jpeg png gif heic heif webp tiff tif svg bmp ico raw cr2 nef",
+    "video": "mp4 mov mkv avi webm m4v flv wmv mpg mpeg",
+    "audio": "mp3 wav flac m4a ogg aac wma opus",
+    "archive": "zip tar gz tgz 7z rar bz2 xz iso dmg",
+    "code": "js ts jsx tsx py java go rb rs c cpp cc h hpp sh json yaml yml xml kt swift scala php lua r",
+    "sheet": "xls xlsx csv numbers tsv ods",
+    "slides": "ppt pptx key odp",
 }
 # Fixed values end.
 
@@ -80,8 +81,8 @@ def clean_text(c: Column) -> Column:
 
 
 def extension(name: Column) -> Column:
-    """Lower-cased text after the last dot; empty without one or if nothing follows."""
-    return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    """Lower-cased text after the last dot; empty without one, if nothing follows or if nothing comes before."""
+    return F.lower(F.regexp_extract(name, r"(?s)^.+\.([^.]+)$", 1))
 
 
 def extension_family(name: Column) -> Column:
@@ -92,6 +93,17 @@ def extension_family(name: Column) -> Column:
     return out.otherwise("other")
 
 
+def family_key(name: Column) -> Column:
+    """Files are compatible if their keys are equal: the family, or the very extension outside of the families."""
+    family = extension_family(name)
+    return F.when(family == "other", F.concat(F.lit("."), extension(name))).otherwise(family)
+
+
+def strip(c: Column) -> Column:
+    """Without control characters and blanks at either end."""
+    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\n\r]+", " "))
 

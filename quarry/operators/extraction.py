@@ -137,7 +137,7 @@ def parse_documents(replies: DataFrame, reply_col: str) -> DataFrame:
     item = "struct<doc:string,docId:string,series:string,period:string,issuer:string,entity:string,gstin:string,pan:string>"
     rest = [c for c in replies.columns if c != reply_col]
     d = replies.select(*rest, F.explode(F.from_json(isolate_json(F.col(reply_col)), f"struct<documents:array<{item}>>")["documents"]).alias("d"))
-    some = lambda c: F.nullif(F.trim(f"d.{c}"), F.lit(""))
+    some = lambda c: F.when(F.lower(F.trim(f"d.{c}")).isin("", "null", "none", "n/a"), None).otherwise(F.trim(f"d.{c}"))
     d = d.select(*rest, F.coalesce(F.coalesce("d.doc", "d.docId").try_cast("int"), F.lit(0)).alias("doc"), *(some(c).alias(c) for c in ("series", "period", "issuer", "entity")), valid_id(some("gstin"), GSTIN).alias("gstin"), valid_id(some("pan"), PAN).alias("pan"))
     periodic = F.col("series").isNotNull() & F.col("period").isNotNull()
     d = d.withColumn("series", F.when(periodic, F.col("series"))).withColumn("period", F.when(periodic, F.col("period")))

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.plans.workspace import Workspace
 
 # Extensions that are indexed, and folders that are skipped.
-SUPPORTED = "pdf doc docx odt rtf txt md csv tsv xls xlsx ppt pptx json xml html yaml log properties png jpg jpeg tiff bmp".split()
-SKIP_DIRS = "node_modules target build dist out bin obj __pycache__ venv .git .idea .gradle .svn vendor".split()
+SUPPORTED = "pdf docx doc txt md xlsx xls pptx ppt odt ods odp html htm rtf csv jpg jpeg png tif tiff bmp webp gif".split()
+SKIP_DIRS = "node_modules target build dist out bin obj venv __pycache__ vendor Pods bower_components coverage Library".split()
 BINARY = "jpg jpeg png gif bmp tiff heic svg ico mp3 mp4 mov wav zip exe dll".split()
 RAW_TEXT = "csv tsv txt md".split()
 # Fixed values end.
@@ -20,14 +21,15 @@ FILE_TOKENS, TOTAL_TOKENS = 500_000, 200_000_000
 
 
 def admit(scanned: DataFrame, known: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Each scanned file's state, by the checks in their order; empty files have none (null).
+    """Each scanned file's state, by the checks in their order; empty files have none (null). Hidden folders are skipped, too.
 
     scanned: path, file_name, size, mtime, hash. known: path, mtime, hash, status.
     """
     k = known.select("path", F.col("mtime").alias("k_mtime"), F.col("hash").alias("k_hash"), F.col("status").alias("k_status"))
     done = F.coalesce(F.col("k_status") == "INDEXED", F.lit(False))
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     state = (
-        F.when(F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIP_DIRS))), "skipped")
+        F.when(F.exists(folders, lambda f: f.isin(SKIP_DIRS) | f.startswith(".")), "skipped")
         .when(~T.extension(F.col("file_name")).isin(SUPPORTED), "unsupported")
         .when(F.col("size") > max_bytes, "too_large")
         .when(F.col("size") == 0, F.lit(None))
@@ -177,9 +179,19 @@ def clear_blank(table: DataFrame, fields: list[str]) -> DataFrame:
     return table.filter(some)
 
 
-def listing(rows: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first n rows of an order with their place from 1: a top-k, so that only n rows meet in one task."""
-    return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
+def listing(rows: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their place in an order, from 1.
+
+    Spark sorts by ranges; a row's place is its number within its range and the rows of the ranges before, which are
+    counted: one row a range. The order should tell all rows apart.
+    """
+    spark = rows.sparkSession
+    ws = Workspace(spark, "listing")
+    staged = ws.stage(rows.orderBy(*order).select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("nth")), "sorted")
+    # The id's low bits count the rows of a task.
+    sizes = staged.groupBy("range").agg(F.count("*").alias("rows"))
+    before = sizes.select("range", (F.sum("rows").over(W.orderBy("range")) - F.col("rows")).alias("before"))
+    return staged.join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("nth").bitwiseAND((1 << 33) - 1) + 1).drop("range", "nth", "before")
 
 
 def salted(hash_: Column, version: str) -> Column:

@@ -7,6 +7,7 @@ batches of replies. Everything before (planning, batching, fencing) and after
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +17,17 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 
 Model = Callable[[list[str]], list[str]]
-REFUSAL = "I couldn't find that in your files."
+# The sentence of a refusal, and the forms that end an answer.
+REFUSAL = "I could not find relevant information in your files."
+REFUSAL_ENDS = [
+    "I could not find relevant information in your files.",
+    "I could not find relevant information in your files",
+    "I cannot find relevant information in your files.",
+    "I couldn't find relevant information in your files.",
+]
+REFUSAL_PART = "could not find relevant information"
+EXCERPTS = r"(?i)\b(?:the|these|those)\s+(?:provided\s+)?excerpts(?:\s+provided)?\b"
+# Fixed values end.
 
 
 def ask(rows: DataFrame, prompt_col: str, model: Model, reply_col: str = "reply", batch: int = 16) -> DataFrame:
@@ -38,15 +49,18 @@ def fence(label: Column, text: Column, nonce: Column, size: int = 280_000) -> Co
 
 
 def is_refusal(answer: Column) -> Column:
-    """The canonical refusal, or a short answer that contains it."""
-    a = F.trim(answer)
-    return (a == REFUSAL) | (a.contains(REFUSAL) & (F.length(a) < 2 * len(REFUSAL)))
+    """Whether an answer is no more than the refusal: under 120 characters, in any case, with or without an apology."""
+    a = F.lower(T.strip(F.coalesce(answer, F.lit(""))))
+    return (F.length(a) < 120) & a.contains(REFUSAL_PART)
 
 
 def scrub(answer: Column) -> Column:
-    """Without a refusal after a real answer, and without talk of excerpts."""
-    a = F.regexp_replace(answer, r"\s*" + REFUSAL.replace(".", r"\.") + r"\s*$", "")
-    return F.when(F.trim(a) == "", answer).otherwise(F.regexp_replace(a, r"(?i)\bthe (?:provided )?excerpts\b", "your files"))
+    """Without a refusal after a real answer, and without talk of excerpts; a reply that begins with it is capitalised anew."""
+    a = T.strip(answer)
+    before = T.strip(F.regexp_replace(a, "(?:" + "|".join(re.escape(x) for x in REFUSAL_ENDS) + ")$", ""))
+    a = F.when(before == "", a).otherwise(before)
+    s = F.regexp_replace(a, EXCERPTS, "your files")
+    return F.when(s.startswith("your files") & (s != a), F.concat(F.lit("Y"), F.substr(s, F.lit(2)))).otherwise(s)
 
 
 def cited(sources: DataFrame, answer_col: str, name_col: str) -> DataFrame:

@@ -169,12 +169,12 @@ def merge_context(*blocks: Column) -> Column:
 
 
 def common_name_tokens(matched: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """(id, token): the significant tokens that the names of all files matched to a question have."""
-    t = matched.select(id_col, F.explode(F.array_distinct(T.significant_tokens(T.split_camel(F.col(name_col))))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
+    """(id, token): the stems of significant tokens that the names of all files matched to a question have."""
+    t = matched.select(id_col, F.explode(name_stems(F.col(name_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
     return t.join(matched.groupBy(id_col).agg(F.count("*").alias("n")), [id_col, "n"]).select(id_col, "token")
 
 
 def compatible_files(files: DataFrame, folders: DataFrame) -> DataFrame:
-    """(file, folder): files of which a folder has another of the same family of extensions. files: file, file_name; folders: folder, file_name."""
-    kinds = folders.select("folder", T.extension_family(F.col("file_name")).alias("family")).distinct()
-    return files.select("file", T.extension_family(F.col("file_name")).alias("family")).join(kinds, "family").select("file", "folder")
+    """(file, folder): files of which a folder has another of the same family of extensions, or of the same extension outside of the families."""
+    kinds = folders.select("folder", T.family_key(F.col("file_name")).alias("family")).distinct()
+    return files.select("file", T.family_key(F.col("file_name")).alias("family")).join(kinds, "family").select("file", "folder")

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,46 +36,70 @@ def in_scope(chunks: DataFrame, key: str, scope: DataFrame | None) -> DataFrame:
     return chunks if scope is None else chunks.join(scope.select(key).distinct(), key, "left_semi")
 
 
-def _unit(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of an Arrow list column over their norms, and which rows have one: no nulls, no zeros, all of one length."""
-    rows = [None if v is None else np.asarray(v, np.float64) for v in arr.to_pylist()]
-    size = next((len(v) for v in rows if v is not None), 0)
-    ok = np.array([v is not None and len(v) == size > 0 and bool(np.isfinite(v).all()) and bool(v.any()) for v in rows], bool)
-    x = np.array([v for v, good in zip(rows, ok) if good]).reshape(-1, size)
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x, ok
+def matrix(arr: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow list column, all of one length, without nulls."""
+    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(arr), len(flat) // max(1, len(arr)))
+
+
+def unit_rows(arr: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a length over their norms, and which rows have one: finite numbers only, and not only zeros."""
+    ok = np.asarray(pc.list_value_length(arr).fill_null(-1)) == (size or -2)
+    x = matrix(arr.filter(pa.array(ok))).reshape(int(ok.sum()), size)
+    good = np.isfinite(x).all(1) & x.any(1)
+    ok[ok] = good
+    x = x[good]
+    return x / np.linalg.norm(x, axis=1, keepdims=True), ok
+
+
+def by_length(names: np.ndarray, arr: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(names, unit vectors) of an Arrow list column for each length that it has."""
+    out = []
+    for size in sorted(set(pc.list_value_length(arr).drop_null().to_pylist()) - {0}):
+        q, ok = unit_rows(arr, size)
+        if len(q):
+            out.append((names[ok], q))
+    return out
 
 
 def _nearest(shared, k: int):
     """For each query of a block, the k nearest of a partition's chunks, as (query_id, id, micro)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        best_d = np.full((len(q), 0), 0, np.int64)
-        best_i = np.full((len(q), 0), 0, np.int64)
+        groups = shared.value
+        best = [(np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)) for _, q in groups]
         for batch in batches:
             for a in range(0, batch.num_rows, CHUNK_BLOCK):
                 part = batch.slice(a, CHUNK_BLOCK)
-                x, ok = _unit(part.column(1))
-                ids = np.asarray(part.column(0))[ok]
-                if not len(ids) or x.shape[1] != q.shape[1]:
-                    continue
-                order = np.argsort(ids, kind="stable")
-                d = np.rint((1 - np.clip(q @ x[order].T, -1, 1)) * 1e6).astype(np.int64)
-                # Distance first, then the place in the order of ids: no two are alike.
-                key = (d << 20) | np.arange(len(ids))
-                if len(ids) > k:
-                    key = np.partition(key, k - 1, 1)[:, :k]
-                best_d = np.concatenate([best_d, key >> 20], 1)
-                best_i = np.concatenate([best_i, ids[order][key & 0xFFFFF]], 1)
-                if best_d.shape[1] > 4 * k:
-                    best_d, best_i = _first(best_d, best_i, k)
-        best_d, best_i = _first(best_d, best_i, k)
-        if best_d.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", "id", "micro"])
+                for g, (_, q) in enumerate(groups):
+                    x, ok = unit_rows(part.column(1), q.shape[1])
+                    if len(x):
+                        best[g] = closest(q, x, np.asarray(part.column(0))[ok], k, *best[g])
+        for (names, _), (d, i) in zip(groups, best):
+            d, i = _first(d, i, k)
+            if d.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, d.shape[1])), pa.array(i.ravel()), pa.array(d.ravel())], ["query_id", "id", "micro"])
 
     return run
 
 
+def micro_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors in millionths."""
+    return np.rint((1 - np.clip(q @ x.T, -1, 1)) * 1e6).astype(np.int64)
+
+
+def closest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, best_d: np.ndarray, best_i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the best rows so far (some more than k) after these rows."""
+    order = np.argsort(ids, kind="stable")
+    # Distance first, then the place in the order of ids: no two are alike.
+    key = (micro_distance(q, x[order]) << 20) | np.arange(len(ids))
+    if len(ids) > k:
+        key = np.partition(key, k - 1, 1)[:, :k]
+    best_d = np.concatenate([best_d, key >> 20], 1)
+    best_i = np.concatenate([best_i, ids[order][key & 0xFFFFF]], 1)
+    return _first(best_d, best_i, k) if best_d.shape[1] > 4 * k else (best_d, best_i)
+
+
 def _first(d: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((i, d), 1)[:, :k]
     return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
@@ -85,23 +110,24 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "
 
     Distances are 1 - cosine, in six digits; ties go by id. The scope applies before. Queries come in blocks: a block is
     broadcast (QUERY_BLOCK vectors), every partition keeps k chunks for each of its queries, and Spark merges those.
-    Vectors that are null, zero or of another length are near to nothing.
+    Vectors that are null, zero, of another length or with something that is no number are near to nothing; queries may
+    have several lengths. Chunks without id are left out.
     """
     spark = chunks.sparkSession
     ws = Workspace(spark, "top-k")
-    near = in_scope(chunks, key, scope).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
+    near = in_scope(chunks, key, scope).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("v")).filter("query_id is not null and v is not null")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = []
     for b in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # about QUERY_BLOCK rows
-        q, ok = _unit(own.column("v").combine_chunks()) if own.num_rows else (np.zeros((0, 0)), np.zeros(0, bool))
-        names = own.column("query_id").to_numpy()[ok] if own.num_rows else np.zeros(0, np.int64)
-        found.append(near.mapInArrow(_nearest(spark.sparkContext.broadcast((names, q)), k), "query_id long, id long, micro long"))
+        groups = by_length(own.column("query_id").to_numpy(), own.column("v").combine_chunks()) if own.num_rows else []
+        found.append(near.mapInArrow(_nearest(spark.sparkContext.broadcast(groups), k), "query_id long, id long, micro long"))
     every = ws.stage(reduce(DataFrame.union, found), "nearest")
     pos = F.row_number().over(W.partitionBy("query_id").orderBy("micro", "id")).cast("long")
     best = every.withColumn("pos", pos).filter(F.col("pos") <= k).select("query_id", F.col("id").alias(id_col), (F.col("micro") / 1e6).alias("distance"), "pos")
-    return best.join(chunks.select(F.col(id_col).cast("long").alias(id_col), key), id_col).select("query_id", id_col, key, "distance", "pos")
+    best = broadcast_if_small(ws.stage(best, "best"))
+    return chunks.select(F.col(id_col).cast("long").alias(id_col), key).join(best, id_col).select("query_id", id_col, key, "distance", "pos")
 
 
 def with_position(matches: DataFrame, *order: str) -> DataFrame:
@@ -149,8 +175,8 @@ def lexical_focus(chunks: DataFrame, questions: DataFrame, file_col: str, text_c
 
 
 def drop_templates(matches: DataFrame, name_col: str, question: str) -> DataFrame:
-    """Without template files, unless the question asks for templates or names the file."""
-    asked = F.lit(question).rlike(T.TEMPLATE_NAME)
+    """Without template files, unless the question has a word for templates (as part of a word, too) or names the file."""
+    asked = F.lit(any(w in question.lower() for w in T.TEMPLATE_WORDS))
     named = F.lit(question.lower()).contains(F.lower(F.col(name_col)))
     return matches.filter(asked | named | ~F.col(name_col).rlike(T.TEMPLATE_NAME))
 

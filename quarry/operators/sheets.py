@@ -28,7 +28,11 @@ CLIENT_ROLES = "client customer patient tenant member student guest policyholder
 PROVIDER_ROLES = "provider biller issuer vendor landlord merchant lender creditor supplier bank insurer employer practice clinic firm".split()
 CLIENT_SIDES, PROVIDER_SIDES = "owes debtor recipient client billed".split(), "owed creditor issuer provider biller".split()
 OBLIGATION_WORDS = "due deadline exam final test quiz hearing appointment renew expir filing".split()
-GENERIC_NAMES = ["client", "clients", "the client", "a client", "customer", "customers", "patient", "tenant", "unnamed", "unknown", "n/a", "party"]
+GENERIC_SUBJECTS = ["client", "clients", "the client", "a client", "customer", "customers", "unnamed", "unknown", "n/a", "party"]
+GENERIC_NAMES = [
+    "owner", "client", "clients", "customer", "customers", "tenant", "patient", "member", "me", "self", "n a", "na", "unnamed", "unknown", "account holder", "cardholder",
+    "policyholder", "user", "borrower", "the client", "a client", "recipient", "payer",
+]
 PARTIAL_LABELS = "deposit advance credit refund partial".split()
 CLEARING_LABELS = "payment paid total balance amount".split()
 BALANCE_LABELS = "remaining balance outstanding".split()
@@ -113,7 +117,7 @@ def counterparty(p: Column, owed_to_me: bool) -> Column:
     """The other side of a document's money, of parties as ``_facts`` gives them; null if it has none."""
     first = lambda f: F.get(F.filter(p, lambda x: (x["name"] != "") & f(x)), F.lit(0))["name"]
     if owed_to_me:
-        client = first(lambda x: ~x["owner"] & ~F.lower(x["name"]).isin(GENERIC_NAMES) & is_client_side(x))
+        client = first(lambda x: ~x["owner"] & ~T.name_norm(x["name"]).isin(GENERIC_NAMES) & is_client_side(x))
         anyone = first(lambda x: ~x["owner"])
         return F.coalesce(client, F.when(~F.exists(p, lambda x: x["owner"]), anyone))
     mine = F.exists(p, lambda x: x["owner"] & is_provider_side(x)) & ~F.exists(p, lambda x: x["owner"] & is_client_side(x))
@@ -207,10 +211,10 @@ def amounts(sheets: DataFrame, owners: list[str], q: SheetQuery) -> DataFrame:
 
 
 def parties(sheets: DataFrame, owners: list[str], q: SheetQuery) -> DataFrame:
-    """Distinct names on the asked side; the longest spelling, the first of equals."""
+    """Distinct names on the asked side, without placeholders; the longest spelling, the first of equals."""
     want = is_provider_side if any(w in q.role.lower() for w in PROVIDER_ROLES) else is_client_side
     p = sheets.select("ord", F.posexplode("parties").alias("i", "p")).filter(want(F.col("p")) & ~_owner(F.col("p"), owners))
-    p = p.select("ord", "i", F.trim("p.name").alias("name")).withColumn("party", T.name_norm(F.col("name"))).filter("party <> ''")
+    p = p.select("ord", "i", F.trim("p.name").alias("name")).withColumn("party", T.name_norm(F.col("name"))).filter((F.col("party") != "") & ~F.col("party").isin(GENERIC_NAMES))
     return p.groupBy("party").agg(F.max_by("name", F.struct(F.length("name"), -F.col("ord"), -F.col("i"))).alias("name"))
 
 
@@ -283,7 +287,7 @@ def status_rank(c: Column) -> Column:
 def merge_facts(facts: DataFrame) -> DataFrame:
     """One fact per key: the status of the highest rank, else the first value that isn't blank, in order of ord."""
     first = lambda c, text=True: F.min_by(c, F.when((F.trim(F.coalesce(F.col(c), F.lit(""))) != "") if text else F.col(c).isNotNull(), F.col("ord"))).alias(c)
-    proper = F.min_by("subject", F.when((F.trim(F.coalesce("subject", F.lit(""))) != "") & ~F.lower(F.trim("subject")).isin(GENERIC_NAMES), F.col("ord")))
+    proper = F.min_by("subject", F.when((F.trim(F.coalesce("subject", F.lit(""))) != "") & ~F.lower(F.trim("subject")).isin(GENERIC_SUBJECTS), F.col("ord")))
     return (
         facts.withColumn("merge_key", merge_key())
         .groupBy("merge_key")
@@ -382,9 +386,10 @@ def folder_signal(path: Column, is_personal: Column) -> Column:
 
 
 def owner_firm(sheets: DataFrame) -> DataFrame:
-    """The firm that bills most often, twice at least (the first name of equals): one row or none."""
-    p = sheets.select(F.explode("parties").alias("p")).filter(has(lc(F.col("p.role")), ["provider", "biller", "issuer"])).select(F.trim("p.name").alias("firm")).filter("firm <> ''")
-    return p.groupBy("firm").agg(F.count("*").alias("bills")).filter("bills >= 2").orderBy(F.desc("bills"), "firm").limit(1)
+    """The firm that bills most often, twice at least (the first seen of equals): one row or none."""
+    p = sheets.select("ord", F.posexplode("parties").alias("i", "p")).filter(has(lc(F.col("p.role")), ["provider", "biller", "issuer"])).select("ord", "i", F.trim("p.name").alias("firm")).filter("firm <> ''")
+    seen = F.min(F.struct("ord", "i")).alias("seen")
+    return p.groupBy("firm").agg(F.count("*").alias("bills"), seen).filter("bills >= 2").orderBy(F.desc("bills"), "seen").limit(1).drop("seen")
 
 
 def first_other(parties: Column, firm: Column) -> Column:
@@ -407,7 +412,8 @@ def difference(totals: DataFrame, column: str = "owed") -> DataFrame:
 
 def compare_parties(table: DataFrame, names: list[str]) -> DataFrame:
     """The money rows of the named parties, the most billed first."""
-    return table.filter(F.col("party").isin([n.strip().lower() for n in names])).orderBy(F.desc("billed"), "party")
+    wanted = F.array(*(T.name_norm(F.lit(n)) for n in names)) if names else F.array().cast("array<string>")
+    return table.filter(F.array_contains(wanted, T.name_norm(F.col("party")))).orderBy(F.desc("billed"), "party")
 
 
 def money_facts(questions: DataFrame, tables: DataFrame, id_col: str, text_col: str, currency: str = "USD") -> DataFrame:

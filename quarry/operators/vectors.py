@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieval import mean_by_file, norm
+from quarry.operators.retrieval import by_length, matrix, mean_by_file, norm, unit_rows
 from quarry.plans.components import components
 from quarry.plans.workspace import Workspace, broadcast_if_small
 
@@ -50,10 +50,6 @@ def similarity(a: str | Column, b: str | Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))
 
 
-def _matrix(arr: pa.Array) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in arr.to_pylist()])
-
-
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
@@ -66,7 +62,7 @@ def _home(shared):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                x = _matrix(part.column(1))
+                x = matrix(part.column(1))
                 angle = _angles(x, pivots)
                 cell = np.where(x.any(1), angle.argmin(1), -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(angle.min(1))], names=[*part.schema.names, "cell", "angle"])
@@ -82,7 +78,7 @@ def _visits(shared, theta: float):
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                x, cell, own = _matrix(part.column(1)), np.asarray(part.column("cell")), np.asarray(part.column("spot"))
+                x, cell, own = matrix(part.column(1)), np.asarray(part.column("cell")), np.asarray(part.column("spot"))
                 near = (_angles(x, pivots) <= radius + theta) | (cell < 0)[:, None]
                 near &= (np.arange(len(pivots)) > cell[:, None]) & (blocks > 0)
                 row, c, b, side = [], [], [], []
@@ -168,7 +164,7 @@ def _compare(distance: float, give: str):
         def settle():
             nonlocal home
             rows = pa.Table.from_batches(held)
-            home = (rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks()), rows.column("copies").to_numpy())
+            home = (rows.column("id").to_numpy(), matrix(rows.column("v").combine_chunks()), rows.column("copies").to_numpy())
             return out(found(home[0], home[1], home[2], rows.column("label").to_numpy(), home, trees))
 
         for batch in batches:
@@ -188,7 +184,7 @@ def _compare(distance: float, give: str):
                     yield settle()
                 for s in range(0, part.num_rows if held else 0, 1024):
                     v = part.slice(s, 1024)
-                    yield out(found(np.asarray(v.column("id")), _matrix(v.column("v")), np.asarray(v.column("copies")), np.asarray(v.column("label")), home, trees))
+                    yield out(found(np.asarray(v.column("id")), matrix(v.column("v")), np.asarray(v.column("copies")), np.asarray(v.column("label")), home, trees))
         if held and home is None:
             yield settle()
 
@@ -198,13 +194,19 @@ def _compare(distance: float, give: str):
 class Near:
     """Unit vectors with all that lie within a distance of each other; nulls are left out.
 
+    Vectors of another length than most, or with something that is no finite number, are near nothing, not even their like.
     ``reps`` has a row for each different vector: id (the smallest), v, copies.
     """
 
     def __init__(self, vectors: DataFrame, id_col: str, vec_col: str, distance: float):
         self.distance, self.ws = distance, Workspace(vectors.sparkSession, "near")
         v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-        self.members = self.ws.stage(v.withColumn("key", F.sha2(F.col("v").cast("string"), 256)), "members")
+        v = self.ws.stage(v, "vectors")
+        size = v.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
+        size = size["n"] if size else 0
+        well = (F.size("v") == size) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        key = F.when(well, F.sha2(F.col("v").cast("string"), 256)).otherwise(F.sha2(F.concat(F.lit("malformed "), F.col("id").cast("string")), 256))
+        self.members = self.ws.stage(v.select("id", F.when(well, F.col("v")).otherwise(F.array_repeat(F.lit(0.0), size)).alias("v"), key.alias("key")), "members")
         folded = self.members.groupBy("key").agg(F.min("id").alias("id"), F.min("v").alias("v"), F.count("*").alias("copies"))
         self.reps = self.ws.stage(folded, "different")
         self._homes()
@@ -212,7 +214,7 @@ class Near:
     def _homes(self) -> None:
         spark = self.reps.sparkSession
         rows = self.reps.filter(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, math.isqrt(self.reps.count())))).toArrow()
-        self.pivots = _matrix(rows.column("v").combine_chunks()) if rows.num_rows else np.zeros((1, 0))
+        self.pivots = matrix(rows.column("v").combine_chunks()) if rows.num_rows else np.zeros((1, 0))
         at_home = self.reps.select("id", "v", "copies", F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)).alias("spot"))
         if rows.num_rows:
             at_home = at_home.mapInArrow(_home(spark.sparkContext.broadcast(self.pivots)), "id long, v array<double>, copies long, spot long, cell int, angle double")
@@ -276,11 +278,14 @@ def _best(shared, least: float):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                sim = np.round(np.clip(_matrix(part.column(1)) @ centres.T, -1, 1), 6)
+                x, good = unit_rows(part.column(1), centres.shape[1])
+                if not len(x):
+                    continue
+                sim = np.round(np.clip(x @ centres.T, -1, 1), 6)
                 top = sim.argmax(1)  # names ascend: of equals, the smallest
                 best = sim[np.arange(len(top)), top]
                 ok = best >= least
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), pa.array(names[top[ok]]), pa.array(best[ok])], ["id", "folder", "sim"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)).filter(pa.array(ok)), pa.array(names[top[ok]]), pa.array(best[ok])], ["id", "folder", "sim"])
 
     return run
 
@@ -288,7 +293,8 @@ def _best(shared, least: float):
 def best_folder(files: DataFrame, folders: DataFrame, least: float = FOLDER_SIMILARITY) -> DataFrame:
     """For each (id, vec) the most similar folder (folder, vec) of at least a similarity, the smallest of equals.
 
-    Folders are broadcast in blocks; every block is one pass over the files, and the best of the passes is taken.
+    Folders are broadcast in blocks; every block is one pass over the files, and the best of the passes is taken. Vectors
+    that are zero, malformed or of another length than a folder's fit none.
     """
     spark = files.sparkSession
     rows = files.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
@@ -298,9 +304,8 @@ def best_folder(files: DataFrame, folders: DataFrame, least: float = FOLDER_SIMI
     passes = []
     for b in range(blocks):
         own = centres.filter(F.pmod(F.xxhash64("folder"), F.lit(blocks)) == b).orderBy("folder").toArrow()  # about FOLDER_BLOCK rows
-        if own.num_rows:
-            shared = spark.sparkContext.broadcast((own.column("folder").to_numpy(), _matrix(own.column("vec").combine_chunks())))
-            passes.append(rows.mapInArrow(_best(shared, least), "id long, folder long, sim double"))
+        for group in by_length(own.column("folder").to_numpy(), own.column("vec").combine_chunks()) if own.num_rows else []:
+            passes.append(rows.mapInArrow(_best(spark.sparkContext.broadcast(group), least), "id long, folder long, sim double"))
     if not passes:
         return rows.limit(0).select("id", F.lit(0).cast("long").alias("folder"), F.lit(0.0).alias("sim"))
     s = reduce(DataFrame.union, passes)

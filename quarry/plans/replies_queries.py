@@ -93,7 +93,7 @@ def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a series and its period, or a valid identifier."""
     k = F.col("o_orderkey")
     item = F.concat(
-        F.lit('{"documents":[{"doc":'), (F.col("o_custkey") % 9).cast("string"), F.lit(',"series":"rent","period":"'), F.when(k % 2 == 0, "2024-01").otherwise(" "), F.lit('","pan":"'),
+        F.lit('{"documents":[{"doc":'), (F.col("o_custkey") % 9).cast("string"), F.lit(',"series":"rent","period":"'), F.when(k % 2 == 0, "2024-01").when(k % 3 == 0, "None").when(k % 3 == 1, " N/A").otherwise("NULL"), F.lit('","pan":"'),
         F.when(k % 3 == 0, "abcde 1234f").otherwise("12345"), F.lit('"}]}'),
     )
     return E.parse_documents(table(spark, sf_dir, "orders").select(k.alias("id"), item.alias("reply")), "reply").select("id", "doc", "series", "period", "pan")
@@ -116,6 +116,21 @@ def sheet_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PLACEHOLDERS = "owner,Client,clients,customer,CUSTOMERS,tenant,patient,Member,me,self,N.A.,na,unnamed,unknown,Account Holder,cardholder,Policyholder,user,Borrower,the client,A Client,recipient,payer,Real Person"
+
+
+@query(
+    """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 24 = 23 THEN 'Real Person' ELSE c_name END AS other FROM orders JOIN customer ON o_custkey = c_custkey"""
+)
+def placeholder_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom a bill is for, where an extractor put a placeholder first."""
+    s = _sheets(spark, sf_dir)
+    first = F.element_at(F.split(F.lit(PLACEHOLDERS), ","), (F.col("ord") % 24 + 1).cast("int"))
+    party = F.struct(first.alias("name"), F.lit("client").alias("role"), F.lit("owes").alias("side"))
+    facts = S._facts(F.concat(F.array(party), "parties"), OWNERS)
+    return s.select("ord", facts.alias("p")).select("ord", S.counterparty(F.col("p"), True).alias("other"))
+
+
 @query(f"SELECT '{OWNER}' AS firm, count(*) AS bills FROM orders JOIN customer ON o_custkey = c_custkey HAVING count(*) >= 2")
 def owner_firm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.owner_firm(_sheets(spark, sf_dir))
@@ -149,7 +164,7 @@ def money_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ALL} SELECT party, name, billed, billed - owed AS paid, owed FROM m WHERE party IN ('customer#000000001', 'customer#000000002', 'customer#000000004')")
 def money_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The money rows of named parties side by side."""
-    return S.compare_parties(S.money_table(_sheets(spark, sf_dir), OWNERS, True), ["Customer#000000001", "CUSTOMER#000000002", " customer#000000004 "])
+    return S.compare_parties(S.money_table(_sheets(spark, sf_dir), OWNERS, True), ["Customer#000000001, Inc.", "The CUSTOMER#000000002", " customer#000000004 Group "])
 
 
 LETTERS = "translate({0}, '0123456789', 'abcdefghij')"
@@ -183,30 +198,30 @@ def deadline_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DEADLINES} SELECT id, due_date, row_number() OVER (ORDER BY CASE WHEN due_date = 'soon' THEN 1 ELSE 0 END, due_date, id) AS place FROM deadlines WHERE status = 'PENDING' QUALIFY place <= 200"""
+    f"""WITH {DEADLINES} SELECT id, due_date, row_number() OVER (ORDER BY CASE WHEN due_date = 'soon' THEN 1 ELSE 0 END, due_date, id) AS place FROM deadlines WHERE status = 'PENDING'"""
 )
 def deadline_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending deadlines, undated ones last, by due date and then as they came."""
     d = _deadlines(spark, sf_dir).filter("status = 'PENDING'")
-    return B.listing(d, 200, ~D.is_iso(F.col("due_date")), F.col("due_date"), F.col("id")).select("id", "due_date", "place")
+    return B.listing(d, ~D.is_iso(F.col("due_date")), F.col("due_date"), F.col("id")).select("id", "due_date", "place")
 
 
-@query(f"WITH {FILES} SELECT doc_id, row_number() OVER (ORDER BY mtime DESC, file_name) AS place FROM files WHERE status = 'INDEXED' QUALIFY place <= 100")
+@query(f"WITH {FILES} SELECT doc_id, row_number() OVER (ORDER BY mtime DESC, file_name) AS place FROM files WHERE status = 'INDEXED'")
 def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files indexed last."""
-    return B.listing(files_of(spark, sf_dir).filter("status = 'INDEXED'"), 100, F.desc("mtime"), F.col("file_name")).select("doc_id", "place")
+    return B.listing(files_of(spark, sf_dir).filter("status = 'INDEXED'"), F.desc("mtime"), F.col("file_name")).select("doc_id", "place")
 
 
-@query("SELECT conv_id, turns, row_number() OVER (ORDER BY turns DESC, conv_id DESC) AS place FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id) QUALIFY place <= 50")
+@query("SELECT conv_id, turns, row_number() OVER (ORDER BY turns DESC, conv_id DESC) AS place FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id)")
 def recent_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations by what moved last; their length stands in for the time."""
+    """All conversations by what moved last; their length stands in for the time."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
-    return B.listing(c, 50, F.desc("turns"), F.desc("conv_id")).select("conv_id", "turns", "place")
+    return B.listing(c, F.desc("turns"), F.desc("conv_id")).select("conv_id", "turns", "place")
 
 
-@query("SELECT s_suppkey AS client_id, row_number() OVER (ORDER BY lower(s_name), s_suppkey) AS place FROM supplier QUALIFY place <= 100")
+@query("SELECT s_suppkey AS client_id, row_number() OVER (ORDER BY lower(s_name), s_suppkey) AS place FROM supplier")
 def clients_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.listing(table(spark, sf_dir, "supplier"), 100, F.lower("s_name"), F.col("s_suppkey")).select(F.col("s_suppkey").alias("client_id"), "place")
+    return B.listing(table(spark, sf_dir, "supplier"), F.lower("s_name"), F.col("s_suppkey")).select(F.col("s_suppkey").alias("client_id"), "place")
 
 
 @query("SELECT c_custkey AS account, CASE WHEN c_custkey % 4 = 0 THEN 'pro' ELSE 'trial' END AS plan, CASE WHEN c_custkey % 8 = 0 THEN 'n' || c_custkey ELSE 'o' || c_custkey END AS billing_id FROM customer")
@@ -248,12 +263,16 @@ def snippet_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey AS id, o_orderkey % 3 <> 2 AS refusal FROM orders"""
+    """SELECT o_orderkey AS id, o_orderkey % 6 < 4 AS refusal FROM orders"""
 )
 def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that are no more than the refusal."""
-    k = F.col("o_orderkey") % 3
-    a = F.when(k == 0, P.REFUSAL).when(k == 1, F.concat(F.lit("Sorry. "), F.lit(P.REFUSAL))).otherwise(F.concat(F.lit("It is due on the third of May, says the invoice of April, and that is all there is about it here. "), F.lit(P.REFUSAL)))
+    k = F.col("o_orderkey") % 6
+    forms = [
+        "I could not find relevant information in your files.", "  I could not find relevant information in your files", "SORRY - I COULD NOT FIND RELEVANT INFORMATION IN YOUR FILES!", "We could not find relevant information.",
+        "It is due on the third of May, says the invoice of April, and that is all there is. I could not find relevant information in your files.", "I couldn't find that in your files.",
+    ]
+    a = F.element_at(F.array(*map(F.lit, forms)), (k + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), P.is_refusal(a).alias("refusal"))
 
 
@@ -275,19 +294,19 @@ def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT l_orderkey AS id, 'March' || CASE l_partkey % 3 WHEN 0 THEN 'Rent' WHEN 1 THEN 'Lease' ELSE 'Rent' END || '-' || l_suppkey || '.pdf' AS name FROM lineitem),
+    """WITH m AS (SELECT l_orderkey AS id, 'March' || CASE l_partkey % 3 WHEN 0 THEN 'Rent' WHEN 1 THEN 'Lease' ELSE 'Rents' END || '-' || l_suppkey || '.pdf' AS name FROM lineitem),
 t AS (SELECT id, unnest(['march', CASE WHEN name LIKE 'MarchRent%' THEN 'rent' ELSE 'lease' END]) AS token FROM m), n AS (SELECT id, count(*) AS n FROM m GROUP BY id)
 SELECT id, CASE token WHEN 'lease' THEN 'lease' ELSE token END AS token FROM t JOIN n USING (id) WHERE token <> 'march' OR true GROUP BY id, token, n HAVING count(*) = n"""
 )
 def common_name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that the names of all files of a match share."""
-    kind = F.when(F.col("l_partkey") % 3 == 1, "Lease").otherwise("Rent")
+    kind = F.when(F.col("l_partkey") % 3 == 1, "Lease").when(F.col("l_partkey") % 3 == 2, "Rents").otherwise("Rent")
     m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("March"), kind, F.lit("-"), F.col("l_suppkey").cast("string"), F.lit(".pdf")).alias("name"))
     return Q.common_name_tokens(m, "id", "name")
 
 
 @query(
-    """WITH l AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
+    """WITH l AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN length(t) > 150 THEN trim(left(t, 150)) || '…' ELSE t END AS preview FROM l WHERE t <> ''"""
 )
 def content_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,10 +373,11 @@ def undo_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FILES}, k AS (SELECT doc_id, source, CASE doc_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'document' WHEN 2 THEN 'document' WHEN 3 THEN 'document' WHEN 4 THEN 'image' END AS family FROM files)
+    f"""WITH {FILES}, k AS (SELECT doc_id, source, CASE doc_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'document' WHEN 2 THEN 'document' WHEN 3 THEN 'document' WHEN 4 THEN 'image' ELSE '.x' || doc_id % 3 END AS family FROM files)
 SELECT DISTINCT a.doc_id AS file, b.source AS folder FROM k a JOIN (SELECT DISTINCT source, family FROM k WHERE doc_id % 2 = 0) b USING (family) WHERE a.doc_id % 2 = 1"""
 )
 def compatible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and the folders with a member of their family."""
+    """Files and the folders with a member of their family; unknown extensions fit their like only."""
     f = files_of(spark, sf_dir)
+    f = f.withColumn("file_name", F.when(F.col("doc_id") % 6 == 5, F.concat("file_name", F.lit(".x"), (F.col("doc_id") % 3).cast("string"))).otherwise(F.col("file_name")))
     return Q.compatible_files(f.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("file"), "file_name"), f.filter("doc_id % 2 = 0").select(F.col("source").alias("folder"), "file_name"))
