@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dates as D
 from quarry.functions import text as T
-from quarry.operators.injection import KIND_WORDS, name_stems, stemmed
+from quarry.operators.injection import KIND_WORDS, kinds, name_stems, stemmed
 from quarry.plans.workspace import Workspace, broadcast_if_small
 
 # Words and phrases by which a question is told.
@@ -124,6 +124,60 @@ def inventory_filter(matched: DataFrame, subject_col: str, question_col: str, na
     return matched.filter(has_qualifier(F.col(name_col), F.col(entity_col), qualifiers(F.col(subject_col))) & dated)
 
 
+def complete_inventory(questions: DataFrame, matched: DataFrame, files: DataFrame) -> DataFrame:
+    """(query_id, file, added): the files that were matched to questions, filtered, and those that the matching left out.
+
+    questions: query_id, question, subject. matched: query_id, file. files: file, file_name, entity, doc_type, date.
+
+    Matched files of another owner than the subject's go; a question that keeps none gets nothing. If it names a period,
+    files out of it go, and every other file of it is added that is of a kind and an owner asked for. Without a period,
+    the name stems that all of its (two or more) files share are looked for in all other names, a containment join: a
+    file holds all of them only if it holds the rarest, so files meet questions by that one token, and the rest is
+    checked there. Templates are never added, superseded names not by their stems.
+    """
+    ws = Workspace(questions.sparkSession, "inventory")
+    period = D.asked_period(F.col("question"))
+    asked = questions.select("query_id", qualifiers(F.col("subject")).alias("quals"), kinds(stemmed(F.coalesce("question", F.lit("")))).alias("wanted"), period.alias("period"))
+    asked = ws.stage(asked, "asked")
+    name = F.coalesce("file_name", F.lit(""))
+    iso = F.coalesce(F.col("date").cast("string"), F.lit(""))
+    f = files.select(
+        "file", name_stems(name).alias("stems"), F.array_union(name_stems(name), stemmed(F.coalesce("entity", F.lit("")))).alias("own"), F.col("doc_type"),
+        F.substr(iso, F.lit(1), F.lit(4)).try_cast("int").alias("y"), F.substr(iso, F.lit(6), F.lit(2)).try_cast("int").alias("m"), name.rlike(T.TEMPLATE_NAME).alias("template"), name.rlike(T.SUPERSEDED_NAME).alias("superseded"),
+    )
+    f = ws.stage(f, "files")
+    theirs = (F.size("quals") == 0) | F.arrays_overlap("own", "quals")
+    picks = ws.stage(matched.select("query_id", "file").distinct(), "picks")
+    kept = f.join(broadcast_if_small(picks), "file").join(broadcast_if_small(asked), "query_id").filter(theirs)
+    kept = ws.stage(kept.select("query_id", "file", "stems", "y", "m", "period"), "kept")
+    live = broadcast_if_small(ws.stage(asked.join(kept.select("query_id").distinct(), "query_id", "left_semi"), "live"))
+
+    # Periods: a file is in a month, in its year, and in that month of any year.
+    y, m = F.col("period")["year"], F.col("period")["month"]
+    inside = kept.filter(F.col("period").isNotNull() & F.coalesce(((y == 0) | (y == F.col("y"))) & ((m == 0) | (m == F.col("m"))), F.lit(False)))
+    keys = F.array_distinct(F.array(*(F.struct(a.alias("py"), b.alias("pm")) for a, b in ((F.col("y"), F.col("m")), (F.col("y"), F.lit(0)), (F.lit(0), F.col("m"))))))
+    dated = f.filter("y is not null and m is not null and not template").select("file", "stems", "own", "doc_type", F.inline(keys))
+    of_kind = (F.size("wanted") == 0) | F.coalesce(F.array_contains("wanted", F.col("doc_type")), F.lit(False)) | F.arrays_overlap(kinds(F.col("stems")), "wanted")
+    periods = live.filter("period is not null").withColumn("py", y).withColumn("pm", m)
+    more = dated.join(periods, ["py", "pm"]).filter(of_kind & theirs)
+
+    # Shared stems: those that as many files have as were kept.
+    open_ = kept.filter("period is null")
+    n = open_.groupBy("query_id").agg(F.count("*").alias("n")).filter("n >= 2")
+    shared = open_.select("query_id", F.explode("stems").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("n"))
+    shared = ws.stage(shared.join(n, ["query_id", "n"]).select("query_id", "token"), "shared")
+    index = f.filter("not template and not superseded").select("file", "stems", "own", F.explode("stems").alias("token"))
+    wanted = broadcast_if_small(ws.stage(shared.select("token").distinct(), "tokens"))
+    often = index.join(wanted, "token").groupBy("token").agg(F.count("*").alias("often"))
+    rare = shared.join(often, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"), F.collect_set("token").alias("all_of"))  # tokens of one name
+    rare = broadcast_if_small(ws.stage(rare.join(asked.select("query_id", "quals"), "query_id"), "rarest"))
+    siblings = index.join(rare, "token").filter((F.size(F.array_except("all_of", "stems")) == 0) & theirs)
+
+    found = inside.select("query_id", "file").union(open_.select("query_id", "file")).withColumn("added", F.lit(0))
+    found = found.union(more.select("query_id", "file", F.lit(1))).union(siblings.select("query_id", "file", F.lit(1)))
+    return found.groupBy("query_id", "file").agg((F.min("added") == 1).alias("added"))
+
+
 def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"[.,;:)\]]+$", "")
 

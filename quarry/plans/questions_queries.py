@@ -95,6 +95,39 @@ def inventory_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.inventory_filter(m, "subject", "question", "file_name", "entity", "day").select("doc_id")
 
 
+CAMEL = r"regexp_replace(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')"
+
+
+@query(
+    rf"""WITH {FILES}, f AS (SELECT doc_id AS file, {stems_sql(tokens_sql(CAMEL.format("file_name")))} AS s, list_concat({stems_sql(tokens_sql(CAMEL.format("file_name")))}, CASE WHEN doc_id % 3 = 0 THEN ['zenlite', 'trader'] ELSE [] END) AS own,
+  CASE WHEN lang = 'de' THEN 'Notice' END AS doc_type, CASE WHEN doc_id % 11 > 0 THEN DATE '2004-01-01' + CAST(doc_id % 400 AS INTEGER) END AS day, doc_id % 6 AS shape FROM files),
+q AS (SELECT doc_id AS query_id, doc_id // 100 % 5 AS kind, doc_id // 100 % 35 AS c FROM documents WHERE doc_id % 100 = 0),
+p AS (SELECT DISTINCT query_id, kind, f.* FROM q JOIN f ON shape = CASE kind WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 5 ELSE 0 END AND file % 35 = c WHERE kind <> 1 OR list_has_any(own, ['zenlite', 'trader'])),
+h AS (SELECT query_id, kind, list(s) AS all_s, count(*) AS n FROM p GROUP BY ALL),
+g AS (SELECT query_id, kind, n, list_filter(all_s[1], lambda t: len(list_filter(all_s, lambda x: list_contains(x, t))) = n) AS shared FROM h),
+u AS (SELECT query_id, file, false AS added FROM p WHERE kind IN (1, 2, 4) OR (kind = 0 AND strftime(day, '%Y-%m') = '2004-03') OR (kind = 3 AND year(day) = 2005)
+  UNION ALL SELECT query_id, file, true FROM g JOIN f ON kind IN (1, 2, 4) AND n >= 2 AND len(shared) > 0 AND list_has_all(s, shared) AND shape NOT IN (2, 3) AND (kind <> 1 OR list_has_any(own, ['zenlite', 'trader']))
+  UNION ALL SELECT query_id, file, true FROM g JOIN f ON kind = 0 AND strftime(day, '%Y-%m') = '2004-03' AND shape <> 2
+  UNION ALL SELECT query_id, file, true FROM g JOIN f ON kind = 3 AND year(day) = 2005 AND shape <> 2 AND doc_type = 'Notice')
+SELECT query_id, file, bool_and(added) AS added FROM u GROUP BY ALL"""
+)
+def inventory_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model's picks for questions (every hundredth document) lack: files of the period, and siblings by shared name stems."""
+    d = F.col("doc_id")
+    f = files_of(spark, sf_dir).select(
+        d.alias("file"), "file_name", F.when(d % 3 == 0, "Zenlite Traders").alias("entity"), F.when(F.col("lang") == "de", "Notice").alias("doc_type"), (d % 6).alias("shape"),
+        F.when(d % 11 > 0, F.date_format(F.date_add(F.lit("2004-01-01").cast("date"), (d % 400).cast("int")), "yyyy-MM-dd")).alias("date"),
+    )
+    said = ["What came in during March 2004?", "List the statements of Zenlite Traders", "List my photos", "How many notices did I get in 2005?", "List the letters"]
+    about = ["papers", "Zenlite Traders statements", "", "notices", "letters"]
+    shape = [4, 1, 4, 5, 0]
+    each = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("kind") + 1)
+    q = table(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select(d.alias("query_id"), F.floor(d / 100).alias("h")).withColumn("kind", (F.col("h") % 5).cast("int"))
+    q = q.select("query_id", each(said).alias("question"), each(about).alias("subject"), each(shape).alias("shape"), (F.col("h") % 35).alias("c"))
+    matched = f.withColumn("c", F.col("file") % 35).join(q.select("query_id", "shape", "c"), ["shape", "c"]).select("query_id", "file")
+    return Q.complete_inventory(q, matched, f)
+
+
 @query(
     rf"""WITH {FILES}, {QUESTIONS}, v AS (SELECT DISTINCT unnest({tokens_sql("file_name")}) AS t FROM files), q AS (SELECT id, unnest({tokens_sql("q")}) AS t FROM questions)
 SELECT DISTINCT id FROM q SEMI JOIN v ON q.t = v.t"""
