@@ -1,7 +1,10 @@
 """Sharding by fixed virtual slots, with a versioned slot-to-shard map.
 
-A record's doc_id alone decides its virtual slot (one of ``SLOTS``). Bytes and
-rows are summed per slot, and a map from slots to shards is made by giving the
+A record's doc_id and its text's checksum decide its virtual slot (one of
+``SLOTS``). Records that are alike in both and together hold more than a quarter
+of a slot's even share of all bytes (at most 4 * ``SLOTS`` such keys can) are
+dealt over all slots, so that no row repeated very often makes a slot that no map
+can balance. Bytes and rows are summed per slot, and a map from slots to shards is made by giving the
 slots, largest first, to the shard with the least bytes. The map has one row
 per slot and is stored with a version; rebalancing edits it, moving only the
 slots that must move. All of it is DataFrame functions: the map is folded by
@@ -12,9 +15,9 @@ shard is ``slot``: its virtual slot's offset plus its rank in that virtual
 slot, so ranks are taken in thousands of groups, never over a whole shard.
 
 Defined cases: null text has size 8 and the checksum of no bytes; a null
-doc_id is hashed by the text's checksum instead, so that rows without ids
-spread; repeated rows are separate records of the same virtual slot; an empty
-table gives an empty result.
+doc_id is hashed as a value of its own, so rows without ids spread by their
+texts; repeated rows are separate records, of the same virtual slot but for the
+heavy ones; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +32,24 @@ SLOTS = 4096
 SHARDS = 24
 
 
-def virtual_slot(id_col: str | Column, crc: str | Column, slots: int = SLOTS) -> Column:
+def _key(id_col: str | Column, crc: str | Column) -> Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     crc = F.col(crc) if isinstance(crc, str) else crc
-    return F.pmod(F.when(c.isNull(), F.xxhash64(F.lit("no id"), crc)).otherwise(F.xxhash64(c)), F.lit(slots)).cast("int")
+    return F.when(c.isNull(), F.xxhash64(F.lit("no id"), crc)).otherwise(F.xxhash64(c, crc))
+
+
+def virtual_slot(id_col: str | Column, crc: str | Column, slots: int = SLOTS) -> Column:
+    return F.pmod(_key(id_col, crc), F.lit(slots)).cast("int")
+
+
+def with_slots(records: DataFrame, ws: Workspace, slots: int = SLOTS) -> DataFrame:
+    """Records (doc_id, size, text_crc32) with their vslot, staged: heavy keys are told by their bytes and dealt out."""
+    keyed = ws.stage(records.withColumn("key", _key("doc_id", "text_crc32")).withColumn("nth", F.monotonically_increasing_id()), "keyed")
+    total = keyed.agg(F.sum("size")).first()[0] or 0
+    heavy = keyed.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > total / (4 * slots)) & (F.col("n") > 1))
+    heavy = F.broadcast(heavy.select("key", F.lit(True).alias("heavy")))  # fewer than 4 * slots rows: their bytes sum up to no more than all
+    dealt = F.when(F.col("heavy"), F.xxhash64("key", "nth")).otherwise(F.col("key"))
+    return ws.stage(keyed.join(heavy, "key", "left").withColumn("vslot", F.pmod(dealt, F.lit(slots)).cast("int")).drop("key", "nth", "heavy"), "records")
 
 
 def slot_sums(records: DataFrame) -> DataFrame:
@@ -106,7 +123,7 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32")
     )
     ws = Workspace(spark, "sharding")
-    records = ws.stage(docs.withColumn("vslot", virtual_slot("doc_id", "text_crc32")), "records")
+    records = with_slots(docs, ws)
     path = ws.path("slot-map")
     save_map(new_map(slot_sums(records)), path)
     placed = place(records, load_map(spark, path))

@@ -176,6 +176,20 @@ def test_sharding(spark, clash, empty):
     assert run(empty)[2] == []
 
 
+def test_sharding_of_heavy_ids(spark, tmp_path):
+    """A doc_id that is repeated very often, with one text or several, fills no shard."""
+    rows = [(7, "same text", "en", "s", 9)] * 1000 + [(8, f"text {i % 50:04d}", "en", "s", 9) for i in range(1000)] + [(100 + i, "other txt", "en", "s", 9) for i in range(400)] + [(None, "same text", "en", "s", 9)] * 500
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op2_virtual_slots(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert len(load) == 24 and max(load.values()) < 1.05 * min(load.values())
+    for s in range(24):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_sharding_versions(spark, docs, tmp_path):
     r = docs.select("doc_id", F.lit(10).cast("long").alias("size"), F.lit(1).alias("text_crc32")).withColumn("vslot", sharding.virtual_slot("doc_id", "text_crc32"))
     m = sharding.new_map(sharding.slot_sums(r), 4)
