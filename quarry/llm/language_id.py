@@ -9,8 +9,8 @@ those of a window's context count in the neighbouring window only.
 
 Training is numpy backpropagation through time on the driver. It sees windows of
 ``SPAN`` bytes, up to ``SPANS`` of each of about ``TRAIN_DOCS`` labelled documents
-chosen by hash, in equal parts of every language, and at most ``LANGUAGES``
-languages, the most frequent: the documented bounds. Documents with
+chosen by hash, in equal parts of every language: the documented bound, which
+also is that of the languages (one document each). Documents with
 crc32(doc_id as text) mod 4 = 2 are held out. Predictions read whole texts and
 nothing but the text.
 
@@ -36,7 +36,6 @@ SPAN, SPANS = 64, 6
 EMBED = 10
 HIDDEN = 8
 TRAIN_DOCS = 8_000
-LANGUAGES = 500
 #: Windows that are read at a time.
 BATCH = 2048
 #: Fills up the few windows of training that are shorter than the others.
@@ -235,13 +234,13 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], Network | None]:
     """Languages in order, and the network, from documents that aren't held out and have a lang."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(train_docs).collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return [], None
     # Each language gives up to its part of the bound.
     shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, train_docs / len(langs) / r["n"]) * (1 << 30))) for r in sizes], "lang string, share long")
-    some = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share"))  # LANGUAGES rows at most
+    some = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share"))  # at most train_docs rows
     got = some.filter("text <> ''").select("lang", "text").mapInArrow(_spans, "lang string, span binary").distinct().toPandas()
     if not len(got):
         return langs, None
@@ -270,8 +269,9 @@ def read(net: Network, t: at.Texts) -> np.ndarray:
     own, begin, stop, first, after = windows(t)
     out = np.zeros((len(t), net.k))
     order = np.argsort(begin - stop, kind="stable")
-    for a in range(0, len(order), BATCH):
-        w = order[a : a + BATCH]
+    size = min(BATCH, max(64, 64 * BATCH // net.k))  # fewer windows at a time for very many languages
+    for a in range(0, len(order), size):
+        w = order[a : a + size]
         lens = stop[w] - begin[w]
         x = t.data[np.minimum(begin[w, None] + np.arange(lens[0]), len(t.data) - 1)]
         np.add.at(out, own[w], net.pooled(x, lens, first[w], after[w]))
