@@ -162,9 +162,9 @@ def safe_preview(c: Column, size: int) -> Column:
 
 
 def folder_name(c: Column) -> Column:
-    """A folder's name without illegal characters, squeezed, without outer dots, 60 characters at most."""
-    s = squeeze(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1F]', " "))
-    return F.trim(F.substr(F.regexp_replace(s, r"^[. ]+|[. ]+$", ""), F.lit(1), F.lit(60)))
+    """A folder's name without control characters, blanks for illegal ones, squeezed, without dots at the end, 60 characters at most."""
+    s = squeeze(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1F]", ""), r'[\\/:*?"<>|]', " "))
+    return F.trim(F.substr(F.regexp_replace(s, r"[. ]+$", ""), F.lit(1), F.lit(60)))
 
 
 def folder_hint(path: Column) -> Column:

@@ -71,6 +71,33 @@ def pair_checks(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return part.groupBy("group").agg(F.round(F.min("least"), 6).alias("least"), F.every("share").alias("share")).join(n.select(F.col("group").cast("string").alias("group"), "members"), "group")
 
 
+def token_gates(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(group, share, share_named): whether all pairs of a group's names share a token, and whether those do of which a file has nothing but its name.
+
+    members: group, id, file_name, name_only; pairs of blocks as in ``pair_checks``.
+    """
+    n = members.groupBy("group").agg(F.count("*").alias("members"))
+    m = members.join(n, "group").select("group", "id", "members", F.coalesce("name_only", F.lit(False)).alias("name_only"), name_tokens(F.col("file_name")).alias("tokens"))
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    m = m.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    m = m.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    def check(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        words = {w: i for i, w in enumerate(sorted({w for t in f["tokens"] for w in t}))}
+        has = np.zeros((len(f), len(words) + 1), dtype=np.float32)
+        for i, t in enumerate(f["tokens"]):
+            has[i, [words[w] for w in t]] = 1
+        share = has @ has.T > 0
+        np.fill_diagonal(share, True)
+        own, only = f["own"].to_numpy(), f["name_only"].to_numpy(bool)
+        if key[1] != key[2]:
+            share |= own[:, None] == own
+        return pd.DataFrame({"group": [key[0]], "share": [bool(share.all())], "share_named": [bool((share | ~(only[:, None] | only)).all())]})
+
+    part = m.groupBy("group", "lo", "hi").applyInPandas(check, "group string, share boolean, share_named boolean")
+    return part.groupBy("group").agg(F.every("share").alias("share"), F.every("share_named").alias("share_named"))
+
+
 def judge_groups(checked: DataFrame, confidence: Column, cutoff: float = CUTOFF, pairs: float = ALL_PAIRS) -> DataFrame:
     """A verdict per group: too small, too loose, below the cutoff, without common names where the naming is unsure, or accepted.
 
