@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import retrieval as R
+from quarry.operators import vector_index as I
 from quarry.operators import vectors as V
 from quarry.plans.registry import query, table
+from quarry.plans.workspace import Workspace
 
 MEANS = """
 flat AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -82,3 +85,27 @@ def fused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = m.select((F.pmod(F.col("label") - 1, F.lit(n))).alias("label"), F.col("vec").alias("name_vec"))
     f = m.join(names, "label").withColumn("u", V.fuse("vec", "name_vec"))
     return f.select("label", F.round(F.get("u", F.lit(0)), 6).alias("x0"), F.round(F.get("u", F.lit(1)), 6).alias("x1"))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What the index finds for every hundredth vector, and what there is."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    model = I.fit(e)
+    index = I.build(e, model, Workspace(spark, "index").path("cells"), "vec_id")
+    return I.search(index, model, e, queries, id_col="vec_id"), R.top_k(e, queries, id_col="vec_id", key="label")
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors by the index; the exact search is ``vector_topk``, and ``vector_index_recall`` compares them."""
+    return _indexed(spark, sf_dir)[0]
+
+
+@query("SELECT vec_id AS query_id, true AS complete FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT NULL, true")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds at least 0.75 of each query's 40 nearest, and 0.9 of all (query_id null)."""
+    found, exact = _indexed(spark, sf_dir)
+    r = I.recall(exact, found, "vec_id")
+    each = r.select("query_id", (F.col("recall") >= 0.75).alias("complete"))
+    return each.union(r.agg(F.lit(None).cast("long").alias("query_id"), (F.avg("recall") >= 0.9).alias("complete")))
