@@ -1,12 +1,7 @@
-"""Deadlines: buckets, rolling, attention, gaps in periodic series, and dates found in texts."""
+"""Deadlines: buckets, rolling, attention, gaps in periodic series."""
 
 from __future__ import annotations
 
-import datetime
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,145 +66,6 @@ def gaps(series: DataFrame, keys: list[str]) -> DataFrame:
     return miss.withColumn("rn", F.row_number().over(w.orderBy("idx"))).filter(F.col("rn") <= MAX_PER_SERIES).drop("rn")
 
 
-# -- dates found in texts: positions matter, so this is an Arrow-batched function ----
-
-# What announces an obligation, in order of priority, and what says it is over.
-ANNOUNCED = [
-    ("Payment due", r"payment\s+due|amount\s+due|pay\s+(?:by|before)"),
-    ("Filing due", r"filing\s+due(?:\s+date)?|file\s+by|last\s+date(?:\s+for\s+filing)?|(?:must|shall|should|to)\s+be\s+filed\s+(?:on\s+or\s+)?before"),
-    ("Renewal", r"renewal(?:\s+review)?(?:\s+due)?|renew\s+(?:by|before)"),
-    ("Expires", r"expir(?:es|y|ing|ation)|valid\s+(?:until|till|upto|up\s+to)|lapses?"),
-    ("Response due", r"response\s+(?:required|due)|respond\s+by|reply\s+by"),
-    ("Deadline", r"deadline"),
-    ("Due", r"due\s+(?:by|date|on)|due:"),
-    ("Due", r"on\s+or\s+before|no\s+later\s+than"),
-]
-OVER_VERBS = r"paid|settled|completed|received|cleared|renewed|filed|submitted"
-OVER = re.compile(rf"\b(?:was|were|has\s+been|have\s+been|already|been)\s+(?:{OVER_VERBS}|made|done)\b|\b(?:{OVER_VERBS})\s+on\b(?!\s+or\b)")
-OVER_LABEL = re.compile(r"(?:(?<!due\s)(?<!last\s)\b(?:date\s+of\s+(?:filing|submission|payment|receipt)|(?:filing|submission|payment|receipt)\s+date)|\b(?:filed|submitted|paid|received|issued|generated)\s+on)\s*[:\-–—]?\s*$")
-ABBREVIATIONS = set("rs no dr mr mrs ms pvt ltd inc co vs etc approx".split())
-# Fixed values end.
-_ANNOUNCED = [(name, re.compile(p)) for name, p in ANNOUNCED]
-_SHAPES = [
-    ("dmy", re.compile(rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{D.MONTH}\.?,?\s+(\d{{4}})\b", re.I)),
-    ("mdy", re.compile(rf"\b{D.MONTH}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b", re.I)),
-    ("iso", re.compile(r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b")),
-    ("numeric", re.compile(r"\b(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})\b")),
-]
-BEFORE = 60
-
-
-def _date(kind: str, m: re.Match, month_first: bool) -> datetime.date | None:
-    g = m.groups()
-    month = lambda s: D.MONTHS.index(s[:3].lower()) + 1
-    if kind == "numeric":
-        a, b, y = map(int, g)
-        tries = [(y, a, b), (y, b, a)] if month_first else [(y, b, a), (y, a, b)]
-    elif kind == "iso":
-        tries = [tuple(map(int, g))]
-    else:
-        day, mon = (g[0], g[1]) if kind == "dmy" else (g[1], g[0])
-        tries = [(int(g[2]), month(mon), int(day))]
-    for y, mo, d in tries:
-        if 2000 <= y <= 2099:
-            try:
-                return datetime.date(y, mo, d)
-            except ValueError:
-                continue
-    return None
-
-
-def _announced(before: str) -> str | None:
-    if OVER_LABEL.search(before):
-        return None
-    for name, p in _ANNOUNCED:
-        end = max((m.end() for m in p.finditer(before)), default=-1)
-        if end >= 0 and not OVER.search(before[end:]):
-            return name
-    return None
-
-
-def _around(text: str, start: int, end: int, back: int = 120, ahead: int = 100) -> str:
-    """The sentence around a date, cut at words."""
-    lo = max(0, start - back)
-    head = text[lo:start]
-    cut = 0
-    for m in re.finditer(r"[\n\r]|[.!?](?=\s)", head):
-        if m[0] in "\n\r" or re.search(r"(\w*)$", head[: m.start()])[1].lower() not in ABBREVIATIONS:
-            cut = m.end()
-    if not cut and lo > 0:
-        cut = (re.search(r"\s", head) or re.search(r"$", head)).start()
-    tail = text[end : end + ahead]
-    m = re.search(r"[\n\r]|[.!?](?=\s|$)", tail)
-    if m:
-        tail = tail[: m.start() if m[0] in "\n\r" else m.end()]
-    elif end + ahead < len(text):
-        tail = tail[: tail.rfind(" ") + 1] if " " in tail else ""
-    return " ".join((head[cut:] + text[start:end] + tail).split())
-
-
-def find_events(text: str, month_first: bool = False) -> list[dict]:
-    """Announced dates of a text; each (date, title) once."""
-    low, seen, out = text.lower(), set(), []
-    for kind, p in _SHAPES:
-        for m in p.finditer(text):
-            day = _date(kind, m, month_first)
-            title = day and _announced(low[max(0, m.start() - BEFORE) : m.start()])
-            if title and (day, title) not in seen:
-                seen.add((day, title))
-                out.append({"date": day.isoformat(), "title": title, "excerpt": _around(text, m.start(), m.end())})
-    return out
-
-
-CUE = re.compile(r"(?:invoice\s+date|statement\s+period|return\s+period|bill\s+month|pay\s+date|date\s+of\s+issue|issued\s+on|issued|dated|date)\s*[:\-]?\s*", re.I)
-MONTH_YEAR = re.compile(rf"\b{D.MONTH}\.?\s+(\d{{4}})\b", re.I)
-
-
-def _first_date(s: str, month_first: bool) -> datetime.date | None:
-    best, at = None, len(s) + 1
-    for kind, p in _SHAPES:
-        m = p.search(s)
-        if m and m.start() < at and (day := _date(kind, m, month_first)):
-            best, at = day, m.start()
-    m = MONTH_YEAR.search(s)
-    if m and m.start() < at and 2000 <= int(m[2]) <= 2099:
-        best = datetime.date(int(m[2]), D.MONTHS.index(m[1][:3].lower()) + 1, 1)
-    return best
-
-
-def primary_date(name: str | None, text: str | None, month_first: bool = False) -> str | None:
-    """The month in the file's name, else a date after a cue, else the first date of the opening."""
-    if name:
-        n = re.sub(r"([a-z])([A-Z])", r"\1 \2", name)
-        n = re.sub(r"([A-Za-z])([0-9])", r"\1 \2", n)
-        n = re.sub(r"[-_./]+", " ", re.sub(r"([0-9])([A-Za-z])", r"\1 \2", n))
-        m = MONTH_YEAR.search(n)
-        if m and 2000 <= int(m[2]) <= 2099:
-            return datetime.date(int(m[2]), D.MONTHS.index(m[1][:3].lower()) + 1, 1).isoformat()
-        m = re.search(r"\b(20\d{2})\s*[-_. ]\s*(\d{1,2})\b", n)
-        if m and 1 <= int(m[2]) <= 12:
-            return datetime.date(int(m[1]), int(m[2]), 1).isoformat()
-    head = (text or "")[:2000]
-    for m in CUE.finditer(head):
-        if day := _first_date(head[m.end() : m.end() + 40], month_first):
-            return day.isoformat()
-    day = _first_date(head, month_first)
-    return day.isoformat() if day else None
-
-
-def scan_events(docs: DataFrame, id_col: str, text_col: str, month_first: bool = False) -> DataFrame:
-    """(id, date, title, excerpt) for every announced date; the prefilter keeps other texts out of Python."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, e["date"], e["title"], e["excerpt"]) for i, t in zip(f[id_col], f[text_col]) for e in find_events(t or "", month_first)]
-            yield pd.DataFrame(rows, columns=[id_col, "date", "title", "excerpt"])
-
-    some = docs.select(id_col, text_col).filter(F.col(text_col).rlike(r"\d{4}"))
-    return some.mapInPandas(run, f"{id_col} {kind}, date string, title string, excerpt string")
-
-
 def calendar(events: DataFrame) -> DataFrame:
     """A VEVENT text per (uid, title, due_date, recurring), lines ended by CRLF and folded at 75 characters."""
     day = F.regexp_replace("due_date", "-", "")

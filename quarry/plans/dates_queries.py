@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import dates as D
+from quarry.operators import date_scan as S
 from quarry.operators import deadlines as L
 from quarry.plans.registry import query, table
 
@@ -157,7 +158,49 @@ UNION ALL SELECT o_orderkey, '2004-03-' || lpad(CAST(day(o_orderdate) AS VARCHAR
 )
 def date_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Announced dates: "amount due", "valid until"; past tense ("filed on") is none."""
-    return L.scan_events(_texts(spark, sf_dir), "id", "text").select("id", "date", "title")
+    return S.scan_events(_texts(spark, sf_dir), "id", "text").select("id", "date", "title")
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k, TRY_CAST((year(o_orderdate) + 10) || strftime(o_orderdate, '-%m-%d') AS DATE) AS day FROM orders)
+SELECT id, '2024-03-05' AS date, 'Payment due' AS title, 'Payment due 5 March 2024!' AS excerpt FROM t WHERE k = 0
+UNION ALL SELECT id, '2024-02-01', 'Filing due', 'file by 2024-02-30, or file by 01/02/2024 or so' FROM t WHERE k = 1
+UNION ALL SELECT id, '2031-06-03', 'Expires', repeat('word ', 21) || 'expires on 3rd of June 2031 ' || trim(repeat('tail ', 19)) FROM t WHERE k = 2
+UNION ALL SELECT id, '2026-05-06', 'Expires', 'renewed on 1 May 2025; valid till May 6, 2026' FROM t WHERE k = 4
+UNION ALL SELECT id, strftime(day, '%Y-%m-%d'), 'Deadline', strftime(day, 'The deadline (firm) %d/%m/%Y is near.') FROM t WHERE k = 5 AND day IS NOT NULL"""
+)
+def date_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announced dates with the sentences around them."""
+    k = F.col("o_orderkey") % 6
+    d = F.col("o_orderdate")
+    text = (
+        F.when(k == 0, "Dear R., see Rs. 500. Payment due 5 March 2024! Thanks.")
+        .when(k == 1, "Note no. 7:\nfile by 2024-02-30, or file by 01/02/2024 or so")
+        .when(k == 2, F.concat(F.repeat(F.lit("word "), F.lit(60)), F.lit("expires on 3rd of June 2031 "), F.repeat(F.lit("tail "), F.lit(60))))
+        .when(k == 3, "The fee was paid on 5 March 2024")
+        .when(k == 4, "renewed on 1 May 2025; valid till May 6, 2026")
+        .otherwise(F.concat(F.lit("Hello!\tThe deadline  (firm) "), F.date_format(d, "dd/MM/"), (F.year(d) + 10).cast("string"), F.lit(" is near.")))
+    )
+    return S.scan_events(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")), "id", "text")
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k, month(o_orderdate) AS m, year(o_orderdate) + 10 AS y, TRY_CAST((year(o_orderdate) + 10) || strftime(o_orderdate, '-%m-%d') AS DATE) AS day FROM orders)
+SELECT id, CASE k WHEN 0 THEN y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-01' WHEN 1 THEN y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-01' WHEN 2 THEN coalesce(strftime(day, '%Y-%m-%d'), '2021-06-02') WHEN 3 THEN '2020-05-01' WHEN 5 THEN y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-01' END AS date FROM t"""
+)
+def primary_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's own date: from its name, after a cue, or the first of its opening."""
+    k = F.col("o_orderkey") % 7
+    d = F.col("o_orderdate")
+    year = (F.year(d) + 10).cast("string")
+    name = F.when(k == 0, F.concat(F.lit("GST-Return-"), F.date_format(d, "MMM"), year, F.lit(".pdf"))).when(k == 1, F.concat(F.lit("scan_"), year, F.date_format(d, "-MM"), F.lit(".pdf"))).when(k == 6, F.lit(None)).otherwise("a1.pdf")
+    text = (
+        F.when(k == 2, F.concat(F.lit("On 1 May 2020 we met. Dated: soon. Invoice date: "), F.date_format(d, "dd.MM."), year, F.lit(", issued on 02.06.2021")))
+        .when(k == 3, "We met on 1 May 2020, then on 2020-04-01.")
+        .when(k == 4, F.concat(F.repeat(F.lit("x"), F.lit(2000)), F.lit(" dated 1 May 2020")))
+        .when(k == 5, F.concat(F.lit("Statement period "), F.date_format(d, "MMMM"), F.lit(" "), year))
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.primary_date(name, text).alias("date"))
 
 
 @query(

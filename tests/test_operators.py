@@ -15,6 +15,7 @@ from quarry.plans.components import components
 from quarry.plans.workspace import Workspace, broadcast_if_small
 from quarry.sources import files
 from quarry.streaming import usage
+from tests import plain_dates
 
 
 def one(spark, c):
@@ -45,7 +46,7 @@ def test_sentences_and_packing():
 
 
 def test_events_in_texts():
-    find = lambda t, **k: [(e["date"], e["title"]) for e in deadlines.find_events(t, **k)]
+    find = lambda t, **k: [(e["date"], e["title"]) for e in plain_dates.find_events(t, **k)]
     assert find("Payment due 5 March 2024.") == [("2024-03-05", "Payment due")]
     assert find("The fee was paid on 5 March 2024") == []
     assert find("Date of filing: 01/02/2024") == []
@@ -58,10 +59,10 @@ def test_events_in_texts():
 
 
 def test_primary_dates():
-    assert deadlines.primary_date("GST-Return-Mar2024.pdf", None) == "2024-03-01"
-    assert deadlines.primary_date("scan_2023-07.pdf", "x") == "2023-07-01"
-    assert deadlines.primary_date("a.pdf", "On 1 May 2020 we met. Invoice date: 02.06.2021") == "2021-06-02"
-    assert deadlines.primary_date("a.pdf", "nothing") is None
+    assert plain_dates.primary_date("GST-Return-Mar2024.pdf", None) == "2024-03-01"
+    assert plain_dates.primary_date("scan_2023-07.pdf", "x") == "2023-07-01"
+    assert plain_dates.primary_date("a.pdf", "On 1 May 2020 we met. Invoice date: 02.06.2021") == "2021-06-02"
+    assert plain_dates.primary_date("a.pdf", "nothing") is None
 
 
 def test_next_occurrence_drifts(spark):
