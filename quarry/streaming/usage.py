@@ -1,17 +1,14 @@
-"""Structured Streaming forms of metering and of the library's watcher."""
+"""Structured Streaming forms of metering."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarry.operators.library import admit, upsert
-from quarry.plans.workspace import Workspace
-
 
 def usage_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 day") -> DataFrame:
     """Counts and sums per window and type; state of a window goes once the watermark has passed it."""
@@ -47,22 +44,3 @@ def quotas(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return e.groupBy("user_id", "day").applyInPandasWithState(run, "user_id long, day string, counter long", "n long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def incremental_index(spark: SparkSession, read: Callable[[], DataFrame], table_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink for scanned files: only new and changed ones reach the file table.
-
-    ``read`` gives the table as it is. Each batch writes a new version of the
-    table beside the old one and then a pointer row, so a failed batch leaves
-    the last version readable.
-    """
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        known = read()
-        todo = admit(batch, known).filter(F.col("state").isin("process", "touched"))
-        new = todo.select("path", "file_name", "size", "mtime", "hash", F.lit("INDEXED").alias("status"))
-        ws = Workspace(spark, "index")
-        rows = ws.stage(upsert(known.select(new.columns), new, ["path"]), "files")
-        rows.write.mode("overwrite").parquet(f"{table_path}/version={epoch}")
-
-    return sink

@@ -204,14 +204,6 @@ def test_streams(spark, tmp_path, kind):
         assert {(r["day"], r["counter"]) for r in got} == {("2024-01-01", 3), ("2024-01-05", 1)}
 
 
-def test_incremental_index(spark, tmp_path):
-    schema = "path string, file_name string, size long, mtime long, hash string"
-    known = spark.createDataFrame([("/a.txt", "a.txt", 1, 5, "h", "INDEXED")], schema + ", status string")
-    sink = usage.incremental_index(spark, lambda: known, str(tmp_path / "t"))
-    sink(spark.createDataFrame([("/a.txt", "a.txt", 1, 5, "h"), ("/b.txt", "b.txt", 1, 5, "k"), ("/c.exe", "c.exe", 1, 5, "z")], schema), 1)
-    assert {r["path"] for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {"/a.txt", "/b.txt"}
-
-
 def test_model_port(spark):
     d = spark.createDataFrame([(1, "q1"), (2, "q2")], "id long, p string")
     assert {r["reply"] for r in model_port.ask(d, "p", lambda xs: [x.upper() for x in xs]).collect()} == {"Q1", "Q2"}
