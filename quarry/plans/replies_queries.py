@@ -11,6 +11,7 @@ from quarry.operators import clients as C
 from quarry.operators import deadlines as L
 from quarry.operators import extraction as E
 from quarry.operators import library as B
+from quarry.operators import model_batches as N
 from quarry.operators import model_port as P
 from quarry.operators import questions as Q
 from quarry.operators import retrieval as R
@@ -19,6 +20,7 @@ from quarry.plans.dates_queries import DEADLINES, TODAY, _deadlines, _today
 from quarry.plans.library_queries import FILES, files_of
 from quarry.plans.money_queries import ALL, OWNER, OWNERS, _payables, _sheets
 from quarry.plans.registry import query, table
+from quarry.plans.workspace import Workspace
 
 IDS = """
 t AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'gstin 27abcde' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'f1z5 of the firm' WHEN 1 THEN 'Pan: ABCDE' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'F' WHEN 2 THEN 'XABCDE1234F' ELSE o_orderpriority END AS text FROM orders)
@@ -381,3 +383,21 @@ def compatible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files_of(spark, sf_dir)
     f = f.withColumn("file_name", F.when(F.col("doc_id") % 6 == 5, F.concat("file_name", F.lit(".x"), (F.col("doc_id") % 3).cast("string"))).otherwise(F.col("file_name")))
     return Q.compatible_files(f.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("file"), "file_name"), f.filter("doc_id % 2 = 0").select(F.col("source").alias("folder"), "file_name"))
+
+
+def _faulty(texts: list[str]) -> list[str | None] | None:
+    """A model whose replies to several texts can't be read if a difficult one is among them, and that never reads the worst."""
+    if any(len(t) % 50 == 0 for t in texts) or (len(texts) > 1 and any(len(t) % 17 == 0 for t in texts)):
+        return None
+    return [None if len(texts) > 2 and len(t) % 11 == 0 else f"{len(t)} characters" for t in texts]
+
+
+@query(
+    """SELECT doc_id, CASE WHEN length(coalesce(text, '')) % 50 <> 0 THEN length(text) || ' characters' END AS reply, CASE WHEN length(coalesce(text, '')) % 50 <> 0 THEN 'answered' ELSE 'unreadable' END AS state FROM documents"""
+)
+def model_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a faulty model to every document: batches are halved until only what can't be read is left."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.withColumn("hash", F.sha2("text", 256))
+    folder = Workspace(spark, "model-ladder").path("replies")
+    return N.answer(d, _faulty, folder, "2024-05-01", calls=1 << 40, wave=1 << 20).select("doc_id", "reply", "state")
