@@ -1,8 +1,9 @@
 """Files that a question needs although search missed them: by kind, by entity, ledgers.
 
-A pool row has a file column; candidate files are (file, file_name, size) and
-optionally doc_type and entity. Each operator returns the files to add; the caller
-appends their leading chunks (``lead_chunks``). The bounds are those of a prompt.
+A pool row is (query_id, file), what a query's search found; candidate files are
+(file, file_name, size) and optionally doc_type and entity. Each operator returns the
+files to add to each query; the caller appends their leading chunks (``lead_chunks``).
+The bounds are those of a prompt.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.retrieval import first_chunks
+from quarry.plans.workspace import Workspace, broadcast_if_small
 
 # Words of a question that name a kind of document.
 KIND_WORDS = {
@@ -45,41 +48,78 @@ def kinds(stems: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(stems, lambda t: F.try_element_at(words, t)), lambda k: k.isNotNull()))
 
 
-def _missing(files: DataFrame, pool: DataFrame, file_col: str) -> DataFrame:
-    return files.join(pool.select(file_col).distinct(), file_col, "left_anti")
+def _missing(found: DataFrame, pool: DataFrame, file_col: str) -> DataFrame:
+    return found.join(pool.select("query_id", file_col).distinct(), ["query_id", file_col], "left_anti")
 
 
-def _largest(files: DataFrame, n: int, file_col: str) -> DataFrame:
-    return files.orderBy(F.desc("size"), "file_name", file_col).limit(n)
+def _order(file_col: str) -> tuple[Column, ...]:
+    return F.desc("size"), F.col("file_name"), F.col(file_col)
 
 
-def by_kind(pool: DataFrame, files: DataFrame, question: str, file_col: str, most: int = KIND_FILES) -> DataFrame:
-    """The largest files of a kind that the question names, by type or by name, without templates and those in the pool."""
-    wanted = kinds(stemmed(F.lit(question)))
-    fits = F.coalesce(F.array_contains(wanted, F.col("doc_type")), F.lit(False)) | F.arrays_overlap(kinds(name_stems(F.col("file_name"))), wanted)
-    return _largest(_missing(files.filter(fits & ~F.col("file_name").rlike(T.TEMPLATE_NAME)), pool, file_col), most, file_col)
+def _spare(pool: DataFrame, most: int) -> int:
+    """How many of the largest files do for every query: none has more in its pool than this, less ``most``."""
+    n = pool.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]  # a pool is a search's top k
+    return most + (n or 0)
 
 
-def by_entity(pool: DataFrame, files: DataFrame, question: str, file_col: str, most: int = ENTITY_FILES) -> DataFrame:
-    """For questions about several entities: the largest file of each entity that shares a token and isn't covered by the pool."""
-    q = stemmed(F.lit(question))
-    entity = F.lower(F.coalesce("entity", "file_name"))
-    about = F.arrays_overlap(F.array_union(name_stems(F.col("file_name")), stemmed(F.coalesce("entity", F.lit("")))), q)
-    asked = F.lit(question).rlike(T.ENTITY_BREADTH)
-    covered = files.join(pool.select(file_col).distinct(), file_col, "left_semi").select(F.lower("entity").alias("entity_key")).filter("entity_key is not null").distinct()
-    open_files = _missing(files.filter(asked & about & ~F.col("file_name").rlike(T.TEMPLATE_NAME)), pool, file_col).withColumn("entity_key", entity).join(covered, "entity_key", "left_anti")
-    # The first in the order (size falling, name, file) of each entity: an aggregation with map-side combine.
-    best = open_files.groupBy("entity_key").agg(F.min_by(F.struct(*files.columns), F.struct(F.negative("size"), "file_name", file_col)).alias("r"))
-    return _largest(best.select("r.*"), most, file_col)
+def _largest(files: DataFrame, by: list[str], n: int, file_col: str, salts: int = 64) -> DataFrame:
+    """The n largest files of each group; salted parts are ranked first, so that a group with most of all files is no task's sort."""
+    order = _order(file_col)
+    part = F.pmod(F.xxhash64(file_col), F.lit(salts))
+    some = files.withColumn("salt", part).withColumn("r", F.row_number().over(W.partitionBy(*by, "salt").orderBy(*order))).filter(F.col("r") <= n)
+    return some.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("r") <= n).drop("r", "salt")
+
+
+def _top(found: DataFrame, n: int, file_col: str) -> DataFrame:
+    """Each query's n largest, with their place from 1; a query comes with few more than n."""
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(*_order(file_col))).cast("long")
+    return found.withColumn("place", place).filter(F.col("place") <= n)
+
 
+def by_kind(pool: DataFrame, files: DataFrame, questions: DataFrame, file_col: str, most: int = KIND_FILES) -> DataFrame:
+    """For each question (query_id, question) the largest files of the kinds that it names, by type or by name, without templates and those in its pool.
 
-def ledgers(pool: DataFrame, files: DataFrame, question: str, file_col: str, most: int = LEDGER_FILES) -> DataFrame:
+    Which files are the largest of a kind doesn't depend on the question: so many are kept of each kind that any pool
+    leaves enough, and only these meet the questions.
+    """
+    own = F.array_union(kinds(name_stems(F.col("file_name"))), F.array_compact(F.array("doc_type")))
+    f = files.filter(~F.col("file_name").rlike(T.TEMPLATE_NAME)).select(file_col, "file_name", "size", F.explode(own).alias("kind"))
+    best = _largest(f.filter(F.col("kind").isin(sorted(set(KIND_WORDS.values())))), ["kind"], _spare(pool, most), file_col)
+    asked = questions.select("query_id", F.explode(kinds(stemmed(F.coalesce("question", F.lit(""))))).alias("kind"))
+    found = best.join(asked, "kind").select("query_id", file_col, "file_name", "size").distinct()
+    return _top(_missing(found, pool, file_col), most, file_col)
+
+
+def by_entity(pool: DataFrame, files: DataFrame, questions: DataFrame, file_col: str, most: int = ENTITY_FILES) -> DataFrame:
+    """For questions about several entities: the largest file of each entity that shares a stem and isn't covered by the pool.
+
+    Files meet questions by stem, after the largest of each stem and entity were kept (as many as a pool may hide, and one).
+    """
+    entity = F.lower(F.coalesce("entity", "file_name"))
+    stems = F.array_union(name_stems(F.col("file_name")), stemmed(F.coalesce("entity", F.lit(""))))
+    asked = questions.filter(F.col("question").rlike(T.ENTITY_BREADTH)).select("query_id", F.explode(stemmed(F.col("question"))).alias("stem"))
+    wanted = asked.select("stem").distinct()
+    f = files.filter(~F.coalesce(F.col("file_name").rlike(T.TEMPLATE_NAME), F.lit(False))).select(file_col, "file_name", "size", entity.alias("entity_key"), F.explode(stems).alias("stem")).join(broadcast_if_small(wanted), "stem")
+    best = _largest(f, ["stem", "entity_key"], _spare(pool, 1), file_col)
+    found = best.join(asked, "stem").select("query_id", file_col, "file_name", "size", "entity_key").distinct()
+    covered = pool.select("query_id", file_col).join(files.select(file_col, F.lower("entity").alias("entity_key")), file_col).filter("entity_key is not null").select("query_id", "entity_key").distinct()
+    open_ = _missing(found.join(covered, ["query_id", "entity_key"], "left_anti"), pool, file_col)
+    first = open_.groupBy("query_id", "entity_key").agg(F.min_by(F.struct(file_col, "file_name", "size"), F.struct(F.negative("size"), "file_name", file_col)).alias("r"))
+    return _top(first.select("query_id", "r.*"), most, file_col)
+
+
+def ledgers(pool: DataFrame, files: DataFrame, questions: DataFrame, file_col: str, most: int = LEDGER_FILES) -> DataFrame:
     """For questions about what is paid or owed: the largest files with the name of a ledger."""
-    asked = F.lit(question).rlike(T.PAYMENT_STATUS)
-    return _largest(_missing(files.filter(asked & F.col("file_name").rlike(T.LEDGER_NAME)), pool, file_col), most, file_col)
+    asked = questions.filter(F.col("question").rlike(T.PAYMENT_STATUS)).select("query_id", F.lit(0).alias("one"))
+    best = files.filter(F.col("file_name").rlike(T.LEDGER_NAME)).select(file_col, "file_name", "size", F.lit(0).alias("one"))
+    best = _largest(best, ["one"], _spare(pool, most), file_col)  # as many as a pool and its additions hold
+    return _top(_missing(asked.join(F.broadcast(best), "one").drop("one"), pool, file_col), most, file_col)
 
 
 def lead_chunks(chosen: DataFrame, chunks: DataFrame, file_col: str, order_col: str, n: int = LEAD_CHUNKS) -> DataFrame:
-    """The first chunks of the few chosen files."""
-    own = chunks.join(F.broadcast(chosen.select(file_col)), file_col, "left_semi")
-    return own.withColumn("place", F.row_number().over(W.partitionBy(file_col).orderBy(order_col)).cast("long")).filter(F.col("place") <= n)
+    """The first chunks of the files chosen for each query, with their place."""
+    ws = Workspace(chosen.sparkSession, "lead-chunks")
+    some = ws.stage(chosen.select("query_id", file_col), "chosen")
+    own = chunks.join(broadcast_if_small(some.select(file_col).distinct()), file_col, "left_semi")
+    first = first_chunks(own, file_col, order_col, n).withColumn("place", F.col("chunk_index") + 1).drop("chunk_index")
+    return first.join(some, file_col)

@@ -156,22 +156,17 @@ def _asked(questions: DataFrame, tokens: Column) -> DataFrame:
     return questions.select("query_id", F.explode(tokens).alias("token"))
 
 
-def lexical_focus(chunks: DataFrame, questions: DataFrame, file_col: str, text_col: str, name_col: str) -> DataFrame:
-    """For each question (query_id, question), the chunks of files of which a chunk or the name shares a stemmed token with it.
+def lexical_focus(matches: DataFrame, questions: DataFrame, file_col: str, text_col: str, name_col: str) -> DataFrame:
+    """Of each question's matches (query_id, ...), those of files of which a match or the name shares a stemmed token with it (query_id, question).
 
-    All chunks if the question has no tokens, nothing matches, or there is one chunk. Tokens meet in an equality join,
-    and only (question, file) pairs are put together.
+    All of them if the question has no tokens, nothing shares one, or there is one match.
     """
-    ws = Workspace(chunks.sparkSession, "lexical-focus")
+    asked = questions.select("query_id", T.stems(T.significant_tokens(F.col("question"))).alias("asked"))
     own = T.stems(F.array_union(T.significant_tokens(F.col(text_col)), T.significant_tokens(T.split_camel(F.col(name_col)))))
-    asked = ws.stage(_asked(questions, T.stems(T.significant_tokens(F.col("question")))), "tokens")
-    hits = chunks.select(file_col, F.explode(own).alias("token")).join(broadcast_if_small(asked), "token").select("query_id", file_col).distinct()
-    hits = ws.stage(hits, "files")
-    missed = questions.select("query_id").join(broadcast_if_small(hits.select("query_id").distinct()), "query_id", "left_anti")
-    files = chunks.select(file_col).distinct()
-    # Questions are the smaller side by far; each missed one gets every file, but no chunk is paired with a question.
-    every = files.join(broadcast_if_small(ws.stage(missed, "missed")), F.lit(True))
-    return chunks.join(broadcast_if_small(ws.stage(hits.unionByName(every), "pairs")), file_col)
+    m = matches.join(broadcast_if_small(asked, limit=50_000), "query_id", "left").withColumn("hit", F.coalesce(F.arrays_overlap(own, "asked"), F.lit(False)).cast("int"))
+    # A query has at most k matches.
+    m = m.withColumn("file_hit", F.max("hit").over(W.partitionBy("query_id", file_col))).withColumn("any_hit", F.max("hit").over(W.partitionBy("query_id"))).withColumn("n", F.count("*").over(W.partitionBy("query_id")))
+    return m.filter((F.col("any_hit") == 0) | (F.col("n") <= 1) | (F.col("file_hit") == 1)).drop("asked", "hit", "file_hit", "any_hit", "n")
 
 
 def drop_templates(matches: DataFrame, name_col: str, question: str) -> DataFrame:
@@ -221,9 +216,9 @@ def inject(pool: DataFrame, extra: DataFrame, file_col: str) -> DataFrame:
 
 
 def group_sources(matches: DataFrame, file_col: str, most_pages: int = 50) -> DataFrame:
-    """A row per file: snippets in order, and the pages of all its chunks (at most 50 of a range)."""
+    """A row for each query and file among its matches (k at most): snippets in order, and the pages of its chunks (at most 50 of a range)."""
     pages = F.when(F.col("page_start") > 0, F.sequence("page_start", F.least(F.greatest("page_end", "page_start"), F.col("page_start") + most_pages - 1))).otherwise(F.array().cast("array<int>"))
-    return matches.groupBy(file_col).agg(
+    return matches.groupBy("query_id", file_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", T.snippet(F.col("text")).alias("s")))), lambda x: x["s"]).alias("snippets"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(pages)))).alias("pages")
     )
 

@@ -10,7 +10,7 @@ from quarry.operators import questions as Q
 from quarry.operators import retrieval as R
 from quarry.plans.library_queries import FILES, files_of
 from quarry.plans.registry import query, table
-from quarry.plans.retrieval_queries import stems_sql, tokens_sql
+from quarry.plans.retrieval_queries import NEAR, _read, stems_sql, tokens_sql
 
 #: Questions of eleven shapes, by the order's number.
 SHAPES = [
@@ -161,15 +161,15 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH top AS (SELECT doc_id, source AS file, doc_id % 7 AS page_start, doc_id % 7 + doc_id % 3 AS page_end, text FROM documents WHERE text IS NOT NULL),
-s AS (SELECT file, list(DISTINCT page ORDER BY page) AS pages FROM (SELECT file, unnest(range(page_start, greatest(page_end, page_start) + 1)) AS page FROM top WHERE page_start > 0) GROUP BY file)
-SELECT file, count(*) AS snippets, array_to_string(any_value(pages), ',') AS pages FROM top LEFT JOIN s USING (file) GROUP BY file"""
+    f"""WITH {NEAR.format(scope='')}, c AS (SELECT query_id, doc_id, source AS file, doc_id % 7 AS page_start, doc_id % 7 + doc_id % 3 AS page_end FROM top JOIN documents ON doc_id = vec_id),
+s AS (SELECT query_id, file, list(DISTINCT page ORDER BY page) AS pages FROM (SELECT query_id, file, unnest(range(page_start, greatest(page_end, page_start) + 1)) AS page FROM c WHERE page_start > 0) GROUP BY ALL)
+SELECT c.query_id, c.file, count(*) AS snippets, coalesce(array_to_string(any_value(pages), ','), '') AS pages FROM c LEFT JOIN s ON s.query_id = c.query_id AND s.file IS NOT DISTINCT FROM c.file GROUP BY ALL"""
 )
 def source_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per file its snippets and the pages of all its chunks."""
+    """For each query the files of its matches, with their snippets and the pages of all their chunks."""
     k = F.col("doc_id")
-    top = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("source").alias("file"), (k % 7).cast("int").alias("page_start"), (k % 7 + k % 3).cast("int").alias("page_end"), "text", k.alias("pos"))
-    return R.group_sources(top, "file").select("file", F.size("snippets").cast("long").alias("snippets"), F.array_join("pages", ",").alias("pages"))
+    top = _read(spark, sf_dir).select("query_id", F.col("source").alias("file"), (k % 7).cast("int").alias("page_start"), (k % 7 + k % 3).cast("int").alias("page_end"), F.coalesce("text", F.lit("")).alias("text"), "pos")
+    return R.group_sources(top, "file").select("query_id", "file", F.size("snippets").cast("long").alias("snippets"), F.array_join("pages", ",").alias("pages"))
 
 
 NATIONS = "strftime(DATE '2001-01-01' + CAST(n_nationkey AS INTEGER) * 31, '%B')"

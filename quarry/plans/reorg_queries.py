@@ -12,53 +12,56 @@ from quarry.plans.library_queries import FILES, files_of
 from quarry.plans.registry import query, table
 from quarry.plans.retrieval_queries import NEAR, _top
 
-QUESTION = "Compare all the bank statements, agreements and lease notices: which are unpaid?"
-POOL = f"{NEAR.format(scope='')}, {FILES}, rest AS (SELECT * FROM files WHERE doc_id NOT IN (SELECT vec_id FROM top WHERE query_id = 0) AND NOT regexp_matches(file_name, '(^|[^a-z0-9])template([^a-z0-9]|$)', 'i'))"
+#: Questions of three shapes, by the query's number: each asks for other injections.
+ASKED = ["Compare all the bank statements, agreements and lease notices: which are unpaid?", "Which notices and invoices of any lease are the same?", "What is outstanding?"]
+POOL = f"""{NEAR.format(scope='')}, {FILES}, asked AS (SELECT vec_id AS query_id, vec_id // 100 % 3 AS shape FROM embeddings WHERE vec_id % 100 = 0),
+rest AS (SELECT query_id, shape, files.* FROM asked, files WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.query_id = asked.query_id AND vec_id = doc_id) AND NOT regexp_matches(file_name, '(^|[^a-z0-9])template([^a-z0-9]|$)', 'i'))"""
 
 
-def _pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What search found for every hundredth vector, all files, and the questions."""
     f = files_of(spark, sf_dir).withColumn("doc_type", F.when(F.col("lang") == "de", "Notice")).withColumn("entity", F.concat(F.lit("lease "), "source"))
-    return _top(spark, sf_dir).filter("query_id = 0").select(F.col("vec_id").alias("doc_id")), f
+    q = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
+    shape = (F.floor(F.col("query_id") / 100) % 3 + 1).cast("int")
+    return _top(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id")), f, q.withColumn("question", F.element_at(F.array(*map(F.lit, ASKED)), shape))
 
 
 @query(
-    f"""WITH {POOL} SELECT doc_id, row_number() OVER (ORDER BY size DESC, file_name, doc_id) AS place FROM rest
-WHERE doc_id % 6 IN (1, 3) OR lang = 'de' ORDER BY place LIMIT 8"""
+    f"""WITH {POOL}, k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY size DESC, file_name, doc_id) AS place FROM rest WHERE (shape = 0 AND (doc_id % 6 IN (1, 3) OR lang = 'de')) OR (shape = 1 AND lang = 'de'))
+SELECT * FROM k WHERE place <= 8"""
 )
 def kind_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest files of the kinds that a question names, beside what search found."""
-    from pyspark.sql import Window as W
-
-    pool, f = _pool(spark, sf_dir)
-    return I.by_kind(pool, f, QUESTION, "doc_id").select("doc_id", F.row_number().over(W.orderBy(F.desc("size"), "file_name", "doc_id")).cast("long").alias("place"))
+    """The largest files of the kinds that each question names, beside what search found for it."""
+    pool, f, q = _pool(spark, sf_dir)
+    return I.by_kind(pool, f, q, "doc_id").select("query_id", "doc_id", "place")
 
 
 @query(
-    f"""WITH {POOL}, covered AS (SELECT DISTINCT source FROM files WHERE doc_id IN (SELECT vec_id FROM top WHERE query_id = 0) AND doc_id < 20),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, file_name, doc_id) AS r FROM rest WHERE source NOT IN (SELECT source FROM covered))
-SELECT doc_id, source FROM r WHERE r = 1 ORDER BY size DESC, file_name, doc_id LIMIT 6"""
+    f"""WITH {POOL}, covered AS (SELECT DISTINCT query_id, source FROM top JOIN files ON doc_id = vec_id WHERE doc_id % 3 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lower(file_name) END ORDER BY size DESC, file_name, doc_id) AS r FROM rest WHERE shape < 2 AND (CASE WHEN doc_id % 3 = 0 THEN NOT EXISTS (SELECT 1 FROM covered c WHERE c.query_id = rest.query_id AND c.source = rest.source)
+  ELSE doc_id % 6 IN (1, 3) AND (shape = 0 OR doc_id % 6 = 3) END)),
+p AS (SELECT query_id, doc_id, source, row_number() OVER (PARTITION BY query_id ORDER BY size DESC, file_name, doc_id) AS place FROM r WHERE r = 1)
+SELECT query_id, doc_id, source, place FROM p WHERE place <= 6"""
 )
 def entity_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest file of each entity that the pool lacks; only files of small ids have their entity known in the pool."""
-    pool, f = _pool(spark, sf_dir)
-    known = f.join(pool, "doc_id", "left_semi").withColumn("entity", F.when(F.col("doc_id") < 20, F.col("entity")))
-    rest = f.join(pool, "doc_id", "left_anti")
-    return I.by_entity(pool, known.unionByName(rest), QUESTION, "doc_id").select("doc_id", "source")
+    """The largest file of each entity that a question's pool lacks; two files of three are an entity by their name only."""
+    pool, f, q = _pool(spark, sf_dir)
+    found = I.by_entity(pool, f.withColumn("entity", F.when(F.col("doc_id") % 3 == 0, F.col("entity"))), q, "doc_id")
+    return found.join(f.select("doc_id", "source"), "doc_id").select("query_id", "doc_id", "source", "place")
 
 
 @query(
-    f"""WITH {NEAR.format(scope='')}, {FILES}, named AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'dues-' ELSE 'notes-' END || file_name AS file_name, size, text FROM files),
-c AS (SELECT doc_id FROM named WHERE file_name LIKE 'dues-%' AND doc_id NOT IN (SELECT vec_id FROM top WHERE query_id = 0) ORDER BY size DESC, file_name, doc_id LIMIT 3),
-p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM named JOIN c USING (doc_id))
-SELECT doc_id, i + 1 AS place, sha256(line) AS hash FROM p WHERE i < 2"""
+    f"""WITH {POOL}, c AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY size DESC, 'dues-' || file_name, doc_id) AS nth FROM (SELECT query_id, shape, files.* FROM asked, files) f WHERE lang = 'fr' AND shape <> 1 AND NOT EXISTS (SELECT 1 FROM top WHERE top.query_id = f.query_id AND vec_id = doc_id)),
+p AS (SELECT c.query_id, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM files JOIN c USING (doc_id) WHERE nth <= 3)
+SELECT query_id, doc_id, place, sha256(line) AS hash FROM p WHERE place <= 2"""
 )
 def ledger_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leading paragraphs of ledgers for a question about payments."""
-    pool, f = _pool(spark, sf_dir)
+    """The leading paragraphs of ledgers for questions about payments."""
+    pool, f, q = _pool(spark, sf_dir)
     named = f.withColumn("file_name", F.concat(F.when(F.col("lang") == "fr", "dues-").otherwise("notes-"), "file_name"))
-    chosen = I.ledgers(pool, named, QUESTION, "doc_id")
+    chosen = I.ledgers(pool, named, q, "doc_id")
     lines = f.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return I.lead_chunks(chosen, lines, "doc_id", "i").select("doc_id", "place", F.sha2("line", 256).alias("hash"))
+    return I.lead_chunks(chosen, lines, "doc_id", "i").select("query_id", "doc_id", "place", F.sha2("line", 256).alias("hash"))
 
 
 TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(file_name, '^(.+)\\.[^.]*$', '\\1')), '[a-z]{3,}'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in R.NOISE) + ")))"

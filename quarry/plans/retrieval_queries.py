@@ -70,19 +70,24 @@ def stems_sql(tokens: str) -> str:
     return f"list_distinct(list_transform({tokens}, lambda t: CASE WHEN length(t) >= 5 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, length(t) - 1) ELSE t END))"
 
 
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents behind each query's nearest vectors."""
+    return table(spark, sf_dir, "documents").join(_top(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "pos"), "doc_id")
+
+
 @query(
-    f"""WITH q AS (SELECT item_id AS query_id, {stems_sql(tokens_sql("coalesce(text, '')"))} AS t FROM benchmark WHERE item_id % 100 = 0),
-d AS (SELECT doc_id, source, {stems_sql(tokens_sql("coalesce(text, '')"))} AS t FROM documents),
-h AS (SELECT query_id, doc_id, source, list_has_any(d.t, q.t) AS hit FROM d, q),
+    f"""WITH {NEAR.format(scope='')}, m AS (SELECT query_id, doc_id, source, text FROM top JOIN documents ON doc_id = vec_id),
+a AS (SELECT doc_id AS query_id, {stems_sql(tokens_sql("coalesce(left(text, 60), '')"))} AS q FROM documents WHERE doc_id % 100 = 0),
+h AS (SELECT query_id, doc_id, source, list_has_any({stems_sql(tokens_sql("coalesce(text, '')"))}, q) AS hit FROM m LEFT JOIN a USING (query_id)),
 f AS (SELECT *, bool_or(hit) OVER (PARTITION BY query_id, source) AS file_hit, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit, count(*) OVER (PARTITION BY query_id) AS n FROM h)
-SELECT query_id, doc_id, source FROM f WHERE NOT any_hit OR n <= 1 OR file_hit"""
+SELECT query_id, doc_id, source FROM f WHERE NOT coalesce(any_hit, false) OR n <= 1 OR file_hit"""
 )
 def lexical_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as files, documents as chunks, every hundredth benchmark item as a question."""
-    q = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    """Sources as files, documents as chunks; the beginning of every hundredth document is a question, its matches are what search found."""
+    d = table(spark, sf_dir, "documents")
+    q = d.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(60)).alias("question"))
     # The source's name has too few letters to be a token; the empty name keeps to chunk texts.
-    docs = table(spark, sf_dir, "documents").withColumn("name", F.lit(""))
-    return R.lexical_focus(docs, q, "source", "text", "name").select("query_id", "doc_id", "source")
+    return R.lexical_focus(_read(spark, sf_dir).withColumn("name", F.lit("")), q, "source", "text", "name").select("query_id", "doc_id", "source")
 
 
 @query(

@@ -45,11 +45,12 @@ def test_membership_and_scope(spark):
 
 def test_injection_needs_its_question(spark):
     files = spark.createDataFrame([(1, "GuptaNotice.pdf", 5, None, "Gupta A"), (2, "template_notice.docx", 9, None, None), (3, "x.pdf", 7, "Notice", "Gupta B"), (4, "fee tracker.csv", 2, None, "gupta b"), (5, None, 8, None, None)], "f long, file_name string, size long, doc_type string, entity string")
-    pool = spark.createDataFrame([(9,)], "f long")
-    ids = lambda d: [r["f"] for r in d.collect()]
-    assert ids(I.by_kind(pool, files, "which notices?", "f")) == [3, 1] and ids(I.by_kind(pool, files, "hello", "f")) == []
-    assert ids(I.by_entity(pool, files, "are all the Guptas the same?", "f")) == [3, 1] and ids(I.by_entity(pool, files, "gupta", "f")) == []
-    assert ids(I.ledgers(pool, files, "what is unpaid?", "f")) == [4] and ids(I.ledgers(pool, files, "what?", "f")) == []
+    pool = spark.createDataFrame([(1, 9), (2, 3)], "query_id long, f long")
+    ask = lambda q: spark.createDataFrame([(1, q)], "query_id long, question string")
+    ids = lambda d: [r["f"] for r in d.orderBy("query_id", "place").collect()]
+    assert ids(I.by_kind(pool, files, ask("which notices?"), "f")) == [3, 1] and ids(I.by_kind(pool, files, ask("hello"), "f")) == []
+    assert ids(I.by_entity(pool, files, ask("are all the Guptas the same?"), "f")) == [3, 1] and ids(I.by_entity(pool, files, ask("gupta"), "f")) == []
+    assert ids(I.ledgers(pool, files, ask("what is unpaid?"), "f")) == [4] and ids(I.ledgers(pool, files, ask("what?"), "f")) == []
 
 
 def test_pair_checks_do_not_depend_on_blocks(spark):
@@ -75,7 +76,7 @@ def test_pair_checks_do_not_depend_on_blocks(spark):
 def test_destinations_scope_and_loners(spark):
     p = spark.createDataFrame([(1, "Tax: 2024"), (2, "TAX 2024"), (3, "bills"), (4, " .Bills. ")], "ord long, name string")
     got = {r["ord"]: (r["destination"], r["is_new"]) for r in R.destinations(p, spark.createDataFrame([("Bills",)], "folder string")).collect()}
-    assert got == {1: ("Tax 2024", True), 2: ("Tax 2024", True), 3: ("Bills", False), 4: ("Bills", False)}
+    assert got == {1: ("Tax 2024", True), 2: ("Tax 2024", True), 3: ("Bills", False), 4: (".Bills", True)}
     d = spark.createDataFrame([("a", 50), ("b", 51), ("c", 99)], "folder string, decisions long")
     s = spark.createDataFrame([("b", "x", 3), ("b", "y", 9), ("b", "z", 4), ("b", "w", 0), ("c", "v", 0)], "folder string, sub string, files long")
     assert {r["folder"]: r["hints"] for r in R.scope(d, s).collect()} == {"a": None, "b": ["y (9)", "z (4)"], "c": []}
