@@ -254,9 +254,9 @@ def detections(spark: SparkSession, found: DataFrame, key: str) -> DataFrame:
 
 
 def license_scan(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Staged rows of the documents, with ``row`` as their key and n_words, and the detections of those rows."""
+    """Staged rows of the documents without their texts, with ``row`` as their key and n_words, and the detections of those rows."""
     ws = Workspace(spark, "licenses")
-    rows = ws.stage(scan(docs, text_col).withColumn("row", F.monotonically_increasing_id()), "scanned")
+    rows = ws.stage(scan(docs, text_col).drop(text_col).withColumn("row", F.monotonically_increasing_id()), "scanned")
     return rows.drop("found"), detections(spark, spans(rows, "row"), "row")
 
 
