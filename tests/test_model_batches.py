@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections import Counter
 
 from quarry.operators import model_batches
@@ -15,14 +16,14 @@ def test_a_faulty_model_loses_nothing(spark, tmp_path):
 
     def model(texts):
         with open(log / f"{os.getpid()}", "a") as f:
-            f.write(json.dumps(texts) + "\n")
+            f.write(json.dumps([time.time_ns(), texts]) + "\n")
         if "raise" in texts and len(texts) > 1:
             raise ValueError("broken")
         if "never" in texts or ("hard" in "".join(texts) and len(texts) > 2):
             return None
         return [None if t.startswith("skip") and len(texts) > 1 else t.upper() for t in texts]
 
-    calls = lambda: [json.loads(x) for f in log.iterdir() for x in f.read_text().splitlines()]
+    calls = lambda: [c for _, c in sorted(json.loads(x) for f in log.iterdir() for x in f.read_text().splitlines())]
     texts = [f"text {i}" for i in range(45)] + ["hard 1", "hard 2", "raise", "never", "skip 1", "skip 2", "x" * 500, "y" * 500, "text 3"]
     docs = spark.createDataFrame([(i, f"h-{t[:8]}", t) for i, t in enumerate(texts)] + [(90, "h-null", None), (91, None, "no hash")], "id long, hash string, text string")
     run = lambda day, n: {r["id"]: (r["reply"], r["state"]) for r in model_batches.answer(docs, model, str(tmp_path / "cache"), day, calls=n, most_chars=600, wave=3).collect()}

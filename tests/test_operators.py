@@ -145,7 +145,7 @@ def test_names(spark):
     assert one(spark, T.guard_formula(F.lit("-12.5"))) == "-12.5" and one(spark, T.guard_formula(F.lit("=1+1"))) == "'=1+1"
     assert one(spark, T.csv_cell(F.lit('a"b,c'))) == '"a""b,c"'
     assert one(spark, T.safe_label(F.lit("a\n<b> ==== ```"))) == "a  b  = ="
-    assert one(spark, T.folder_name(F.lit(' ..a/b:c*  d. '))) == "a b c d"
+    assert one(spark, T.folder_name(F.lit(' ..a/b:c*  d. '))) == "..a b c d"
 
 
 def test_markdown_tables(spark):
