@@ -242,6 +242,12 @@ def drift_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.reset_if_drifted(f, table(spark, sf_dir, "embeddings").filter("embedding is null")).select("doc_id", "status")
 
 
+@query(f"WITH {FILES} SELECT doc_id, status FROM files")
+def drift_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where there are vectors, every file keeps its state."""
+    return B.reset_if_drifted(files_of(spark, sf_dir), table(spark, sf_dir, "embeddings")).select("doc_id", "status")
+
+
 @query(
     f"""WITH {FILES}, c AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM files)
 SELECT f.doc_id, CASE WHEN lower(regexp_extract(file_name, '\\.([^.]*)$', 1)) IN ('csv', 'tsv', 'txt', 'md') AND size <= 524288 THEN coalesce(length(text), length(array_to_string(parts, chr(10))) + 1) ELSE length(array_to_string(parts, chr(10))) + 1 END AS n FROM files f JOIN c USING (doc_id)"""
@@ -401,3 +407,15 @@ def model_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("hash", F.sha2("text", 256))
     folder = Workspace(spark, "model-ladder").path("replies")
     return N.answer(d, _faulty, folder, "2024-05-01", calls=1 << 40, wave=1 << 20).select("doc_id", "reply", "state")
+
+
+@query("SELECT o_orderkey AS ord, o_orderkey % 4 = 0 AS inconsistent, o_orderkey % 4 IN (1, 2) AS lacks_client FROM orders")
+def sheet_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bills whose paid line exceeds what is said to be owed, and bills or notes of a balance without a client."""
+    k = F.col("o_orderkey") % 4
+    amount = lambda label, value, status: F.struct(F.lit(label).alias("label"), F.lit(float(value)).alias("value"), F.lit(status).alias("status"))
+    party = lambda role: F.array(F.struct(F.lit("X").alias("name"), F.lit(role).alias("role"), F.lit("").alias("side")))
+    kind = F.when(k < 2, "Invoice").when(k == 2, "Note").otherwise("Letter")
+    amounts = F.when(k == 0, F.array(amount("Balance due", 100, "unpaid"), amount("Payment", 120, "paid"))).when(k == 1, F.array(amount("Balance", 100, "unpaid"), amount("Payment", 80, "paid"))).when(k == 2, F.array(amount("Remaining", 50, "owed"))).otherwise(F.array(amount("Total", 5, "paid")))
+    parties = F.when(k == 0, party("client")).otherwise(party("provider"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), S.inconsistent(kind, amounts).alias("inconsistent"), S.lacks_client(kind, parties, amounts).alias("lacks_client"))
