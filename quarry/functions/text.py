@@ -193,6 +193,11 @@ def ics_escape(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "([;,])", r"\\$1"), "\r?\n", r"\\n")
 
 
+def ics_fold(c: Column) -> Column:
+    """A line in pieces of 75 characters; the blank that begins each further piece counts."""
+    return F.when(F.length(c) <= 75, c).otherwise(F.concat(F.substr(c, F.lit(1), F.lit(75)), F.regexp_replace(F.substr(c, F.lit(76), F.length(c)), r"(?s)(.{1,74})", "\r\n $1")))
+
+
 def html_escape(c: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))

@@ -57,6 +57,27 @@ def under_folders(files: DataFrame, depth: int = PROFILE_DEPTH) -> DataFrame:
     return f.filter(~F.exists(between, _denied_folder)).withColumn("folder", folder).filter("folder <> ''").drop("parts", "up")
 
 
+def denied_under(path: Column, root: Column) -> Column:
+    """Whether a file is skipped in a walk from a root: hidden or denied itself, or in such a folder below the root.
+
+    What lies above the root says nothing. A path that isn't below the root is looked at whole.
+    """
+    base = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
+    parts = F.split(F.when(F.startswith(path, base), F.substr(path, F.length(base) + 1, F.length(path))).otherwise(path), "/")
+    between = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return _denied_file(F.element_at(parts, -1)) | F.exists(between, _denied_folder)
+
+
+def shallow(entries: DataFrame, folders: DataFrame) -> DataFrame:
+    """(folder, path, is_dir): the loose files and subfolders directly in each folder; links, hidden and denied names left out.
+
+    entries: (path, is_dir, is_link). Join and filter are by the parent folder, nothing below it is read.
+    """
+    name = base_name(F.col("path"))
+    kept = entries.filter(~F.coalesce("is_link", F.lit(False)) & (name != "")).filter(~F.when(F.col("is_dir"), _denied_folder(name)).otherwise(_denied_file(name)))
+    return kept.withColumn("folder", parent(F.col("path"))).join(folders.select("folder").distinct(), "folder").select("folder", "path", "is_dir")
+
+
 def profiles(files: DataFrame, depth: int = PROFILE_DEPTH, most: int = PROFILE_FILES, folders: DataFrame | None = None) -> DataFrame:
     """(folder, files, families, vec): a folder's first files in the order of their paths, their families of extensions, and the mean of their vectors.
 

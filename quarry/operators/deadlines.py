@@ -75,6 +75,29 @@ def calendar(events: DataFrame) -> DataFrame:
     return events.select("uid", F.array_join(lines, "\r\n").alias("vevent"))
 
 
+def reminders(events: DataFrame, made_at: Column) -> DataFrame:
+    """(uid, vevent): whole VEVENTs with an hour's time, a link to the source and an alarm, lines folded at 75 characters.
+
+    events: (uid, title, description, due_date, time, lead_days, recurring, source_file, source_path). Without a time it is
+    nine o'clock, without lead days three, without a title "Reminder". Rows whose date is none have no event.
+    """
+    at = F.try_to_timestamp(F.concat_ws(" ", "due_date", F.coalesce("time", F.lit("09:00"))), F.lit("yyyy-MM-dd HH:mm"))
+    e = events.withColumn("_at", at).filter("_at IS NOT NULL")
+    stamp = lambda c, end="": F.date_format(c, f"yyyyMMdd'T'HHmmss{end}")
+    title = T.ics_escape(F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise("Reminder"))
+    link = F.when(F.coalesce("source_path", F.lit("")) != "", F.concat(F.lit("file://"), F.replace(F.replace(F.replace(F.col("source_path"), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit('"'), F.lit("%22"))))
+    some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    about = T.ics_escape(F.concat_ws("\n", some(F.col("description")), F.concat(F.lit("Source: "), some(F.col("source_file"))), link))
+    lead = F.greatest(F.lit(0), F.coalesce("lead_days", F.lit(3)))
+    of = lambda name, c: F.concat(F.lit(name + ":"), c)
+    lines = F.array(
+        F.lit("BEGIN:VEVENT"), of("UID", F.col("uid")), of("DTSTAMP", stamp(made_at, "'Z'")), of("DTSTART", stamp(F.col("_at"))), of("DTEND", stamp(F.col("_at") + F.expr("INTERVAL 1 HOUR"))),
+        of("SUMMARY", title), of("DESCRIPTION", about), of("URL", link), of("RRULE", D.rrule(F.lower("recurring"))), F.lit("BEGIN:VALARM"), F.lit("ACTION:DISPLAY"), of("DESCRIPTION", title),
+        of("TRIGGER", F.when(lead > 0, F.concat(F.lit("-P"), lead.cast("string"), F.lit("D"))).otherwise("PT0S")), F.lit("END:VALARM"), F.lit("END:VEVENT"),
+    )
+    return e.select("uid", F.array_join(F.transform(F.array_compact(lines), T.ics_fold), "\r\n").alias("vevent"))
+
+
 def tabs(items: DataFrame) -> DataFrame:
     """Items of the two tabs: open (pending, with a date) and reminded (done, or with a reminder set); one may be on both."""
     dated = F.col("bucket").isin("OVERDUE", "DUE_SOON", "UPCOMING")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import dates as D
@@ -232,3 +233,21 @@ def compatible_files(files: DataFrame, folders: DataFrame) -> DataFrame:
     """(file, folder): files of which a folder has another of the same family of extensions, or of the same extension outside of the families."""
     kinds = folders.select("folder", T.family_key(F.col("file_name")).alias("family")).distinct()
     return files.select("file", T.family_key(F.col("file_name")).alias("family")).join(kinds, "family").select("file", "folder")
+
+
+def compound(parts: DataFrame, most: int = 4) -> DataFrame:
+    """(id, parts, answer, sources) of messages that ask for several things: each part's answer in turn, each source once.
+
+    parts: (id, whole, n, part, answer, sources), the answers being those of the usual way. Blank parts, repeated ones and
+    the message itself are no parts; with fewer than two left a message isn't compound and has no row, nor has one of which
+    no part was answered. At most ``most`` parts are answered, the first ones.
+    """
+    p = parts.withColumn("part", T.strip(F.coalesce("part", F.lit("")))).filter("part <> ''").filter(F.lower("part") != F.lower(T.strip(F.coalesce("whole", F.lit("")))))
+    first = F.min_by(F.struct("answer", "sources"), F.struct("n", "answer"))
+    p = p.groupBy("id", "part").agg(F.min("n").alias("n"), first.alias("a"))
+    p = p.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("n", "part"))).filter(F.col("r") <= most)
+    rows = p.groupBy("id").agg(F.count("*").alias("parts"), F.array_sort(F.collect_list(F.struct("r", "a"))).alias("all")).filter("parts >= 2")
+    told = F.filter("all", lambda x: T.strip(F.coalesce(x["a"]["answer"], F.lit(""))) != "")
+    rows = rows.withColumn("told", told).filter(F.size("told") > 0)
+    sources = F.flatten(F.transform("told", lambda x: F.coalesce(x["a"]["sources"], F.array().cast("array<string>"))))
+    return rows.select("id", "parts", F.array_join(F.transform("told", lambda x: x["a"]["answer"]), "\n\n").alias("answer"), F.array_distinct(sources).alias("sources"))

@@ -430,8 +430,24 @@ def money_facts(questions: DataFrame, tables: DataFrame, id_col: str, text_col:
     return named.join(broadcast_if_small(asked), "token").select(id_col, "party", "fact").distinct()
 
 
-def empty_message(select: str, status: str) -> str:
-    """What to say when nothing was found."""
-    if select == "amounts":
-        return "Nothing is owed." if "un" in status or "owe" in status else "No amounts were found."
-    return {"parties": "No names were found.", "documents": "No documents were found.", "dates": "No dates were found."}.get(select, "Nothing was found.")
+def empty_message(select: Column, status: Column, obligations: Column) -> Column:
+    """What to say when a concrete question about sheets found nothing."""
+    paid = F.coalesce(status.contains("paid") & ~status.contains("un"), F.lit(False))
+    # The messages.
+    return (
+        F.when((select == "amounts") & paid, "None of them are marked paid yet.")
+        .when(select == "amounts", "Nothing outstanding — you're all settled up.")
+        .when((select == "dates") & obligations, "No deadlines in that period.")
+        .when(select == "dates", "No dates found in that period.")
+        .when(select == "documents", "No matching documents found.")
+        .otherwise("None found.")
+    )
+
+
+def or_empty(questions: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, rows, message): how many rows a question found, and what to say where it found none (null elsewhere).
+
+    questions: (key, select, status, obligations).
+    """
+    q = questions.join(rows.groupBy(key).agg(F.count("*").alias("rows")), key, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return q.select(key, "rows", F.when(F.col("rows") == 0, empty_message(F.col("select"), F.col("status"), F.col("obligations"))).alias("message"))
