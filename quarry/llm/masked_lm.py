@@ -30,6 +30,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +50,6 @@ FREQUENT = 40
 HIDDEN = 16
 WINDOW = 2
 ROUNDS = 12
-#: Sums of gradients that come to the driver in a step.
-SUMS = 32
 BATCH = 4096
 #: Texts are cut into slices of this size (a longer text is a slice by itself).
 SLICE_BYTES = 1 << 21
@@ -125,11 +124,14 @@ def word_lists(slices: DataFrame) -> DataFrame:
     return slices.select("own", "count").mapInArrow(_list, "word long, n long")
 
 
-def _split(bits: int):
+def _split(bits: int, shared):
+    """The words of a slice by parts of the range of hashes, without frequent ones: a part of such a word would get a row from every slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, own in zip(*(batch.column(c).to_pylist() for c in range(2))):
                 word = np.frombuffer(own, np.int64)
+                word = word[~shared.value.is_frequent(word)[0]]
                 cuts = np.flatnonzero(np.diff(word >> (63 - bits), prepend=-1)).tolist()
                 parts = [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(parts), pa.int64()), pa.array([int(x[0]) >> (63 - bits) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "part", "own"])
@@ -137,6 +139,20 @@ def _split(bits: int):
     return run
 
 
+def _frequent(shared):
+    """For each slice which of its words are frequent, as bits, and the classes of these; part -1 comes first in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = shared.value
+        for batch in batches:
+            for n, own in zip(*(batch.column(c).to_pylist() for c in range(2))):
+                hit, klass = bands.is_frequent(np.frombuffer(own, np.int64))
+                bits, klass = np.packbits(hit).tobytes(), klass.astype(_narrow(bands.classes)).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([-1], pa.int64()), pa.array([klass], pa.binary()), pa.array([bits], pa.binary())], ["slice", "part", "klass", "share"])
+
+    return run
+
+
 class Bands:
     """The class of a word of a given count; broadcast, without any list of the words beyond the frequent ones."""
 
@@ -166,6 +182,14 @@ class Bands:
             out = np.where(self.frequent[j] == word, self.order[j], out)
         return out
 
+    def is_frequent(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have a class of their own, of which their share is all, and these classes."""
+        if not len(self.frequent):
+            return np.zeros(len(word), bool), np.zeros(0, np.int64)
+        j = np.minimum(np.searchsorted(self.frequent, word), len(self.frequent) - 1)
+        hit = self.frequent[j] == word
+        return hit, self.order[j[hit]]
+
     def log_share(self, klass: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.log((n + 1.0) / self.mass[klass])
 
@@ -252,14 +276,21 @@ class Vocabulary:
                 out.append((k[j].tobytes(), share[j].tobytes()))
             return pa.table({"slice": left.column("slice"), "part": left.column("part"), "klass": pa.array([x for x, _ in out], pa.binary()), "share": pa.array([x for _, x in out], pa.binary())})
 
-        lists = slices.select("slice", "own").mapInArrow(_split(bits), "slice long, part long, own binary")
+        lists = slices.select("slice", "own").mapInArrow(_split(bits, bands), "slice long, part long, own binary")
         table = self.table.select(F.shiftright("word", 63 - bits).alias("part"), "word", "n")
         found = lists.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(look_up, "slice long, part long, klass binary, share binary")
 
+        found = found.unionByName(slices.select("slice", "own").mapInArrow(_frequent(bands), "slice long, part long, klass binary, share binary"))
+
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             right = right.sort_by("part")
-            k = np.frombuffer(b"".join(right.column("klass").to_pylist()), _narrow(bands.value.classes))
-            share = np.frombuffer(b"".join(right.column("share").to_pylist()), np.float32).astype(np.float64)
+            classes, shares = right.column("klass").to_pylist(), right.column("share").to_pylist()
+            rest = np.frombuffer(b"".join(classes[1:]), _narrow(bands.value.classes))
+            own = np.frombuffer(classes[0], _narrow(bands.value.classes))
+            hit = np.unpackbits(np.frombuffer(shares[0], np.uint8), count=len(own) + len(rest)).astype(bool)
+            k, share = np.empty(len(hit), rest.dtype), np.zeros(len(hit))
+            k[hit], k[~hit] = own, rest
+            share[~hit] = np.frombuffer(b"".join(shares[1:]), np.float32)
             first = np.frombuffer(left.column("first")[0].as_py(), np.int64)
             place = np.frombuffer(left.column("place")[0].as_py(), _narrow(len(k)))
             total = np.concatenate([[0.0], np.cumsum(share[place])])
@@ -403,16 +434,19 @@ def _gradients(shared, r: int, rounds: int):
                     seen += len(y)
             at.give_back()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([seen])], ["part", "total", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([math.isqrt(TaskContext.get().partitionId())], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([seen])], ["part", "total", "n"])
 
     return run
 
 
-def _sum(tasks: pa.Table) -> pa.Table:
-    total = np.zeros(len(tasks.column("total")[0].as_py()) // 8)
-    for x in tasks.column("total"):
-        total += np.frombuffer(x.as_py(), np.float64)
-    return pa.table({"total": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(tasks.column("n").to_pylist())])})
+def _sum(tasks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of some tasks' gradients, batch by batch; groups and their members are as many as the root of the tasks."""
+    total, seen = 0.0, 0
+    for batch in tasks:
+        for x in batch.column("total"):
+            total = total + np.frombuffer(x.as_py(), np.float64)
+        seen += sum(batch.column("n").to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen])], ["total", "n"])
 
 
 def train(coded: DataFrame, bands: Bands, rounds: int = ROUNDS, rate: float = 0.15) -> np.ndarray:
@@ -430,7 +464,7 @@ def train(coded: DataFrame, bands: Bands, rounds: int = ROUNDS, rate: float = 0.
         shared = spark.sparkContext.broadcast((bands.classes, flat.astype(np.float32)))
         sums = coded.select("slice", "first", "klass").mapInArrow(_gradients(shared, r, rounds), "part int, total binary, n long")
         g, seen = np.zeros_like(flat), 0
-        for row in sums.groupBy("part").applyInArrow(_sum, "total binary, n long").toLocalIterator():  # SUMS rows at most
+        for row in sums.groupBy("part").applyInArrow(_sum, "total binary, n long").toLocalIterator():  # as many as the root of the tasks
             g += np.frombuffer(row["total"], np.float64)
             seen += row["n"]
         if not seen:
