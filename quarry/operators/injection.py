@@ -93,18 +93,31 @@ def by_kind(pool: DataFrame, files: DataFrame, questions: DataFrame, file_col: s
 def by_entity(pool: DataFrame, files: DataFrame, questions: DataFrame, file_col: str, most: int = ENTITY_FILES) -> DataFrame:
     """For questions about several entities: the largest file of each entity that shares a stem and isn't covered by the pool.
 
-    Files meet questions by stem, after the largest of each stem and entity were kept (as many as a pool may hide, and one).
+    A pool hides or covers no more entities than it has files. So of each stem the ``most`` entities with the largest
+    files do, and as many more as a pool has files; of each of these as many files as a pool may hide, and one. Only
+    those meet the questions, however many files and entities there are.
     """
+    ws = Workspace(files.sparkSession, "by-entity")
     entity = F.lower(F.coalesce("entity", "file_name"))
     stems = F.array_union(name_stems(F.col("file_name")), stemmed(F.coalesce("entity", F.lit(""))))
+    pool = broadcast_if_small(ws.stage(pool.select("query_id", file_col).distinct(), "pool"))
+    # A pool's files with their entities; files that share an id count each.
+    hidden = ws.stage(files.select(file_col, F.lower("entity").alias("covers")).join(pool, file_col), "hidden")
+    covered = hidden.filter("covers is not null").select("query_id", F.col("covers").alias("entity_key")).distinct()
+    spare = hidden.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # a pool is a search's top k
     asked = questions.filter(F.col("question").rlike(T.ENTITY_BREADTH)).select("query_id", F.explode(stemmed(F.col("question"))).alias("stem"))
-    wanted = asked.select("stem").distinct()
-    f = files.filter(~F.coalesce(F.col("file_name").rlike(T.TEMPLATE_NAME), F.lit(False))).select(file_col, "file_name", "size", entity.alias("entity_key"), F.explode(stems).alias("stem")).join(broadcast_if_small(wanted), "stem")
-    best = _largest(f, ["stem", "entity_key"], _spare(pool, 1), file_col)
-    found = best.join(asked, "stem").select("query_id", file_col, "file_name", "size", "entity_key").distinct()
-    covered = pool.select("query_id", file_col).join(files.select(file_col, F.lower("entity").alias("entity_key")), file_col).filter("entity_key is not null").select("query_id", "entity_key").distinct()
-    open_ = _missing(found.join(covered, ["query_id", "entity_key"], "left_anti"), pool, file_col)
-    first = open_.groupBy("query_id", "entity_key").agg(F.min_by(F.struct(file_col, "file_name", "size"), F.struct(F.negative("size"), "file_name", file_col)).alias("r"))
+    asked = ws.stage(asked, "asked")
+    wanted = broadcast_if_small(ws.stage(asked.select("stem").distinct(), "stems"))
+    f = files.filter(~F.coalesce(F.col("file_name").rlike(T.TEMPLATE_NAME), F.lit(False))).select(file_col, "file_name", "size", entity.alias("entity_key"), F.explode(stems).alias("stem")).join(wanted, "stem")
+    f = ws.stage(f, "stemmed")
+    largest = F.min_by(F.struct(file_col, "file_name", "size"), F.struct(F.negative("size"), "file_name", file_col))
+    heads = f.groupBy("stem", "entity_key").agg(largest.alias("r")).select("stem", "entity_key", "r.*")
+    kept = ws.stage(_largest(heads, ["stem"], most + spare, file_col).select("stem", "entity_key"), "entities")
+    best = _largest(f.join(broadcast_if_small(kept), ["stem", "entity_key"], "left_semi"), ["stem", "entity_key"], spare + 1, file_col)
+    best = ws.stage(best, "best")
+    found = broadcast_if_small(best).join(asked, "stem").select("query_id", file_col, "file_name", "size", "entity_key").distinct()
+    open_ = _missing(found.join(broadcast_if_small(covered), ["query_id", "entity_key"], "left_anti"), pool, file_col)
+    first = open_.groupBy("query_id", "entity_key").agg(largest.alias("r"))
     return _top(first.select("query_id", "r.*"), most, file_col)
 
 
