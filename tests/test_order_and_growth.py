@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.operators import sheets
+from quarry.operators import injection, sheets
+from quarry.plans.workspace import Workspace
 
 
 def test_facts_of_one_place_have_an_order(spark):
@@ -14,3 +15,27 @@ def test_facts_of_one_place_have_an_order(spark):
         assert [tuple(r) for r in sheets.conflicts(f).collect()] == [("k:k", 5, "s1", 9, "s3")]
         (merged,) = sheets.merge_facts(f.filter("ord = 2")).collect()
         assert tuple(merged) == ("k:k", "b", 9, 4, "overdue", "s3")
+
+
+def counted(monkeypatch):
+    """Rows of the tables that are staged, by name."""
+    rows, stage = {}, Workspace.stage
+
+    def run(self, df, name):
+        out = stage(self, df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "stage", run)
+    return rows
+
+
+def test_entities_that_meet_questions_are_bounded(spark, monkeypatch):
+    rows = counted(monkeypatch)
+    files = spark.range(600).selectExpr("id f", "concat('lease-', id, '.pdf') file_name", "id size", "if(id % 3 = 0, concat('lease ', id % 30), null) entity")
+    pool = spark.createDataFrame([(1, 599), (1, 597), (2, 598)], "query_id long, f long")
+    asked = spark.createDataFrame([(1, "are all the leases the same?"), (2, "compare all the leases"), (3, "lease")], "query_id long, question string")
+    got = {(r["query_id"], r["f"], r["place"]) for r in injection.by_entity(pool, files, asked, "f").collect()}
+    # 597 covers its entity, 599 and 598 are in the pool.
+    assert got == {(1, f, p) for p, f in enumerate((598, 596, 595, 594, 593, 592), 1)} | {(2, f, p) for p, f in enumerate((599, 597, 596, 595, 594, 593), 1)}
+    assert rows["best"] <= (injection.ENTITY_FILES + 2) * 3  # of one stem, with a pool of two files
