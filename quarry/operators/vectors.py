@@ -5,9 +5,12 @@ vectors chosen by hash are pivots; each vector is at home in the cell of the
 nearest one. Angles obey the triangle inequality, so a vector has to visit a cell
 only if its angle to the pivot is within the cell's radius and the limit; of two
 cells, the vectors of the first visit the second. Cells are cut into blocks of
-about ``BLOCK``. A task holds one block and streams its visitors past it; of the
-pairs it finds, it gives what is asked for: the pairs themselves, those that join
-separate trees, counts per vector, or sums per cluster.
+about ``BLOCK``, and neighbouring blocks put together into up to ``GROUPS`` groups
+(more only where a group would be larger than ``HELD`` bytes), so a vector is sent
+to so many tasks at most, however many vectors there are. A task holds one group and
+streams its visitors past the blocks that each has to visit; of the pairs it finds,
+it gives what is asked for: the pairs themselves, those that join separate trees,
+counts per vector, or sums per cluster.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ CLUSTER_DISTANCE = 0.22
 FOLDER_SIMILARITY = 0.70
 BLOCK = 2048
 PIVOTS = 1024
+#: Groups of blocks; what a task holds of one, in bytes of its vectors.
+GROUPS, HELD = 48, 32 << 20
 #: Folders whose vectors are broadcast at a time.
 FOLDER_BLOCK = 4096
 
@@ -70,33 +75,53 @@ def _home(shared):
     return run
 
 
-def _visits(shared, theta: float):
-    """A row for each block that a vector is at home in (side 0) or visits (side 1)."""
+class _Layout:
+    """Blocks in the order of their cells, and the group of each."""
+
+    def __init__(self, pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray, theta: float):
+        self.pivots, self.radius, self.theta = pivots, radius, theta
+        self.blocks = -(-sizes // BLOCK)
+        self.first = np.concatenate([[0], np.cumsum(self.blocks)])  # a cell's first block
+        self.cell = np.repeat(np.arange(len(sizes)), self.blocks)
+        rows = np.repeat(sizes / np.maximum(self.blocks, 1), self.blocks)
+        most = max(BLOCK, min(-(-int(sizes.sum()) // GROUPS), HELD // (8 * max(1, pivots.shape[1]))))
+        self.group = (np.cumsum(rows) // most).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+        self.groups = int(self.group[-1]) + 1 if len(rows) else 1
+
+    def home(self, cell: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        """The block that each vector is at home in; -1 without a cell."""
+        return np.where(cell >= 0, self.first[cell] + spot % np.maximum(self.blocks[cell], 1), -1)
+
+    def open(self, x: np.ndarray, cell: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Whether each vector has to visit each of the cells: later ones in reach, and its own (the later blocks of it)."""
+        near = (_angles(x, self.pivots[cells]) <= self.radius[cells] + self.theta) | (cell < 0)[:, None]
+        return near & (cells > cell[:, None]) | (cells == cell[:, None])
+
+
+def _visits(shared):
+    """A row for each group that a vector is at home in (side 0) or visits (side 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius, blocks = shared.value
+        at: _Layout = shared.value
+        cells = np.flatnonzero(at.blocks)
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                x, cell, own = matrix(part.column(1)), np.asarray(part.column("cell")), np.asarray(part.column("spot"))
-                near = (_angles(x, pivots) <= radius + theta) | (cell < 0)[:, None]
-                near &= (np.arange(len(pivots)) > cell[:, None]) & (blocks > 0)
-                row, c, b, side = [], [], [], []
-                for i, k in enumerate(cell.tolist()):
-                    if k >= 0:
-                        mine = int(own[i] % blocks[k])
-                        later = int(blocks[k]) - mine
-                        row += [i] * later
-                        c += [k] * later
-                        b += range(mine, int(blocks[k]))
-                        side += [0] + [1] * (later - 1)
-                    for j in np.flatnonzero(near[i]).tolist():
-                        row += [i] * int(blocks[j])
-                        c += [j] * int(blocks[j])
-                        b += range(int(blocks[j]))
-                        side += [1] * int(blocks[j])
+                x, cell = matrix(part.column(1)), np.asarray(part.column("cell")).astype(np.int64)
+                home = at.home(cell, np.asarray(part.column("spot")))
+                row, c = np.nonzero(at.open(x, cell, cells))
+                lo, hi = np.maximum(at.first[cells[c]], home[row] + 1), at.first[cells[c] + 1]  # the blocks that are visited
+                row, lo, hi = (v[lo < hi] for v in (row, lo, hi))
+                steps = np.zeros((len(x), at.groups + 1), np.int32)  # up where a run of groups begins, down after it
+                np.add.at(steps, (row, at.group[lo]), 1)
+                np.add.at(steps, (row, at.group[hi - 1] + 1), -1)
+                near = steps[:, :-1].cumsum(1) > 0
+                own = np.where(home >= 0, at.group[home], -1) if len(at.group) else home
+                near[np.flatnonzero(home >= 0), own[home >= 0]] = True
+                row, group = np.nonzero(near)
                 got = part.take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(got.column(n) for n in ("id", "v", "copies", "label")), *(pa.array(x, pa.int32()) for x in (c, b, side))], names=["id", "v", "copies", "label", "cell", "block", "side"])
+                more = (home[row], group, group != own[row])
+                yield pa.RecordBatch.from_arrays([*(got.column(n) for n in ("id", "v", "copies", "label", "cell")), *(pa.array(m.astype(np.int32)) for m in more)], names=["id", "v", "copies", "label", "cell", "home", "grp", "side"])
 
     return run
 
@@ -123,16 +148,17 @@ class _Trees:
 SHAPES = {"pairs": "a long, b long, micro long", "trees": "a long, b long", "counts": "id long, n long", "sums": "label long, links long, widest long, micro decimal(38,0)"}
 
 
-def _compare(distance: float, give: str):
-    """Rows of ``_visits`` sorted by (cell, block, side): a block is held, its visitors pass."""
+def _compare(shared, distance: float, give: str):
+    """Rows of ``_visits`` sorted by (grp, side, home): a group is held, its visitors pass."""
     most = round(distance * 1e6)
 
-    def found(ids, x, copies, labels, home, trees):
-        """What pairs between visitors (or the block itself, without home) and the block give."""
-        hid, hx, hcopies = home
+    def found(one, block, trees):
+        """What pairs between some vectors and a block's (or within the block) give: each (ids, vectors, copies, labels)."""
+        ids, x, copies, labels = one
+        hid, hx, hcopies, _ = block
         d = np.rint((1 - np.clip(x @ hx.T, -1, 1)) * 1e6).astype(np.int64)
         near = d <= most
-        if ids is hid:
+        if one is block:
             near &= np.arange(len(ids))[:, None] < np.arange(len(ids))
         i, j = np.nonzero(near)
         if give == "counts":
@@ -143,7 +169,7 @@ def _compare(distance: float, give: str):
         a, b = np.minimum(ids[i], hid[j]), np.maximum(ids[i], hid[j])
         if give == "pairs":
             return [a, b, d[i, j]]
-        keep = [trees.joined(p, q) for p, q in zip(a.tolist(), b.tolist())]
+        keep = np.array([trees.joined(p, q) for p, q in zip(a.tolist(), b.tolist())], bool)
         return [a[keep], b[keep]]
 
     def out(cols):
@@ -158,35 +184,60 @@ def _compare(distance: float, give: str):
             return pa.RecordBatch.from_arrays([pa.array(labels), pa.array(np.bincount(where, cols[1], len(labels)).astype(np.int64)), pa.array(widest), pa.array(micro, pa.decimal128(38, 0))], ["label", "links", "widest", "micro"])
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [n.split()[0] for n in SHAPES[give].split(", ")])
 
+    def columns(t):
+        v = t.column("v")
+        return np.asarray(t.column("id")), matrix(v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v), np.asarray(t.column("copies")), np.asarray(t.column("label"))
+
+    def meet(part, home, cell, blocks, trees):
+        """Vectors, in slices of up to 1024, with those later blocks of the held ones that they have to visit."""
+        at: _Layout = shared.value
+        cells = np.unique(at.cell[[b for b, _ in blocks]])
+        reach = at.open(part[1], cell, cells)
+        for b, block in blocks:
+            if block is part:
+                yield found(part, part, trees)
+                continue
+            mine = np.flatnonzero(reach[:, np.searchsorted(cells, at.cell[b])] & (home < b))
+            if len(mine):
+                yield found(part if len(mine) == len(home) else tuple(c[mine] for c in part), block, trees)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, home, trees = None, [], None, None
+        at: _Layout = shared.value
+        key, held, blocks, trees = None, [], None, None
 
         def settle():
-            nonlocal home
-            rows = pa.Table.from_batches(held)
-            home = (rows.column("id").to_numpy(), matrix(rows.column("v").combine_chunks()), rows.column("copies").to_numpy())
-            return out(found(home[0], home[1], home[2], rows.column("label").to_numpy(), home, trees))
+            nonlocal held, blocks
+            t = pa.Table.from_batches(held)
+            held, home, cell, rows = [], np.asarray(t.column("home")), np.asarray(t.column("cell")).astype(np.int64), columns(t)
+            cuts = np.flatnonzero(np.diff(home, prepend=home[:1] - 1)).tolist()
+            spans = list(zip(cuts, [*cuts[1:], len(home)]))
+            blocks = [(int(home[a]), tuple(c[a:b] for c in rows)) for a, b in spans]
+            for k, (a, b) in enumerate(spans):
+                for got in meet(blocks[k][1], home[a:b], cell[a:b], blocks[k:], trees):
+                    if len(got[0]):
+                        yield out(got)
 
         for batch in batches:
-            cell, block, side = (np.asarray(batch.column(c)) for c in ("cell", "block", "side"))
-            cuts = np.flatnonzero((np.diff(cell, prepend=cell[:1] - 1) != 0) | (np.diff(block, prepend=block[:1]) != 0) | (np.diff(side, prepend=side[:1]) != 0)).tolist()
+            group, side = np.asarray(batch.column("grp")), np.asarray(batch.column("side"))
+            cuts = np.flatnonzero((np.diff(group, prepend=group[:1] - 1) != 0) | (np.diff(side, prepend=side[:1]) != 0)).tolist()
             for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
-                now = (int(cell[a]), int(block[a]))
-                if now != key:
-                    if held and home is None:
-                        yield settle()
-                    key, held, home, trees = now, [], None, _Trees()
+                if int(group[a]) != key:
+                    if held:
+                        yield from settle()
+                    key, held, blocks, trees = int(group[a]), [], None, _Trees()
                 part = batch.slice(a, b - a)
                 if side[a] == 0:
                     held.append(part)
                     continue
-                if home is None and held:
-                    yield settle()
-                for s in range(0, part.num_rows if held else 0, 1024):
+                if held:
+                    yield from settle()
+                for s in range(0, part.num_rows if blocks else 0, 1024):
                     v = part.slice(s, 1024)
-                    yield out(found(np.asarray(v.column("id")), matrix(v.column("v")), np.asarray(v.column("copies")), np.asarray(v.column("label")), home, trees))
-        if held and home is None:
-            yield settle()
+                    for got in meet(columns(v), np.asarray(v.column("home")), np.asarray(v.column("cell")).astype(np.int64), blocks, trees):
+                        if len(got[0]):
+                            yield out(got)
+        if held:
+            yield from settle()
 
     return run
 
@@ -222,18 +273,20 @@ class Near:
             at_home = at_home.select("*", F.lit(-1).alias("cell"), F.lit(0.0).alias("angle"))
         self.homes = self.ws.stage(at_home, "homes")
         cells = self.homes.filter("cell >= 0").groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # PIVOTS rows at most
-        self.radius, self.blocks = np.full(len(self.pivots), -4.0), np.zeros(len(self.pivots), np.int64)
+        self.radius, self.sizes = np.full(len(self.pivots), -4.0), np.zeros(len(self.pivots), np.int64)
         for r in cells:
-            self.radius[r["cell"]], self.blocks[r["cell"]] = r["radius"], -(-r["n"] // BLOCK)
+            self.radius[r["cell"]], self.sizes[r["cell"]] = r["radius"], r["n"]
 
     def find(self, give: str, labels: DataFrame | None = None) -> DataFrame:
         """What the pairs give (see ``SHAPES``); ``labels`` (id, label) are those that sums go by."""
         rows = self.homes.withColumn("label", F.lit(0).cast("long")) if labels is None else self.homes.join(labels, "id")
         rows = rows.select("id", "v", "copies", "spot", "cell", "label")
         theta = math.acos(max(-1.0, min(1.0, 1 - self.distance - 1e-6))) + 1e-6
-        shared = rows.sparkSession.sparkContext.broadcast((self.pivots, self.radius, self.blocks))
-        visits = rows.mapInArrow(_visits(shared, theta), "id long, v array<double>, copies long, label long, cell int, block int, side int")
-        return visits.repartition("cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(_compare(self.distance, give), SHAPES[give])
+        layout = _Layout(self.pivots, self.radius, self.sizes, theta)
+        shared = rows.sparkSession.sparkContext.broadcast(layout)
+        visits = rows.mapInArrow(_visits(shared), "id long, v array<double>, copies long, label long, cell int, home int, grp int, side int")
+        # More partitions than groups, so that few groups share one.
+        return visits.repartition(2 * layout.groups, "grp").sortWithinPartitions("grp", "side", "home").mapInArrow(_compare(shared, self.distance, give), SHAPES[give])
 
 
 def near_pairs(vectors: DataFrame, id_col: str, vec_col: str, distance: float) -> DataFrame:

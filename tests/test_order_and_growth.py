@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.operators import injection, sheets
+import numpy as np
+from pyspark.sql.classic.dataframe import DataFrame
+
+from quarry.operators import injection, sheets, vectors
 from quarry.plans.workspace import Workspace
 
 
@@ -39,3 +42,23 @@ def test_entities_that_meet_questions_are_bounded(spark, monkeypatch):
     # 597 covers its entity, 599 and 598 are in the pool.
     assert got == {(1, f, p) for p, f in enumerate((598, 596, 595, 594, 593, 592), 1)} | {(2, f, p) for p, f in enumerate((599, 597, 596, 595, 594, 593), 1)}
     assert rows["best"] <= (injection.ENTITY_FILES + 2) * 3  # of one stem, with a pool of two files
+
+
+def test_a_vector_is_sent_to_few_groups(spark, monkeypatch):
+    """All pairs of random vectors: a vector goes to as many tasks as there are groups at most, not to each block."""
+    monkeypatch.setattr(vectors, "BLOCK", 5)
+    monkeypatch.setattr(vectors, "GROUPS", 4)
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    sent, call = [], DataFrame.sortWithinPartitions
+
+    def run(self, *by):
+        sent.append(self.count())
+        return call(self, *by)
+
+    monkeypatch.setattr(DataFrame, "sortWithinPartitions", run)
+    got = {(r["a"], r["b"]): r["distance"] for r in vectors.near_pairs(d, "id", "v", 0.8).collect()}
+    dist = np.round(1 - np.clip(x @ x.T, -1, 1), 6)
+    assert got == {(a, b): dist[a, b] for a, b in zip(*np.nonzero(np.triu(dist <= 0.8, 1)))}
+    assert len(sent) == 1 and sent[0] <= 5 * len(x)
