@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from quarry.operators import injection, sheets, vectors
+from quarry.operators import date_scan, injection, sheets, vectors
 from quarry.plans.workspace import Workspace
 
 
@@ -62,3 +63,9 @@ def test_a_vector_is_sent_to_few_groups(spark, monkeypatch):
     dist = np.round(1 - np.clip(x @ x.T, -1, 1), 6)
     assert got == {(a, b): dist[a, b] for a, b in zip(*np.nonzero(np.triu(dist <= 0.8, 1)))}
     assert len(sent) == 1 and sent[0] <= 5 * len(x)
+
+
+def test_a_text_is_computed_once_for_its_dates(spark):
+    """A computed name or text would be computed again wherever the expression names it."""
+    for c in (date_scan.primary_date(F.col("its_name"), F.col("its_text")), date_scan.found(F.col("its_text"), date_scan.CUE)):
+        assert str(c).count("its_text") == 1 and str(c).count("its_name") <= 1
