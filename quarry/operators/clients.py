@@ -88,12 +88,19 @@ def name_tokens(idents: DataFrame, least: int = 4) -> DataFrame:
 
 
 def question_matches(questions: DataFrame, idents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, client_id): identifiers and words of one client only; words that clients share where neither is found."""
-    words = occurrences(questions, name_tokens(idents), id_col, text_col, "token").select(id_col, "client_id", (F.col("owners") > 1).alias("shared"))
-    all_hits = matches(questions, idents, id_col, text_col).withColumn("shared", F.lit(False)).unionByName(words)
-    best = all_hits.groupBy(id_col, "client_id").agg(F.min("shared").alias("shared"))
-    only_shared = best.groupBy(id_col).agg(F.min("shared").alias("only_shared"))
-    return best.join(only_shared, id_col).filter(F.col("shared") == F.col("only_shared")).select(id_col, "client_id")
+    """(id, client_id): identifiers and words of one client only; words that clients share where neither is found.
+
+    Texts meet each different identifier or word once, and only what counts for a question is joined with the clients,
+    so a word of very many clients costs nothing where the question names one of its own.
+    """
+    ws = Workspace(questions.sparkSession, "question-matches")
+    words = name_tokens(idents).select("client_id", F.col("token").alias("norm"), (F.col("owners") > 1).alias("shared"))
+    keys = ws.stage(idents.select("client_id", "norm", F.lit(False).alias("shared")).unionByName(words).distinct(), "named")
+    said = occurrences(questions, keys.select("norm", "shared").distinct(), id_col, text_col, "norm").select(id_col, "norm", "shared")
+    said = ws.stage(said, "said")
+    own, others = said.filter("not shared"), said.filter("shared")
+    counts = own.unionByName(others.join(own.select(id_col).distinct(), id_col, "left_anti"))
+    return counts.join(keys, ["norm", "shared"]).select(id_col, "client_id").distinct()
 
 
 def entity_key(name: Column) -> Column:

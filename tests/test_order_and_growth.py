@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from quarry.operators import date_scan, injection, sheets, vectors
+from quarry.operators import clients, date_scan, injection, sheets, vectors
 from quarry.plans.workspace import Workspace
 
 
@@ -69,3 +69,13 @@ def test_a_text_is_computed_once_for_its_dates(spark):
     """A computed name or text would be computed again wherever the expression names it."""
     for c in (date_scan.primary_date(F.col("its_name"), F.col("its_text")), date_scan.found(F.col("its_text"), date_scan.CUE)):
         assert str(c).count("its_text") == 1 and str(c).count("its_name") <= 1
+
+
+def test_shared_words_meet_no_clients_where_one_is_named(spark, monkeypatch):
+    """A question with a client's own word is joined with that client, not with all that share another word."""
+    rows = counted(monkeypatch)
+    names = spark.range(50).selectExpr("id client_id", "concat('Orion w', char(97 + id div 26), char(97 + id % 26), 'xx') name")
+    q = spark.createDataFrame([(1, "what of orion waaxx?"), (2, "Orion?"), (3, "hello")], "id long, t string")
+    got = {(r["id"], r["client_id"]) for r in clients.question_matches(q, clients.identifiers(names), "id", "t").collect()}
+    assert got == {(1, 0)} | {(2, i) for i in range(50)}
+    assert rows["said"] == 4  # two words and the name of question 1, one word of question 2; not fifty rows of each
