@@ -31,6 +31,8 @@ KIND_WORDS = {
 }
 # Fixed values end.
 KIND_FILES, ENTITY_FILES, LEDGER_FILES, LEAD_CHUNKS = 8, 6, 3, 2
+#: Stems of questions whose entities one task looks at.
+ASKED_PART = 1000
 
 
 def stemmed(c: Column) -> Column:
@@ -115,6 +117,8 @@ def by_entity(pool: DataFrame, files: DataFrame, questions: DataFrame, file_col:
     kept = ws.stage(_largest(heads, ["stem"], most + spare, file_col).select("stem", "entity_key"), "entities")
     best = _largest(f.join(broadcast_if_small(kept), ["stem", "entity_key"], "left_semi"), ["stem", "entity_key"], spare + 1, file_col)
     best = ws.stage(best, "best")
+    # A task has the questions of so many stems from here to their places, however few files they were staged in.
+    asked = asked.repartition(max(1, -(-asked.count() // ASKED_PART)), "query_id")
     found = broadcast_if_small(best).join(asked, "stem").select("query_id", file_col, "file_name", "size", "entity_key").distinct()
     open_ = _missing(found.join(broadcast_if_small(covered), ["query_id", "entity_key"], "left_anti"), pool, file_col)
     first = open_.groupBy("query_id", "entity_key").agg(largest.alias("r"))

@@ -45,6 +45,17 @@ def test_entities_that_meet_questions_are_bounded(spark, monkeypatch):
     assert rows["best"] <= (injection.ENTITY_FILES + 2) * 3  # of one stem, with a pool of two files
 
 
+def test_questions_of_entities_are_spread(spark, monkeypatch):
+    """What meets the questions is made in as many tasks as they need, though they were staged in one file."""
+    monkeypatch.setattr(injection, "ASKED_PART", 50)
+    files = spark.range(60).selectExpr("id f", "concat('lease-', id, '.pdf') file_name", "id size", "cast(null as string) entity")
+    asked = spark.range(0, 300, 1, 1).selectExpr("id query_id", "'compare all the leases' question")
+    found = injection.by_entity(asked.selectExpr("query_id", "query_id % 60 f"), files, asked, "f")
+    got = found.withColumn("task", F.spark_partition_id()).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "f"))).alias("x"), F.max("task").alias("task")).collect()
+    assert {r["query_id"]: [x["f"] for x in r["x"]] for r in got} == {q: [f for f in range(59, -1, -1) if f != q % 60][:6] for q in range(300)}
+    assert len({r["task"] for r in got}) > 3
+
+
 def test_a_vector_is_sent_to_few_groups(spark, monkeypatch):
     """All pairs of random vectors: a vector goes to as many tasks as there are groups at most, not to each block."""
     monkeypatch.setattr(vectors, "BLOCK", 5)
