@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,91 +144,163 @@ def batches(docs: DataFrame, group_col: str, order_col: str, size_col: str, most
     return rows.groupBy(group_col, "range").applyInPandas(run, f"{group_col} {kinds[group_col]}, {order_col} {kinds[order_col]}, range long, batch int")
 
 
-def _substrings(data: np.ndarray, n: int, base: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """Hashes of all substrings of n bytes: differences of the prefix hashes."""
-    return prefix[n:] - prefix[: len(prefix) - n] * base[n]
+#: Pages and chunks of a file that a task holds at a time; bytes of pages that are looked through at a time.
+PAGE_PART, CHUNK_PART, SLICE = 2_000, 20_000, 1 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_SALT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(x: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
+
+
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All strings of a column as bytes, and where each begins (and the last one ends)."""
+    arr = pa.concat_arrays(column.cast(pa.string()).chunks)
+    at = np.frombuffer(arr.buffers()[1], np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
+    return np.frombuffer(arr.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _edges(t: pa.Table) -> np.ndarray:
+    """Where the groups of a sorted table begin."""
+    new = np.ones(t.num_rows, bool)
+    new[1:] = False
+    for name in ("file", "p", "c"):
+        col = pa.concat_arrays(t.column(name).chunks)
+        a, b = col.slice(1), col.slice(0, len(col) - 1)
+        new[1:] |= np.asarray(pc.coalesce(pc.not_equal(a, b), pc.not_equal(a.is_null(), b.is_null())))
+    return np.flatnonzero(new)
+
+
+class _Pages:
+    """The pages of several groups, up to SLICE bytes; windows of any length are found by the differences of rolling hashes."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, power: np.ndarray, inverse: np.ndarray):
+        self.data, self.starts, self.ends, self.power = data, starts, ends, power
+        # prefix[i + 1] = prefix[i] * base + code[i]: as sums of codes over falling powers, by the inverse of the base.
+        self.prefix = np.zeros(len(data) + 1, np.uint64)
+        self.prefix[1:] = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * inverse[1 : len(data) + 1], dtype=np.uint64) * power[1 : len(data) + 1]
+
+    def find(self, probes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last place of each probe (a row of bytes) in its group; -1 if there is none."""
+        n = probes.shape[1]
+        own = ((probes.astype(np.uint64) + np.uint64(1)) * self.power[n - 1 :: -1][:n]).sum(1, dtype=np.uint64) + group.astype(np.uint64) * _SALT
+        keys, key = np.unique(own, return_inverse=True)
+        groups = np.unique(group)
+        count = np.maximum(0, self.ends[groups] - self.starts[groups] - n)  # a page's last byte ends it
+        at = np.repeat(self.starts[groups] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        h = self.prefix[at + n] - self.prefix[at] * self.power[n] + np.repeat(groups.astype(np.uint64) * _SALT, count)
+        likely = np.zeros(1 << 16, bool)
+        likely[keys >> np.uint64(48)] = True
+        some = np.flatnonzero(likely[h >> np.uint64(48)])
+        which = np.minimum(np.searchsorted(keys, h[some]), len(keys) - 1)
+        hit = keys[which] == h[some]
+        at, which = at[some[hit]], which[hit]
+        first, last = np.full(len(keys), len(self.data)), np.full(len(keys), -1)
+        np.minimum.at(first, which, at)
+        np.maximum.at(last, which, at)
+        first, last = first[key], last[key]
+        found = np.flatnonzero(last >= 0)
+        same = np.ones(len(found), bool)
+        for place in (first, last):
+            same &= (self.data[place[found][:, None] + np.arange(n)] == probes[found]).all(1)
+        first[last < 0] = -1
+        for i in found[~same]:  # other bytes of an equal hash
+            g, raw = group[i], self.data.tobytes()
+            first[i], last[i] = (f(probes[i].tobytes(), self.starts[g], self.ends[g]) for f in (raw.find, raw.rfind))
+        return first, last
+
+
+def _in_groups(t: pa.Table, edges: np.ndarray, sizes: list[int], power: np.ndarray, inverse: np.ndarray) -> pa.RecordBatch:
+    """First and last pages of each probe's head and tail in its group's pages, by size: -1 if there is none, or if a longer one was found."""
+    number = t.column("number").fill_null(-1).to_numpy()
+    own = np.flatnonzero(t.column("side").to_numpy() == 1)
+    group = np.searchsorted(edges, own, "right") - 1
+    data, at = _bytes(t.column("page_text"))
+    starts, ends = at[edges], np.append(at[edges[1:]], at[-1])
+    most = max(sizes)
+    sides, column = [], np.arange(most)
+    for name in ("head", "tail"):
+        raw, begin = _bytes(t.column(name))
+        lens = np.diff(begin)[own]
+        rows = np.zeros((len(own), most), np.uint8)
+        rows[column < lens[:, None] if name == "head" else column >= most - lens[:, None]] = raw
+        sides.append(rows)
+    places = [np.full((len(own), len(sizes)), -1) for _ in sides]
+
+    def look(part: list[int], a: int, z: int) -> None:
+        """Look for the probes of some groups between two places."""
+        lo, hi = np.searchsorted(group, [part[0], part[-1] + 1])
+        pages = _Pages(data[a:z], np.maximum(starts[part[0] : part[-1] + 1], a) - a, np.minimum(ends[part[0] : part[-1] + 1], z) - a, power, inverse)
+        todo = [np.flatnonzero(lens[lo:hi]) + lo] * 2
+        for k, n in enumerate(sizes):
+            cut = [x[lens[x] > n] for x in todo] if k else todo  # shorter ones were looked for as a whole
+            for size in np.unique(np.minimum(lens[np.concatenate(cut)], n)):
+                heads, tails = (x[np.minimum(lens[x], n) == size] for x in cut)
+                f, e = pages.find(np.concatenate([sides[0][heads, :size], sides[1][tails, most - size :]]), group[np.concatenate([heads, tails])] - part[0])
+                f, e = f[: len(heads)], e[len(heads) :]
+                for kept, x, spot, pick in zip(places, (heads, tails), (f, e), (np.minimum, np.maximum)):
+                    ok, x = spot >= 0, x[spot >= 0]
+                    kept[x, k] = np.where(kept[x, k] < 0, spot[ok] + a, pick(kept[x, k], spot[ok] + a))
+            todo = [x[kept[x, k] < 0] for x, kept in zip(todo, places)]
+
+    g = 0
+    while g < len(edges):
+        a, z = starts[g], g + 1
+        while z < len(edges) and ends[z] - a <= SLICE:
+            z += 1
+        for b in range(int(a), int(ends[z - 1]), SLICE):  # a group beyond the size is looked through in overlapping pieces
+            look(list(range(g, z)), b, min(int(ends[z - 1]), b + SLICE + most + 1))
+        g = z
+    lists = [np.where(x >= 0, number[np.searchsorted(at, x, "right") - 1], -1).tolist() for x in places]
+    own = own[lens > 0] if (drop := not lens.all()) else own
+    lists = [[x for x, n in zip(y, lens) if n] for y in lists] if drop else lists
+    named = t.select(["file", "number"]).take(pa.array(own))
+    return pa.RecordBatch.from_arrays([*(pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in named.columns), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["file", "chunk_index", "first", "last"])
 
 
 def _locate(sizes: list[int]):
-    def run(probes: pa.Table, pages: pa.Table) -> pa.Table:
-        """First and last pages of each probe's head and tail in these pages, by size: -1 if there is none."""
-        number, texts = pages.column("page").to_pylist(), pages.column("page_text").to_pylist()
-        heads, tails = probes.column("head").to_pylist(), probes.column("tail").to_pylist()
-        first = np.full((len(heads), len(sizes)), -1, np.int64)
-        last = first.copy()
-        raw = b"\n".join(t.encode() for t in texts)
-        data = np.frombuffer(raw, np.uint8)
-        page = np.repeat(np.array(number, np.int64), [len(t) + 1 for t in texts])[: len(data)] if texts else np.zeros(0, np.int64)
-        if len(data):
-            longest = max(sizes)
-            base = np.full(longest + 1, _BASE, np.uint64)
-            base[0] = 1
-            base = np.multiply.accumulate(base)
-            prefix = np.zeros(len(data) + 1, np.uint64)
-            codes = data.astype(np.uint64) + np.uint64(1)
-            # prefix[i + 1] = prefix[i] * base + code[i]: as sums of codes over falling powers, by the inverse of the base.
-            inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), _INVERSE, np.uint64)]))
-            power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), _BASE, np.uint64)]))
-            prefix[1:] = np.cumsum(codes * inverse[1:], dtype=np.uint64) * power[1:]
-            for which, found in ((heads, first), (tails, last)):
-                asked: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-                for i, t in enumerate(which):
-                    for k, n in enumerate(sizes):
-                        s = (t[:n] if which is heads else t[max(0, len(t) - n) :]).encode()
-                        asked.setdefault(len(s), {}).setdefault(s, []).append((i, k))
-                for n, by in asked.items():
-                    if n > len(data):
-                        continue
-                    h = _substrings(data, n, base, prefix)
-                    own = np.array([_hash(s) for s in by], np.uint64)
-                    order = np.argsort(own)
-                    at = np.minimum(np.searchsorted(own[order], h), len(own) - 1)
-                    hit = np.flatnonzero(own[order][at] == h)
-                    spots: dict[int, np.ndarray] = {}
-                    which_probe = order[at[hit]]
-                    by_probe = np.argsort(which_probe, kind="stable")
-                    cuts = np.searchsorted(which_probe[by_probe], np.arange(len(own) + 1))
-                    for j, (s, places) in enumerate(by.items()):
-                        spots = hit[by_probe[cuts[j] : cuts[j + 1]]]
-                        spots = [p for p in (spots.tolist() if which is heads else spots[::-1].tolist()) if raw[p : p + n] == s]
-                        if spots:
-                            pages_ = page[spots]
-                            for i, k in places:
-                                found[i, k] = pages_.min() if which is heads else pages_.max()
-        return pa.table({"file": probes.column("file"), "chunk_index": probes.column("chunk_index"), "first": pa.array(first.tolist(), pa.list_(pa.int64())), "last": pa.array(last.tolist(), pa.list_(pa.int64()))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group, a group's pages first; a group that a batch may not end is held back."""
+        power, inverse = (_powers(x, SLICE + max(sizes) + 1) for x in (_BASE, _INVERSE))
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            edges = _edges(t)
+            if len(edges) > 1:
+                yield _in_groups(t.slice(0, edges[-1]), edges[:-1], sizes, power, inverse)
+            rest = t.slice(edges[-1])
+        if rest is not None:
+            yield _in_groups(rest, np.zeros(1, np.int64), sizes, power, inverse)
 
     return run
 
 
-def _hash(s: bytes) -> int:
-    h = 0
-    for c in s:
-        h = (h * int(_BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
-#: Pages and chunks of a file that a task holds at a time.
-PAGE_PART, CHUNK_PART = 2_000, 20_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
 def locate_pages(chunks: DataFrame, pages: DataFrame, file_col: str, probe: int = 60, step: int = 16) -> DataFrame:
     """page_start and page_end of chunks, by looking up their first and last letters and digits on the file's pages.
 
     The probe shrinks until it is found; chunks that aren't found have nulls. A task meets a part of a file's pages with
-    a part of its chunks' probes and looks all of them up by rolling hashes, so work grows with the text and not with
-    pages times chunks; parts of one file are put together by an aggregation.
+    a part of its chunks' probes. Rows are sorted by these parts, and many files are looked through together by rolling
+    hashes, so work grows with the text and not with pages times chunks, nor with the number of files; parts of one file
+    are put together by an aggregation.
     """
-    squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    # Without filters: they would squash every text once more. Empty probes are left out later.
+    squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     sizes = list(range(probe, 0, -step))
     kind = chunks.schema[file_col].dataType.simpleString()
-    p = pages.select(F.col(file_col).alias("file"), F.col("page").cast("long").alias("page"), squash(F.col("text")).alias("page_text")).filter("page_text <> ''")
-    flat = squash(F.col("text"))
-    c = chunks.select(F.col(file_col).alias("file"), F.col("chunk_index").cast("long").alias("chunk_index"), F.substr(flat, F.lit(1), F.lit(probe)).alias("head"), F.substr(flat, F.greatest(F.length(flat) - probe + 1, F.lit(1))).alias("tail")).filter("head <> ''")
-    p = p.withColumn("p", F.floor(F.col("page") / PAGE_PART).cast("int"))
-    c = c.withColumn("c", F.floor(F.col("chunk_index") / CHUNK_PART).cast("int"))
+    p = pages.select(F.col(file_col).alias("file"), F.col("page").cast("long").alias("number"), "text").filter("number is not null and text is not null")
+    c = chunks.select(F.col(file_col).alias("file"), F.col("chunk_index").cast("long").alias("number"), "text").filter("text is not null")
+    p = p.withColumn("p", F.floor(F.col("number") / PAGE_PART).cast("int"))
+    c = c.withColumn("c", F.floor(F.col("number") / CHUNK_PART).cast("int"))
     most = p.agg(F.max("p")).first()[0] or 0, c.agg(F.max("c")).first()[0] or 0
+    p, c = p.withColumn("flat", squash(F.col("text"))), c.withColumn("flat", squash(F.col("text")))
+    p = p.select("file", "p", F.lit(0).alias("side"), "number", F.concat("flat", F.lit("\n")).alias("page_text"), F.lit("").alias("head"), F.lit("").alias("tail"))
+    tail = F.substr("flat", F.greatest(F.length("flat") - probe + 1, F.lit(1)))
+    c = c.select("file", "c", F.lit(1).alias("side"), "number", F.lit("").alias("page_text"), F.substr("flat", F.lit(1), F.lit(probe)).alias("head"), tail.alias("tail"))
     if any(most):
         # Files of several parts: each part of the pages meets each part of the chunks.
         p_of, c_of = p.select("file", "p").distinct(), c.select("file", "c").distinct()
@@ -235,7 +308,8 @@ def locate_pages(chunks: DataFrame, pages: DataFrame, file_col: str, probe: int
         p, c = (d.select(*(F.col(x).alias(x) for x in d.columns)) for d in (p.join(c_of, "file"), c.join(p_of, "file")))
     else:
         p, c = p.withColumn("c", F.lit(0)), c.withColumn("p", F.lit(0))
-    found = c.groupBy("file", "p", "c").cogroup(p.groupBy("file", "p", "c")).applyInArrow(_locate(sizes), f"file {kind}, chunk_index long, first array<bigint>, last array<bigint>")
+    rows = p.unionByName(c).repartition("file", "p", "c").sortWithinPartitions("file", "p", "c", "side", "number")
+    found = rows.mapInArrow(_locate(sizes), f"file {kind}, chunk_index long, first array<bigint>, last array<bigint>")
     seen = lambda a, k: F.when(F.get(a, F.lit(k)) >= 0, F.get(a, F.lit(k)))
     each = [F.min(seen("first", k)).alias(f"f{k}") for k in range(len(sizes))] + [F.max(seen("last", k)).alias(f"l{k}") for k in range(len(sizes))]
     best = found.groupBy("file", "chunk_index").agg(*each)
