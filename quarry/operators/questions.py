@@ -45,6 +45,8 @@ SUBJECT_FILLER = (
 PATH = r"(/[^\s\n]+\.[A-Za-z0-9]{1,8})"
 FILE_NAME = r"(\w[\w()\-]*\.[A-Za-z0-9]{1,8})"
 # Fixed values end.
+#: Files times questions of one task, where files meet questions.
+SPREAD = 50_000_000
 
 
 def _spaced(q: Column) -> Column:
@@ -135,6 +137,9 @@ def complete_inventory(questions: DataFrame, matched: DataFrame, files: DataFram
     the name stems that all of its (two or more) files share are looked for in all other names, a containment join: a
     file holds all of them only if it holds the rarest, so files meet questions by that one token, and the rest is
     checked there. Templates are never added, superseded names not by their stems.
+
+    The rows found may be as many as files times questions, so no aggregation or shuffle sees them: a file brings along
+    the questions that it was matched to, which tells what is added. Only files that share an id are put together after.
     """
     ws = Workspace(questions.sparkSession, "inventory")
     period = D.asked_period(F.col("question"))
@@ -146,18 +151,19 @@ def complete_inventory(questions: DataFrame, matched: DataFrame, files: DataFram
         "file", name_stems(name).alias("stems"), F.array_union(name_stems(name), stemmed(F.coalesce("entity", F.lit("")))).alias("own"), F.col("doc_type"),
         F.substr(iso, F.lit(1), F.lit(4)).try_cast("int").alias("y"), F.substr(iso, F.lit(6), F.lit(2)).try_cast("int").alias("m"), name.rlike(T.TEMPLATE_NAME).alias("template"), name.rlike(T.SUPERSEDED_NAME).alias("superseded"),
     )
-    f = ws.stage(f, "files")
     theirs = (F.size("quals") == 0) | F.arrays_overlap("own", "quals")
-    picks = ws.stage(matched.select("query_id", "file").distinct(), "picks")
-    kept = f.join(broadcast_if_small(picks), "file").join(broadcast_if_small(asked), "query_id").filter(theirs)
-    kept = ws.stage(kept.select("query_id", "file", "stems", "y", "m", "period"), "kept")
+    picks = matched.filter("query_id is not null").groupBy("file").agg(F.collect_set("query_id").alias("picked"))  # questions of one file
+    f = ws.stage(f.join(picks, "file", "left").withColumn("many", F.count("*").over(W.partitionBy("file")) > 1), "files")
+    kept = f.select("file", "many", "stems", "own", "y", "m", F.explode("picked").alias("query_id")).join(broadcast_if_small(asked), "query_id").filter(theirs)
+    kept = ws.stage(kept.select("query_id", "file", "many", "stems", "y", "m", "period"), "kept")
+    f = f.repartition(max(1, -(-f.count() * asked.count() // SPREAD)), "file")
     live = broadcast_if_small(ws.stage(asked.join(kept.select("query_id").distinct(), "query_id", "left_semi"), "live"))
 
     # Periods: a file is in a month, in its year, and in that month of any year.
     y, m = F.col("period")["year"], F.col("period")["month"]
     inside = kept.filter(F.col("period").isNotNull() & F.coalesce(((y == 0) | (y == F.col("y"))) & ((m == 0) | (m == F.col("m"))), F.lit(False)))
     keys = F.array_distinct(F.array(*(F.struct(a.alias("py"), b.alias("pm")) for a, b in ((F.col("y"), F.col("m")), (F.col("y"), F.lit(0)), (F.lit(0), F.col("m"))))))
-    dated = f.filter("y is not null and m is not null and not template").select("file", "stems", "own", "doc_type", F.inline(keys))
+    dated = f.filter("y is not null and m is not null and not template").select("file", "many", "picked", "stems", "own", "doc_type", F.inline(keys))
     of_kind = (F.size("wanted") == 0) | F.coalesce(F.array_contains("wanted", F.col("doc_type")), F.lit(False)) | F.arrays_overlap(kinds(F.col("stems")), "wanted")
     periods = live.filter("period is not null").withColumn("py", y).withColumn("pm", m)
     more = dated.join(periods, ["py", "pm"]).filter(of_kind & theirs)
@@ -165,18 +171,25 @@ def complete_inventory(questions: DataFrame, matched: DataFrame, files: DataFram
     # Shared stems: those that as many files have as were kept.
     open_ = kept.filter("period is null")
     n = open_.groupBy("query_id").agg(F.count("*").alias("n")).filter("n >= 2")
-    shared = open_.select("query_id", F.explode("stems").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("n"))
+    # Only stems of one of a question's files can be shared, so only these are counted.
+    one = broadcast_if_small(ws.stage(open_.groupBy("query_id").agg(F.min("file").alias("file")), "one"))
+    one = ws.stage(open_.join(one, ["query_id", "file"]).groupBy("query_id").agg(F.first("stems").alias("first_stems")), "first")
+    both = F.explode(F.array_intersect("first_stems", "stems"))
+    shared = open_.join(broadcast_if_small(one), "query_id").select("query_id", both.alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("n"))
     shared = ws.stage(shared.join(n, ["query_id", "n"]).select("query_id", "token"), "shared")
-    index = f.filter("not template and not superseded").select("file", "stems", "own", F.explode("stems").alias("token"))
+    index = f.filter("not template and not superseded").select("file", "many", "picked", "stems", "own", F.explode("stems").alias("token"))
     wanted = broadcast_if_small(ws.stage(shared.select("token").distinct(), "tokens"))
     often = index.join(wanted, "token").groupBy("token").agg(F.count("*").alias("often"))
     rare = shared.join(often, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"), F.collect_set("token").alias("all_of"))  # tokens of one name
     rare = broadcast_if_small(ws.stage(rare.join(asked.select("query_id", "quals"), "query_id"), "rarest"))
     siblings = index.join(rare, "token").filter((F.size(F.array_except("all_of", "stems")) == 0) & theirs)
 
-    found = inside.select("query_id", "file").union(open_.select("query_id", "file")).withColumn("added", F.lit(0))
-    found = found.union(more.select("query_id", "file", F.lit(1))).union(siblings.select("query_id", "file", F.lit(1)))
-    return found.groupBy("query_id", "file").agg((F.min("added") == 1).alias("added"))
+    found = inside.unionByName(open_).select("query_id", "file", "many", F.lit(False).alias("added"))
+    new = F.col("many") | F.col("picked").isNull() | ~F.array_contains("picked", F.col("query_id"))
+    for extra in (more, siblings):
+        found = found.union(extra.filter(new).select("query_id", "file", "many", F.lit(True)))
+    together = found.filter("many").groupBy("query_id", "file").agg(F.bool_and("added").alias("added"))
+    return found.filter("not many").select("query_id", "file", "added").union(together)
 
 
 def _stripped(c: Column) -> Column:

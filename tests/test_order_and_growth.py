@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from quarry.operators import chunking, clients, date_scan, injection, sheets, vectors
+from quarry.operators import chunking, clients, date_scan, injection, questions, sheets, vectors
 from quarry.plans.workspace import Workspace
 
 
@@ -58,6 +58,28 @@ def test_questions_of_entities_are_spread(spark, monkeypatch):
     assert len({r["task"] for r in got}) > 3
 
 
+def test_completed_inventories_are_not_gathered(spark, monkeypatch):
+    """Files times questions come out of the joins as they are; only rows of files that share an id are put together."""
+    files = spark.range(60).selectExpr("id file", "concat('lease-', id, '.pdf') file_name", "cast(null as string) entity", "cast(null as string) doc_type", "if(id < 20, '2004-03-05', '2005-01-01') date")
+    files = files.unionByName(files.filter("file in (1, 4)").withColumn("file_name", F.lit("other.pdf")).withColumn("date", F.lit("2004-03-07")))
+    asked = spark.createDataFrame([(q, "What came in during March 2004?" if q == 3 else "List the papers", "papers") for q in range(5)], "query_id long, question string, subject string")
+    matched = spark.createDataFrame([(q, f) for q in range(4) for f in (0, 2, 58)] + [(0, 0), (2, 4), (3, 1)], "query_id long, file long")
+    gathered, call = [], DataFrame.groupBy
+
+    def run(self, *by):
+        if by == ("query_id", "file"):
+            gathered.append(self.count())
+        return call(self, *by)
+
+    monkeypatch.setattr(DataFrame, "groupBy", run)
+    got = [(r["query_id"], r["file"], r["added"]) for r in questions.complete_inventory(asked, matched, files).collect()]
+    want = {(q, f, f not in (0, 2, 58)) for q in (0, 1) for f in range(60)}
+    want |= {(2, f, False) for f in (0, 2, 4, 58)}  # the second name of 4 shares no stem
+    want |= {(3, f, f not in (0, 1, 2)) for f in range(20)}
+    assert sorted(got) == sorted(want)
+    assert gathered and sum(gathered) <= 20
+
+
 def test_a_vector_is_sent_to_few_groups(spark, monkeypatch):
     """All pairs of random vectors: a vector goes to as many tasks as there are groups at most, not to each block."""
     monkeypatch.setattr(vectors, "BLOCK", 5)
