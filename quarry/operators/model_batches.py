@@ -55,13 +55,16 @@ def pack(docs: DataFrame, most_chars: int, parts: int) -> DataFrame:
 def _asked(ask: Ask) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            rows = []
             for batch, size, hashes, texts in zip(f["batch"], f["size"], f["hashes"], f["texts"]):
                 try:
                     got = ask(list(texts))
                 except Exception:  # noqa: BLE001  a call that fails is a reply that can't be read
                     got = None
                 got = got if got is not None and len(got) == len(texts) else [None] * len(texts)
-                yield pd.DataFrame({"hash": hashes, "reply": got, "size": size, "batch": batch})
+                rows += [(h, r, size, batch) for h, r in zip(hashes, got)]
+            # One frame for all batches of a frame: a frame of its own would cost each batch more than its texts.
+            yield pd.DataFrame(rows, columns=["hash", "reply", "size", "batch"])
 
     return run
 
@@ -87,8 +90,9 @@ def answer(docs: DataFrame, ask: Ask, folder: str, day: str, calls: int = CALLS,
         packed = ws.stage(pack(open_, most_chars, -(-n // PACKED)), "packed")
         now = packed.select("batch", "size").distinct().orderBy(F.desc("size"), "batch").limit(min(left, wave))  # a wave's rows
         mine = broadcast_if_small(ws.stage(packed.join(F.broadcast(now.select("batch")), "batch"), "wave"))
-        groups = texts.join(mine, "hash").groupBy("batch", "size").agg(F.array_sort(F.collect_list(F.struct("hash", "text"))).alias("d"))  # most_docs documents at most
-        groups = groups.select("batch", "size", F.col("d.hash").alias("hashes"), F.col("d.text").alias("texts")).repartition("batch")
+        # Dealt by batch before they are grouped, so that texts are shuffled once.
+        groups = texts.join(mine, "hash").repartition("batch").groupBy("batch", "size").agg(F.array_sort(F.collect_list(F.struct("hash", "text"))).alias("d"))  # most_docs documents at most
+        groups = groups.select("batch", "size", F.col("d.hash").alias("hashes"), F.col("d.text").alias("texts"))
         got = ws.stage(groups.mapInPandas(_asked(ask), "hash string, reply string, size int, batch string"), "got")
         # Replies first: a stop between the two writes counts a call too few, but asks for no reply again.
         got.filter("reply is not null").select("hash", "reply").write.mode("append").parquet(f"{folder}/replies")
