@@ -22,6 +22,8 @@ GENERIC = (
 LEGAL_FORMS = "pvt private ltd limited llp llc inc corp corporation co company".split()
 # Fixed values end.
 WORD, GAP = r"[\p{L}\p{Nd}]+", r"[^\p{L}\p{Nd}]+"
+#: Distinct first words of identifiers that are looked for in texts before runs are made.
+FIRST_WORDS = 2000
 NONE, SCOPED, CLARIFY = "NONE", "SCOPED", "CLARIFY"
 
 
@@ -40,27 +42,37 @@ def identifiers(clients: DataFrame, least: int = 3) -> DataFrame:
     return clients.select("client_id", F.explode(every).alias("x")).select("client_id", _core(F.col("x")).alias("norm")).filter(F.length("norm") >= least).distinct()
 
 
-def _runs(parts: Column, words: int) -> Column:
-    """Distinct runs of so many words, with what stands between them."""
+def _spots(parts: Column, firsts: list[str] | None) -> Column:
+    """Where a run may begin: at each word, or only at words that a key begins with."""
     first = F.when(F.get(parts, F.lit(0)).rlike(f"^{WORD}$"), 1).otherwise(2)
-    last = F.size(parts) - (2 * words - 2)
-    starts = F.when(first <= last, F.sequence(first, last, F.lit(2)))
+    spots = F.when(first <= F.size(parts), F.sequence(first, F.size(parts), F.lit(2)))
+    return spots if firsts is None else F.filter(spots, lambda i: F.get(parts, i - 1).isin(firsts))
+
+
+def _runs(parts: Column, spots: Column, words: int) -> Column:
+    """Distinct runs of so many words from these places, with what stands between them."""
+    whole = F.filter(spots, lambda i: i <= F.size(parts) - (2 * words - 2))
     # Element by element: slice() would read the whole array for each run.
-    return F.array_distinct(F.transform(starts, lambda i: F.concat(*(F.get(parts, i + k) for k in range(-1, 2 * words - 2)))))
+    return F.array_distinct(F.transform(whole, lambda i: F.concat(*(F.get(parts, i + k) for k in range(-1, 2 * words - 2)))))
 
 
 def occurrences(texts: DataFrame, keys: DataFrame, id_col: str, text_col: str, key_col: str) -> DataFrame:
     """Rows (id, all columns of keys), once for each key that occurs in the text as whole words.
 
-    Only the distinct word counts of keys come to the driver. Null and empty texts have no rows.
+    Only the distinct word counts of keys come to the driver, and their distinct first words if these are up to
+    FIRST_WORDS: then runs begin at such words only; with more of them, at every word. Null and empty texts have no rows.
     """
     keys = Workspace(texts.sparkSession, "occurrences").stage(keys, "keys")  # read three times below
     sizes = sorted(r["n"] for r in keys.select(F.size(F.regexp_extract_all(key_col, F.lit(f"({WORD})"), F.lit(1))).alias("n")).distinct().collect() if r["n"])
     if not sizes:
         return texts.select(id_col).join(keys, F.lit(False))
-    cut = texts.select(id_col, F.regexp_extract_all(T.token_norm(F.col(text_col)), F.lit(f"({WORD}|{GAP})"), F.lit(1)).alias("parts")).filter(F.size("parts") > 0)
+    own = keys.select(F.get(F.regexp_extract_all(key_col, F.lit(f"({WORD})"), F.lit(1)), F.lit(0)).alias("w")).filter("w is not null").distinct()
+    firsts = [r["w"] for r in own.limit(FIRST_WORDS + 1).collect()]
+    # Without a filter on the parts, which would take every text apart twice.
+    cut = texts.select(id_col, F.regexp_extract_all(T.token_norm(F.col(text_col)), F.lit(f"({WORD}|{GAP})"), F.lit(1)).alias("parts"))
+    cut = cut.select(id_col, "parts", _spots(F.col("parts"), firsts if len(firsts) <= FIRST_WORDS else None).alias("spots"))
     none = F.array().cast("array<string>")
-    runs = cut.select(id_col, F.explode(F.concat(*(F.coalesce(_runs(F.col("parts"), n), none) for n in sizes))).alias(key_col))
+    runs = cut.select(id_col, F.explode(F.concat(*(F.coalesce(_runs(F.col("parts"), F.col("spots"), n), none) for n in sizes))).alias(key_col))
     return runs.join(broadcast_if_small(keys), key_col)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from quarry.operators import chunking, clients, date_scan, injection, questions, sheets, vectors
+from quarry.operators import chunking, clients, date_scan, injection, model_batches, questions, sheets, vectors
 from quarry.plans.workspace import Workspace
 
 
@@ -140,3 +141,23 @@ def test_shared_words_meet_no_clients_where_one_is_named(spark, monkeypatch):
     got = {(r["id"], r["client_id"]) for r in clients.question_matches(q, clients.identifiers(names), "id", "t").collect()}
     assert got == {(1, 0)} | {(2, i) for i in range(50)}
     assert rows["said"] == 4  # two words and the name of question 1, one word of question 2; not fifty rows of each
+
+
+def test_replies_of_a_frame_come_in_one():
+    """However small the batches: each frame that a worker gives back has a cost of its own."""
+    f = pd.DataFrame({"batch": ["a", "b", "c"], "size": [2, 2, 1], "hashes": [["h", "i"], ["j", "k"], ["l"]], "texts": [["x", "y"], ["bad", "z"], ["w"]]})
+    (got,) = model_batches._asked(lambda texts: None if "bad" in texts else [t.upper() for t in texts])(iter([f]))
+    assert [tuple(r) for r in got[["hash", "reply", "size", "batch"]].itertuples(index=False)] == [("h", "X", 2, "a"), ("i", "Y", 2, "a"), ("j", None, 2, "b"), ("k", None, 2, "b"), ("l", "W", 1, "c")]
+
+
+def test_runs_begin_at_first_words_only(spark, monkeypatch):
+    """Texts are taken apart once, and runs are made where an identifier may begin; more first words than a limit change nothing."""
+    texts = spark.createDataFrame([(1, "the Acme-Foods of acme foods, acme"), (2, "Zen (Lite) co. and zen lite"), (3, ""), (4, None), (5, "- acme"), (6, "foods")], "id long, t string")
+    keys = spark.createDataFrame([(1, "acme"), (2, "acme-foods"), (3, "zen (lite) co"), (4, "zen lite")], "client_id long, norm string")
+    want = [(1, 1), (1, 2), (2, 3), (2, 4), (5, 1)]
+    for most in (2000, 1):
+        monkeypatch.setattr(clients, "FIRST_WORDS", most, raising=False)
+        found = clients.matches(texts, keys, "id", "t")
+        assert sorted(tuple(r) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and ("acme,zen" in plan or "zen,acme" in plan or "acme, zen" in plan or "IN (" in plan) == (most > 1)
