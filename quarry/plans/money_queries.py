@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import sheets as S
-from quarry.plans.registry import query, table
+from quarry.plans.registry import in_order, query, table
 
 OWNER = "Quarry & Co."
 OWNERS = ["quarry &"]
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = in_order(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     party = lambda name, role, side: F.struct(name.alias("name"), F.lit(role).alias("role"), F.lit(side).alias("side"))
     amount = lambda label, value, status: F.struct(F.lit(label).alias("label"), value.alias("value"), F.lit("USD").alias("currency"), status.alias("status"), F.lit("").alias("role"))
     p = F.col("o_totalprice")
@@ -26,7 +26,7 @@ def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("o_orderpriority").startswith("1"), "Payment confirmation").when(F.col("o_orderpriority").startswith("5"), "Engagement letter").otherwise("Invoice")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     return o.select(
-        F.col("o_orderkey").alias("ord"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("file_name"), kind.alias("doc_type"), F.lower("c_mktsegment").alias("category"), F.lit("").alias("title"),
+        F.col("o_orderkey").alias("ord"), "seen", F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("file_name"), kind.alias("doc_type"), F.lower("c_mktsegment").alias("category"), F.lit("").alias("title"),
         (F.col("o_orderkey") % 5 == 0).alias("is_personal"), F.array(party(F.lit(OWNER), "biller", "owed"), party(F.col("c_name"), "client", "owes")).alias("parties"),
         F.when(F.col("o_orderstatus") == "P", F.array(total, rest)).otherwise(F.array(total)).alias("amounts"),
         F.array(F.struct(F.lit("Payment due").alias("label"), day.alias("date"), F.lit(False).alias("deadline"), F.when(F.col("o_orderkey") % 2 == 0, "payment_due").otherwise("").alias("type"))).alias("dates"),
@@ -58,11 +58,11 @@ def money_table_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    i = in_order(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     party = lambda name, role: F.struct(name.alias("name"), F.lit(role).alias("role"), F.lit("").alias("side"))
     status = F.when(F.col("l_returnflag") == "R", "settled").when(F.col("l_linestatus") == "O", "overdue").otherwise("pending")
     return i.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.lit("Supplier bill").alias("doc_type"), F.lit("").alias("category"), F.array(party(F.col("s_name"), "vendor"), party(F.lit(OWNER), "buyer")).alias("parties"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "seen", F.lit("Supplier bill").alias("doc_type"), F.lit("").alias("category"), F.array(party(F.col("s_name"), "vendor"), party(F.lit(OWNER), "buyer")).alias("parties"),
         F.array(F.struct(F.lit("Line").alias("label"), F.col("l_extendedprice").alias("value"), F.lit("USD").alias("currency"), status.alias("status"), F.when(F.col("l_returnflag") == "R", "payment").otherwise("charge").alias("role"))).alias("amounts"),
     )
 

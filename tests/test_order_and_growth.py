@@ -24,6 +24,27 @@ def test_facts_of_one_place_have_an_order(spark):
         assert tuple(merged) == ("k:k", "b", 9, 4, "overdue", "s3")
 
 
+def test_amounts_are_added_as_they_arrived(spark):
+    """Sums of doubles that should end in .5: equal to a plain loop over the rows as they arrived, however they are read and dealt."""
+    rng = np.random.default_rng(11)
+    want, rows = {}, []
+    for k in range(80):
+        v = [int(x) for x in rng.integers(100, 9_999_999, 40)]
+        v.append(50 - sum(v) % 100 + 1000)  # in hundredths; the whole sum ends in .50
+        x = 0.0
+        for c in v:
+            x += c / 100
+        want[f"p{k}"] = int(np.floor(x + 0.5))
+        rows += [(f"P{k}", c / 100) for c in v]
+    assert len({want[f"p{k}"] - -(-sum(round(v * 100) for p, v in rows if p == f"P{k}") // 100) for k in range(80)}) == 2  # both up and down
+    seen = rng.permutation(len(rows)).tolist()
+    cols = "ord long, seen struct<file:string,row:long>, doc_type string, category string, parties array<struct<name:string,role:string,side:string>>, amounts array<struct<label:string,value:double,currency:string,status:string,role:string>>"
+    sheet = lambda i: (seen[i], (f"f{i // 1000}", i % 1000), "bill", "", [(rows[i][0], "client", "")], [("Line", rows[i][1], "", "unpaid", "")])
+    for order, parts in ((range(len(rows)), 1), (seen, 7)):
+        t = sheets.money_table(spark.createDataFrame([sheet(i) for i in order], cols).repartition(parts), [], True)
+        assert {r["party"]: (r["billed"], r["owed"]) for r in t.collect()} == {p: (v, v) for p, v in want.items()}
+
+
 def counted(monkeypatch):
     """Rows of the tables that are staged, by name."""
     rows, stage = {}, Workspace.stage
