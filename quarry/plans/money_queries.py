@@ -134,8 +134,8 @@ facts AS (SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS ord, C
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_orderkey") % 4
     s = F.col("l_suppkey").cast("string")
-    return table(spark, sf_dir, "lineitem").select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("ord"), F.when(k == 0, F.concat(F.lit("Supplier#"), (F.col("l_suppkey") % 50).cast("string"))).alias("key"),
+    return in_order(spark, sf_dir, "lineitem").select(
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("ord"), "seen", F.when(k == 0, F.concat(F.lit("Supplier#"), (F.col("l_suppkey") % 50).cast("string"))).alias("key"),
         F.when(k == 3, "").when((F.col("l_linenumber") == 1) & (k == 0), "Client").otherwise(F.concat(F.lit("Supplier "), s)).alias("subject"),
         F.when(F.col("l_quantity") > 10, F.floor("l_extendedprice")).alias("value"), F.when(F.col("l_tax") > 0.04, F.floor(F.col("l_extendedprice") / 2)).alias("balance"),
         F.when(F.col("l_returnflag") == "R", "paid").when(F.col("l_returnflag") == "A", "partial").when(F.col("l_linestatus") == "O", "overdue").otherwise("quote").alias("status"),

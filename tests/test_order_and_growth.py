@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from quarry.operators import chunking, clients, date_scan, injection, model_batches, questions, sheets, vectors
+from quarry.plans import catalog
 from quarry.plans.workspace import Workspace
 
 
@@ -45,6 +48,26 @@ def test_amounts_are_added_as_they_arrived(spark):
         assert {r["party"]: (r["billed"], r["owed"]) for r in t.collect()} == {p: (v, v) for p, v in want.items()}
 
 
+def test_tied_facts_come_as_they_arrived(spark, tmp_path):
+    """Facts whose keys are all equal: the first row of the table counts, as in the SQL, in whatever order Spark reads its files."""
+    cols = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, l_linestatus string"
+    line = lambda k, price, tax, flag, n=2: (k, 7, 1, n, 20.0, price, tax, flag, "O")
+    first = [line(3, 10.0, 0.05, "A"), line(3, 90.0, 0.06, "A"), line(7, 50.0, 0.0, "A"), line(4, 30.0, 0.05, "R")]
+    second = [line(7, 80.0, 0.08, "R"), line(7, 99.0, 0.09, "R"), line(4, 40.0, 0.05, "R"), line(4, 5.0, 0.05, "N", 3), *[line(8, 1.0, 0.0, "N", n) for n in range(50)]]
+    at = tmp_path / "lineitem.parquet"
+    at.mkdir()
+    for n, rows in enumerate((first, second)):  # the larger file is read first
+        names, types = zip(*(c.split(" ") for c in cols.split(", ")))
+        pa.parquet.write_table(pa.table([pa.array(v, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[t]) for v, t in zip(zip(*rows), types)], names), at / f"part-{n}.parquet")
+    duck = duckdb.connect()
+    duck.execute("SET threads = 1")
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/*.parquet'")
+    for name in ("facts_conflicts", "facts_merge"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        want = duck.sql(catalog.ORACLE_SQL[name]).project(", ".join(df.columns)).fetchall()
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
 def counted(monkeypatch):
     """Rows of the tables that are staged, by name."""
     rows, stage = {}, Workspace.stage
